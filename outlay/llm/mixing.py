@@ -25,7 +25,8 @@ def source_targets(spark: SparkSession, sizes: DataFrame, source_col: str, size_
     Sources in code-point order (null last) weigh ``cycle``, repeated. The targets share the
     sum of all sizes by weight; a target stops at ``cap`` times its source's size and what is
     over goes to the others by weight, until none is above. That is a water level: with the
-    sources ordered by cap / weight, the level is the first one that the uncapped rest can hold.
+    sources ordered by cap / weight, the level is the first one that the next source can hold;
+    from there on what would be left for each unit of weight only falls, so it is the largest such.
     Sums run over ranges, not in one task, so the number of sources may be large.
     """
     per = sizes.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size"))
@@ -40,7 +41,7 @@ def source_targets(spark: SparkSession, sizes: DataFrame, source_col: str, size_
         below.join(F.broadcast(all_of))
         .withColumn("level", (F.col("total") - F.col("capped")) / (F.col("all_weights") - F.col("weights")))
         .where(F.col("level") <= F.col("full_at"))
-        .agg(F.min("level").alias("level"))
+        .agg(F.max("level").alias("level"))
     )
     target = F.least((F.col("source_size") * cap).cast("double"), F.col("level") * F.col("weight"))
     return below.join(F.broadcast(level)).select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))

@@ -18,7 +18,7 @@ WITH sized AS (
 ), levels AS (
   SELECT *, ((SELECT sum(source_size) FROM per) - capped)::DOUBLE / ((SELECT sum(weight) FROM ranked) - weights)::DOUBLE AS level FROM capped
 ), targets AS (
-  SELECT source, source_size, least((source_size * 3)::DOUBLE, (SELECT min(level) FROM levels WHERE level <= full_at) * weight) AS target FROM levels
+  SELECT source, source_size, least((source_size * 3)::DOUBLE, (SELECT max(level) FROM levels WHERE level <= full_at) * weight) AS target FROM levels
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, coalesce(t.target, 0.0) AS target,
     CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
