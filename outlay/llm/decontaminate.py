@@ -234,6 +234,19 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     return out
 
 
+def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, block_bytes: int, seed: int) -> list:
+    """Broadcast indexes of the items, each of at most ``block_bytes`` of text or so."""
+    clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
+    total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) * 2 // block_bytes))
+    out = []
+    for block in range(blocks):
+        part = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else clean
+        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
+        out.append(spark.sparkContext.broadcast(build(rows, rate, recall, seed)))
+    return out
+
+
 def matches(
     spark: SparkSession,
     docs: DataFrame,
@@ -251,44 +264,68 @@ def matches(
 
     Words are runs of letters, digits and underscores of the lower-cased text. An item is in a
     document if some part of it is within ``rate`` word edits of the item (see ``edits_allowed``);
-    of several places the one with the fewest edits, then the first, is returned. Places found
+    of several places the one with the fewest edits, then the first, is returned. A place is found
     with a probability of ``recall`` at the most edits, higher with fewer, always with none.
     Items go to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents
     for each block, so that what is broadcast is bounded however large the benchmark is. Null or
-    empty texts and items match nothing. Repeated rows: rows with the same id give one row per
+    empty texts and items match nothing. Repeated rows: documents with the same id give one row per
     place; repeated items count once. Character places refer to the lower-cased text. Other columns play no part.
     """
-    clean = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) * 2 // block_bytes))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, edits int, item_words int, first_word int, end_word int, first_char int, end_char int"
     out = None
-    for block in range(blocks):
-        part = clean.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else clean
-        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(build(rows, rate, recall, seed))
+    for shared in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
         found = texts.mapInArrow(_scan(shared), schema)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
+def clean(
+    spark: SparkSession,
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    rate: float = 0.2,
+    recall: float = 0.99,
+    block_bytes: int = 16 << 20,
+    seed: int = 11,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item (see ``matches``), all columns as they are; no row is moved. Null texts stay."""
+    for shared in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
+        docs = docs.where(~_holds(shared)(F.coalesce(docs[text_col], F.lit(""))))
+    return docs
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in parts of about ``CHUNK`` words, each with the number of its first text."""
+    first, held = 0, 0
+    for n, text in enumerate(texts):
+        held += len(text)
+        if held >= 6 * CHUNK or n + 1 == len(texts):
+            yield first, texts[first : n + 1]
+            first, held = n + 1, 0
+
+
+def _holds(shared):
+    def run(texts: pa.Array) -> pa.Array:
+        held = np.zeros(len(texts), bool)
+        for first, part in _parts(texts.to_pylist()):
+            held[[first + row[0] for row in search(shared.value, part)]] = True
+        return pa.array(held)
+
+    return F.arrow_udf(run, "boolean")
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            took, rows, first, held = [], [], 0, 0
-            for n, text in enumerate(texts):
-                held += len(text)
-                if held >= 4 * CHUNK or n + 1 == len(texts):
-                    for t, *rest in search(index, texts[first : n + 1]):
-                        took.append(first + t)
-                        rows.append(rest)
-                    first, held = n + 1, 0
-            columns = [ids.take(pa.array(took, pa.int64())), pa.array([index.item_ids[r[0]] for r in rows], pa.int64())]
-            numbers = [[r[1] for r in rows], [len(index.items[r[0]]) for r in rows], *[[r[k] for r in rows] for k in (2, 3, 4, 5)]]
+            rows = [(first + t, *rest) for first, part in _parts(batch.column("text").to_pylist()) for t, *rest in search(index, part)]
+            columns = [batch.column("id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.item_ids[r[1]] for r in rows], pa.int64())]
+            numbers = [[r[2] for r in rows], [len(index.items[r[1]]) for r in rows], *[[r[k] for r in rows] for k in (3, 4, 5, 6)]]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.int32()) for x in numbers], names=["doc_id", "item_id", "edits", "item_words", "first_word", "end_word", "first_char", "end_char"])
 
     return run

@@ -222,3 +222,19 @@ def near_duplicates(
         F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id, all columns as they are.
+
+    Rows with a null id stay. Of rows that repeat an id one stays. ``how`` goes to ``near_duplicates``.
+    """
+    found = near_duplicates(spark, docs, id_col, text_col, **how).where("doc_id is not null")
+    # of a repeated id with an empty and another text, the row is decided by its id alone
+    state = stored(spark, found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"), "decided")
+    decided = state.select(F.col("doc_id").alias(id_col))
+    out = docs.join(decided, id_col, "left_anti")
+    if not state.where("kept").isEmpty():
+        again = docs.join(state.where("kept").select(F.col("doc_id").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col])
+        out = out.unionByName(again)
+    return out

@@ -28,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(spark, docs, _table(spark, sf_dir, "labels"), ~_held_out(F.col("doc_id")))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), toxicity.rejected().cast("int").alias("predicted"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

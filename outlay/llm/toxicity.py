@@ -7,7 +7,6 @@ scoring run in Spark's ML library.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,17 +90,13 @@ def features(text: str | None, weights: dict[str, float]) -> list[float]:
     ]
 
 
-def _featured(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``id``, ``label`` where ``df`` has one, and ``features`` from ``text``."""
-    rest = [c for c in df.columns if c != "text"]
+def _dense(weights: dict[str, float]):
+    """The features as an Arrow function of a column of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t, weights) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(rows, pa.list_(pa.float64()))], names=[*rest, "dense"])
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t, weights) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.mapInArrow(run, f"{kinds}, dense array<double>")
+    return F.arrow_udf(run, "array<double>")
 
 
 def _lexicon(labelled: DataFrame, positives: int, negatives: int, most: int) -> dict[str, float]:
@@ -150,7 +145,7 @@ def fit(
     if not min(fits):
         return Model({}, None, None, sum(v for (_, k), v in count.items() if k) / total if total else 0.0)
     weights = _lexicon(sample.where("not calibrates"), fits[1], fits[0], most_words)
-    dense = stored(spark, _featured(sample.select("id", "label", "calibrates", "text"), weights), "dense").withColumn("features", array_to_vector("dense"))
+    dense = stored(spark, sample.select("label", "calibrates", _dense(weights)("text").alias("dense")), "dense").withColumn("features", array_to_vector("dense"))
     learner = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=seed, maxBins=32)
     model = learner.fit(dense.where("not calibrates").select("features", "label").coalesce(4))
     held = dense.where("calibrates")
@@ -160,13 +155,21 @@ def fit(
     return Model(weights, model, None, 0.0)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every row; null and empty texts have the features of no words. Repeated rows are each scored."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` with the score of each row, 0 to 1, in column ``into`` (replaced if there).
+
+    Null and empty texts have the features of no words. Repeated rows are each scored. No row is
+    moved: texts are read where they are.
+    """
     if model.trees is None:
-        return texts.select(F.col("id").alias("doc_id"), F.lit(float(model.rate)).alias("score"))
-    dense = _featured(texts, model.weights).withColumn("features", array_to_vector("dense"))
-    out = model.trees.transform(dense.select("id", "features")).select("id", vector_to_array("probability")[1].alias("raw"))
-    if model.calibration is None:
-        return out.select(F.col("id").alias("doc_id"), F.col("raw").alias("score"))
-    return model.calibration.transform(out).select(F.col("id").alias("doc_id"), F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return docs.withColumn(into, F.lit(float(model.rate)))
+    # the row travels as one column, so that no name in it can clash with the trees' columns
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), array_to_vector(_dense(model.weights)(docs[text_col])).alias("features"))
+    out = model.trees.transform(rows).select("row", vector_to_array("probability")[1].alias("raw"))
+    if model.calibration is not None:
+        out = model.calibration.transform(out).select("row", F.col("prediction").alias("raw"))
+    return out.withColumn("bounded", F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0))).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != into.lower()], F.col("bounded").alias(into))
+
+
+def rejected(score_col: str = "toxicity", least: float = 0.5) -> Column:
+    return F.col(score_col) >= least
