@@ -30,6 +30,48 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+OP5 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents
+), patterns(kind, rank, least, pattern, grp) AS (
+  VALUES ('assign', 0, 6, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1),
+         ('access', 1, 20, 'AKIA[A-Z0-9]+', 0), ('hex', 2, 24, '[0-9a-f]+', 0), ('bare', 3, 20, '[A-Za-z0-9_+/-]+', 0)
+), matched AS (
+  SELECT row, kind, rank, least, string_split_regex(text, pattern) AS pieces, regexp_extract_all(text, pattern, 0) AS found,
+    CASE WHEN grp = 1 THEN regexp_extract_all(text, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)
+      ELSE regexp_extract_all(text, pattern, 0) END AS found_values
+  FROM docs, patterns
+), each AS (
+  SELECT row, kind, rank, least, unnest(pieces[1:len(found)]) AS piece, unnest(found) AS hit, unnest(found_values) AS val, generate_subscripts(found, 1) AS i
+  FROM matched WHERE len(found) > 0
+), placed AS (
+  SELECT row, kind, rank, least, val, hit,
+    sum(length(piece)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM each WINDOW w AS (PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), places AS (
+  SELECT row, kind, rank, s, s + length(hit) AS e, val,
+    regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 8
+      AND NOT regexp_matches(val, '(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|123456|abcdef') AS live
+  FROM placed WHERE length(val) >= least
+), owned AS (
+  SELECT val, count(DISTINCT source) AS owners FROM places JOIN docs USING (row) WHERE rank < 3 OR live GROUP BY val
+), base AS (SELECT * FROM places WHERE rank < 3
+), kept AS (
+  SELECT p.*, o.owners FROM places p JOIN owned o USING (val)
+  WHERE p.rank < 3 OR (p.live AND o.owners <= 1 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.s < p.e AND p.s < b.e))
+), listed AS (
+  SELECT row, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3) AS base,
+    count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    count(*) FILTER (live AND owners < 3) AS n_live, count(*) FILTER (owners >= 3) AS n_copied
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0)::INT AS n_live, coalesce(n_copied, 0)::INT AS n_copied
+FROM docs LEFT JOIN listed USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9}
+    return {"op5_secrets": OP5, "op9_mixing": OP9}
