@@ -1,9 +1,10 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Texts are sketched once; equal texts collapse to one class before anything is compared.
-Bands of the signature retrieve candidates. A bucket is never expanded into all its pairs
-at once: its members are first compared with one hub, verified links are merged into
-components, and only pairs that are still in different components are looked at again.
+Bands of the signature retrieve candidates. A bucket is never expanded into all its pairs:
+its members are compared with one hub, the member that meets most others, and verified links
+are merged into components. Members of a cluster of buckets that are still apart from its main
+component are then compared in bounded blocks, inside tasks, and only links come out.
 Candidates are compared batch by batch of their signatures and dropped as soon as the
 posterior probability of reaching the threshold falls under ``miss``; survivors are
 confirmed on their full shingle sets.
@@ -25,8 +26,8 @@ from outlay.llm.common import WordHashes, shingle_set, stored, words_of
 #: 24 bands of 5 rows: two texts at similarity 0.85 share a band but for once in a million (at 0.8, once in 15,000).
 ROWS, BANDS, BATCH = 5, 24, 20
 SIZE = ROWS * BANDS
-#: Hubs tried in a bucket before all its remaining pairs are compared, and how few of them (a row) are compared at once.
-HUBS, PAIRS_A_ROW = 4, 8
+#: Rows of a block, and rows that are compared with it in one unit of work.
+BLOCK, PROBES = 256, 4096
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 2**31, SIZE, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, SIZE, dtype=np.uint64).astype(np.uint32)
@@ -66,46 +67,154 @@ def plausible(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> np.
     return out
 
 
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of a signature."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for part in low.reshape(BANDS, ROWS).T.astype(np.uint64):
+        key = (key ^ part) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            prints, counts, signatures = [], [], []
+            prints, counts, bands = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
                 found = shingle_set(words, size, hashes)
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 counts.append(len(found))
-                signatures.append(signature(found).tobytes() if words else None)
+                bands.append(band_keys(signature(found)) if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())],
-                names=["id", "print", "n_shingles", "signature"],
+                [batch.column("id"), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "print", "n_shingles", "bands"],
             )
 
     return run
 
 
-def _bayes(least: list[tuple[int, int]]):
+def _signed(size: int):
+    """Adds the signature to rows of ``class`` and ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SIZE) for c in ("signature_a", "signature_b"))
-            yield batch.filter(pa.array(plausible(a, b, least))).select(["a", "b"])
+            signatures = [signature(shingle_set(words_of(t), size, hashes)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(signatures, pa.binary()), batch.column("text")], names=["class", "signature", "text"])
 
     return run
 
 
-def _confirm(size: int, part: int, whole: int):
+def _matrix(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, SIZE)
+
+
+def _linked(both: int, a: int, b: int, part: int, whole: int) -> bool:
+    return both > 0 and whole * both >= part * (a + b - both)
+
+
+def _verify(size: int, part: int, whole: int, least: list[tuple[int, int]]):
+    """Pairs with both signatures and texts: the Bayesian test, then the full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(), (None, None)
         for batch in batches:
+            likely = batch.filter(pa.array(plausible(_matrix(batch.column("signature_a").to_pylist()), _matrix(batch.column("signature_b").to_pylist()), least)))
             keep = []
-            for ta, tb in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
+            for ta, tb in zip(*(likely.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
                 if last[0] != tb:
                     last = tb, shingle_set(words_of(tb), size, hashes)
                 a, b = shingle_set(words_of(ta), size, hashes), last[1]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and whole * both >= part * (len(a) + len(b) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                keep.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), part, whole))
+            yield likely.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+class _Block:
+    """Up to ``BLOCK`` texts or so that others are compared with; it remembers which components have met."""
+
+    def __init__(self, size: int, part: int, whole: int, least: list[tuple[int, int]], hashes: WordHashes):
+        self.size, self.part, self.whole, self.least, self.hashes = size, part, whole, least, hashes
+        self.ids: list = []
+        self.components: list = []
+        self.signatures: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.parent: dict = {}
+        self.rows = None
+
+    def add(self, id_, component, signature_: bytes, text: bytes) -> None:
+        self.ids.append(id_)
+        self.components.append(component)
+        self.signatures.append(signature_)
+        self.sets.append(shingle_set(words_of(text), self.size, self.hashes))
+
+    def root(self, x):
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def _close(self) -> None:
+        self.rows = _matrix(self.signatures)
+        flat = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.order_ids = np.array(self.ids)
+        self.labels = np.array([self.root(c) for c in self.components])
+        self.sizes = np.array([len(x) for x in self.sets])
+
+    def links(self, id_, component, outside: bool, signature_: bytes, text: bytes) -> list:
+        """Ids of the block's texts that this one is linked with, one for each component not met before."""
+        if not self.ids:
+            return []
+        if self.rows is None:
+            self._close()
+        own = self.root(component)
+        row = np.frombuffer(signature_, np.uint32)
+        left = self.labels != own
+        if outside:  # it stands in a block itself: each pair once
+            left &= self.order_ids < id_
+        at = np.flatnonzero(left)
+        at = at[(self.rows[at] == row).reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]  # banded candidates
+        at = at[plausible(self.rows[at], np.broadcast_to(row, (len(at), SIZE)), self.least)]
+        if not len(at):
+            return []
+        mine = shingle_set(words_of(text), self.size, self.hashes)
+        low, high = np.searchsorted(self.flat, mine, "left"), np.searchsorted(self.flat, mine, "right")
+        many = high - low
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[places], minlength=len(self.ids))
+        out = []
+        for i in at.tolist():
+            if _linked(int(both[i]), len(mine), int(self.sizes[i]), self.part, self.whole) and self.labels[i] != own:
+                out.append(self.ids[i])
+                self.parent[self.root(self.components[i])] = own
+                self.labels[self.labels == self.labels[i]] = own
+        return out
+
+
+def _compare(size: int, part: int, whole: int, least: list[tuple[int, int]], kind: pa.DataType):
+    """Streams over rows ordered by unit: first a unit's block, then the rows to compare with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unit, block = WordHashes(), None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "block", "salt", "probe", "class", "component", "outside", "signature")]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            a, b = [], []
+            for cluster, number, salt, probe, id_, component, outside, sign, text in zip(*columns, texts, strict=True):
+                if (cluster, number, salt) != unit:
+                    unit, block = (cluster, number, salt), _Block(size, part, whole, least, hashes)
+                if not probe:
+                    block.add(id_, component, sign, text)
+                    continue
+                for other in block.links(id_, component, outside, sign, text):
+                    a.append(id_)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
     return run
 
@@ -117,19 +226,19 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     smallest of its component: larger neighbours move to the smallest neighbour, then smaller
     ones do. The number of rounds grows with the logarithm of the size of a component.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
+    edges = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
+        # done when each node points once and none is pointed at that points itself
+        ends = edges.select("a", F.lit(1).alias("points"), F.lit(0).alias("is_end")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("a").agg(F.sum("points").alias("points"), F.max("is_end").alias("is_end"))
+        if ends.where("points > 1 or points = 1 and is_end = 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         edges = stored(spark, small.where("a <> b").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        before = now
 
 
 def near_duplicates(
@@ -153,68 +262,59 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    sketches = stored(spark, texts.mapInArrow(_sketches(shingle), f"id {kind}, print binary, n_shingles long, signature binary"), "sketches")
+    sketches = stored(spark, texts.mapInArrow(_sketches(shingle), f"id {kind}, print binary, n_shingles long, bands array<long>"), "sketches")
     named = sketches.where("n_shingles > 0 and id is not null")
     classes = named.groupBy("print").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     # only classes with copies need a join to tell their rows the class
     several = classes.where("copies > 1").select("print", "class")
     members = stored(spark, named.select("id", "print").join(several, "print").select("id", "print", "class").distinct(), "members")
     others = members.where("id <> class")
-    first = named.join(others.select("id", "print"), ["id", "print"], "left_anti").select(F.col("id").alias("class"), "n_shingles", "signature").distinct()
+    first = named.join(others.select("id", "print"), ["id", "print"], "left_anti").select(F.col("id").alias("class"), "n_shingles", "bands")
     # an id that stands with several texts links their classes
     repeated = named.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high")
-    same_id = stored(spark, others.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("class").alias("b")), "same")
-
-    # buckets of two or more classes, with the sizes that bound the similarity
-    band = lambda b: F.xxhash64(F.lit(b), F.substring("signature", b * 4 * ROWS + 1, 4 * ROWS))
-    keyed = first.select("class", F.col("n_shingles").alias("n"), F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("bucket"))
-    hubs = keyed.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    busy = stored(spark, keyed.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
-    near = (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part)
-    stars = busy.where(F.col("class") != F.col("hub.class")).select(F.col("class").alias("a"), F.col("hub.class").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
-    stars = stored(spark, stars.where(near).select("a", "b").distinct(), "stars")
-
-    signatures = stored(spark, first.select("class", "signature").join(busy.select("class").distinct(), "class", "left_semi"), "signatures")
-    of_class = stored(spark, texts.join(busy.select(F.col("class").alias("id")).distinct(), "id", "left_semi").distinct(), "texts")
+    same_id = others.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("class").alias("b"))
+
+    # buckets of two or more classes; the hub is the class that meets most others
+    keyed = first.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    busy = stored(spark, keyed.join(sizes, "bucket"), "buckets")
+    meets = busy.groupBy("class").agg(F.sum("size").alias("meets"))
+    ranked = busy.join(meets, "class")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("hub")).select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"))
+    stars = busy.join(hubs, "bucket").where("class <> b").select(F.col("class").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
+    stars = stored(spark, stars, "stars")
+
+    of_class = texts.join(busy.select(F.col("class").alias("id")).distinct(), "id", "left_semi").where("text is not null").withColumnRenamed("id", "class")
+    of_class = stored(spark, of_class.mapInArrow(_signed(shingle), f"class {kind}, signature binary, text string"), "texts")
     least = least_matches(part / whole, miss)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(signatures.toDF("a", "signature_a"), "a")
-        likely = with_a.join(signatures.toDF("b", "signature_b"), "b").select("a", "b", "signature_a", "signature_b")
-        likely = stored(spark, likely.mapInArrow(_bayes(least), f"a {kind}, b {kind}").distinct(), "likely")
-        with_a = likely.join(of_class.toDF("a", "text_a"), "a")
-        return with_a.join(of_class.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, part, whole), f"a {kind}, b {kind}")
-
-    edges, tested = stored(spark, verified(stars), "links").union(same_id), stars
-    for step in range(HUBS + 1):
-        label = components(spark, edges)
-        inside = busy.select("bucket", "class", "n").join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        split = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rest = stored(spark, inside.join(split, "bucket"), "rest")
-        each = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        sizes = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        cross, rows = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
-        if not rows:
-            break
-        last = step == HUBS or cross <= PAIRS_A_ROW * rows
-        if last:
-            # every pair that is still in different components
-            left = rest.select("bucket", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-            right = rest.select("bucket", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-            pairs = left.join(right, "bucket").where("a > b and of_a <> of_b").where(near)
-        else:
-            # one more hub a bucket: the smallest class outside the component of the bucket's smallest
-            lowest = rest.groupBy("bucket").agg(F.min("component").alias("lowest"))
-            outside = rest.join(lowest, "bucket").where("component <> lowest")
-            hub = outside.groupBy("bucket").agg(F.min(F.struct("class", "n", "component")).alias("hub"))
-            pairs = rest.join(hub, "bucket").where(F.col("component") != F.col("hub.component"))
-            pairs = pairs.select(F.greatest("class", "hub.class").alias("a"), F.least("class", "hub.class").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")).where(near)
-        pairs = stored(spark, pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(stored(spark, verified(pairs), "links"))
-        tested = tested.union(pairs)
-        if last:
-            label = components(spark, edges)
-            break
+    possible = (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part)
+    pairs = stars.where(possible).select("a", "b").join(of_class.toDF("a", "signature_a", "text_a"), "a").join(of_class.toDF("b", "signature_b", "text_b"), "b")
+    pairs = pairs.select("a", "b", "signature_a", "signature_b", "text_a", "text_b")
+    links = stored(spark, pairs.mapInArrow(_verify(shingle, part, whole, least), f"a {kind}, b {kind}").union(same_id), "links")
+
+    # clusters of buckets, the components inside them, and who stands apart from the main one
+    label = components(spark, links)
+    inside = components(spark, stars.select("a", "b")).toDF("class", "cluster").join(label.toDF("class", "component"), "class", "left")
+    inside = stored(spark, inside.withColumn("component", F.coalesce("component", "class")), "clusters")
+    each = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    units = each.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("all > main.n")
+    units = units.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / PROBES).cast("int").alias("salts"))
+    apart = inside.join(units, "cluster").withColumn("outside", F.col("component") != F.col("main"))
+    hashed = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of_block = apart.where("outside").select("cluster", hashed("blocks", 1).alias("block"), every("salts").alias("salt"), F.lit(False).alias("probe"), "class", "component", "outside")
+    probes = apart.select("cluster", every("blocks").alias("block"), hashed("salts", 2).alias("salt"), F.lit(True).alias("probe"), "class", "component", "outside")
+    unit = ["cluster", "block", "salt"]
+    rows = of_block.union(probes).join(of_class, "class").select(*unit, "probe", "class", "component", "outside", "signature", "text")
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "probe")
+    more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, _arrow_type(kind)), f"a {kind}, b {kind}"), "more")
+    if not more.isEmpty():
+        # what is linked now joins whole components
+        low = lambda c: label.toDF(c, f"of_{c}")
+        joined = more.join(low("a"), "a", "left").join(low("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        merged = components(spark, joined).toDF("component", "root")
+        label = label.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(label.select(F.col("node").alias("a")), "a", "left_anti").toDF("node", "component"))
+        label = label.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
     root = members.join(label.toDF("class", "root"), "class", "full").select(F.coalesce("id", "class").alias("id"), F.coalesce("root", "class").alias("root"))
     root = root.groupBy("id").agg(F.min("root").alias("root"))
@@ -224,6 +324,10 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _arrow_type(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id, all columns as they are.
 
