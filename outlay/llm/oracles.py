@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from outlay.llm.licenses import TEMPLATES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP9 = rf"""
@@ -73,5 +75,38 @@ FROM docs LEFT JOIN listed USING (row)
 """
 
 
+def _op8() -> str:
+    quoted = lambda t: t.replace("'", "''")
+    values = ", ".join(f"('{quoted(k)}', '{quoted(t)}')" for k, t in TEMPLATES.items())
+    shingles = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))"
+    return rf"""
+WITH templates AS (
+  SELECT license, regexp_extract_all(lower(t), '[a-z0-9]+') AS words FROM (VALUES {values}) v(license, t)
+), of_template AS (
+  SELECT DISTINCT license, len(words) AS m, unnest({shingles}) AS s FROM templates
+), sized AS (
+  SELECT license, m, count(*) AS n FROM of_template GROUP BY ALL
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE text IS NOT NULL
+), each AS (
+  SELECT row, doc_id, unnest({shingles}) AS s, unnest(range(0, len(words) - 4)) AS p FROM docs WHERE len(words) >= 5
+), hits AS (
+  SELECT row, doc_id, license, m, p, s FROM each JOIN of_template USING (s)
+), windows AS (
+  SELECT DISTINCT row, license, m, 8 * j AS w_at
+  FROM (SELECT row, license, m, p, unnest([p // 8 - 1, p // 8]) AS j FROM hits) WHERE j >= 0 AND p + 5 <= 8 * j + 16
+), parts AS (
+  SELECT h.doc_id, h.row, w.license, w.m, w.w_at, count(DISTINCT h.s) AS common, min(h.p) AS first_word, max(h.p) + 5 AS end_word
+  FROM windows w JOIN hits h ON h.row = w.row AND h.license = w.license AND h.p BETWEEN w.w_at - w.m AND w.w_at + 16 + w.m - 5
+  GROUP BY ALL
+), ranked AS (
+  SELECT doc_id, license, common / n AS containment, first_word, end_word,
+    row_number() OVER (PARTITION BY doc_id, license ORDER BY common DESC, w_at, first_word DESC, end_word DESC) AS k
+  FROM parts JOIN sized USING (license, m) WHERE common / n >= 0.8
+)
+SELECT doc_id, license, containment::DOUBLE AS containment, first_word::INT AS first_word, end_word::INT AS end_word FROM ranked WHERE k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": OP5, "op9_mixing": OP9}
+    return {"op5_secrets": OP5, "op8_licenses": _op8(), "op9_mixing": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, mixing, near_dedup, secrets, sharding, toxicity
+from outlay.llm import decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(spark, docs)
@@ -57,5 +61,6 @@ def queries() -> dict[str, Query]:
         "op3_near_dedup": op3_near_dedup,
         "op5_secrets": op5_secrets,
         "op7_sharding": op7_sharding,
+        "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
     }
