@@ -107,6 +107,17 @@ WITH templates AS (
 SELECT doc_id, license, containment::DOUBLE AS containment, first_word::INT AS first_word, end_word::INT AS end_word FROM ranked WHERE k = 1
 """
 
+OP10 = """
+WITH paged AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM paged
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": OP5, "op8_licenses": _op8(), "op9_mixing": OP9}
+    return {"op5_secrets": OP5, "op8_licenses": _op8(), "op9_mixing": OP9, "op10_warc": OP10}

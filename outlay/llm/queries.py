@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity
+from outlay.llm import decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity, warc
+from outlay.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +55,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(spark, _table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+    return warc.read(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -63,4 +69,5 @@ def queries() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
+        "op10_warc": op10_warc,
     }
