@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from outlay.llm.chat import CONTROL, END, START
 from outlay.llm.licenses import TEMPLATES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,5 +120,23 @@ FROM firsts
 """
 
 
+def _op4() -> str:
+    # a backslash more for each backslash and each control string
+    more = lambda c: " + ".join([f"length({c}) - length(replace({c}, '\\', ''))", *[f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in CONTROL]])
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, {len(START) + 1 + len(END)} + length(role) + length(text) + {more("role")} + length(role) - length(replace(role, chr(10), '')) + {more("text")} AS size FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": OP5, "op8_licenses": _op8(), "op9_mixing": OP9, "op10_warc": OP10}
+    return {"op4_chat": _op4(), "op5_secrets": OP5, "op8_licenses": _op8(), "op9_mixing": OP9, "op10_warc": OP10}

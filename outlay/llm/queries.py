@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity, warc
+from outlay.llm import chat, decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity, warc
 from outlay.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle=3, part=85)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digest(chat.read_back(*chat.pack(spark, rows.unionByName(extra))))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(spark, _table(spark, sf_dir, "documents")))
 
@@ -65,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_near_dedup": op3_near_dedup,
+        "op4_chat": op4_chat,
         "op5_secrets": op5_secrets,
         "op7_sharding": op7_sharding,
         "op8_licenses": op8_licenses,
