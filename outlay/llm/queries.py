@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontaminate, licenses, mixing, near_dedup, secrets, sharding, toxicity, warc
+from outlay.llm import chat, decontaminate, licenses, mixing, near_dedup, secrets, sharding, topk, toxicity, warc
 from outlay.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(spark, _table(spark, sf_dir, "documents")))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(spark, _table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op3_near_dedup": op3_near_dedup,
         "op4_chat": op4_chat,
         "op5_secrets": op5_secrets,
+        "op6_topk": op6_topk,
         "op7_sharding": op7_sharding,
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
