@@ -1,11 +1,16 @@
-"""Named queries and their SQL twins."""
+"""All named queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
+from outlay.plans import spend
+from outlay.plans.book import Query
 
-def queries():
-    return {}
+BOOKS = (spend.book,)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
