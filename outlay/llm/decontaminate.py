@@ -132,7 +132,7 @@ def build(items: list[tuple[int, str]], rate: float, recall: float, seed: int) -
     allowed = [edits_allowed(len(s), rate) for s in sequences]
     found: dict[int, list[tuple[int, int]]] = {}
     for i, s in enumerate(sequences):
-        keys = _gram_keys(s, len(vocabulary))
+        keys = _gram_keys(s, len(vocabulary), min(3, len(s)))
         for j, key in enumerate(keys.tolist()):
             found.setdefault(key, []).append((i, j))
     grams = np.array(sorted(found), np.int64)
@@ -148,13 +148,14 @@ def build(items: list[tuple[int, str]], rate: float, recall: float, seed: int) -
     return Index(ids, sequences, allowed, vocabulary, grams, at, posting[:, 0], posting[:, 1], np.array([len(s) for s in sequences], np.int64), repetitions, keys, seed)
 
 
-def _gram_keys(words: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Keys of word trigrams; items of one or two words count as padded at the end. -1: holds a word of no item."""
-    v = vocabulary + 2
-    padded = np.concatenate([words, [PAD, PAD]]) if len(words) < 3 else words
-    a, b, c = padded[:-2], padded[1:-1], padded[2:]
-    known = (a >= 0) & (b != UNKNOWN) & (c != UNKNOWN)
-    return np.where(known, (a * v + b % v) * v + c % v, -1)
+def _gram_keys(words: np.ndarray, vocabulary: int, size: int) -> np.ndarray:
+    """Keys of the runs of ``size`` words, one for each start; -1 where a run holds a word of no item."""
+    key, known = np.zeros(max(0, len(words) - size + 1), np.int64), np.ones(max(0, len(words) - size + 1), bool)
+    for j in range(size):
+        part = words[j : j + len(key)]
+        known &= part >= 0
+        key = key * (vocabulary + 1) + part + 1
+    return np.where(known, key * 4 + size, -1)
 
 
 def edit_span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -191,10 +192,15 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
         stream[s : s + len(w)] = [known(x, UNKNOWN) for x in w]
     if not len(index.grams):
         return []
-    keys = _gram_keys(stream, len(index.vocabulary))
-    at = np.flatnonzero(keys >= 0)
-    slot = np.minimum(np.searchsorted(index.grams, keys[at]), len(index.grams) - 1)
-    hit = index.grams[slot] == keys[at]
+    # items of one or two words have no trigram: the whole item is looked for
+    places, keys = [], []
+    for size in sorted({min(3, n) for n in index.sizes.tolist()}):
+        key = _gram_keys(stream, len(index.vocabulary), size)
+        places.append(np.flatnonzero(key >= 0))
+        keys.append(key[places[-1]])
+    at, keys = np.concatenate(places), np.concatenate(keys)
+    slot = np.minimum(np.searchsorted(index.grams, keys), len(index.grams) - 1)
+    hit = index.grams[slot] == keys
     at, slot = at[hit], slot[hit]
     many = index.at[slot + 1] - index.at[slot]
     flat = np.repeat(index.at[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
