@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_length(a: str, b: str) -> int:
@@ -64,4 +65,4 @@ def _composites(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else composite(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-fuzzy_score = F.arrow_udf(_composites, "double")
+fuzzy_score = F.arrow_udf(_composites, T.DoubleType())
