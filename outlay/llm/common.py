@@ -46,9 +46,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back: cuts the lineage and fixes every value in it."""
+def stored(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as a scratch table and read it back: cuts the lineage and fixes every value in it.
+
+    ``narrow``: rows are a few numbers each, so that a task may write several shuffle partitions one
+    after the other, into one file instead of a tiny one for each.
+    """
     path = scratch_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

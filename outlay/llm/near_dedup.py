@@ -226,7 +226,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     smallest of its component: larger neighbours move to the smallest neighbour, then smaller
     ones do. The number of rounds grows with the logarithm of the size of a component.
     """
-    edges = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", narrow=True)
     while True:
         # done when each node points once and none is pointed at that points itself
         ends = edges.select("a", F.lit(1).alias("points"), F.lit(0).alias("is_end")).union(edges.select("b", F.lit(0), F.lit(1)))
@@ -238,7 +238,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
-        edges = stored(spark, small.where("a <> b").distinct(), "edges")
+        edges = stored(spark, small.where("a <> b").distinct(), "edges", narrow=True)
 
 
 def near_duplicates(
@@ -267,7 +267,7 @@ def near_duplicates(
     classes = named.groupBy("print").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     # only classes with copies need a join to tell their rows the class
     several = classes.where("copies > 1").select("print", "class")
-    members = stored(spark, named.select("id", "print").join(several, "print").select("id", "print", "class").distinct(), "members")
+    members = stored(spark, named.select("id", "print").join(several, "print").select("id", "print", "class").distinct(), "members", narrow=True)
     others = members.where("id <> class")
     first = named.join(others.select("id", "print"), ["id", "print"], "left_anti").select(F.col("id").alias("class"), "n_shingles", "bands")
     # an id that stands with several texts links their classes
@@ -282,7 +282,7 @@ def near_duplicates(
     ranked = busy.join(meets, "class")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("hub")).select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"))
     stars = busy.join(hubs, "bucket").where("class <> b").select(F.col("class").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
-    stars = stored(spark, stars, "stars")
+    stars = stored(spark, stars, "stars", narrow=True)
 
     of_class = texts.join(busy.select(F.col("class").alias("id")).distinct(), "id", "left_semi").where("text is not null").withColumnRenamed("id", "class")
     of_class = stored(spark, of_class.mapInArrow(_signed(shingle), f"class {kind}, signature binary, text string"), "texts")
@@ -295,7 +295,7 @@ def near_duplicates(
     # clusters of buckets, the components inside them, and who stands apart from the main one
     label = components(spark, links)
     inside = components(spark, stars.select("a", "b")).toDF("class", "cluster").join(label.toDF("class", "component"), "class", "left")
-    inside = stored(spark, inside.withColumn("component", F.coalesce("component", "class")), "clusters")
+    inside = stored(spark, inside.withColumn("component", F.coalesce("component", "class")), "clusters", narrow=True)
     each = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     units = each.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("all > main.n")
     units = units.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / PROBES).cast("int").alias("salts"))
@@ -335,7 +335,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     """
     found = near_duplicates(spark, docs, id_col, text_col, **how).where("doc_id is not null")
     # of a repeated id with an empty and another text, the row is decided by its id alone
-    state = stored(spark, found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"), "decided")
+    state = stored(spark, found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1"), "decided", narrow=True)
     decided = state.select(F.col("doc_id").alias(id_col))
     out = docs.join(decided, id_col, "left_anti")
     if not state.where("kept").isEmpty():
