@@ -122,7 +122,8 @@ def risk_flags(df: DataFrame) -> DataFrame:
     """By supplier: a large share, one category alone, few purchase orders."""
     rows = addressable(df).where("canonical_supplier_id is not null").groupBy("canonical_supplier_id")
     rows = rows.agg(F.sum(F.col("base_amount").cast("decimal(18,2)")).alias("spend"), F.countDistinct("category_l1").alias("categories"), F.sum(F.when(F.col("po_number").isNotNull(), F.col("base_amount").cast("decimal(18,2)"))).alias("with_po"))
-    rows = rows.withColumn("share", numbers.ratio(F.col("spend"), F.sum("spend").over(Window.partitionBy())))
+    # one row
+    rows = rows.join(F.broadcast(rows.agg(F.sum("spend").alias("all_spend")))).withColumn("share", numbers.ratio(F.col("spend"), F.col("all_spend")))
     return rows.select("canonical_supplier_id", (F.col("share") > 0.20).alias("large_share"), (F.col("categories") == 1).alias("one_category"), (numbers.ratio(F.coalesce("with_po", F.lit(0)), F.col("spend")) < 0.5).alias("few_orders"))
 
 

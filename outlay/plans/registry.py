@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from outlay.plans import spend
+from outlay.plans import insight, spend
 from outlay.plans.book import Query
 
-BOOKS = (spend.book,)
+BOOKS = (spend.book, insight.book)
 
 
 def queries() -> dict[str, Query]:
