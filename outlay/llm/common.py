@@ -67,6 +67,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Places of the bit map of ``likely_among``: 8 MB in 2049 rows, however many keys there are.
+PLACES = 1 << 26
+
+
+def likely_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``keys`` (its first column): all that are, and few others while keys are fewer than ``PLACES``.
+
+    Put before a semi-join, so that wide rows that it drops are not shuffled. What is
+    broadcast has a fixed bound; with very many keys it lets all rows pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    part, bits = fresh(df, "part_no"), fresh(df, "bits")
+    placed = keys.select(place(F.col(keys.columns[0])).alias("place"))
+    marked = placed.groupBy(F.bitmap_bucket_number("place").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias(bits))
+    own = F.bitmap_bit_position(place(df[key]))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(own / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = df.withColumn(part, F.bitmap_bucket_number(place(df[key]))).join(F.broadcast(marked), part)
+    return out.where(F.getbit(byte, (own % 8).cast("int")) == 1).select(*df.columns)
+
+
 def with_totals_before(spark: SparkSession, df: DataFrame, order: list[str], totals: dict[str, Column]) -> DataFrame:
     """Add, for each of ``totals``, the sum over all rows that stand before a row in ``order``.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.common import WordHashes, shingle_set, stored, words_of
+from outlay.llm.common import WordHashes, likely_among, shingle_set, stored, words_of
 
 #: 24 bands of 5 rows: two texts at similarity 0.85 share a band but for once in a million (at 0.8, once in 15,000).
 ROWS, BANDS, BATCH = 5, 24, 20
@@ -284,7 +284,8 @@ def near_duplicates(
     stars = busy.join(hubs, "bucket").where("class <> b").select(F.col("class").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
     stars = stored(spark, stars, "stars", narrow=True)
 
-    of_class = texts.join(busy.select(F.col("class").alias("id")).distinct(), "id", "left_semi").where("text is not null").withColumnRenamed("id", "class")
+    wanted = busy.select(F.col("class").alias("id")).distinct()
+    of_class = likely_among(texts.where("text is not null"), "id", wanted).join(wanted, "id", "left_semi").withColumnRenamed("id", "class")
     of_class = stored(spark, of_class.mapInArrow(_signed(shingle), f"class {kind}, signature binary, text string"), "texts")
     least = least_matches(part / whole, miss)
     possible = (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part)
