@@ -284,8 +284,9 @@ def near_duplicates(
     stars = busy.join(hubs, "bucket").where("class <> b").select(F.col("class").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
     stars = stored(spark, stars, "stars", narrow=True)
 
+    # ids are distinct, so the join is a semi-join; written as one, it would be moved below the bit map
     wanted = busy.select(F.col("class").alias("id")).distinct()
-    of_class = likely_among(texts.where("text is not null"), "id", wanted).join(wanted, "id", "left_semi").withColumnRenamed("id", "class")
+    of_class = likely_among(texts.where("text is not null"), "id", wanted).join(wanted, "id").withColumnRenamed("id", "class")
     of_class = stored(spark, of_class.mapInArrow(_signed(shingle), f"class {kind}, signature binary, text string"), "texts")
     least = least_matches(part / whole, miss)
     possible = (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part)
