@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from outlay.plans import insight, resolve, spend
+from outlay.plans import insight, operate, resolve, spend
 from outlay.plans.book import Query
 
-BOOKS = (spend.book, insight.book, resolve.book)
+BOOKS = (spend.book, insight.book, resolve.book, operate.book)
 
 
 def queries() -> dict[str, Query]:
