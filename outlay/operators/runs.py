@@ -12,6 +12,7 @@ from outlay.config import DEFAULT, Settings
 from outlay.functions import dates, numbers, text
 from outlay.operators import categorise, changes, cube, ingest, kpis, quality, recommend, segments, suppliers
 from outlay.sources import files
+from outlay.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -50,11 +51,12 @@ def promote(
 
     ``facts`` needs the columns of ``schema.TRANSACTION_SCHEMA``. A row hash names its fact, so promoting
     again adds nothing. No model is asked. Without queued rows all tables stay and the counts are 0.
+    The match log and the categorised rows are written once, as all results read them.
     """
     rows = restored(ingest.queued(landing, engagement_id, batch_id)).withColumn("transaction_id", F.col("source_row_hash"))
     grown, found = suppliers.harmonise(rows, master, settings)
-    rows = suppliers.attach_suppliers(rows, found, grown)
-    rows = categorise.categorise(rows, seeds, overrides, settings)
+    grown, found = stored(grown, "master"), stored(found, "matches")
+    rows = stored(categorise.categorise(suppliers.attach_suppliers(rows, found, grown), seeds, overrides, settings), "promotion")
     sure = rows.where("categorisation_status = 'categorised'")
     fields = schema.TRANSACTION_SCHEMA.fields
     new = sure.select(*[(F.col(f.name) if f.name in sure.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from outlay.plans import resolve
 from outlay.plans.book import Book
 from outlay.plans.insight import book as insight_book
 from outlay.sources import synthetic
+from outlay.sources.scratch import new_folder
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
 from outlay.streaming import landing
 
@@ -53,9 +52,7 @@ SELECT year_month, 'AUD' AS from_ccy, ccy AS to_ccy, rate FROM r UNION ALL SELEC
 
 # landing as a stream: an order's customer is the row's content, so that rows repeat
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='outlay-')}"
-    new = lambda name: f"{base.rstrip('/')}/{name}-{spark.sql('SELECT uuid()').first()[0]}"
-    tables, lines = new("landing"), new("ledger")
+    tables, lines = new_folder(spark, "landing"), new_folder(spark, "ledger")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     # the file source reads folders and patterns
     stream = spark.readStream.schema(orders).parquet(f"{sf_dir}/orders.parque[t]")

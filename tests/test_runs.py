@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from outlay import reference, schema
 from outlay.operators import ingest, recommend, runs
 from outlay.sources import files, synthetic
+from outlay.sources.scratch import stored
 from outlay.sources.warehouse import transactions
 from outlay.streaming import landing
 
@@ -22,7 +23,7 @@ def promoted(spark, landed, facts=None):
 def landing_rows(spark, tmp_path):
     (tmp_path / "in.csv").write_text("VENDOR_NAME,INV_NO,INV_DATE,LINE_DESC,AMT,CCY,GL_CODE,PAY_TERMS\nAcme P/L,INV-1,15/03/2024,toner cartridge,100.50,AUD,0642,Net 30\n,CN-2,2024-03-18,xyzzy,-5,AUD,2100,N/A\n")
     raw = files.read_export(spark, str(tmp_path / "in.csv"))
-    return ingest.to_landing(ingest.ingest(raw, empty(spark, reference.FX_SCHEMA), "E1"), "b1")
+    return stored(ingest.to_landing(ingest.ingest(raw, empty(spark, reference.FX_SCHEMA), "E1"), "b1"), "landed")
 
 
 def test_promote(spark, tmp_path):
@@ -33,7 +34,7 @@ def test_promote(spark, tmp_path):
     assert [(f.invoice_number, f.category_method, f.payment_terms_days, str(f.invoice_date), f.base_amount) for f in fact] == [("INV-1", "KEYWORD", 30, "2024-03-15", 100.5)]
     assert fact[0].canonical_supplier_name == "Acme P/L" and done.master.count() == 1
     assert sorted(r.status for r in done.landing.collect()) == ["processed", "review_required"]
-    again = promoted(spark, landed, done.facts)
+    again = promoted(spark, landed, stored(done.facts, "facts"))
     assert again.facts.count() == 1
 
 
@@ -84,10 +85,17 @@ def test_export_does_not_depend_on_partitions(spark):
     assert ingest.ingest(a, synthetic.fx_series(spark, {"USD": (0.6, 0.7)}), "E1").where("invoice_date is null").count() == 0
 
 
-@pytest.mark.parametrize("rows", [None, 0])
-def test_evaluate(spark, rows):
-    df = transactions(spark, "/root/testdata/sf0.001")
-    df = df if rows is None else df.limit(rows)
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """500 transactions, written once."""
+    path = str(tmp_path_factory.mktemp("few") / "t")
+    transactions(spark, "/root/testdata/sf0.001").orderBy("transaction_id").limit(500).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("rows", [500, 0])
+def test_evaluate(few, rows):
+    df = few.where(F.lit(rows > 0))
     got = {(r.section, r.metric): r for r in runs.evaluate(df, recommend.portfolio(recommend.allocate(recommend.generate(df)), df)).collect()}
     assert got["ingestion", "row_count"].value == (df.count())
     assert got["overall", "verdict"].verdict in ("PASS", "FAIL")
@@ -95,9 +103,8 @@ def test_evaluate(spark, rows):
         assert got["categorisation", "coverage_pct"].verdict == "FAIL"
 
 
-def test_run_writes_all_tables(spark, tmp_path):
-    df = transactions(spark, "/root/testdata/sf0.001").limit(500)
-    runs.run(df, str(tmp_path / "out"))
+def test_run_writes_all_tables(spark, few, tmp_path):
+    runs.run(few, str(tmp_path / "out"))
     back = files.read_views(spark, str(tmp_path / "out"), "by_supplier", "abc", "kpis", "transactions", "diagnostics")
     assert back["transactions"].count() == 500 and back["kpis"].count() == 1 and back["diagnostics"].count() == 9
     assert {"abc_segment", "is_tail_spend"} <= set(back["transactions"].columns)
