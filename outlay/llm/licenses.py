@@ -38,6 +38,31 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Licenses whose notices are those of ``TEMPLATES`` but for a few words; with them, each is reported by its own name.
+SIBLINGS = {
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": TEMPLATES["BSD-3-Clause"],
+    "BSD-3-Clause": TEMPLATES["BSD-3-Clause"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0 header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1 header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+#: What tells a template from its siblings: each of these runs of words must stand in the place that matches.
+NEEDS = {
+    "AGPL-3.0 header": ("gnu affero general public license", "version 3 of the license"),
+    "Apache-2.0 header": ("apache license version 2 0",),
+    "BSD-3-Clause": ("to endorse or promote products derived from this software",),
+    "CC-BY-4.0": ("creative commons attribution 4 0",),
+    "GPL-2.0": ("gnu general public license version 2",),
+    "GPL-2.0 header": ("gnu general public license", "version 2 of the license"),
+    "GPL-3.0": ("gnu general public license version 3",),
+    "GPL-3.0 header": ("gnu general public license", "version 3 of the license"),
+    "LGPL-2.1 header": ("gnu lesser general public license", "version 2 1 of the license"),
+    "LGPL-3.0 header": ("gnu lesser general public license", "version 3 of the license"),
+    "MPL-2.0": ("mozilla public license v 2 0",),
+}
+#: Words of a text that places are dealt by, to be compared with others near them.
+NEAR = 64
 #: Words too common to look for, where a shingle has another.
 COMMON = frozenset("a an and any are as at be by can for from if in is it may not of on one or the this to under use was which with without you".split())
 
@@ -75,6 +100,28 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
+def rivals(templates: dict[str, str]) -> list[tuple[str, str]]:
+    """Pairs of templates of different licenses (the name's first word) that share a shingle, both ways round."""
+    of = {k: {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for k, w in ((k, _plain_words(t)) for k, t in templates.items())}
+    return [(a, b) for a in of for b in of if a.split()[0] != b.split()[0] and of[a] & of[b]]
+
+
+def _told_apart(spark: SparkSession, hits: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """The places that no overlapping place of a rival explains better, by the number of distinct shingles."""
+    pairs = rivals(templates)
+    if not pairs:
+        return hits
+    hits = stored(spark, hits.withColumn("hit", F.monotonically_increasing_id()), "hits")
+    blocks = F.explode(F.sequence(F.floor(F.col("first_word") / NEAR), F.floor((F.col("end_word") - 1) / NEAR)))
+    listed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("rival")) for a, b in pairs])).alias("p")).select("p.*")
+    own = hits.select("row", "hit", "license", "first_word", "end_word", "shared", blocks.alias("block")).join(F.broadcast(listed), "license")
+    # places that differ in their window alone are one
+    other = hits.groupBy("row", "license", "first_word", "end_word").agg(F.max("shared").alias("its_shared"))
+    other = other.select("row", F.col("license").alias("rival"), F.col("first_word").alias("its_first"), F.col("end_word").alias("its_end"), "its_shared", blocks.alias("block"))
+    beaten = own.join(other, ["row", "rival", "block"]).where("first_word < its_end and its_first < end_word and its_shared > shared").select("hit").distinct()
+    return hits.join(beaten, "hit", "left_anti")
+
+
 def scan(
     spark: SparkSession,
     docs: DataFrame,
@@ -82,6 +129,7 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     least: float = 0.8,
+    needs: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """One row per document and license found: ``doc_id``, ``license``, ``containment``, ``first_word``, ``end_word``.
 
@@ -90,6 +138,10 @@ def scan(
     exactly: containment is the share of the template's distinct five-word shingles that
     are in that part, ``least`` or more of them. Of several parts the one with the largest
     containment, then the first, is returned, with the words from its first to its last common shingle.
+    By containment alone a text also matches the siblings of its license: "version 3" shares 7 of 8
+    shingles with "version 2". With ``needs`` (runs of words by template, see ``NEEDS``) they are told apart: a place
+    counts only if all runs of its template are between its first and last common shingle, and if no overlapping
+    place of a rival (see ``rivals``) has more shingles in common; of equals both count.
     Null texts and texts under five words have no license. Rows that repeat an id count as one
     document. Templates under five words are not allowed. Other columns play no part. The templates, and so
     what is broadcast, are a list in the program.
@@ -121,11 +173,21 @@ def scan(
     # exact containment in the part around each retrieved window
     part = found.join(texts.select("doc_id", "row", "words"), "row").withColumn("from", F.greatest(F.col("at") - F.col("m"), F.lit(0)))
     length = F.col("at") + WINDOW + F.col("m") - F.col("from")
-    part = part.select("doc_id", "license", "at", "from", "of_template", F.slice(words, F.col("from") + 1, length).alias("words"))
+    part = part.select("doc_id", "row", "license", "at", "from", "of_template", F.slice(words, F.col("from") + 1, length).alias("words"))
     every = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " "))
     part = part.withColumn("common", F.filter(F.transform(every, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: F.array_contains(F.col("of_template"), x["s"])))
     share = F.size(F.array_distinct(F.transform("common", lambda x: x["s"]))) / F.size("of_template")
     hits = part.withColumn("containment", share).where(F.col("containment") >= least)
     first, end = F.col("from") + F.array_min(F.transform("common", lambda x: x["i"])), F.col("from") + F.array_max(F.transform("common", lambda x: x["i"])) + SHINGLE
-    best = hits.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("before"), first.alias("first_word"), end.alias("end_word"))).alias("best"))
+    hits = hits.withColumns({"first_word": first, "end_word": end})
+    if needs is not None:
+        wanted = F.lit(True)
+        place = F.concat(F.lit(" "), F.array_join(F.slice(words, F.col("first_word") - F.col("from") + 1, F.col("end_word") - F.col("first_word")), " "), F.lit(" "))
+        for name, runs in needs.items():
+            for run in runs:
+                wanted = wanted & ((F.col("license") != name) | F.col("place").contains(f" {' '.join(_plain_words(run))} "))
+        shared = F.size(F.array_distinct(F.transform("common", lambda x: x["s"])))
+        hits = hits.withColumn("place", place).where(wanted).select("doc_id", "row", "license", "at", "containment", shared.alias("shared"), "first_word", "end_word")
+        hits = _told_apart(spark, hits, templates)
+    best = hits.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("before"), "first_word", "end_word")).alias("best"))
     return best.select("doc_id", "license", "best.containment", "best.first_word", "best.end_word")

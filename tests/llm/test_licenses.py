@@ -65,3 +65,29 @@ def test_odd_rows(spark):
     assert got == [(4, "MIT", 0), (5, "MIT", 100_000), (None, "MIT", 0)]
     assert L.scan(spark, docs.limit(0)).count() == 0
     assert L.scan(spark, docs, templates={}).count() == 0
+
+
+def told_apart(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: set() for i in range(len(texts))}
+    for r in L.scan(spark, docs, L.TEMPLATES | L.SIBLINGS, needs=L.NEEDS).collect():
+        got[r.doc_id].add(r.license)
+    return [got[i] for i in range(len(texts))]
+
+
+def test_siblings_are_told_apart(spark):
+    two, three = L.TEMPLATES["GPL-2.0"], L.TEMPLATES["GPL-3.0"]
+    bsd2, bsd3 = L.SIBLINGS["BSD-2-Clause"], L.SIBLINGS["BSD-3-Clause"]
+    filler = " other words" * 100
+    texts = [two, three, f"{two} {three}", three + filler + two, bsd2, bsd3.replace("the copyright holder", "Foo Bar Inc"), bsd3 + filler + bsd2, bsd2 + filler + bsd3]
+    both = {"BSD-2-Clause", "BSD-3-Clause"}
+    assert told_apart(spark, texts) == [{"GPL-2.0"}, {"GPL-3.0"}, {"GPL-2.0", "GPL-3.0"}, {"GPL-2.0", "GPL-3.0"}, {"BSD-2-Clause"}, {"BSD-3-Clause"}, both, both]
+
+
+def test_headers_of_other_versions_and_licenses(spark):
+    names = [k for k in L.TEMPLATES | L.SIBLINGS if k.endswith("header")]
+    got = told_apart(spark, [f"x y {(L.TEMPLATES | L.SIBLINGS)[k]} z" for k in names])
+    assert [{x.split()[0] for x in g} for g in got] == [{k.split()[0]} for k in names]
+    # a license that isn't in the list is not reported as one that is
+    other = L.TEMPLATES["Apache-2.0 header"].replace("Apache License, Version 2.0", "Educational Community License, Version 2.0")
+    assert told_apart(spark, [other, L.TEMPLATES["GPL-3.0"].replace("version 3", "version 1")]) == [set(), set()]
