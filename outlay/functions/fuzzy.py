@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,3 +69,71 @@ def _composites(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 fuzzy_score = F.arrow_udf(_composites, T.DoubleType())
+
+
+#: Letters are counted in so many bins; letters that share one only make a bound looser.
+BINS = 64
+
+
+@dataclass
+class Letters:
+    """Lengths and letter counts of texts as they are, of their words with single spaces, and of their distinct words."""
+
+    sizes: list[np.ndarray]
+    counts: list[np.ndarray]
+    words: list[set[str]]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Letters:
+        words = [t.split() for t in texts]
+        sizes, counts = [], []
+        for form in (texts, [" ".join(w) for w in words], [" ".join(set(w)) for w in words]):
+            sizes.append(np.array([len(t) for t in form], np.int64))
+            counts.append(np.zeros((len(form), BINS), np.int32))
+            for row, t in enumerate(form):
+                np.add.at(counts[-1][row], [ord(x) % BINS for x in t], 1)
+        return cls(sizes, counts, [set(w) for w in words])
+
+
+def bounds(one: Letters, i: int, many: Letters) -> tuple[np.ndarray, np.ndarray]:
+    """What composite and partial ratio (0 to 100) of text ``i`` and each of ``many`` can't exceed.
+
+    A common subsequence has no letter more often than both texts have it. The best stretch is
+    no shorter than what it has in common. Where a word is shared, the word sets may be at 100.
+    """
+    common = [np.minimum(one.counts[k][i], many.counts[k]).sum(axis=1) for k in range(3)]
+    most = [200.0 * c / np.maximum(one.sizes[k][i] + many.sizes[k], 1) for k, c in enumerate(common)]
+    sorted_most = np.where(one.sizes[1][i] + many.sizes[1] == 0, 100.0, most[1])
+    set_most = np.where([not one.words[i].isdisjoint(w) for w in many.words], 100.0, most[2])
+    partial_most = 200.0 * common[0] / np.maximum(np.minimum(one.sizes[0][i], many.sizes[0]) + common[0], 1)
+    partial_most = np.where(one.sizes[0][i] + many.sizes[0] == 0, 100.0, partial_most)
+    return 0.4 * sorted_most + 0.4 * set_most + 0.2 * partial_most, partial_most
+
+
+def best_of(names: list[str], candidates: list[str]) -> list[tuple[float, int]]:
+    """For each name the largest composite with any candidate and the last candidate that has it; as if all were compared."""
+    own, many, out = Letters.of(names), Letters.of(candidates), []
+    for i, name in enumerate(names):
+        most, partial_most = bounds(own, i, many)
+        best, at = -1.0, -1
+        for j in np.argsort(-most, kind="stable").tolist():
+            if most[j] / 100 < best - 1e-9:
+                break
+            words = 0.4 * sorted_ratio(name, candidates[j]) + 0.4 * set_ratio(name, candidates[j])
+            if (words + 0.2 * partial_most[j]) / 100 < best - 1e-9:
+                continue
+            best, at = max((best, at), ((words + 0.2 * partial_ratio(name, candidates[j])) / 100, j))
+        out.append((best, at))
+    return out
+
+
+def _best(names: pa.Array, candidates: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("name", pa.string()), ("score", pa.float64()), ("at", pa.int32())]))
+    rows = []
+    for own, many in zip(names.to_pylist(), candidates.to_pylist(), strict=True):
+        rows.append([{"name": n, "score": score, "at": at} for n, (score, at) in zip(own, best_of(own, many), strict=True)])
+    return pa.array(rows, kind)
+
+
+#: Two arrays of texts to an array of (name, score, place of the best candidate, from 0).
+fuzzy_best = F.arrow_udf(_best, T.ArrayType(T.StructType().add("name", T.StringType()).add("score", T.DoubleType()).add("at", T.IntegerType())))

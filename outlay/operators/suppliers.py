@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers, text
-from outlay.functions.fuzzy import fuzzy_score
+from outlay.functions.fuzzy import fuzzy_best
 
 
 def distinct_names(df: DataFrame, position: str | None = None) -> DataFrame:
@@ -51,25 +51,33 @@ def corroboration(same_city: Column, same_postcode: Column, same_abn: Column, se
 
 
 
+#: Names and suppliers that are compared at once in a task.
+NAMES_AT_ONCE, SUPPLIERS_AT_ONCE = 64, 4096
 
-def fuzzy_candidates(names: DataFrame, master: DataFrame) -> DataFrame:
-    """Pairs of names and suppliers that share three letters in a row of a word, its ends counted as letters.
 
-    Names alike enough for a match share many of them; blocks of them take the place of comparing
-    each name with each supplier.
-    """
-    padded = lambda c: F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
-    triples = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))
-    keys = lambda c: F.array_distinct(F.flatten(F.transform(padded(c), triples)))
-    left = names.select("normalised_name", F.explode(keys(F.col("normalised_name"))).alias("_key"))
-    right = master.select(F.col("normalised_name").alias("candidate"), "canonical_supplier_id", F.explode(keys(F.col("normalised_name"))).alias("_key"))
-    return left.join(right, "_key").select("normalised_name", "candidate", "canonical_supplier_id").distinct()
+def _dealt(df: DataFrame, size: int, into: str) -> DataFrame:
+    """The rows in arrays of about ``size``, sorted."""
+    columns = df.columns
+    parts = df.agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+    dealt = df.crossJoin(F.broadcast(parts)).withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
+    # a given number, so that few rows aren't put into one task again: each is much work
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part")
+    return dealt.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(into)).select(into)
 
 
 def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAULT, boost: Column | None = None) -> DataFrame:
-    """The best supplier of each name by the composite score, the first in id order of equals: ``fuzzy_id``, ``fuzzy_score``, ``fuzzy`` (method, confidence)."""
-    pairs = fuzzy_candidates(names.select("normalised_name").distinct(), master).withColumn("score", fuzzy_score("normalised_name", "candidate"))
-    best = pairs.groupBy("normalised_name").agg(F.max(F.struct("score", F.col("candidate"), "canonical_supplier_id")).alias("best"))
+    """The best supplier of each name by the composite score, of equals the last by name, then id: ``fuzzy_id``, ``fuzzy_score``, ``fuzzy`` (method, confidence).
+
+    Each name meets each supplier that has a name, in blocks; inside a block, pairs whose letter counts rule out
+    the best score aren't compared further (see ``fuzzy.bounds``), which loses none. So each name has a row,
+    rejected or not, unless no supplier has a name. Null names have none.
+    """
+    left = _dealt(names.select("normalised_name").where(F.col("normalised_name").isNotNull()).distinct(), NAMES_AT_ONCE, "names")
+    known = master.select(F.col("normalised_name").alias("candidate"), "canonical_supplier_id").where(F.col("candidate") != "").distinct()
+    pairs = left.crossJoin(_dealt(known, SUPPLIERS_AT_ONCE, "block"))
+    found = pairs.withColumn("found", F.explode(fuzzy_best(F.col("names.normalised_name"), F.col("block.candidate"))))
+    found = found.select(F.col("found.name").alias("normalised_name"), F.col("found.score").alias("score"), F.element_at("block", F.col("found.at") + 1).alias("supplier"))
+    best = found.groupBy("normalised_name").agg(F.max(F.struct("score", F.col("supplier.candidate").alias("candidate"), F.col("supplier.canonical_supplier_id").alias("canonical_supplier_id"))).alias("best"))
     score = F.col("best.score")
     return best.select("normalised_name", F.col("best.canonical_supplier_id").alias("fuzzy_id"), score.alias("fuzzy_score"), decide_fuzzy(score, F.lit(0) if boost is None else boost, settings).alias("fuzzy"))
 

@@ -1,6 +1,7 @@
 """Hand-made cases of operators that the whole-table queries don't reach."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,39 @@ def test_harmonise(spark):
     assert attached.count() == 6 and attached.where("canonical_supplier_id is null").count() == 1
 
 
+def test_fuzzy_match_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(suppliers, "NAMES_AT_ONCE", 3)
+    monkeypatch.setattr(suppliers, "SUPPLIERS_AT_ONCE", 4)
+    names = ["b h p", "3 m", "h p", "qq", "", "sodexo austrlia", "acme acme", "a", "bank of new south wales", "müller", "x  y", None]
+    known = ["bhp", "3m", "hp", "sodexo australia", "acme", "acme steel", "wales bank", "muller", "y x", "aa bb", "", None]
+    left = spark.createDataFrame([(n,) for n in names + ["b h p"]], "normalised_name string")
+    master = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(known + ["bhp"])], "normalised_name string, canonical_supplier_id string")
+    want = {n: max((fuzzy.composite(n, k), k, f"s{i}") for i, k in enumerate(known + ["bhp"]) if k) for n in names if n is not None}
+    got = {r.normalised_name: r for r in suppliers.match_fuzzy(left, master).collect()}
+    assert {n: (r.fuzzy_score, r.fuzzy_id) for n, r in got.items()} == {n: (score, i) for n, (score, _, i) in want.items()}
+    assert [got[n].fuzzy.method for n in ("b h p", "3 m", "h p", "qq")] == ["FUZZY_REVIEW"] * 3 + ["FUZZY_REJECT"]
+    assert suppliers.match_fuzzy(left, master.limit(0)).count() == suppliers.match_fuzzy(left.limit(0), master).count() == 0
+
+
+def test_bounds_of_fuzzy_scores_hold():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcü", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 5))) for _ in range(60)] + ["", " ", "ab ab  ab"]
+    letters = fuzzy.Letters.of(texts)
+    for i, a in enumerate(texts):
+        most, partial_most = fuzzy.bounds(letters, i, letters)
+        for j, b in enumerate(texts):
+            assert fuzzy.composite(a, b) * 100 <= most[j] + 1e-9 and fuzzy.partial_ratio(a, b) <= partial_most[j] + 1e-9
+        every = [fuzzy.composite(a, b) for b in texts]
+        assert fuzzy.best_of([a], texts) == [max((x, j) for j, x in enumerate(every))]
+
+
+def test_harmonise_finds_initials(spark):
+    df = spark.createDataFrame([("B.H.P.", "V1"), ("Zyx", "V2")], "raw_supplier_name string, raw_supplier_id string")
+    master = spark.createDataFrame([("s1", "BHP", "bhp", None, None, '{"raw_ids":[]}')], schema.MASTER_SCHEMA)
+    got = {r.raw_supplier_name: (r.canonical_supplier_id, r.match_method) for r in suppliers.harmonise(df, master)[1].collect()}
+    assert got["B.H.P."] == ("s1", "FUZZY_REVIEW") and got["Zyx"][1] == "NEW_CANONICAL"
+
+
 def test_changes(spark):
     df = spark.createDataFrame([("t1", "a", None, None, None, None, None, None), ("t2", "b", "Old", None, None, None, 0.4, "KEYWORD")], "transaction_id string, raw_supplier_name string, category_l1 string, category_l2 string, category_l3 string, unspsc_code string, category_confidence double, category_method string")
     found = df.limit(0).unionByName(spark.createDataFrame([("t2", "b", "New", None, None, None, 1.0, "MANUAL")], df.schema))
