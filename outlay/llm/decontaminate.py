@@ -4,7 +4,8 @@ The alphabet is words. The CGK walk reads a word sequence with a pointer that a
 of (step, word) moves on or not; two sequences at a small edit distance fall into step
 again after an edit, so that their walks are at a small Hamming distance. Each repetition
 hashes a few sampled steps of the walk; a window that collides with an item of its size
-in any repetition is compared exactly.
+in any repetition is compared exactly. Longer items collide less often, so each class of sizes has
+as many repetitions as it needs.
 
 A window is walked only if it has a word trigram of the item at the item's own offset. No
 match is lost by that: an item of m words with at most k edits keeps m - 2 - 3k trigrams, and
@@ -50,8 +51,8 @@ class Index:
     posting_item: np.ndarray
     posting_offset: np.ndarray
     sizes: np.ndarray
-    repetitions: int
-    keys: list[np.ndarray]  # of each repetition: the bucket of each item
+    repetitions: np.ndarray  # of each item; 0 where all its seeds are compared
+    keys: list[np.ndarray]  # of each repetition: the bucket of each item that has it
     seed: int
 
 
@@ -99,25 +100,50 @@ def _by_size(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows, sizes[order], order
 
 
-def _repetitions(items: list[np.ndarray], allowed: list[int], vocabulary: int, recall: float, seed: int, most: int = 96) -> int:
-    """How many repetitions catch an item with all its edits at rate ``recall``: collisions are counted on perturbed items."""
+#: Sizes in words at which classes of items start; each class has repetitions of its own.
+CLASSES = tuple(int(6 * 1.5**i) for i in range(24))
+#: Perturbed items of a class on which repetitions are tried; larger items than ``WALKED`` words aren't walked, each seed is compared exactly.
+TRIED, WALKED = 640, 2000
+
+
+def _repetitions(items: list[np.ndarray], allowed: list[int], vocabulary: int, recall: float, seed: int) -> np.ndarray:
+    """Of each item, how many repetitions catch it with all its edits at rate ``recall``; 0 if it isn't walked.
+
+    The rate of collisions falls with the size, so each class of sizes is tried by itself, on its longest
+    items: half of them have all edits as substituted words, half edits of any kind. Repetitions are
+    added until no more than a fourth of the misses that are allowed is left, and then a fifth more of them.
+    """
     rng = np.random.default_rng(seed)
-    plain, changed = [], []
-    for i in rng.permutation(len(items))[:40]:
-        item, k = items[i], allowed[i]
-        for _ in range(8 if k else 0):
-            words = item.tolist()
-            for _ in range(k):
-                kind, at = rng.integers(3), int(rng.integers(len(words)))
-                words[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(vocabulary))]
+    sizes = np.array([len(x) for x in items], np.int64)
+    out = np.where(sizes > WALKED, 0, 1)
+    classes = np.searchsorted(CLASSES, sizes, side="right")
+    for c in np.unique(classes[sizes <= WALKED]).tolist():
+        members = [i for i in np.flatnonzero((classes == c) & (sizes <= WALKED)).tolist() if allowed[i]]
+        if not members:
+            continue
+        longest = sorted(members, key=lambda i: (-len(items[i]), i))[:40]
+        plain, changed = [], []
+        for n in range(TRIED):
+            i = longest[n % len(longest)]
+            item, k, words = items[i], allowed[i], items[i].tolist()
+            if n // len(longest) % 2:
+                for at in rng.choice(len(words), k, replace=False).tolist():
+                    words[at] = int(rng.integers(vocabulary))
+            else:
+                for _ in range(k):
+                    kind, at = rng.integers(3), int(rng.integers(len(words)))
+                    words[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(vocabulary))]
             plain.append(item)
             changed.append(np.array((words + [UNKNOWN] * k)[: len(item)], np.int64))
-    a, b, tried = _by_size(plain), _by_size(changed), 8 * len(plain)
-    met = sum(int((keys_of(*a[:2], r, seed) == keys_of(*b[:2], r, seed)).sum()) for r in range(8))
-    if not tried:
-        return 1
-    p = max(met / tried, 0.02)
-    return int(min(most, max(1, np.ceil(np.log(1 - recall) / np.log(1 - min(p, 0.999))))))
+        # both are ordered by the same sizes
+        a, own, _ = _by_size(plain)
+        b = _by_size(changed)[0]
+        missed, r = np.arange(TRIED), 0
+        while len(missed) > (1 - recall) * TRIED / 4:
+            missed = missed[keys_of(a[missed], own[missed], r, seed) != keys_of(b[missed], own[missed], r, seed)]
+            r += 1
+        out[members] = -(-r * 6 // 5)
+    return out
 
 
 def build(items: list[tuple[int, str]], rate: float, recall: float, seed: int) -> Index:
@@ -141,9 +167,10 @@ def build(items: list[tuple[int, str]], rate: float, recall: float, seed: int) -
     repetitions = _repetitions(sequences, allowed, max(1, len(vocabulary)), recall, seed)
     rows, sizes, order = _by_size(sequences)
     keys = []
-    for r in range(repetitions):
+    for r in range(int(repetitions.max(initial=0))):
+        has = np.flatnonzero(repetitions[order] > r)
         keys.append(np.zeros(len(sequences), np.uint64))
-        keys[-1][order] = keys_of(rows, sizes, r, seed)
+        keys[-1][order[has]] = keys_of(rows[has], sizes[has], r, seed)
     posting = np.array(postings, np.int64).reshape(-1, 2)
     return Index(ids, sequences, allowed, vocabulary, grams, at, posting[:, 0], posting[:, 1], np.array([len(s) for s in sequences], np.int64), repetitions, keys, seed)
 
@@ -217,9 +244,10 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     windows = np.where(inside, stream[np.clip(places, 0, len(stream) - 1)], PAD)
     # a walk must not stop at a window's own missing words
     windows[(places < low) | ((places >= high) & (places < (seeds[:, 2] + sizes)[:, None]))] = UNKNOWN
-    collides = np.zeros(len(seeds), bool)
-    for r in range(index.repetitions):
-        left = np.flatnonzero(~collides)
+    repetitions = index.repetitions[seeds[:, 0]]
+    collides = repetitions == 0
+    for r in range(int(repetitions.max(initial=0))):
+        left = np.flatnonzero(~collides & (repetitions > r))
         collides[left] = keys_of(windows[left], sizes[left], r, index.seed) == index.keys[r][seeds[left, 0]]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i, t, s in seeds[collides].tolist():

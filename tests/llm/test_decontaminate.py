@@ -110,6 +110,23 @@ def test_recall_at_the_most_edits():
     assert found >= 0.98 * tried
 
 
+def test_recall_of_long_items_among_short_ones():
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, text(12)) for i in range(200)] + [(200 + i, text(400)) for i in range(5)] + [(205, text(2100))]
+    index = D.build(items, 0.2, 0.99, 11)
+    for size, times in ((12, 1), (400, 8), (2100, 1)):
+        found = tried = 0
+        for i, t in items * times:
+            part = t.split()
+            if len(part) == size:
+                for at in rng.sample(range(size), D.edits_allowed(size, 0.2)):
+                    part[at] = f"w{rng.randrange(3000)}"
+                found += i in {r[1] for r in D.search(index, [" ".join(["x"] * 30 + part + ["y"] * 30)])}
+                tried += 1
+        assert tried and found >= 0.97 * tried, (size, found, tried)
+
+
 @pytest.mark.parametrize("n,rate,k", [(2, 0.2, 0), (5, 0.2, 0), (6, 0.2, 1), (30, 0.2, 6), (30, 0.9, 9)])
 def test_edits_leave_a_trigram(n, rate, k):
     assert D.edits_allowed(n, rate) == k and (k == 0 or n - 2 - 3 * k > 0)
