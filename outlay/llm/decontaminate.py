@@ -42,7 +42,7 @@ def edits_allowed(words: int, rate: float) -> int:
 class Index:
     """Items as word ids, their trigrams and the bit samples of their walks."""
 
-    item_ids: list[int]
+    item_ids: list[int | None]
     items: list[np.ndarray]
     allowed: list[int]
     vocabulary: dict[str, int]
@@ -146,7 +146,7 @@ def _repetitions(items: list[np.ndarray], allowed: list[int], vocabulary: int, r
     return out
 
 
-def build(items: list[tuple[int, str]], rate: float, recall: float, seed: int) -> Index:
+def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed: int) -> Index:
     """Index the items that have words."""
     vocabulary: dict[str, int] = {}
     ids, sequences = [], []
@@ -270,7 +270,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
 
 def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, block_bytes: int, seed: int) -> list:
     """Broadcast indexes of the items, each of at most ``block_bytes`` of text or so."""
-    clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
+    clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) * 2 // block_bytes))
     out = []
@@ -302,7 +302,7 @@ def matches(
     with a probability of ``recall`` at the most edits, higher with fewer, always with none.
     Items go to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents
     for each block, so that what is broadcast is bounded however large the benchmark is. Null or
-    empty texts and items match nothing. Repeated rows: documents with the same id give one row per
+    empty texts and items match nothing; items without an id are looked for like others, with a null ``item_id``. Repeated rows: documents with the same id give one row per
     place; repeated items count once. Character places refer to the lower-cased text. Other columns play no part.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")

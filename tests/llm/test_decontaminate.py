@@ -78,6 +78,13 @@ def test_clean_keeps_all_columns_and_clean_rows(spark):
     assert sorted(r.item_id for r in kept.collect()) == ["b", "b", "c", "d"]
 
 
+def test_items_without_an_id_count(spark):
+    items = spark.createDataFrame([(None, ITEMS[0][1]), (2, ITEMS[1][1]), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + ITEMS[0][1]), (2, ITEMS[1][1]), (3, "nothing here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in D.matches(spark, docs, items).collect()) == [(1, None), (2, 2)]
+    assert [r.doc_id for r in D.clean(spark, docs, items).collect()] == [3]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
