@@ -2,7 +2,9 @@
 
 A candidate alone says little: the key of a tutorial stands in hundreds of repositories,
 a leaked one with its owner only. So the hashes of all candidates are counted by distinct
-repositories and owners over the whole corpus, and each place is judged by that.
+repositories and owners over the whole corpus. Owners alone decide about a place: a key that
+stands in thousands of documents of one owner counts as live, never as copied. The count of
+repositories stands beside it in each span, for those who want to judge by it too.
 """
 
 from __future__ import annotations
@@ -67,11 +69,12 @@ def scan(
     owner_col: str = "source",
     widely: int = 3,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``base`` and ``spans`` (arrays of kind rank, start, end), ``n_live``, ``n_copied``.
+    """One row per document: ``doc_id``, ``base`` and ``spans`` (arrays of start, rank, end, live, owners, repositories), ``n_live``, ``n_copied``.
 
     ``base`` are the spans of the three base kinds. ``spans`` adds bare candidates (no key word in
     front, in no base span) that look live and belong to one owner. ``n_live`` counts the spans that look live and
-    have fewer than ``widely`` owners; ``n_copied`` those of values with at least ``widely`` owners. Owners and
+    have fewer than ``widely`` owners; ``n_copied`` those of values with at least ``widely`` owners, however many
+    repositories (by default documents) they stand in. Owners and
     repositories are distinct non-null values over the whole corpus; a value without any owner
     counts as owned by one. Null and empty texts have no spans. Repeated rows are rows of their own and add no
     owner or repository. Values never leave the tasks: hashes stand for them. Other columns play no part.

@@ -47,3 +47,10 @@ def test_odd_rows(spark):
     assert sorted(r.n_assign for r in got) == [0, 0, 1, 1, 200]
     assert next(r for r in got if r.doc_id == 2).n_hex == 200
     assert S.scan(spark, docs.limit(0)).count() == 0
+
+
+def test_spans_give_owners_and_repositories(spark):
+    live = "q7Rt9xLm2Zp8Kw4Vb6Nc1D"
+    docs = spark.createDataFrame([(i, f"see {live} here", "a") for i in range(5)], "doc_id long, text string, source string")
+    for r in S.scan(spark, docs).collect():
+        assert [(s.owners, s.repositories) for s in r.spans] == [(1, 5)] and (r.n_live, r.n_copied) == (1, 0)
