@@ -1,62 +1,26 @@
-"""Pieces shared by the corpus operators: scratch tables, prefix sums, word hashing.
-
-Scratch tables are Parquet files below ``spark.checkpoint.dir``, the folder that
-all executors share, so a lost executor never takes part of an intermediate with
-it and a reread is as good as the first read.
-"""
+"""Pieces shared by the corpus operators: joins that spare rows or split hot keys, prefix sums, word hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from outlay.sources import scratch
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where unset (tests), one of our own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='outlay-')}"
-        context.setCheckpointDir(named)
-    return named
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/outlay-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended before us
-        pass
+    return scratch.new_folder(spark, name)
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back: cuts the lineage and fixes every value in it.
-
-    ``narrow``: rows are a few numbers each, so that a task may write several shuffle partitions one
-    after the other, into one file instead of a tiny one for each.
-    """
-    path = scratch_path(spark, name)
-    if narrow:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """See ``scratch.stored``."""
+    return scratch.stored(df, name, narrow)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -71,11 +35,10 @@ def fresh(df: DataFrame, name: str) -> str:
 PLACES = 1 << 26
 
 
-def likely_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among ``keys`` (its first column): all that are, and few others while keys are fewer than ``PLACES``.
+def likely_flag(df: DataFrame, key: str, keys: DataFrame, into: str) -> DataFrame:
+    """``df`` with ``into``: whether its ``key`` may be among ``keys`` (its first column): true for all that are, and for few others while keys are fewer than ``PLACES``.
 
-    Put before a semi-join, so that wide rows that it drops are not shuffled. What is
-    broadcast has a fixed bound; with very many keys it lets all rows pass.
+    No row is moved: what is broadcast is a bit map with a fixed bound. With very many keys it is true for all rows.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
     part, bits = fresh(df, "part_no"), fresh(df, "bits")
@@ -83,8 +46,37 @@ def likely_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     marked = placed.groupBy(F.bitmap_bucket_number("place").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias(bits))
     own = F.bitmap_bit_position(place(df[key]))
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(own / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    out = df.withColumn(part, F.bitmap_bucket_number(place(df[key]))).join(F.broadcast(marked), part)
-    return out.where(F.getbit(byte, (own % 8).cast("int")) == 1).select(*df.columns)
+    out = df.withColumn(part, F.bitmap_bucket_number(place(df[key]))).join(F.broadcast(marked), part, "left")
+    return out.withColumn(into, F.coalesce(F.getbit(byte, (own % 8).cast("int")) == 1, F.lit(False))).select(*df.columns, into)
+
+
+def likely_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` for which ``likely_flag`` is true. Put before a semi-join, so that wide rows that it drops are not shuffled."""
+    into = fresh(df, "likely")
+    return likely_flag(df, key, keys, into).where(into).select(*df.columns)
+
+
+#: A key is hot if it has more than one in so many of all rows; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, uses: str, by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` with the row of ``one`` (a stored table, a row a key) that has its ``key``; ``one``'s column ``uses`` says how many rows of ``many`` have it.
+
+    Rows of hot keys are dealt over all shuffle partitions by a hash of ``by``, and ``one``'s row for such a
+    key is copied to each, so that no task gets a hot key whole. Only the hot keys (under ``HOT``) are broadcast.
+    """
+    spark = many.sparkSession
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = one.agg(F.sum(uses)).first()[0] or 0
+    is_hot = F.col(uses) * HOT > F.lit(int(total))
+    hot, salt = fresh(many, "is_hot"), fresh(many, "salt_no")
+    listed = one.where(is_hot).select(key, F.lit(True).alias(hot))
+    if total < HOT or listed.isEmpty():
+        return many.join(one.drop(uses), key, how)
+    dealt = many.join(F.broadcast(listed), key, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
+    copies = one.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies.drop(uses), [key, salt], how).drop(salt)
 
 
 def with_totals_before(spark: SparkSession, df: DataFrame, order: list[str], totals: dict[str, Column]) -> DataFrame:
