@@ -99,7 +99,7 @@ def pack(
     turns = stored(spark, turns.select("conv_id", "turns", "chain.ids", "chain.starts"), "chains")
 
     # equal conversations add nothing: one stands for all
-    distinct = turns.groupBy(F.element_at("ids", -1).alias("leaf")).agg(F.min_by(F.struct("turns", "ids", "starts"), F.col("conv_id")).alias("c")).select("leaf", "c.*")
+    distinct = turns.groupBy(F.element_at("ids", -1).alias("leaf")).agg(F.min_by(F.struct("turns", "ids", "starts"), F.struct("conv_id")).alias("c")).select("leaf", "c.*")
     distinct = distinct.withColumn("hashes", F.col("turns.hash"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = stored(spark, distinct.repartitionByRange(ranges, "hashes").withColumn("part", F.spark_partition_id()), "sorted")

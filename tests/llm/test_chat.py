@@ -92,3 +92,9 @@ def test_odd_rows(spark):
     assert got[2].loss == "yy" and len(got[None].turns) == 2
     nodes, paths = C.pack(spark, docs.limit(0))
     assert nodes.count() == 0 and C.read_back(nodes, paths).count() == 0
+
+
+def test_a_null_id_alone_with_its_turns(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "q"), (2, 0, "user", "a")]
+    got = {r.conv_id: r.formatted for r in C.read_back(*packed(spark, rows)).collect()}
+    assert sorted(got, key=str) == [1, 2, None] and got[None].startswith(got[2])
