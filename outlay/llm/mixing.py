@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.common import WORD, fresh, with_totals_before
+from outlay.llm.common import WORD, with_totals_before
 
 
 def word_count(text: Column) -> Column:
@@ -57,28 +57,25 @@ def mix(
     cap: int = 3,
     seed: int = 7,
 ) -> DataFrame:
-    """``docs`` with columns ``size``, ``source_size``, ``target`` and ``copies``.
+    """``row`` (a row of ``docs`` as a struct, so that no name in it can clash), ``size``, ``source_size``, ``target`` and ``copies``.
 
     The rate of a source is target / size. Each document gets floor(rate) copies plus one
     more with a probability equal to the fraction, decided by a hash of the seed and its id;
     it never gets more than ``cap``. Null or empty text: size 0. Null source: a source of
     its own, last. Null ids share one coin. Repeated rows each count and get the same
-    copies. An empty table stays empty. Columns of ``docs`` with one of the four names are replaced.
+    copies. An empty table stays empty. Texts are counted twice, once for the sources' sums: that is cheaper
+    than to write them all down with their sizes.
     """
-    kept = docs.drop("size", "source_size", "target", "copies")
-    sized = kept.withColumn("size", word_count(F.col(text_col)))
-    targets = source_targets(spark, sized, source_col, "size", cycle, cap)
-    key = fresh(sized, "mix_source")
-    targets = targets.withColumnRenamed("source", key)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("mix_source"), word_count(docs[text_col]).alias("size"))
+    targets = source_targets(spark, rows.select("mix_source", "size"), "mix_source", "size", cycle, cap)
     # one row a source, with its name, a size and a target; Spark broadcasts it only below its own size limit
-    out = sized.join(targets, sized[source_col].eqNullSafe(targets[key]), "left").drop(key)
+    out = rows.join(targets, rows["mix_source"].eqNullSafe(targets["source"]), "left")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    extra = F.when(coin(F.col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return out.withColumn("copies", F.least(F.floor(rate) + extra, F.lit(cap)).cast("int"))
+    extra = F.when(coin(F.col("row")[id_col], seed) < rate - F.floor(rate), 1).otherwise(0)
+    return out.select("row", "size", "source_size", "target", F.least(F.floor(rate) + extra, F.lit(cap)).cast("int").alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as often as ``copies`` says, without the columns that ``mix`` added."""
-    i = fresh(mixed, "copy_no")
-    out = mixed.where(F.col("copies") > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.drop(i, "size", "source_size", "target", "copies")
+    """Each document as often as ``copies`` says, with its own columns."""
+    out = mixed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select("row.*")

@@ -35,11 +35,11 @@ def test_targets_and_copies(spark, lengths):
     got = mixing.mix(spark, documents(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r["size"] == len(r.text.split()) and r.source_size == sizes[r.source]
-        assert r.target == pytest.approx(want[r.source])
+        assert r["size"] == len(r.row.text.split()) and r.source_size == sizes[r.row.source]
+        assert r.target == pytest.approx(want[r.row.source])
         rate = r.target / r.source_size if r.source_size else 0
         assert 0 <= r.copies <= 3 and abs(r.copies - rate) < 1 + 1e-9
-    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(sum(sizes.values()))
+    assert sum({r.row.source: r.target for r in got}.values()) == pytest.approx(sum(sizes.values()))
 
 
 def test_taken_comes_near_its_target(spark):
@@ -47,8 +47,8 @@ def test_taken_comes_near_its_target(spark):
     mixed = mixing.mix(spark, documents(spark, rows))
     taken, target = {}, {}
     for r in mixed.collect():
-        taken[r.source] = taken.get(r.source, 0) + r["size"] * r.copies
-        target[r.source] = r.target
+        taken[r.row.source] = taken.get(r.row.source, 0) + r["size"] * r.copies
+        target[r.row.source] = r.target
     for s in target:
         assert taken[s] == pytest.approx(target[s], rel=0.1)
     assert mixing.emit(mixed).count() == sum(r.copies for r in mixing.mix(spark, documents(spark, rows)).collect())
@@ -56,12 +56,14 @@ def test_taken_comes_near_its_target(spark):
 
 def test_nulls_blanks_repeats_and_clashing_columns(spark):
     rows = [(1, None, None), (1, None, None), (2, "", "a"), (None, " \t ", "a"), (3, "one two", "a"), (3, "one two", "a")]
-    docs = documents(spark, rows).selectExpr("*", "1 AS size", "2 AS copies", "3 AS copy_no", "4 AS mix_source")
+    docs = documents(spark, rows).selectExpr("*", "1 AS size", "2 AS copies", "3 AS copy_no", "4 AS mix_source", "5 AS target", "6 AS source_size", "7 AS row")
     got = mixing.mix(spark, docs).collect()
     assert sorted(r["size"] for r in got) == [0, 0, 0, 0, 2, 2]
-    assert all(r.copies == 0 for r in got if r.source is None)
-    assert {r.copies for r in got if r.doc_id == 3} == {1}
-    assert mixing.emit(mixing.mix(spark, docs)).columns == ["doc_id", "text", "source", "copy_no", "mix_source"]
+    assert all(r.copies == 0 for r in got if r.row.source is None)
+    assert {r.copies for r in got if r.row.doc_id == 3} == {1}
+    kept = mixing.emit(mixing.mix(spark, docs))
+    assert kept.columns == docs.columns
+    assert {(r["size"], r.copies, r.copy_no, r.mix_source, r.target, r.source_size) for r in kept.collect()} == {(1, 2, 3, 4, 5, 6)}
 
 
 def test_empty(spark):

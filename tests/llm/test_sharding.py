@@ -18,7 +18,7 @@ def best_capacity(sizes, shards):
 
 
 def rows_of(rng, n):
-    texts = ["x" * rng.choice([0, 3, 3, 50, 400]) + str(rng.randrange(n)) for _ in range(n // 2)]
+    texts = ["x" * rng.choice([0, 3, 3, 50, 400]) + str(rng.randrange(n)) for _ in range(max(1, n // 2))]
     return [(i, rng.choice(texts)) for i in range(n)]
 
 
