@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.common import stored
+from outlay.llm.common import likely_flag, spread_join, stored
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never revisits.
@@ -97,9 +97,12 @@ def write(
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # only digests that occur again need to be told to their rows
+    # only digests that occur again need to be told to their rows: all others stay where they are
     firsts = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(firsts.select("digest", "first"), "digest", "left")
+    firsts = stored(spark, firsts, "digests", narrow=True)
+    rows = likely_flag(rows, "digest", firsts.select("digest"), "again")
+    again = spread_join(rows.where("again"), firsts, "digest", "n", ["page_id", "url"], "left")
+    rows = again.unionByName(rows.where("not again").withColumn("first", F.lit(None).cast("long")))
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
     return stored(spark, rows.mapInArrow(_write(directory, file_bytes), "path string, bytes long"), "files")
@@ -127,7 +130,7 @@ class _Window:
     """The bytes of a file from a place on, read as far as they are asked for."""
 
     def __init__(self, file, start: int, size: int):
-        self.file, self.start, self.size, self.data = file, start, size, b""
+        self.file, self.start, self.size, self.data = file, start, size, bytearray()
         file.seek(start)
 
     def reach(self, to: int) -> bool:
@@ -147,7 +150,7 @@ def members(window: _Window, length: int) -> Iterator[bytes]:
             while not unpack.eof:
                 if end >= len(window.data) and not window.reach(end + 1):
                     raise zlib.error("the file ends inside a member")
-                piece = unpack.decompress(window.data[end : end + AHEAD])
+                piece = unpack.decompress(bytes(window.data[end : end + AHEAD]))
                 end = min(end + AHEAD, len(window.data)) - len(unpack.unused_data)
                 if piece:
                     out.append(piece)
@@ -165,18 +168,19 @@ def members(window: _Window, length: int) -> Iterator[bytes]:
 
 
 def parse(data: bytes) -> tuple | None:
-    """A row of ``SCHEMA`` from a decoded record; None for records of other kinds."""
+    """A row of ``SCHEMA`` from a decoded record; None for records of other kinds and for those whose length is no number."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
     kind = fields.get("warc-type")
-    if kind not in ("response", "revisit"):
+    stated_length = fields.get("content-length", str(len(rest)))
+    if kind not in ("response", "revisit") or not re.fullmatch("[0-9]{1,18}", stated_length):
         return None
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    block = rest[: int(stated_length)]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", fields.get(name, ""))) else None
+    number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?[0-9]{1,19})>", fields.get(name, ""))) and -(2**63) <= int(m[1]) < 2**63 else None
     stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if kind == "revisit":
-        length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+        length = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]{1,18})\r", http + b"\r")
         return number("warc-record-id"), fields.get("warc-target-uri"), kind, number("warc-refers-to"), int(length[1]) if length else None, stated, None, True
     digest = hashlib.sha256(payload).hexdigest()
     return number("warc-record-id"), fields.get("warc-target-uri"), kind, None, len(payload), digest, payload, digest == stated

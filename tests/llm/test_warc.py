@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     )
     none = R.write(spark, docs.limit(0), scratch_path(spark, "warc"))
     assert none.count() == 0 and R.read(spark, none).count() == 0
+
+
+def test_malformed_headers_are_skipped(spark, tmp_path):
+    one, two = (R.record(i, "u", b"payload %d" % i, hashlib.sha256(b"payload %d" % i).hexdigest(), None) for i in (1, 2))
+    odd = [gzip.decompress(one).replace(b"Content-Length: ", b"Content-Length: x", 1), gzip.decompress(one).replace(b"\r\n\r\n", b"", 3), gzip.decompress(one).replace(b"x-page:1", b"x-page:" + b"9" * 30)]
+    (tmp_path / "a.warc.gz").write_bytes(one + gzip.compress(odd[0]) + gzip.compress(odd[1]) + gzip.compress(odd[2]) + two)
+    got = R.read(spark, R.listing(spark, f"file://{tmp_path}"), 50).collect()
+    assert sorted((str(r.page_id), r.payload_bytes) for r in got if r.record_type == "response" and r.intact and r.payload_bytes) == [("1", 9), ("2", 9), ("None", 9)]
+
+
+def test_one_payload_on_most_rows(spark):
+    rows = [(i, "u", "same" * 50 if i % 3 else f"{i} " * 60) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = R.read(spark, R.write(spark, docs, scratch_path(spark, "warc"))).collect()
+    expected = want(rows)
+    assert len(got) == 3000 and all((r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == expected[r.page_id][0] for r in got)
