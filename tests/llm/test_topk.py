@@ -74,3 +74,28 @@ def test_tree_covers():
             assert len(node.points) <= K.LEAF or node.radius == 0
 
     walk(K.cover_tree(x))
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    for shift in (0, 3):
+        x, y = rng.normal(size=(300, 6)) + shift, rng.normal(size=(300, 6)) * rng.choice([0, 1, 4], size=(300, 1))
+        q, r = K._flat(K.cover_tree(x, leaf=4))[0], K._flat(K.cover_tree(y, leaf=4))[0]
+        most = np.array([[(x[a.points] @ y[b.points].T).max() for b in r] for a in q])
+        assert (most <= K.bounds(K.Shapes.of(q, x), K.Shapes.of(r, y))).all()
+
+
+def test_clusters_are_pruned_before_rows_are_sent(spark, monkeypatch):
+    """Rows sent to other cells grow with the rows, not with rows times queries."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    sent = []
+    for n in (40, 160):
+        x = (centres[:, None] + rng.normal(size=(40, n, 16)) * 0.05).reshape(-1, 16).astype(np.float32)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        written = {}
+        monkeypatch.setattr(K, "stored", lambda s, df, name, narrow=False, w=written, f=K.stored.__wrapped__ if hasattr(K.stored, "__wrapped__") else K.stored: w.setdefault(name, f(s, df, name, narrow)))
+        assert run(spark, rows, 50, block=n) == brute(rows, 50, 5)
+        sent.append(written["sent"].count())
+        monkeypatch.undo()
+    assert sent[0] < 0.3 * (40 * 40 // 50) * 40 and sent[1] < 8 * sent[0] + 100
