@@ -3,147 +3,189 @@
 The alphabet is words. The CGK walk reads a word sequence with a pointer that a random bit
 of (step, word) moves on or not; two sequences at a small edit distance fall into step
 again after an edit, so that their walks are at a small Hamming distance. Each repetition
-hashes a few sampled steps of the walk; a window that collides with an item of its size
-in any repetition is compared exactly. Longer items collide less often, so each class of sizes has
-as many repetitions as it needs.
-
-A window is walked only if it has a word trigram of the item at the item's own offset. No
-match is lost by that: an item of m words with at most k edits keeps m - 2 - 3k trigrams, and
-k is held under (m - 2) / 3 (items of under 6 words must match exactly). A seed's
-diagonal is off the best window's start by at most k words, which is itself within the edits
-that the repetitions are measured for.
+samples a few steps of the walk; the words read there are the key of a bucket. The walk from every
+place of a text is looked up in the buckets of the items, and each item found is compared
+exactly around that place. Nothing else leads to an item.
+
+Items are grouped in classes of sizes. The windows of a class are as long as its smallest item, so that one
+walk serves all its items, and each class has as many repetitions as it needs for the recall
+asked for. Items of more than ``LONGEST`` words are looked up by their parts: of its edits some part
+has no more than its share.
+
+The walks from all places advance together: what n steps move each place on is composed of what
+the first and the last half of them do, without a loop over places.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"\w+")
-STRETCH = 3
+from outlay.llm.common import stored
+
+#: Letters of scripts without spaces between words are words of their own: Thai to Burmese, kana, Han.
+_LETTERS = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
+_WORD = re.compile(rf"[{_LETTERS}]|[^\W{_LETTERS}]+")
 SAMPLED = 3
+#: Steps of a walk for each word of a window: the pointer moves on at every other, so that it stays inside.
+STRETCH = 1.7
 UNKNOWN, PAD = -1, -2
 #: Words of documents that are handled at once in a task.
 CHUNK = 1_000_000
+#: Sizes in words at which classes of items start, and the most words that one walk has to cover.
+CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, *(int(13 * 1.5**i) for i in range(6)))
+LONGEST = 96
+#: Changed items of a class on which repetitions are tried.
+TRIED = 640
 
 
 def edits_allowed(words: int, rate: float) -> int:
-    """At most ``rate`` of the words, and few enough that an intact trigram remains."""
-    return min(int(words * rate), max(0, (words - 3) // 3))
+    return int(words * rate + 1e-9)
+
+
+@dataclass
+class Part:
+    """Items' parts of one class of sizes and their buckets."""
+
+    size: int  # words of a window
+    item: np.ndarray
+    offset: np.ndarray  # where the part starts in its item
+    repetitions: int
+    steps: list[list[int]]  # sampled steps of each repetition
+    keys: list[np.ndarray]  # sorted keys of each repetition
+    owners: list[np.ndarray]  # the part behind each key
+    known: int  # fewest words of the vocabulary around a place that can match
+    reach: int  # words from a place on in which they are looked for
 
 
 @dataclass
 class Index:
-    """Items as word ids, their trigrams and the bit samples of their walks."""
+    """Items as word ids, and their parts by classes."""
 
     item_ids: list[int | None]
     items: list[np.ndarray]
     allowed: list[int]
     vocabulary: dict[str, int]
-    grams: np.ndarray  # sorted keys of trigrams
-    at: np.ndarray  # first posting of each gram; one more at the end
-    posting_item: np.ndarray
-    posting_offset: np.ndarray
-    sizes: np.ndarray
-    repetitions: np.ndarray  # of each item; 0 where all its seeds are compared
-    keys: list[np.ndarray]  # of each repetition: the bucket of each item that has it
+    pairs: np.ndarray  # sorted item * words + word, for all words of each item
+    parts: list[Part]
     seed: int
 
 
-def _bits(seed: int, repetition: int, step: int, words: np.ndarray) -> np.ndarray:
-    """The random bit of (repetition, step, word), by a multiplicative hash."""
-    mixed = (words.astype(np.uint64) + np.uint64(3)) * np.uint64((0x9E3779B97F4A7C15 * (2 * (seed + 7919 * repetition + 104729 * step) + 1)) % 2**64)
-    mixed ^= mixed >> np.uint64(31)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)).astype(np.int64)
-
-
-def keys_of(rows: np.ndarray, sizes: np.ndarray, repetition: int, seed: int) -> np.ndarray:
-    """The bucket of each row in one repetition: its sampled steps of the walk.
-
-    Rows are word sequences of ``sizes`` words, padded to one width and ordered by falling size;
-    the steps are drawn once as fractions of a walk, so that rows of one size share them.
-    """
-    fractions = np.random.default_rng(seed * 1000 + repetition).random(SAMPLED)
-    steps = np.sort((fractions[None, :] * (STRETCH * sizes)[:, None]).astype(np.int64), axis=1)
-    last = steps[:, -1]
-    n, width = rows.shape
-    flat, base = rows.ravel(), np.arange(n) * width
-    pointer, key = base.copy(), np.zeros(n, np.uint64)
-    active = n
-    for step in range(int(last.max(initial=-1)) + 1):
-        while active and last[active - 1] < step:
-            active -= 1
-        word = flat[pointer[:active]]
-        for c in range(SAMPLED):
-            now = np.flatnonzero(steps[:active, c] == step)
-            if len(now):
-                mixed = (key[now] ^ (word[now] + 3).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-                key[now] = mixed ^ (mixed >> np.uint64(28))
-        # the width is larger than any size, so that a finished walk stays on padding
-        pointer[:active] += _bits(seed, repetition, step, word) * (word != PAD)
-    return key
-
-
-def _by_size(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sequences as padded rows ordered by falling size, their sizes and their numbers."""
+def _mix(x: np.ndarray, by: int) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(3)) * np.uint64((0x9E3779B97F4A7C15 * (2 * by + 1)) % 2**64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Walks:
+    """The walks from all places of a stream of word ids, one repetition at a time."""
+
+    def __init__(self, stream: np.ndarray, words: int, seed: int):
+        self.stream, self.words, self.seed, self.place = stream, words, seed, np.arange(len(stream))
+
+    def start(self, repetition: int) -> None:
+        self.repetition, self.masks = repetition, {}
+
+    def _bit(self, step: int) -> np.ndarray:
+        """The random bit of (repetition, step, word) at each place; padding stays where it is."""
+        if step // 8 not in self.masks:
+            table = _mix(np.arange(self.words + 2), self.seed * 1_000_003 + self.repetition * 8191 + step // 8).astype(np.uint8)
+            table[self.words] = 0  # padding stands last but one from the end: ids are -2 and -1
+            self.masks[step // 8] = table[self.stream]
+        return self.masks[step // 8] >> np.uint8(step % 8) & np.uint8(1)
+
+    def moved(self, first: int, n: int) -> np.ndarray:
+        """How far each place is moved on by ``n`` steps from ``first`` on."""
+        if n == 0:
+            return np.zeros(len(self.stream), np.uint8)
+        if n == 1:
+            return self._bit(first)
+        half = n // 2
+        return self._then(self.moved(first, half), self.moved(first + half, n - half), half)
+
+    def _then(self, one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+        if most == 1:  # moved by one place or none: no gathering needed
+            ahead = np.append(two[1:], two[-1:])
+            return one + two + one * (ahead - two)
+        return one + two[np.minimum(self.place + one, len(two) - 1)]
+
+    def keys(self, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each place, and whether all its words are known."""
+        at, key, known, moved = 0, np.zeros(len(self.stream), np.uint64), np.ones(len(self.stream), bool), None
+        for n, step in enumerate(steps):
+            if step > at or moved is None:
+                more = self.moved(at, step - at)
+                moved = more if moved is None else self._then(moved, more, max(2, at))
+                at = step
+            word = self.stream[np.minimum(self.place + moved, len(self.stream) - 1)]
+            known &= word >= 0
+            key = key * np.uint64(0xD6E8FEB86659FD93) + word.astype(np.uint64) + np.uint64(n + 1)
+        return key ^ (key >> np.uint64(31)), known
+
+
+def _steps(size: int, repetition: int, seed: int) -> list[int]:
+    """The sampled steps; those of the first repetition are so early that no window ends before them, so that equal windows always meet."""
+    most = size if repetition == 0 else max(size, int(STRETCH * size))
+    return np.sort(np.random.default_rng([seed, size, repetition]).integers(0, most, SAMPLED)).tolist()
+
+
+def _stream(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences one behind the other with padding between, and where each starts."""
     sizes = np.array([len(x) for x in sequences], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    rows = np.full((len(sequences), int(sizes.max(initial=0)) + 1), PAD, np.int64)
-    for at, i in enumerate(order.tolist()):
-        rows[at, : sizes[i]] = sequences[i]
-    return rows, sizes[order], order
-
-
-#: Sizes in words at which classes of items start; each class has repetitions of its own.
-CLASSES = tuple(int(6 * 1.5**i) for i in range(24))
-#: Perturbed items of a class on which repetitions are tried; larger items than ``WALKED`` words aren't walked, each seed is compared exactly.
-TRIED, WALKED = 640, 2000
-
-
-def _repetitions(items: list[np.ndarray], allowed: list[int], vocabulary: int, recall: float, seed: int) -> np.ndarray:
-    """Of each item, how many repetitions catch it with all its edits at rate ``recall``; 0 if it isn't walked.
-
-    The rate of collisions falls with the size, so each class of sizes is tried by itself, on its longest
-    items: half of them have all edits as substituted words, half edits of any kind. Repetitions are
-    added until no more than a fourth of the misses that are allowed is left, and then a fifth more of them.
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
+    stream = np.full(int(starts[-1]) + 1, PAD, np.int64)
+    for s, x in zip(starts.tolist(), sequences, strict=False):
+        stream[s : s + len(x)] = x
+    return stream, starts[:-1]
+
+
+def _changed(words: list[int], k: int, substitute: bool, vocabulary: int, rng: np.random.Generator) -> np.ndarray:
+    """``words`` after ``k`` random edits."""
+    words = list(words)
+    if substitute:
+        for at in rng.choice(len(words), k, replace=False).tolist():
+            words[at] = int(rng.integers(vocabulary))
+    else:
+        for _ in range(k):
+            kind, at = rng.integers(3), int(rng.integers(len(words) + 1))
+            words[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(vocabulary))]
+    return np.array(words + [UNKNOWN] * k, np.int64)
+
+
+def _repetitions(parts: list[np.ndarray], size: int, rate: float, vocabulary: int, recall: float, seed: int) -> int:
+    """How many repetitions catch a class's parts with all their edits at rate ``recall``.
+
+    Tried on the longest parts, which have most edits: half of the trials have substituted words
+    alone, half edits of any kind. Repetitions are added until no more than a fourth of the misses that are
+    allowed is left, and then a fifth more of them.
     """
+    members = [p for p in parts if edits_allowed(len(p), rate)]
+    if not members:
+        return 1
     rng = np.random.default_rng(seed)
-    sizes = np.array([len(x) for x in items], np.int64)
-    out = np.where(sizes > WALKED, 0, 1)
-    classes = np.searchsorted(CLASSES, sizes, side="right")
-    for c in np.unique(classes[sizes <= WALKED]).tolist():
-        members = [i for i in np.flatnonzero((classes == c) & (sizes <= WALKED)).tolist() if allowed[i]]
-        if not members:
-            continue
-        longest = sorted(members, key=lambda i: (-len(items[i]), i))[:40]
-        plain, changed = [], []
-        for n in range(TRIED):
-            i = longest[n % len(longest)]
-            item, k, words = items[i], allowed[i], items[i].tolist()
-            if n // len(longest) % 2:
-                for at in rng.choice(len(words), k, replace=False).tolist():
-                    words[at] = int(rng.integers(vocabulary))
-            else:
-                for _ in range(k):
-                    kind, at = rng.integers(3), int(rng.integers(len(words)))
-                    words[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(vocabulary))]
-            plain.append(item)
-            changed.append(np.array((words + [UNKNOWN] * k)[: len(item)], np.int64))
-        # both are ordered by the same sizes
-        a, own, _ = _by_size(plain)
-        b = _by_size(changed)[0]
-        missed, r = np.arange(TRIED), 0
-        while len(missed) > (1 - recall) * TRIED / 4:
-            missed = missed[keys_of(a[missed], own[missed], r, seed) != keys_of(b[missed], own[missed], r, seed)]
-            r += 1
-        out[members] = -(-r * 6 // 5)
-    return out
+    longest = sorted(members, key=len)[-40:]
+    plain = [longest[n % len(longest)] for n in range(TRIED)]
+    changed = [_changed(p.tolist(), edits_allowed(len(p), rate), n // len(longest) % 2 == 1, vocabulary, rng) for n, p in enumerate(plain)]
+    r, missed = 0, np.arange(TRIED)
+    while len(missed) > (1 - recall) * TRIED / 4:
+        own, other = ((Walks(s, vocabulary, seed), at) for s, at in (_stream([x[i] for i in missed.tolist()]) for x in (plain, changed)))
+        steps, found = _steps(size, r, seed), []
+        for walks, at in (own, other):
+            walks.start(r)
+            key, known = walks.keys(steps)
+            found.append((key[at], known[at]))
+        missed = missed[(found[0][0] != found[1][0]) | ~found[0][1] | ~found[1][1]]
+        r += 1
+    return -(-r * 6 // 5)
 
 
 def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed: int) -> Index:
@@ -155,34 +197,32 @@ def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed:
         if words:
             ids.append(item_id)
             sequences.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64))
-    allowed = [edits_allowed(len(s), rate) for s in sequences]
-    found: dict[int, list[tuple[int, int]]] = {}
+    n_words = max(1, len(vocabulary))
+    pieces: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for i, s in enumerate(sequences):
-        keys = _gram_keys(s, len(vocabulary), min(3, len(s)))
-        for j, key in enumerate(keys.tolist()):
-            found.setdefault(key, []).append((i, j))
-    grams = np.array(sorted(found), np.int64)
-    postings = [p for g in grams.tolist() for p in found[g]]
-    at = np.concatenate([[0], np.cumsum([len(found[g]) for g in grams.tolist()])]).astype(np.int64)
-    repetitions = _repetitions(sequences, allowed, max(1, len(vocabulary)), recall, seed)
-    rows, sizes, order = _by_size(sequences)
-    keys = []
-    for r in range(int(repetitions.max(initial=0))):
-        has = np.flatnonzero(repetitions[order] > r)
-        keys.append(np.zeros(len(sequences), np.uint64))
-        keys[-1][order[has]] = keys_of(rows[has], sizes[has], r, seed)
-    posting = np.array(postings, np.int64).reshape(-1, 2)
-    return Index(ids, sequences, allowed, vocabulary, grams, at, posting[:, 0], posting[:, 1], np.array([len(s) for s in sequences], np.int64), repetitions, keys, seed)
-
-
-def _gram_keys(words: np.ndarray, vocabulary: int, size: int) -> np.ndarray:
-    """Keys of the runs of ``size`` words, one for each start; -1 where a run holds a word of no item."""
-    key, known = np.zeros(max(0, len(words) - size + 1), np.int64), np.ones(max(0, len(words) - size + 1), bool)
-    for j in range(size):
-        part = words[j : j + len(key)]
-        known &= part >= 0
-        key = key * (vocabulary + 1) + part + 1
-    return np.where(known, key * 4 + size, -1)
+        many = -(-len(s) // LONGEST)
+        cuts = [len(s) * j // many for j in range(many + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            pieces.setdefault(max(c for c in CLASSES if c <= b - a), []).append((i, a, s[a:b]))
+    parts = []
+    for _, those in sorted(pieces.items()):
+        own = [p for *_, p in those]
+        size = min(map(len, own))
+        repetitions = _repetitions(own, size, rate, n_words, recall, seed)
+        stream, starts = _stream(own)
+        walks, steps, keys, owners = Walks(stream, n_words, seed), [], [], []
+        for r in range(repetitions):
+            walks.start(r)
+            steps.append(_steps(size, r, seed))
+            key, known = (x[starts] for x in walks.keys(steps[-1]))
+            order = np.argsort(key[known], kind="stable")
+            keys.append(key[known][order])
+            owners.append(np.flatnonzero(known)[order])
+        edits = [edits_allowed(len(p), rate) for p in own]
+        least, most = min(len(p) - k for p, k in zip(own, edits, strict=True)), max(len(p) + k for p, k in zip(own, edits, strict=True))
+        parts.append(Part(size, np.array([i for i, *_ in those]), np.array([a for _, a, _ in those]), repetitions, steps, keys, owners, least, most))
+    pairs = np.unique(np.concatenate([i * n_words + s for i, s in enumerate(sequences)])) if sequences else np.empty(0, np.int64)
+    return Index(ids, sequences, [edits_allowed(len(s), rate) for s in sequences], vocabulary, pairs, parts, seed)
 
 
 def edit_span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -207,78 +247,141 @@ def edit_span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, j, end
 
 
+def _retrieved(index: Index, part: Part, stream: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place where it would start) for each place of the stream in a bucket of the class.
+
+    Places with too few words of the vocabulary from there on can't match and aren't walked: only they and
+    what their walks may read is put into a shorter stream.
+    """
+    n = len(stream)
+    ahead = known[np.minimum(np.arange(n) + part.reach, n)] - known[:n]
+    possible = ahead >= part.known
+    if not possible.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    reads = max(max(s) for s in part.steps) + 2
+    edge = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(possible)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + reads, n), -1)
+    where = np.flatnonzero(np.cumsum(edge[:n]) > 0)
+    walks, own = Walks(stream[where], max(1, len(index.vocabulary)), index.seed), np.flatnonzero(possible[where])
+    items, places = [], []
+    for r in range(part.repetitions):
+        if not len(part.keys[r]):
+            continue
+        walks.start(r)
+        key, whole = walks.keys(part.steps[r])
+        key, at = key[own], own[whole[own]]
+        key = key[whole[own]]
+        # most places are told apart by 16 bits
+        marked = np.zeros(1 << 16, bool)
+        marked[(part.keys[r] & np.uint64(0xFFFF)).astype(np.int64)] = True
+        likely = np.flatnonzero(marked[(key & np.uint64(0xFFFF)).astype(np.int64)])
+        key, at = key[likely], at[likely]
+        low, high = np.searchsorted(part.keys[r], key, "left"), np.searchsorted(part.keys[r], key, "right")
+        many = high - low
+        flat = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(int(many.sum()))
+        owner = part.owners[r][flat]
+        items.append(part.item[owner])
+        places.append(where[np.repeat(at, many)] - part.offset[owner])
+    return np.concatenate(items), np.concatenate(places)
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
     """(text number, item number, edits, first word, end word, first character, end character): the best place of each item in each text."""
-    known = index.vocabulary.get
+    if not index.items:
+        return []
+    find = index.vocabulary.get
     words = [_WORD.findall(t.lower()) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     # texts stand one behind the other, with padding between
-    starts = np.concatenate([[0], np.cumsum(lengths + 2)]) + 2
-    stream = np.full(int(starts[-1]) + 2, PAD, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+    stream = np.full(int(starts[-1]) + 1, PAD, np.int64)
     for s, w in zip(starts.tolist(), words, strict=False):
-        stream[s : s + len(w)] = [known(x, UNKNOWN) for x in w]
-    if not len(index.grams):
-        return []
-    # items of one or two words have no trigram: the whole item is looked for
-    places, keys = [], []
-    for size in sorted({min(3, n) for n in index.sizes.tolist()}):
-        key = _gram_keys(stream, len(index.vocabulary), size)
-        places.append(np.flatnonzero(key >= 0))
-        keys.append(key[places[-1]])
-    at, keys = np.concatenate(places), np.concatenate(keys)
-    slot = np.minimum(np.searchsorted(index.grams, keys), len(index.grams) - 1)
-    hit = index.grams[slot] == keys
-    at, slot = at[hit], slot[hit]
-    many = index.at[slot + 1] - index.at[slot]
-    flat = np.repeat(index.at[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
-    item, first = index.posting_item[flat], np.repeat(at, many) - index.posting_offset[flat]
-    text = np.searchsorted(starts, np.repeat(at, many), side="right") - 1
-    seeds = np.unique(np.stack([item, text, first], axis=1), axis=0)
-    sizes = index.sizes[seeds[:, 0]]
-    order = np.argsort(-sizes, kind="stable")
-    seeds, sizes = seeds[order], sizes[order]
-    # the window's words; what lies outside its own text or size is padding
-    places = seeds[:, 2, None] + np.arange(int(sizes.max(initial=0)) + 1)
-    low, high = starts[seeds[:, 1], None], (starts[seeds[:, 1]] + lengths[seeds[:, 1]])[:, None]
-    inside = (places >= low) & (places < high) & (places < (seeds[:, 2] + sizes)[:, None])
-    windows = np.where(inside, stream[np.clip(places, 0, len(stream) - 1)], PAD)
-    # a walk must not stop at a window's own missing words
-    windows[(places < low) | ((places >= high) & (places < (seeds[:, 2] + sizes)[:, None]))] = UNKNOWN
-    repetitions = index.repetitions[seeds[:, 0]]
-    collides = repetitions == 0
-    for r in range(int(repetitions.max(initial=0))):
-        left = np.flatnonzero(~collides & (repetitions > r))
-        collides[left] = keys_of(windows[left], sizes[left], r, index.seed) == index.keys[r][seeds[left, 0]]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i, t, s in seeds[collides].tolist():
-        item, k, a = index.items[i], index.allowed[i], int(starts[t])
-        low_at, high_at = max(a, s - k), min(a + int(lengths[t]), s + len(item) + 2 * k)
-        if high_at <= low_at or found.get((t, i), (k + 1,))[0] == 0:
-            continue
-        window = stream[low_at:high_at]
-        if np.isin(item, window).sum() < len(item) - k:  # each edit takes one word of the item at most
+        stream[s : s + len(w)] = [find(x, UNKNOWN) for x in w]
+    known = np.concatenate([[0], np.cumsum(stream >= 0)])
+    found = [_retrieved(index, part, stream, known) for part in index.parts]
+    item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    sizes, allowed = np.array([len(s) for s in index.items]), np.array(index.allowed)
+    # a part of an item may stand in another text than the item's start would
+    text = np.searchsorted(starts, np.clip(place + sizes[item] // 2, 0, len(stream) - 1), side="right") - 1
+    seeds = np.unique(np.stack([text, item, place], axis=1), axis=0)
+    seeds = seeds[seeds[:, 0] < len(texts)]
+    k, m = allowed[seeds[:, 1]], sizes[seeds[:, 1]]
+    low = np.maximum(starts[seeds[:, 0]], seeds[:, 2] - k)
+    high = np.minimum(starts[seeds[:, 0]] + lengths[seeds[:, 0]], seeds[:, 2] + m + 2 * k)
+    # each edit takes one word of the item at most: so many of the window's words must be the item's
+    enough = np.zeros(len(seeds), bool)
+    step = max(1, 2_000_000 // int((m + 3 * k).max(initial=1)))
+    for a in range(0, len(seeds), step):
+        part = slice(a, a + step)
+        at = low[part, None] + np.arange(int((high - low)[part].max(initial=0)))
+        word = stream[np.minimum(at, len(stream) - 1)]
+        inside = (at < high[part, None]) & (word >= 0)
+        pair = seeds[part, 1, None] * max(1, len(index.vocabulary)) + np.maximum(word, 0)
+        slot = np.minimum(np.searchsorted(index.pairs, pair), len(index.pairs) - 1)
+        enough[part] = (inside & (index.pairs[slot] == pair)).sum(axis=1) >= (m - k)[part]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    seen: set[tuple[int, int, int]] = set()
+    for n in np.flatnonzero(enough).tolist():
+        t, i, s = seeds[n].tolist()
+        known_best = best.get((t, i))
+        # neighbouring places see the same words: one look at every k-th is enough, as windows reach k words further
+        if (known_best and known_best[0] == 0) or (t, i, s // (int(k[n]) + 1)) in seen:
             continue
-        edits, x, y = edit_span(item, window)
-        if edits <= k and (edits, low_at + x - a) < found.get((t, i), (k + 1, 0))[:2]:
-            found[(t, i)] = (edits, low_at + x - a, low_at + y - a)
+        seen.add((t, i, s // (int(k[n]) + 1)))
+        a, e = max(int(starts[t]), s - 2 * int(k[n])), min(int(starts[t] + lengths[t]), s + int(m[n]) + 3 * int(k[n]))
+        edits, x, y = edit_span(index.items[i], stream[a:e])
+        place = (edits, a + x - int(starts[t]), a + y - int(starts[t]))
+        if edits <= index.allowed[i] and (known_best is None or place[:2] < known_best[:2]):
+            best[t, i] = place
     out = []
-    for (t, i), (edits, x, y) in sorted(found.items()):
-        spans = [m.span() for m in _WORD.finditer(texts[t].lower())]
+    for (t, i), (edits, x, y) in sorted(best.items()):
+        spans = [w.span() for w in _WORD.finditer(texts[t].lower())]
         out.append((t, i, edits, x, y, spans[x][0] if x < len(spans) else 0, spans[y - 1][1] if y > x else 0))
     return out
 
 
-def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, block_bytes: int, seed: int) -> list:
-    """Broadcast indexes of the items, each of at most ``block_bytes`` of text or so."""
+@lru_cache(maxsize=1)
+def _opened(shared) -> Index:
+    return pickle.loads(shared.value)
+
+
+class _Shared:
+    """A broadcast index that each worker opens once."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @property
+    def value(self) -> Index:
+        return _opened(self.broadcast)
+
+
+def _built(rate: float, recall: float, seed: int):
+    def run(rows: pa.Table) -> pa.Table:
+        items = sorted(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        return pa.table({"block": rows.column("block").slice(0, 1), "packed": pa.array([pickle.dumps(build(items, rate, recall, seed))], pa.binary())})
+
+    return run
+
+
+def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, block_bytes: int, seed: int) -> Iterator[tuple[_Shared, bool]]:
+    """Broadcast indexes of the items, each of at most ``block_bytes`` of text or so, and whether it is the last. One is alive at a time.
+
+    They are built in tasks; the driver reads one block at a time and hands it on.
+    """
     clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) * 2 // block_bytes))
-    out = []
-    for block in range(blocks):
-        part = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else clean
-        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
-        out.append(spark.sparkContext.broadcast(build(rows, rate, recall, seed)))
-    return out
+    clean = clean.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    built = stored(spark, clean.groupBy("block").applyInArrow(_built(rate, recall, seed), "block int, packed binary"), "index")
+    numbers = sorted(r.block for r in built.select("block").collect())
+    for number in numbers:
+        shared = spark.sparkContext.broadcast(bytes(built.where(F.col("block") == number).first().packed))
+        yield _Shared(shared), number == numbers[-1]
+        if number != numbers[-1]:
+            shared.unpersist()
 
 
 def matches(
@@ -296,8 +399,9 @@ def matches(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: ``doc_id``, ``item_id``, ``edits``, ``item_words``, the place in words and in characters.
 
-    Words are runs of letters, digits and underscores of the lower-cased text. An item is in a
-    document if some part of it is within ``rate`` word edits of the item (see ``edits_allowed``);
+    Words are runs of letters, digits and underscores of the lower-cased text; of scripts that put no
+    spaces between words (Han, kana, Thai) each letter is a word. An item is in a
+    document if some part of it is within int(``rate`` * words) word edits of the item;
     of several places the one with the fewest edits, then the first, is returned. A place is found
     with a probability of ``recall`` at the most edits, higher with fewer, always with none.
     Items go to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents
@@ -309,10 +413,11 @@ def matches(
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, edits int, item_words int, first_word int, end_word int, first_char int, end_char int"
     out = None
-    for shared in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
+    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
         found = texts.mapInArrow(_scan(shared), schema)
+        found = found if last else stored(spark, found, "found")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return spark.createDataFrame([], schema) if out is None else out.distinct()
 
 
 def clean(
@@ -327,9 +432,13 @@ def clean(
     block_bytes: int = 16 << 20,
     seed: int = 11,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item (see ``matches``), all columns as they are; no row is moved. Null texts stay."""
-    for shared in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
+    """The rows of ``docs`` that hold no item (see ``matches``), all columns as they are; no row is moved. Null texts stay.
+
+    Between blocks of a large benchmark the rows that are left are written down.
+    """
+    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
         docs = docs.where(~_holds(shared)(F.coalesce(docs[text_col], F.lit(""))))
+        docs = docs if last else stored(spark, docs, "left")
     return docs
 
 
