@@ -7,10 +7,10 @@ samples a few steps of the walk; the words read there are the key of a bucket. T
 place of a text is looked up in the buckets of the items, and each item found is compared
 exactly around that place. Nothing else leads to an item.
 
-Items are grouped in classes of sizes. The windows of a class are as long as its smallest item, so that one
-walk serves all its items, and each class has as many repetitions as it needs for the recall
-asked for. Items of more than ``LONGEST`` words are looked up by their parts: of its edits some part
-has no more than its share.
+Items are grouped in classes of sizes. The windows of a class are as long as its smallest item (``WINDOW``
+words at most), so that one walk serves all its items, and each class has as many repetitions as it needs for the recall
+asked for. Longer items of a class are covered by several such windows, side by side and the last at the
+item's end: of an item's edits some window has no more than its share, wherever they are.
 
 The walks from all places advance together: what n steps move each place on is composed of what
 the first and the last half of them do, without a loop over places.
@@ -34,15 +34,21 @@ from outlay.llm.common import stored
 #: Letters of scripts without spaces between words are words of their own: Thai to Burmese, kana, Han.
 _LETTERS = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_LETTERS}]|[^\W{_LETTERS}]+")
-SAMPLED = 3
+#: Words of a bucket's key, for up to ``FEW`` windows of items in a class and for more: the more there are, the more a key has to tell apart.
+SAMPLED, FEW = (5, 6), 50_000
+#: Keys that are sampled from one walk.
+KEYS = 8
 #: Steps of a walk for each word of a window: the pointer moves on at every other, so that it stays inside.
 STRETCH = 1.7
 UNKNOWN, PAD = -1, -2
 #: Words of documents that are handled at once in a task.
 CHUNK = 1_000_000
-#: Sizes in words at which classes of items start, and the most words that one walk has to cover.
-CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, *(int(13 * 1.5**i) for i in range(6)))
-LONGEST = 96
+#: Places whose walks advance together: what they need stays in a core's cache.
+TOGETHER = 1 << 15
+#: Sizes in words at which classes of items start, and the most words of a window.
+CLASSES, WINDOW = (1, 2, 3, 4, 5, 7, 10, 14), 24
+#: Words are dealt into so many bins, to tell at a glance which places can't be in a bucket.
+BINS = 4096
 #: Changed items of a class on which repetitions are tried.
 TRIED = 640
 
@@ -53,15 +59,16 @@ def edits_allowed(words: int, rate: float) -> int:
 
 @dataclass
 class Part:
-    """Items' parts of one class of sizes and their buckets."""
+    """Windows of the items of one class of sizes and their buckets."""
 
     size: int  # words of a window
     item: np.ndarray
-    offset: np.ndarray  # where the part starts in its item
+    offset: np.ndarray  # where the window starts in its item
     repetitions: int
-    steps: list[list[int]]  # sampled steps of each repetition
-    keys: list[np.ndarray]  # sorted keys of each repetition
-    owners: list[np.ndarray]  # the part behind each key
+    steps: list[list[list[int]]]  # sampled steps of each repetition's keys
+    keys: list[list[np.ndarray]]  # sorted keys
+    owners: list[list[np.ndarray]]  # the window behind each key
+    may: list[list[list[np.ndarray]]]  # the bins of words that stand at each sampled step of some window
     known: int  # fewest words of the vocabulary around a place that can match
     reach: int  # words from a place on in which they are looked for
 
@@ -118,24 +125,43 @@ class Walks:
             return one + two + one * (ahead - two)
         return one + two[np.minimum(self.place + one, len(two) - 1)]
 
-    def keys(self, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each place, and whether all its words are known."""
-        at, key, known, moved = 0, np.zeros(len(self.stream), np.uint64), np.ones(len(self.stream), bool), None
-        for n, step in enumerate(steps):
-            if step > at or moved is None:
-                more = self.moved(at, step - at)
-                moved = more if moved is None else self._then(moved, more, max(2, at))
+    def moves(self, samples: list[list[int]]) -> dict[int, np.ndarray]:
+        """How far each place has moved at each sampled step."""
+        at, moved, out = 0, np.zeros(len(self.stream), np.uint8), {}
+        for step in sorted({x for steps in samples for x in steps}):
+            if step > at:
+                moved = self._then(moved, self.moved(at, step - at), max(2, at))
                 at = step
-            word = self.stream[np.minimum(self.place + moved, len(self.stream) - 1)]
+            out[step] = moved
+        return out
+
+    def keys(self, steps: list[int], moves: dict[int, np.ndarray], at: np.ndarray, may: list[np.ndarray] | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the places ``at``, and those of them whose words are all known.
+
+        ``may``: for each sampled word the bins that some window has there; a place with another is dropped at once.
+        """
+        for n, step in enumerate(steps if may else []):
+            at = at[may[n][bins[at + moves[step][at]]]]
+        key, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+        for n, step in enumerate(steps):
+            word = self.stream[np.minimum(at + moves[step][at], len(self.stream) - 1)]
             known &= word >= 0
             key = key * np.uint64(0xD6E8FEB86659FD93) + word.astype(np.uint64) + np.uint64(n + 1)
-        return key ^ (key >> np.uint64(31)), known
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+        return key[known], at[known]
 
 
-def _steps(size: int, repetition: int, seed: int) -> list[int]:
-    """The sampled steps; those of the first repetition are so early that no window ends before them, so that equal windows always meet."""
-    most = size if repetition == 0 else max(size, int(STRETCH * size))
-    return np.sort(np.random.default_rng([seed, size, repetition]).integers(0, most, SAMPLED)).tolist()
+def _bins(words: np.ndarray) -> np.ndarray:
+    """The bin of each word; those that no item has are apart."""
+    return np.where(words >= 0, (_mix(words, 5) & np.uint64(BINS - 1)).astype(np.int64), BINS)
+
+
+def _steps(size: int, sampled: int, repetition: int, seed: int) -> list[list[int]]:
+    """The sampled steps of each key; those of the very first are so early that no window ends before them, so that equal windows always meet."""
+    rng = np.random.default_rng([seed, size, repetition])
+    most = lambda n: size if repetition == 0 == n else max(size, int(STRETCH * size))
+    return [np.sort(rng.integers(0, most(n), sampled)).tolist() for n in range(KEYS)]
 
 
 def _stream(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,30 +187,41 @@ def _changed(words: list[int], k: int, substitute: bool, vocabulary: int, rng: n
     return np.array(words + [UNKNOWN] * k, np.int64)
 
 
-def _repetitions(parts: list[np.ndarray], size: int, rate: float, vocabulary: int, recall: float, seed: int) -> int:
-    """How many repetitions catch a class's parts with all their edits at rate ``recall``.
+def _offsets(words: int, size: int) -> list[int]:
+    """Where the windows of an item start."""
+    return [*range(0, words - size, size), words - size]
+
 
-    Tried on the longest parts, which have most edits: half of the trials have substituted words
+def _repetitions(items: list[np.ndarray], size: int, sampled: int, rate: float, vocabulary: int, recall: float, seed: int) -> int:
+    """How many repetitions catch a class's items with all their edits at rate ``recall``.
+
+    Tried on its shortest items, which have the fewest windows, and on others: half of the trials have substituted words
     alone, half edits of any kind. Repetitions are added until no more than a fourth of the misses that are
     allowed is left, and then a fifth more of them.
     """
-    members = [p for p in parts if edits_allowed(len(p), rate)]
+    members = sorted((s for s in items if edits_allowed(len(s), rate)), key=len)
     if not members:
         return 1
     rng = np.random.default_rng(seed)
-    longest = sorted(members, key=len)[-40:]
-    plain = [longest[n % len(longest)] for n in range(TRIED)]
-    changed = [_changed(p.tolist(), edits_allowed(len(p), rate), n // len(longest) % 2 == 1, vocabulary, rng) for n, p in enumerate(plain)]
+    tried = members[:30] + [members[i] for i in rng.integers(len(members), size=10).tolist()]
+    plain = [tried[n % len(tried)] for n in range(TRIED)]
+    changed = [_changed(p.tolist(), edits_allowed(len(p), rate), n // len(tried) % 2 == 1, vocabulary, rng) for n, p in enumerate(plain)]
     r, missed = 0, np.arange(TRIED)
     while len(missed) > (1 - recall) * TRIED / 4:
-        own, other = ((Walks(s, vocabulary, seed), at) for s, at in (_stream([x[i] for i in missed.tolist()]) for x in (plain, changed)))
-        steps, found = _steps(size, r, seed), []
-        for walks, at in (own, other):
-            walks.start(r)
-            key, known = walks.keys(steps)
-            found.append((key[at], known[at]))
-        missed = missed[(found[0][0] != found[1][0]) | ~found[0][1] | ~found[1][1]]
-        r += 1
+        (own, at), (other, _) = (_stream([x[i] for i in missed.tolist()]) for x in (plain, changed))
+        windows = np.concatenate([a + np.array(_offsets(len(plain[i]), size)) for a, i in zip(at.tolist(), missed.tolist(), strict=True)])
+        trial = np.repeat(np.arange(len(missed)), [len(_offsets(len(plain[i]), size)) for i in missed.tolist()])
+        of_place = np.append(np.repeat(np.arange(len(missed)), [len(changed[i]) + 1 for i in missed.tolist()]), len(missed))
+        samples, met = _steps(size, sampled, r, seed), np.zeros(len(missed) + 1, bool)
+        one, two = Walks(own, vocabulary, seed), Walks(other, vocabulary, seed)
+        one.start(r)
+        two.start(r)
+        of_window, its, theirs = dict(zip(windows.tolist(), trial.tolist(), strict=True)), one.moves(samples), two.moves(samples)
+        for steps in samples:
+            (a, a_at), (b, b_at) = one.keys(steps, its, windows), two.keys(steps, theirs, np.arange(len(other)))
+            a ^= _mix(np.array([of_window[x] for x in a_at.tolist()], np.int64), 1)
+            met[of_place[b_at[np.isin(b ^ _mix(of_place[b_at], 1), a)]]] = True
+        missed, r = missed[~met[:-1]], r + 1
     return -(-r * 6 // 5)
 
 
@@ -198,29 +235,41 @@ def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed:
             ids.append(item_id)
             sequences.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64))
     n_words = max(1, len(vocabulary))
-    pieces: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    classes: dict[int, list[int]] = {}
     for i, s in enumerate(sequences):
-        many = -(-len(s) // LONGEST)
-        cuts = [len(s) * j // many for j in range(many + 1)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            pieces.setdefault(max(c for c in CLASSES if c <= b - a), []).append((i, a, s[a:b]))
+        classes.setdefault(max(c for c in CLASSES if c <= len(s)), []).append(i)
     parts = []
-    for _, those in sorted(pieces.items()):
-        own = [p for *_, p in those]
-        size = min(map(len, own))
-        repetitions = _repetitions(own, size, rate, n_words, recall, seed)
+    for _, members in sorted(classes.items()):
+        own = [sequences[i] for i in members]
+        size = min(WINDOW, *map(len, own))
+        windows = [(i, o) for i in members for o in _offsets(len(sequences[i]), size)]
+        sampled = SAMPLED[len(windows) > FEW]
+        repetitions = _repetitions(own, size, sampled, rate, n_words, recall, seed)
         stream, starts = _stream(own)
-        walks, steps, keys, owners = Walks(stream, n_words, seed), [], [], []
+        begin = dict(zip(members, starts.tolist(), strict=True))
+        starts = np.array([begin[i] + o for i, o in windows])
+        walks, steps, keys, owners, may = Walks(stream, n_words, seed), [], [], [], []
         for r in range(repetitions):
             walks.start(r)
-            steps.append(_steps(size, r, seed))
-            key, known = (x[starts] for x in walks.keys(steps[-1]))
-            order = np.argsort(key[known], kind="stable")
-            keys.append(key[known][order])
-            owners.append(np.flatnonzero(known)[order])
-        edits = [edits_allowed(len(p), rate) for p in own]
-        least, most = min(len(p) - k for p, k in zip(own, edits, strict=True)), max(len(p) + k for p, k in zip(own, edits, strict=True))
-        parts.append(Part(size, np.array([i for i, *_ in those]), np.array([a for _, a, _ in those]), repetitions, steps, keys, owners, least, most))
+            steps.append(_steps(size, sampled, r, seed))
+            keys.append([])
+            owners.append([])
+            may.append([])
+            moves = walks.moves(steps[-1])
+            for sample in steps[-1]:
+                may[-1].append([])
+                for step in sample:
+                    may[-1][-1].append(np.zeros(BINS + 1, bool))
+                    may[-1][-1][-1][_bins(stream[np.minimum(starts + moves[step][starts], len(stream) - 1)])] = True
+                    may[-1][-1][-1][BINS] = False
+                number = np.argsort(starts, kind="stable")
+                key, at = walks.keys(sample, moves, starts)
+                # a place may start windows of one item only, so that it tells the window
+                order = np.argsort(key, kind="stable")
+                keys[-1].append(key[order])
+                owners[-1].append(number[np.searchsorted(starts[number], at[order])])
+        edits = edits_allowed(size, rate) + 1  # a window's share, and one for windows that overlap
+        parts.append(Part(size, np.array([i for i, _ in windows]), np.array([o for _, o in windows]), repetitions, steps, keys, owners, may, size - edits, size + edits))
     pairs = np.unique(np.concatenate([i * n_words + s for i, s in enumerate(sequences)])) if sequences else np.empty(0, np.int64)
     return Index(ids, sequences, [edits_allowed(len(s), rate) for s in sequences], vocabulary, pairs, parts, seed)
 
@@ -258,35 +307,41 @@ def _retrieved(index: Index, part: Part, stream: np.ndarray, known: np.ndarray)
     possible = ahead >= part.known
     if not possible.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    reads = max(max(s) for s in part.steps) + 2
+    reads = max(x for r in part.steps for s in r for x in s) + 2
     edge = np.zeros(n + 1, np.int64)
     starts = np.flatnonzero(possible)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + reads, n), -1)
     where = np.flatnonzero(np.cumsum(edge[:n]) > 0)
-    walks, own = Walks(stream[where], max(1, len(index.vocabulary)), index.seed), np.flatnonzero(possible[where])
-    items, places = [], []
-    for r in range(part.repetitions):
-        if not len(part.keys[r]):
-            continue
-        walks.start(r)
-        key, whole = walks.keys(part.steps[r])
-        key, at = key[own], own[whole[own]]
-        key = key[whole[own]]
-        # most places are told apart by 16 bits
-        marked = np.zeros(1 << 16, bool)
-        marked[(part.keys[r] & np.uint64(0xFFFF)).astype(np.int64)] = True
-        likely = np.flatnonzero(marked[(key & np.uint64(0xFFFF)).astype(np.int64)])
-        key, at = key[likely], at[likely]
-        low, high = np.searchsorted(part.keys[r], key, "left"), np.searchsorted(part.keys[r], key, "right")
-        many = high - low
-        flat = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(int(many.sum()))
-        owner = part.owners[r][flat]
-        items.append(part.item[owner])
-        places.append(where[np.repeat(at, many)] - part.offset[owner])
+    shorter, own = stream[where], possible[where]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for first in range(0, len(where), TOGETHER):
+        piece = shorter[first : first + TOGETHER + reads]
+        walks, bins = Walks(piece, max(1, len(index.vocabulary)), index.seed), np.append(_bins(piece), np.full(reads, BINS))
+        counted = np.flatnonzero(own[first : first + TOGETHER])
+        for r in range(part.repetitions):
+            walks.start(r)
+            moves = walks.moves(part.steps[r])
+            for n, sample in enumerate(part.steps[r]):
+                key, at = walks.keys(sample, moves, counted, part.may[r][n], bins)
+                if len(at):
+                    found.append(_in_buckets(part, r, n, key, where[first + at]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    items, places = zip(*found, strict=True)
     return np.concatenate(items), np.concatenate(places)
 
 
+def _in_buckets(part: Part, repetition: int, n: int, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place where it would start) for the places ``at`` with these keys."""
+    keys = part.keys[repetition][n]
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    many = high - low
+    flat = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(int(many.sum()))
+    owner = part.owners[repetition][n][flat]
+    return part.item[owner], np.repeat(at, many) - part.offset[owner]
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
     """(text number, item number, edits, first word, end word, first character, end character): the best place of each item in each text."""
     if not index.items:
@@ -305,8 +360,10 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     sizes, allowed = np.array([len(s) for s in index.items]), np.array(index.allowed)
     # a part of an item may stand in another text than the item's start would
     text = np.searchsorted(starts, np.clip(place + sizes[item] // 2, 0, len(stream) - 1), side="right") - 1
-    seeds = np.unique(np.stack([text, item, place], axis=1), axis=0)
-    seeds = seeds[seeds[:, 0] < len(texts)]
+    within = text < len(texts)
+    spread = len(stream) + 2 * int(sizes.max())
+    packed = np.unique((text[within] * len(sizes) + item[within]) * spread + place[within] + int(sizes.max()))
+    seeds = np.stack([packed // spread // len(sizes), packed // spread % len(sizes), packed % spread - int(sizes.max())], axis=1)
     k, m = allowed[seeds[:, 1]], sizes[seeds[:, 1]]
     low = np.maximum(starts[seeds[:, 0]], seeds[:, 2] - k)
     high = np.minimum(starts[seeds[:, 0]] + lengths[seeds[:, 0]], seeds[:, 2] + m + 2 * k)
