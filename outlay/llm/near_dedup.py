@@ -1,13 +1,14 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Texts are sketched once; equal texts collapse to one class before anything is compared.
-Bands of the signature retrieve candidates. A bucket is never expanded into all its pairs:
-its members are compared with one hub, the member that meets most others, and verified links
-are merged into components. Members of a cluster of buckets that are still apart from its main
-component are then compared in bounded blocks, inside tasks, and only links come out.
+Bands of the signature retrieve candidates; buckets with the same members count once. A bucket is
+never expanded into all its pairs: its members are compared with one hub, the member that meets most
+others, and verified links are merged into components. Members of one bucket that are then in
+different components are compared in bounded blocks, inside tasks: first their signatures, then
+the texts of those that have a plausible partner; only links come out.
 Candidates are compared batch by batch of their signatures and dropped as soon as the
 posterior probability of reaching the threshold falls under ``miss``; survivors are
-confirmed on their full shingle sets.
+confirmed on their full shingle sets. Texts are sent for survivors alone.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from outlay.llm.common import WordHashes, likely_among, shingle_set, stored, words_of
+from outlay.llm.common import WordHashes, likely_among, shingle_set, spread_join, stored, words_of
 
 #: 24 bands of 5 rows: two texts at similarity 0.85 share a band but for once in a million (at 0.8, once in 15,000).
 ROWS, BANDS, BATCH = 5, 24, 20
 SIZE = ROWS * BANDS
 #: Rows of a block, and rows that are compared with it in one unit of work.
-BLOCK, PROBES = 256, 4096
+BLOCK, PROBES = 256, 1024
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 2**31, SIZE, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, SIZE, dtype=np.uint64).astype(np.uint32)
@@ -80,33 +82,23 @@ def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            prints, counts, bands = [], [], []
+            prints, counts, bands, signatures = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
                 found = shingle_set(words, size, hashes)
+                low = signature(found) if words else None
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 counts.append(len(found))
-                bands.append(band_keys(signature(found)) if words else None)
+                bands.append(band_keys(low) if words else None)
+                signatures.append(low.tobytes() if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "print", "n_shingles", "bands"],
+                [batch.column("id"), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                names=["id", "print", "n_shingles", "bands", "signature"],
             )
 
     return run
 
 
-def _signed(size: int):
-    """Adds the signature to rows of ``class`` and ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            signatures = [signature(shingle_set(words_of(t), size, hashes)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(signatures, pa.binary()), batch.column("text")], names=["class", "signature", "text"])
-
-    return run
-
-
 def _matrix(signatures: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, SIZE)
 
@@ -115,20 +107,57 @@ def _linked(both: int, a: int, b: int, part: int, whole: int) -> bool:
     return both > 0 and whole * both >= part * (a + b - both)
 
 
-def _verify(size: int, part: int, whole: int, least: list[tuple[int, int]]):
-    """Pairs with both signatures and texts: the Bayesian test, then the full sets."""
+def _survivors(least: list[tuple[int, int]]):
+    """Pairs with both signatures: those that pass the Bayesian test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alive = plausible(_matrix(batch.column("signature_a").to_pylist()), _matrix(batch.column("signature_b").to_pylist()), least)
+            yield batch.filter(pa.array(alive)).select(["a", "b"])
+
+    return run
+
+
+def _verify(size: int, part: int, whole: int):
+    """Pairs with both texts: those whose full sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(), (None, None)
         for batch in batches:
-            likely = batch.filter(pa.array(plausible(_matrix(batch.column("signature_a").to_pylist()), _matrix(batch.column("signature_b").to_pylist()), least)))
             keep = []
-            for ta, tb in zip(*(likely.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
+            for ta, tb in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
                 if last[0] != tb:
                     last = tb, shingle_set(words_of(tb), size, hashes)
                 a, b = shingle_set(words_of(ta), size, hashes), last[1]
                 keep.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), part, whole))
-            yield likely.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _partners(least: list[tuple[int, int]], kind: pa.DataType):
+    """Streams over rows ordered by unit, first a unit's block: the members that have a plausible partner in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = rows = None
+        block: list = []
+        for batch in batches:
+            out, found = [], set()
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "probe", "class", "component", "signature")]
+            for bucket, number, salt, probe, id_, component, sign in zip(*columns, strict=True):
+                if (bucket, number, salt) != unit:
+                    unit, block, rows = (bucket, number, salt), [], None
+                if not probe:
+                    block.append((id_, component, sign))
+                    continue
+                if rows is None:
+                    rows, labels = _matrix([x[2] for x in block]), np.array([x[1] for x in block])
+                at = np.flatnonzero(labels != component) if block else np.empty(0, np.int64)
+                at = at[plausible(rows[at], np.broadcast_to(np.frombuffer(sign, np.uint32), (len(at), SIZE)), least)] if len(at) else at
+                if len(at):
+                    found |= {(bucket, x) for x in (id_, *(block[i][0] for i in at.tolist()))}
+            out = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], kind)], names=["bucket", "class"])
 
     return run
 
@@ -178,7 +207,6 @@ class _Block:
         if outside:  # it stands in a block itself: each pair once
             left &= self.order_ids < id_
         at = np.flatnonzero(left)
-        at = at[(self.rows[at] == row).reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]  # banded candidates
         at = at[plausible(self.rows[at], np.broadcast_to(row, (len(at), SIZE)), self.least)]
         if not len(at):
             return []
@@ -202,12 +230,12 @@ def _compare(size: int, part: int, whole: int, least: list[tuple[int, int]], kin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unit, block = WordHashes(), None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "block", "salt", "probe", "class", "component", "outside", "signature")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "probe", "class", "component", "outside", "signature")]
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             a, b = [], []
-            for cluster, number, salt, probe, id_, component, outside, sign, text in zip(*columns, texts, strict=True):
-                if (cluster, number, salt) != unit:
-                    unit, block = (cluster, number, salt), _Block(size, part, whole, least, hashes)
+            for bucket, number, salt, probe, id_, component, outside, sign, text in zip(*columns, texts, strict=True):
+                if (bucket, number, salt) != unit:
+                    unit, block = (bucket, number, salt), _Block(size, part, whole, least, hashes)
                 if not probe:
                     block.add(id_, component, sign, text)
                     continue
@@ -262,55 +290,77 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    sketches = stored(spark, texts.mapInArrow(_sketches(shingle), f"id {kind}, print binary, n_shingles long, bands array<long>"), "sketches")
+    sketches = stored(spark, texts.mapInArrow(_sketches(shingle), f"id {kind}, print binary, n_shingles long, bands array<long>, signature binary"), "sketches")
     named = sketches.where("n_shingles > 0 and id is not null")
     classes = named.groupBy("print").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     # only classes with copies need a join to tell their rows the class
-    several = classes.where("copies > 1").select("print", "class")
-    members = stored(spark, named.select("id", "print").join(several, "print").select("id", "print", "class").distinct(), "members", narrow=True)
+    several = stored(spark, classes.where("copies > 1"), "several", narrow=True)
+    copies = likely_among(named.select("id", "print"), "print", several.select("print"))
+    members = stored(spark, spread_join(copies, several, "print", "copies", ["id"]).select("id", "print", "class").distinct(), "members", narrow=True)
     others = members.where("id <> class")
-    first = named.join(others.select("id", "print"), ["id", "print"], "left_anti").select(F.col("id").alias("class"), "n_shingles", "bands")
+    first = named.join(others.select("id", "print"), ["id", "print"], "left_anti").select(F.col("id").alias("class"), "n_shingles", "bands", "signature")
     # an id that stands with several texts links their classes
     repeated = named.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high")
     same_id = others.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("class").alias("b"))
 
-    # buckets of two or more classes; the hub is the class that meets most others
+    # buckets of two or more classes, one of those with the same members; the hub is the class that meets most others
     keyed = first.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    busy = stored(spark, keyed.join(sizes, "bucket"), "buckets")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("print"), F.min("class").alias("low"), F.max("class").alias("high")).where("size > 1")
+    sizes = stored(spark, sizes.groupBy("print", "size", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", "size", F.col("size").alias("uses")), "sizes", narrow=True)
+    busy = stored(spark, spread_join(likely_among(keyed, "bucket", sizes.select("bucket")), sizes, "bucket", "uses", ["class"]), "buckets", narrow=True)
     meets = busy.groupBy("class").agg(F.sum("size").alias("meets"))
-    ranked = busy.join(meets, "class")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("hub")).select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"))
-    stars = busy.join(hubs, "bucket").where("class <> b").select(F.col("class").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct()
-    stars = stored(spark, stars, "stars", narrow=True)
-
-    # ids are distinct, so the join is a semi-join; written as one, it would be moved below the bit map
-    wanted = busy.select(F.col("class").alias("id")).distinct()
-    of_class = likely_among(texts.where("text is not null"), "id", wanted).join(wanted, "id").withColumnRenamed("id", "class")
-    of_class = stored(spark, of_class.mapInArrow(_signed(shingle), f"class {kind}, signature binary, text string"), "texts")
-    least = least_matches(part / whole, miss)
-    possible = (F.col("n_a") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n_a") * part)
-    pairs = stars.where(possible).select("a", "b").join(of_class.toDF("a", "signature_a", "text_a"), "a").join(of_class.toDF("b", "signature_b", "text_b"), "b")
-    pairs = pairs.select("a", "b", "signature_a", "signature_b", "text_a", "text_b")
-    links = stored(spark, pairs.mapInArrow(_verify(shingle, part, whole, least), f"a {kind}, b {kind}").union(same_id), "links")
-
-    # clusters of buckets, the components inside them, and who stands apart from the main one
+    hubs = busy.join(meets, "class").groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("hub"), F.count(F.lit(1)).alias("uses"))
+    hubs = stored(spark, hubs.select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), "uses"), "hubs", narrow=True)
+    spokes = stored(spark, spread_join(busy, hubs, "bucket", "uses", ["class"]).where("class <> b").select("bucket", "class", "n", "b", "n_b"), "spokes", narrow=True)
+    possible = (F.col("n") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n") * part)
+    stars = spokes.where(possible).select(F.col("class").alias("a"), "b").distinct()
+
+    wanted = busy.select("class").distinct()
+    signed = stored(spark, likely_among(first.select("class", "signature"), "class", wanted).join(wanted, "class"), "signatures")
+    least, arrow = least_matches(part / whole, miss), to_arrow_type(texts.schema["id"].dataType)
+    pairs = stars.join(signed.toDF("a", "signature_a"), "a").join(signed.toDF("b", "signature_b"), "b")
+    pairs = stored(spark, pairs.mapInArrow(_survivors(least), f"a {kind}, b {kind}"), "survivors", narrow=True)
+
+    def with_texts(ids: DataFrame) -> DataFrame:
+        """``class`` and ``text`` of some classes; ids are distinct, so the join is a semi-join, but written as one it would be moved below the bit map."""
+        ids = ids.toDF("id").distinct()
+        return likely_among(texts.where("text is not null"), "id", ids).join(ids, "id").select(F.col("id").alias("class"), "text")
+
+    of_class = stored(spark, with_texts(pairs.select("a").union(pairs.select("b"))), "texts")
+    both = pairs.join(of_class.toDF("a", "text_a"), "a").join(of_class.toDF("b", "text_b"), "b")
+    links = stored(spark, both.mapInArrow(_verify(shingle, part, whole), f"a {kind}, b {kind}").union(same_id), "links")
     label = components(spark, links)
-    inside = components(spark, stars.select("a", "b")).toDF("class", "cluster").join(label.toDF("class", "component"), "class", "left")
-    inside = stored(spark, inside.withColumn("component", F.coalesce("component", "class")), "clusters", narrow=True)
-    each = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    units = each.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("all > main.n")
-    units = units.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / PROBES).cast("int").alias("salts"))
-    apart = inside.join(units, "cluster").withColumn("outside", F.col("component") != F.col("main"))
-    hashed = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    of_block = apart.where("outside").select("cluster", hashed("blocks", 1).alias("block"), every("salts").alias("salt"), F.lit(False).alias("probe"), "class", "component", "outside")
-    probes = apart.select("cluster", every("blocks").alias("block"), hashed("salts", 2).alias("salt"), F.lit(True).alias("probe"), "class", "component", "outside")
-    unit = ["cluster", "block", "salt"]
-    rows = of_block.union(probes).join(of_class, "class").select(*unit, "probe", "class", "component", "outside", "signature", "text")
-    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "probe")
-    more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, _arrow_type(kind)), f"a {kind}, b {kind}"), "more")
-    if not more.isEmpty():
+
+    # pairs that no hub has met: members of one bucket in different components
+    def units(of_bucket: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Who is in a bucket's blocks (those outside its main component) and who is compared with them (all); a unit has at most ``BLOCK`` and ``PROBES`` of them or so."""
+        each = of_bucket.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        open_ = each.groupBy("bucket").agg(F.sum("n").alias("uses"), F.max(F.struct("n", "component")).alias("main")).where("uses > main.n")
+        open_ = open_.select("bucket", "uses", F.col("main.component").alias("main"), F.ceil((F.col("uses") - F.col("main.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("uses") / PROBES).cast("int").alias("salts"))
+        open_ = stored(spark, open_, f"{name}-open", narrow=True)
+        apart = stored(spark, spread_join(of_bucket, open_, "bucket", "uses", ["class"]).withColumn("outside", F.col("component") != F.col("main")), f"{name}-apart", narrow=True)
+        hashed = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        of_block = apart.where("outside").select("bucket", hashed("blocks", 1).alias("block"), every("salts").alias("salt"), F.lit(False).alias("probe"), "class", "component", "outside")
+        probes = apart.select("bucket", every("blocks").alias("block"), hashed("salts", 2).alias("salt"), F.lit(True).alias("probe"), "class", "component", "outside")
+        return of_block.union(probes), apart
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "probe")
+
+    labelled = spokes.select("bucket", "class").join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows, apart = units(stored(spark, labelled, "labelled", narrow=True), "signed")
+    rows = rows.drop("outside").join(signed, "class")
+    flagged = dealt(rows.select("bucket", "block", "salt", "probe", "class", "component", "signature")).mapInArrow(_partners(least, arrow), f"bucket long, class {kind}")
+    flagged = stored(spark, flagged.distinct(), "flagged", narrow=True)
+    more = None
+    if not flagged.isEmpty():
+        rows, _ = units(stored(spark, apart.select("bucket", "class", "component").join(flagged, ["bucket", "class"]), "plausible", narrow=True), "texts")
+        meeting = flagged.select("class").distinct()
+        signed_texts = stored(spark, with_texts(meeting).join(signed, "class"), "signed-texts")
+        rows = dealt(rows.join(signed_texts, "class").select("bucket", "block", "salt", "probe", "class", "component", "outside", "signature", "text"))
+        more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, arrow), f"a {kind}, b {kind}"), "more", narrow=True)
+    if more is not None and not more.isEmpty():
         # what is linked now joins whole components
         low = lambda c: label.toDF(c, f"of_{c}")
         joined = more.join(low("a"), "a", "left").join(low("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
@@ -326,10 +376,6 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id, all columns as they are.
 
