@@ -3,7 +3,8 @@
 Texts are sketched once; equal texts collapse to one class before anything is compared.
 Bands of the signature retrieve candidates; buckets with the same members count once. A bucket is
 never expanded into all its pairs: its members are compared with one hub, the member that meets most
-others, and verified links are merged into components. Members of one bucket that are then in
+others (first each text with one of its hubs, then with those it isn't yet connected with), and verified
+links are merged into components. Members of one bucket that are then in
 different components are compared in bounded blocks, inside tasks: first their signatures, then
 the texts of those that have a plausible partner; only links come out.
 Candidates are compared batch by batch of their signatures and dropped as soon as the
@@ -87,10 +88,11 @@ def _sketches(size: int):
                 words = words_of(text)
                 found = shingle_set(words, size, hashes)
                 low = signature(found) if words else None
+                # a byte of each minimum is enough to compare them; chance matches only make the test more careful
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 counts.append(len(found))
                 bands.append(band_keys(low) if words else None)
-                signatures.append(low.tobytes() if words else None)
+                signatures.append(low.astype(np.uint8).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
                 names=["id", "print", "n_shingles", "bands", "signature"],
@@ -100,7 +102,7 @@ def _sketches(size: int):
 
 
 def _matrix(signatures: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, SIZE)
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, SIZE)
 
 
 def _linked(both: int, a: int, b: int, part: int, whole: int) -> bool:
@@ -153,7 +155,7 @@ def _partners(least: list[tuple[int, int]], kind: pa.DataType):
                 if rows is None:
                     rows, labels = _matrix([x[2] for x in block]), np.array([x[1] for x in block])
                 at = np.flatnonzero(labels != component) if block else np.empty(0, np.int64)
-                at = at[plausible(rows[at], np.broadcast_to(np.frombuffer(sign, np.uint32), (len(at), SIZE)), least)] if len(at) else at
+                at = at[plausible(rows[at], np.broadcast_to(np.frombuffer(sign, np.uint8), (len(at), SIZE)), least)] if len(at) else at
                 if len(at):
                     found |= {(bucket, x) for x in (id_, *(block[i][0] for i in at.tolist()))}
             out = list(found)
@@ -202,7 +204,7 @@ class _Block:
         if self.rows is None:
             self._close()
         own = self.root(component)
-        row = np.frombuffer(signature_, np.uint32)
+        row = np.frombuffer(signature_, np.uint8)
         left = self.labels != own
         if outside:  # it stands in a block itself: each pair once
             left &= self.order_ids < id_
@@ -277,7 +279,7 @@ def near_duplicates(
     shingle: int = 5,
     part: int = 80,
     whole: int = 100,
-    miss: float = 1e-9,
+    miss: float = 1e-6,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
@@ -310,26 +312,44 @@ def near_duplicates(
     busy = stored(spark, spread_join(likely_among(keyed, "bucket", sizes.select("bucket")), sizes, "bucket", "uses", ["class"]), "buckets", narrow=True)
     meets = busy.groupBy("class").agg(F.sum("size").alias("meets"))
     hubs = busy.join(meets, "class").groupBy("bucket").agg(F.max(F.struct("meets", "class", "n")).alias("hub"), F.count(F.lit(1)).alias("uses"))
-    hubs = stored(spark, hubs.select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), "uses"), "hubs", narrow=True)
-    spokes = stored(spark, spread_join(busy, hubs, "bucket", "uses", ["class"]).where("class <> b").select("bucket", "class", "n", "b", "n_b"), "spokes", narrow=True)
-    possible = (F.col("n") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n") * part)
-    stars = spokes.where(possible).select(F.col("class").alias("a"), "b").distinct()
-
+    hubs = stored(spark, hubs.select("bucket", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.meets").alias("meets"), "uses"), "hubs", narrow=True)
+    spokes = stored(spark, spread_join(busy, hubs, "bucket", "uses", ["class"]).where("class <> b").select("bucket", "class", "n", "b", "n_b", "meets"), "spokes", narrow=True)
     wanted = busy.select("class").distinct()
     signed = stored(spark, likely_among(first.select("class", "signature"), "class", wanted).join(wanted, "class"), "signatures")
     least, arrow = least_matches(part / whole, miss), to_arrow_type(texts.schema["id"].dataType)
-    pairs = stars.join(signed.toDF("a", "signature_a"), "a").join(signed.toDF("b", "signature_b"), "b")
-    pairs = stored(spark, pairs.mapInArrow(_survivors(least), f"a {kind}, b {kind}"), "survivors", narrow=True)
 
     def with_texts(ids: DataFrame) -> DataFrame:
         """``class`` and ``text`` of some classes; ids are distinct, so the join is a semi-join, but written as one it would be moved below the bit map."""
         ids = ids.toDF("id").distinct()
         return likely_among(texts.where("text is not null"), "id", ids).join(ids, "id").select(F.col("id").alias("class"), "text")
 
-    of_class = stored(spark, with_texts(pairs.select("a").union(pairs.select("b"))), "texts")
-    both = pairs.join(of_class.toDF("a", "text_a"), "a").join(of_class.toDF("b", "text_b"), "b")
-    links = stored(spark, both.mapInArrow(_verify(shingle, part, whole), f"a {kind}, b {kind}").union(same_id), "links")
-    label = components(spark, links)
+    def verified(stars: DataFrame) -> DataFrame:
+        """The pairs (``a``, ``b``) that are linked: signatures first, then the texts of those that survive."""
+        pairs = stars.join(signed.toDF("a", "signature_a"), "a").join(signed.toDF("b", "signature_b"), "b")
+        pairs = stored(spark, pairs.mapInArrow(_survivors(least), f"a {kind}, b {kind}"), "survivors", narrow=True)
+        of_class = stored(spark, with_texts(pairs.select("a").union(pairs.select("b"))), "texts")
+        both = pairs.join(of_class.toDF("a", "text_a"), "a").join(of_class.toDF("b", "text_b"), "b")
+        return stored(spark, both.mapInArrow(_verify(shingle, part, whole), f"a {kind}, b {kind}"), "links", narrow=True)
+
+    def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+        """The components (``node``, ``component``) after more links."""
+        low = lambda c: label.toDF(c, f"of_{c}")
+        ends = links.join(low("a"), "a", "left").join(low("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        merged = components(spark, ends).toDF("component", "root")
+        label = label.union(links.select("a", "a").union(links.select("b", "b")).distinct().join(label.select(F.col("node").alias("a")), "a", "left_anti").toDF("node", "component"))
+        return label.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+    possible = (F.col("n") * whole >= F.col("n_b") * part) & (F.col("n_b") * whole >= F.col("n") * part)
+    stars = spokes.where(possible).groupBy(F.col("class").alias("a")).agg(F.max_by("b", F.struct("meets", "b")).alias("b"))
+    label = stored(spark, components(spark, verified(stars).union(same_id)), "label", narrow=True)
+    of_hub = label.toDF("b", "of_b")
+    stars = labelled(spokes.where(possible)).join(of_hub, "b", "left").where(F.col("component") != F.coalesce("of_b", "b")).select(F.col("class").alias("a"), "b").distinct()
+    links = verified(stored(spark, stars, "stars", narrow=True))
+    if not links.isEmpty():
+        label = stored(spark, joined(label, links), "label", narrow=True)
 
     # pairs that no hub has met: members of one bucket in different components
     def units(of_bucket: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -348,11 +368,13 @@ def near_duplicates(
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "block", "salt").sortWithinPartitions("bucket", "block", "salt", "probe")
 
-    labelled = spokes.select("bucket", "class").join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rows, apart = units(stored(spark, labelled, "labelled", narrow=True), "signed")
+    rows, apart = units(stored(spark, labelled(spokes.select("bucket", "class")), "labelled", narrow=True), "signed")
     rows = rows.drop("outside").join(signed, "class")
     flagged = dealt(rows.select("bucket", "block", "salt", "probe", "class", "component", "signature")).mapInArrow(_partners(least, arrow), f"bucket long, class {kind}")
     flagged = stored(spark, flagged.distinct(), "flagged", narrow=True)
+    same = flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("print"), F.min("class").alias("low"), F.max("class").alias("high"))
+    same = same.groupBy("size", "print", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket")
+    flagged = stored(spark, flagged.join(same, "bucket"), "distinct", narrow=True)
     more = None
     if not flagged.isEmpty():
         rows, _ = units(stored(spark, apart.select("bucket", "class", "component").join(flagged, ["bucket", "class"]), "plausible", narrow=True), "texts")
@@ -361,12 +383,7 @@ def near_duplicates(
         rows = dealt(rows.join(signed_texts, "class").select("bucket", "block", "salt", "probe", "class", "component", "outside", "signature", "text"))
         more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, arrow), f"a {kind}, b {kind}"), "more", narrow=True)
     if more is not None and not more.isEmpty():
-        # what is linked now joins whole components
-        low = lambda c: label.toDF(c, f"of_{c}")
-        joined = more.join(low("a"), "a", "left").join(low("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-        merged = components(spark, joined).toDF("component", "root")
-        label = label.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(label.select(F.col("node").alias("a")), "a", "left_anti").toDF("node", "component"))
-        label = label.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        label = joined(label, more)
 
     root = members.join(label.toDF("class", "root"), "class", "full").select(F.coalesce("id", "class").alias("id"), F.coalesce("root", "class").alias("root"))
     root = root.groupBy("id").agg(F.min("root").alias("root"))

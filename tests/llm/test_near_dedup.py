@@ -116,7 +116,7 @@ def test_components_of_chains_and_cycles(spark):
 
 
 def test_pruning_misses_as_rarely_as_chosen():
-    least = N.least_matches(0.85, 1e-9)
+    least = N.least_matches(0.85, 1e-6)
     assert [n for n, _ in least] == list(range(20, 121, 20))
     rng = np.random.default_rng(1)
     same = rng.random((20_000, N.SIZE)) < 0.85
