@@ -326,10 +326,10 @@ def near_duplicates(
     def verified(stars: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``) that are linked: signatures first, then the texts of those that survive."""
         pairs = stars.join(signed.toDF("a", "signature_a"), "a").join(signed.toDF("b", "signature_b"), "b")
-        pairs = stored(spark, pairs.mapInArrow(_survivors(least), f"a {kind}, b {kind}"), "survivors", narrow=True)
+        pairs = stored(spark, pairs.mapInArrow(_survivors(least), f"a {kind}, b {kind}"), "survivors")
         of_class = stored(spark, with_texts(pairs.select("a").union(pairs.select("b"))), "texts")
         both = pairs.join(of_class.toDF("a", "text_a"), "a").join(of_class.toDF("b", "text_b"), "b")
-        return stored(spark, both.mapInArrow(_verify(shingle, part, whole), f"a {kind}, b {kind}"), "links", narrow=True)
+        return stored(spark, both.mapInArrow(_verify(shingle, part, whole), f"a {kind}, b {kind}"), "links")
 
     def joined(label: DataFrame, links: DataFrame) -> DataFrame:
         """The components (``node``, ``component``) after more links."""
@@ -381,7 +381,7 @@ def near_duplicates(
         meeting = flagged.select("class").distinct()
         signed_texts = stored(spark, with_texts(meeting).join(signed, "class"), "signed-texts")
         rows = dealt(rows.join(signed_texts, "class").select("bucket", "block", "salt", "probe", "class", "component", "outside", "signature", "text"))
-        more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, arrow), f"a {kind}, b {kind}"), "more", narrow=True)
+        more = stored(spark, rows.mapInArrow(_compare(shingle, part, whole, least, arrow), f"a {kind}, b {kind}"), "more")
     if more is not None and not more.isEmpty():
         label = joined(label, more)
 
