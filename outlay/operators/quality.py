@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.functions import numbers, text
@@ -31,11 +31,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.join(several, keys)
 
 
-def _duplicates(df: DataFrame, null_amounts: bool) -> DataFrame:
-    rows = df.where("invoice_number is not null")
-    rows = rows if null_amounts else rows.where("base_amount is not null")
-    counts = rows.groupBy("invoice_number", "base_amount").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_invoice_risk"))
+def invoice_counts(df: DataFrame, *more: Column) -> DataFrame:
+    """Rows of each invoice number and amount."""
+    return df.where("invoice_number is not null").groupBy("invoice_number", "base_amount").agg(F.count(F.lit(1)).alias("n"), *more)
+
+
+def _duplicates(counts: DataFrame, null_amounts: bool) -> DataFrame:
+    rows = counts if null_amounts else counts.where("base_amount is not null")
+    return rows.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_invoice_risk"))
 
 
 def _names(df: DataFrame, any_null: bool) -> DataFrame:
@@ -46,6 +49,19 @@ def _names(df: DataFrame, any_null: bool) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("names"), F.count_if(missing).alias("unresolved_suppliers"))
 
 
+def values(by_words: bool = True) -> dict[str, Column]:
+    """What each check counts or sums in one pass over the rows."""
+    spend = lambda c: numbers.total(F.when(c, F.abs("base_amount")))
+    weak = text.weak_description_words(F.col("raw_line_description")) if by_words else text.weak_description_chars(F.col("raw_line_description"))
+    out: dict[str, Column] = {"rows": F.count(F.lit(1)).cast("double"), "spend": numbers.total(F.abs("base_amount"))}
+    for check, of, *_ in CHECKS:
+        if check in ("unresolved_suppliers", "duplicate_invoice_risk"):
+            continue
+        rows = weak if check == "weak_descriptions" else PROBLEMS[check]()
+        out[check] = spend(rows) if of == "spend" else F.count_if(rows).cast("double")
+    return out
+
+
 def diagnose(df: DataFrame, by_words: bool = True) -> DataFrame:
     """Nine rows: ``check``, ``value``, ``pct``, ``status``.
 
@@ -53,16 +69,13 @@ def diagnose(df: DataFrame, by_words: bool = True) -> DataFrame:
     supplier, and duplicates need an amount. Otherwise: under 20 characters, any row without one, and
     null amounts are equal. No rows give zeros.
     """
-    spend = lambda c: numbers.total(F.when(c, F.abs("base_amount")))
-    weak = text.weak_description_words(F.col("raw_line_description")) if by_words else text.weak_description_chars(F.col("raw_line_description"))
-    values: dict[str, Column] = {"rows": F.count(F.lit(1)).cast("double"), "spend": numbers.total(F.abs("base_amount"))}
-    for check, of, *_ in CHECKS:
-        if check in ("unresolved_suppliers", "duplicate_invoice_risk"):
-            continue
-        rows = weak if check == "weak_descriptions" else PROBLEMS[check]()
-        values[check] = spend(rows) if of == "spend" else F.count_if(rows).cast("double")
-    one = df.agg(*[v.alias(k) for k, v in values.items()])
-    one = one.join(F.broadcast(_names(df, not by_words))).join(F.broadcast(_duplicates(df, not by_words)))
+    one = df.agg(*[v.alias(k) for k, v in values(by_words).items()])
+    one = one.join(F.broadcast(_names(df, not by_words))).join(F.broadcast(_duplicates(invoice_counts(df), not by_words)))
+    return _banded(one)
+
+
+def _banded(one: DataFrame) -> DataFrame:
+    """From the row of all values to the nine rows."""
     result = []
     for check, of, first, second in CHECKS:
         pct = F.round(numbers.ratio(F.col(check), F.col(of)) * 100, 2)
@@ -81,9 +94,13 @@ def scorecard(df: DataFrame, by_words: bool = True) -> DataFrame:
 
 def score_for_kpis(df: DataFrame) -> DataFrame:
     """One row: the mean of 100, 60 and 20 for green, amber and red; other states count 0."""
+    return score_of(diagnose(df))
+
+
+def score_of(checks: DataFrame) -> DataFrame:
     state = F.col("status")
     points = F.when(state == "GREEN", 100.0).when(state == "AMBER", 60.0).when(state == "RED", 20.0).otherwise(0.0)
-    return diagnose(df).agg(F.round(F.avg(points), 1).alias("data_quality_score"))
+    return checks.agg(F.round(F.avg(points), 1).alias("data_quality_score"))
 
 
 def by_severity(checks: DataFrame) -> DataFrame:
@@ -93,9 +110,12 @@ def by_severity(checks: DataFrame) -> DataFrame:
 
 def occurrences(df: DataFrame) -> DataFrame:
     """All rows with the number of rows that share their invoice number and amount (0 where one is missing)."""
-    same = Window.partitionBy("invoice_number", "base_amount")
-    known = F.col("invoice_number").isNotNull() & F.col("base_amount").isNotNull()
-    return df.withColumn("occurrences", F.when(known, F.count(F.lit(1)).over(same)).otherwise(0))
+    keys = ["invoice_number", "base_amount"]
+    # counted first: rows that miss a key, however many, aren't sent to one task
+    known = df.where("invoice_number is not null and base_amount is not null")
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
+    rest = df.where("invoice_number is null or base_amount is null").withColumn("occurrences", F.lit(0).cast("long"))
+    return known.join(counts, keys).select(*df.columns, "occurrences").unionByName(rest)
 
 
 def reconcile(landed: DataFrame, facts: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay import reference
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers
-from outlay.operators import kpis
-from outlay.operators.filters import addressable
+from outlay.operators.filters import addressable_rows
+from outlay.operators.prefix import with_running
+from outlay.operators.segments import flag_tail
+from outlay.sources.scratch import stored
 
 COLUMNS = ("type", "context", "evidence", "estimated_impact", "confidence", "action", "lever", "baseline_spend", "addressability_pct", "saving_pct", "addressable_baseline")
 _MONEY = "decimal(18,2)"
@@ -44,16 +46,74 @@ def _finish(rows: DataFrame, type_: str, confidence, lever: str, context: Column
     )
 
 
+_KEYS = ("canonical_supplier_id", "category_l1", "category_l2", "category_l3")
+
+
+def cells(df: DataFrame) -> DataFrame:
+    """Transactions summed up by supplier and category: all that the rules need, in one pass; cells are returned as they are.
+
+    Keys and sums whose columns ``df`` lacks are left out, and with them the rules that need them.
+    """
+    if "cell_rows" in df.columns:
+        return df
+    have, c = set(df.columns), F.col
+    rows = addressable_rows()
+    amount = c("base_amount").cast(_MONEY)
+    priced = rows & (c("unit_price") > 0)
+    known = rows & c("payment_terms_days").isNotNull()
+    offered = rows & (c("has_early_payment_discount") == 1) & (c("discount_percent") > 0)
+    off_contract = F.coalesce(c("is_on_contract"), F.lit(0)) != 1 if "is_on_contract" in have else F.lit(True)
+    price, percent = c("unit_price").cast(_MONEY), c("discount_percent").cast("decimal(7,4)")
+    sums: dict[str, tuple[set[str], Column]] = {
+        "cell_rows": (set(), F.count_if(rows)),
+        "spend": (set(), F.sum(F.when(rows, amount))),
+        "all_spend": (set(), F.sum(amount)),
+        "name": ({"canonical_supplier_name"}, F.min(F.when(rows, c("canonical_supplier_name")))),
+        "covered": ({"is_on_contract"}, F.sum(F.when(rows & (c("is_on_contract") == 1), amount))),
+        "maverick": ({"po_number"}, F.sum(F.when(rows & c("po_number").isNull() & off_contract, amount))),
+        "terms_rows": ({"payment_terms_days"}, F.count_if(known)),
+        "terms_sum": ({"payment_terms_days"}, F.sum(F.when(known, c("payment_terms_days")))),
+        "terms_spend": ({"payment_terms_days"}, F.sum(F.when(known, amount))),
+        "terms_name": ({"payment_terms_days", "canonical_supplier_name"}, F.min(F.when(known, c("canonical_supplier_name")))),
+        "discount_rows": ({"has_early_payment_discount", "discount_percent"}, F.count_if(offered)),
+        "discount_sum": ({"has_early_payment_discount", "discount_percent"}, F.sum(F.when(offered, percent))),
+        "discount_spend": ({"has_early_payment_discount", "discount_percent"}, F.sum(F.when(offered, amount))),
+        "discount_name": ({"has_early_payment_discount", "discount_percent", "canonical_supplier_name"}, F.min(F.when(offered, c("canonical_supplier_name")))),
+        "gain": ({"has_early_payment_discount", "discount_percent"}, F.sum(F.when(offered, amount * percent / 100))),
+        "priced_rows": ({"unit_price"}, F.count_if(priced)),
+        "price_sum": ({"unit_price"}, F.sum(F.when(priced, price))),
+        "best_price": ({"unit_price"}, F.min(F.when(priced, price))),
+    }
+    return df.groupBy(*[k for k in _KEYS if k in have]).agg(*[v.alias(k) for k, (needs, v) in sums.items() if needs <= have])
+
+
+def _double(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).cast("double")
+
+
 def _by_category(df: DataFrame, category: str) -> DataFrame:
     """Each category with its suppliers' number, spend and largest supplier."""
-    rows = addressable(df).where(F.col(category).isNotNull())
-    each = rows.groupBy(F.col(category).alias("category"), "canonical_supplier_id").agg(F.sum(F.col("base_amount").cast(_MONEY)).alias("spend"), F.min("canonical_supplier_name").alias("name"))
+    rows = cells(df).where((F.col("cell_rows") > 0) & F.col(category).isNotNull())
+    each = rows.groupBy(F.col(category).alias("category"), "canonical_supplier_id").agg(F.sum("spend").alias("spend"), F.min("name").alias("name"))
     known = F.col("canonical_supplier_id").isNotNull()
     top = F.max_by(F.struct("spend", F.coalesce("name", "canonical_supplier_id").alias("name")), F.when(known, F.struct("spend", "canonical_supplier_id")))
     out = each.groupBy("category").agg(F.count("canonical_supplier_id").alias("suppliers"), F.sum("spend").cast("double").alias("spend"), top.alias("top"))
     return out.select("category", "suppliers", "spend", F.col("top.name").alias("top_name"), F.col("top.spend").cast("double").alias("top_spend"))
 
 
+def portfolio_figures(df: DataFrame) -> DataFrame:
+    """One row: the key figures that rules over the whole portfolio look at (see ``kpis``)."""
+    known = cells(df).groupBy("canonical_supplier_id").agg(F.sum("cell_rows").alias("rows"), F.sum("spend").alias("spend"), F.sum("all_spend").alias("all_spend"), F.sum("maverick").alias("maverick"))
+    known = stored(known, "suppliers")
+    running = with_running(known.where("canonical_supplier_id is not null and rows > 0").select("canonical_supplier_id", "spend", "all_spend"), "spend", "canonical_supplier_id")
+    tail = flag_tail(running).where("is_tail_spend").agg(F.sum("all_spend").alias("tail"), F.count(F.lit(1)).alias("tail_supplier_count"))
+    whole = known.agg(_double("spend").alias("total_spend"), _double("all_spend").alias("everything"), _double("maverick").alias("maverick"))
+    share = lambda a, b: F.round(numbers.ratio(F.coalesce(a, F.lit(0)), b), 4)
+    return whole.join(F.broadcast(tail)).select(
+        "total_spend", share(F.col("maverick"), F.col("total_spend")).alias("maverick_spend_pct"), share(F.col("tail"), F.col("everything")).alias("tail_spend_pct"), "tail_supplier_count"
+    )
+
+
 def consolidation(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = _by_category(df, "category_l2").where((F.col("suppliers") > s.consolidation_above) & (F.col("spend") > 0))
     c, spend = F.col("category"), F.col("spend")
@@ -65,8 +125,8 @@ def consolidation(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def term_extension(df: DataFrame, s: Settings = DEFAULT, top: int = 50) -> DataFrame:
-    rows = addressable(df).where("payment_terms_days is not null and canonical_supplier_id is not null").groupBy("canonical_supplier_id")
-    rows = rows.agg(F.sum(F.col("base_amount").cast(_MONEY)).cast("double").alias("spend"), F.avg("payment_terms_days").alias("terms"), F.min("canonical_supplier_name").alias("name"))
+    rows = cells(df).where("terms_rows > 0 and canonical_supplier_id is not null").groupBy("canonical_supplier_id")
+    rows = rows.agg(_double("terms_spend").alias("spend"), (F.sum("terms_sum") / F.sum("terms_rows")).alias("terms"), F.min("terms_name").alias("name"))
     rows = rows.orderBy(F.desc("spend"), "canonical_supplier_id").limit(top).where(F.col("terms") < s.target_payment_days)
     _, share = rates("PAYMENT_TERM_EXTENSION")
     base = F.col("spend") * share
@@ -107,9 +167,10 @@ def competitive_tender(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 def coverage_gap(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """A table without ``is_on_contract`` has no cover."""
-    on = F.col("is_on_contract") == 1 if "is_on_contract" in df.columns else F.lit(False)
-    rows = addressable(df).where(F.col("category_l1").isNotNull()).groupBy(F.col("category_l1").alias("category"))
-    rows = rows.agg(numbers.total(F.col("base_amount")).alias("spend"), numbers.total(F.when(on, F.col("base_amount"))).alias("covered"))
+    rows = cells(df)
+    covered = F.col("covered") if "covered" in rows.columns else F.lit(0)
+    rows = rows.where((F.col("cell_rows") > 0) & F.col("category_l1").isNotNull()).groupBy(F.col("category_l1").alias("category"))
+    rows = rows.agg(_double("spend").alias("spend"), F.coalesce(F.sum(covered), F.lit(0)).cast("double").alias("covered"))
     rows = rows.where(F.col("spend") > s.coverage_spend).withColumn("cover", F.col("covered") / F.col("spend")).where(F.col("cover") < s.coverage_share)
     c, spend, open_ = F.col("category"), F.col("spend"), F.col("spend") * (1.0 - F.col("cover"))
     saving, share = rates("CONTRACT_COVERAGE_GAP", c)
@@ -130,9 +191,8 @@ def concentration_risk(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def discount_capture(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    rows = addressable(df).where("has_early_payment_discount = 1 and discount_percent > 0 and canonical_supplier_id is not null")
-    gain = F.col("base_amount").cast(_MONEY) * F.col("discount_percent").cast("decimal(7,4)") / 100
-    rows = rows.groupBy("canonical_supplier_id").agg(F.sum(F.col("base_amount").cast(_MONEY)).cast("double").alias("spend"), F.avg(F.col("discount_percent").cast("double")).alias("mean_pct"), F.sum(gain).cast("double").alias("gain"), F.min("canonical_supplier_name").alias("name"))
+    rows = cells(df).where("discount_rows > 0 and canonical_supplier_id is not null").groupBy("canonical_supplier_id")
+    rows = rows.agg(_double("discount_spend").alias("spend"), (F.sum("discount_sum").cast("double") / F.sum("discount_rows")).alias("mean_pct"), _double("gain").alias("gain"), F.min("discount_name").alias("name"))
     _, share = rates("EARLY_PAYMENT_DISCOUNT_CAPTURE")
     impact, name = F.col("gain") * share, F.coalesce("name", "canonical_supplier_id")
     evidence = F.concat(F.lit("Avg discount: "), F.format_number(F.bround("mean_pct", 1), 1), F.lit("%; annual spend with discount terms: $"), _whole(F.col("spend")), F.lit("; capturing discount saves $"), _whole(impact), F.lit("/yr"))
@@ -142,15 +202,13 @@ def discount_capture(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 def best_price(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """By level-3 category, or by level 2 if no priced row has a level 3; one look decides, inside the plan."""
-    rows = addressable(df)
-    priced = F.col("unit_price") > 0
-    deep = rows.agg(F.coalesce(F.max(F.col("category_l3").isNotNull() & priced), F.lit(False)).alias("_deep"))
+    rows = cells(df).where("cell_rows > 0")
+    deep = rows.agg(F.coalesce(F.max(F.col("category_l3").isNotNull() & (F.col("priced_rows") > 0)), F.lit(False)).alias("_deep"))
     # ``deep`` has one row
     rows = rows.join(F.broadcast(deep)).withColumn("category", F.when(F.col("_deep"), F.col("category_l3")).otherwise(F.col("category_l2"))).where("category is not null")
-    price = F.when(priced, F.col("unit_price").cast(_MONEY))
     rows = rows.groupBy("category").agg(
-        F.count(price).alias("n"), F.countDistinct(F.when(priced, F.col("canonical_supplier_id"))).alias("suppliers"), F.min(price).cast("double").alias("best"),
-        (F.sum(price).cast("double") / F.count(price)).alias("mean"), numbers.total(F.col("base_amount")).alias("spend"),
+        F.sum("priced_rows").alias("n"), F.countDistinct(F.when(F.col("priced_rows") > 0, F.col("canonical_supplier_id"))).alias("suppliers"), F.min("best_price").cast("double").alias("best"),
+        (F.sum("price_sum").cast("double") / F.sum("priced_rows")).alias("mean"), _double("spend").alias("spend"),
     )
     rows = rows.where((F.col("n") >= s.least_priced_rows) & (F.col("suppliers") >= 2) & (F.col("mean") > F.col("best")) & (F.col("spend") > 0))
     _, share = rates("BEST_PRICE_EXTRAPOLATION")
@@ -163,8 +221,9 @@ def best_price(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def generate(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """All rules' recommendations with the order of the rules, which decides between equal impacts."""
-    figures = kpis.kpis(df, s)
+    """All rules' recommendations with the order of the rules, which decides between equal impacts. The transactions are read once, into stored cells."""
+    df = df if "cell_rows" in df.columns else stored(cells(df), "cells")
+    figures = portfolio_figures(df)
     parts = [consolidation(df, s), term_extension(df, s), tail_rationalisation(figures, s), contract_compliance(figures, s), competitive_tender(df, s), coverage_gap(df, s), concentration_risk(df, s), discount_capture(df, s), best_price(df, s)]
     out = None
     for i, part in enumerate(parts):
@@ -189,8 +248,8 @@ def allocate(recommendations: DataFrame) -> DataFrame:
 
 
 def portfolio(allocated: DataFrame, df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row: total spend and savings, their ratio, and whether it is plausible."""
-    spend = addressable(df).agg(numbers.total(F.col("base_amount")).alias("total_spend"))
+    """One row: total spend and savings, their ratio, and whether it is plausible. ``df``: transactions or their cells."""
+    spend = cells(df).agg(_double("spend").alias("total_spend"))
     savings = allocated.agg(F.round(F.coalesce(F.sum("estimated_impact"), F.lit(0.0)), 2).alias("total_savings"), F.count(F.lit(1)).alias("recommendations"))
     out = spend.join(F.broadcast(savings)).withColumn("savings_pct", F.round(numbers.ratio(F.col("total_savings"), F.col("total_spend")), 4))
     return out.withColumn("plausible", F.col("savings_pct") <= s.savings_limit)
@@ -209,14 +268,3 @@ def priority_matrix(allocated: DataFrame) -> DataFrame:
     c = F.col("confidence")
     certainty = F.when(c == "HIGH", 0.9).when(c == "MEDIUM", 0.6).otherwise(0.3)
     return allocated.select("type", "context", certainty.alias("certainty"), "estimated_impact", F.greatest(F.col("baseline_spend") / 1000, F.lit(100.0)).alias("size"))
-
-
-def narratives(allocated: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Joins generated texts (``type``, ``context``, ``narrative``); without any, none."""
-    if texts is None:
-        return allocated.withColumn("narrative", F.lit(None).cast("string"))
-    return allocated.join(texts, ["type", "context"], "left")
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "type string, context string, evidence string, estimated_impact double, confidence string, action string, lever string, baseline_spend double, addressability_pct double, saving_pct double, addressable_baseline double, rule_order int")

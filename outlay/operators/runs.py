@@ -85,6 +85,7 @@ def run(df: DataFrame, directory: str, settings: Settings = DEFAULT) -> None:
 
 def savings(df: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """The recommendations that stay after allocation, and the portfolio that they make."""
+    df = stored(recommend.cells(df), "cells")
     allocated = recommend.allocate(recommend.generate(df, settings))
     return {"recommendations": allocated, "portfolio": recommend.portfolio(allocated, df, settings), "levers": recommend.by_lever(allocated)}
 

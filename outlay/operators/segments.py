@@ -34,12 +34,16 @@ def abc(df: DataFrame, ties_share: bool = False, a: float = 0.80, b: float = 0.9
 
 def tail(df: DataFrame, head: float = 0.80, few: int = 10) -> DataFrame:
     """``is_tail_spend`` of each supplier: what stands before it is ``head`` of the spend or more; with fewer than ``few`` suppliers, its spend is under the median."""
-    rows = with_running(supplier_spend(df), "spend", "canonical_supplier_id")
+    rows = flag_tail(with_running(supplier_spend(df), "spend", "canonical_supplier_id"), head, few)
+    return rows.select("canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), "is_tail_spend")
+
+
+def flag_tail(rows: DataFrame, head: float = 0.80, few: int = 10) -> DataFrame:
+    """``rows`` (a supplier each, with the columns of ``with_running`` over ``spend``) with ``is_tail_spend``."""
     # one row; an exact median needs no order of all rows in one task where there are many suppliers
     middle = rows.where(F.col("all_rows") < few).agg(F.median(_exact(F.col("spend"))).alias("middle"))
-    rows = rows.join(F.broadcast(middle))
     flag = F.when(F.col("all_rows") < few, _exact(F.col("spend")) < F.col("middle")).otherwise(numbers.ratio(F.col("before"), F.col("all_value")) >= head)
-    return rows.select("canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), flag.alias("is_tail_spend"))
+    return rows.join(F.broadcast(middle)).withColumn("is_tail_spend", flag)
 
 
 def with_tail_flag(df: DataFrame) -> DataFrame:
@@ -58,7 +62,11 @@ def tail_share(df: DataFrame, head: float = 0.80) -> DataFrame:
 
 def concentration(df: DataFrame) -> DataFrame:
     """One row: HHI in points, shares of the 10, 20 and 50 largest, how many suppliers make 80 %."""
-    rows = with_running(supplier_spend(df), "spend", "canonical_supplier_id")
+    return concentration_of(with_running(supplier_spend(df), "spend", "canonical_supplier_id"))
+
+
+def concentration_of(rows: DataFrame) -> DataFrame:
+    """``concentration`` of suppliers with the columns of ``with_running`` over ``spend``."""
     share = numbers.ratio(F.col("spend"), F.col("all_value"))
     top = lambda n: F.round(numbers.ratio(F.sum(F.when(F.col("rank") <= n, F.col("spend"))), F.max("all_value")), 4).alias(f"top_{n}_pct")
     pareto = F.least(F.count_if(numbers.ratio(F.col("until"), F.col("all_value")) < 0.8) + 1, F.count(F.lit(1)))
@@ -82,17 +90,13 @@ def top_with_share(df: DataFrame, n: int = 20) -> DataFrame:
 def tenant_share(df: DataFrame) -> DataFrame:
     """Each supplier's share of its tenant's total."""
     rows = supplier_spend(df, "engagement_id")
-    whole = F.sum("spend").over(Window.partitionBy("engagement_id"))
-    return rows.select("engagement_id", "canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), F.round(numbers.ratio(F.col("spend"), whole), 6).alias("share"))
+    # summed apart, so that a tenant's suppliers needn't be in one task
+    whole = rows.groupBy(F.col("engagement_id").alias("_tenant")).agg(F.sum("spend").alias("_whole"))
+    rows = rows.join(whole, F.col("engagement_id").eqNullSafe(F.col("_tenant")))
+    return rows.select("engagement_id", "canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), F.round(numbers.ratio(F.col("spend"), F.col("_whole")), 6).alias("share"))
 
 
 def first_by_confidence(log: DataFrame, key: str = "raw_supplier_name") -> DataFrame:
     """One row per key: the surest, ties by supplier id."""
     order = Window.partitionBy(key).orderBy(F.col("confidence").desc_nulls_last(), F.col("canonical_supplier_id").asc_nulls_last())
     return log.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-
-
-def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
-    """One row per key: the one that came first."""
-    order = Window.partitionBy(key).orderBy(position)
-    return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")

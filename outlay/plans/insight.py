@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT
-from outlay.operators import kpis, presentation, recommend
+from outlay.operators import presentation, recommend
 from outlay.plans.book import Book
 from outlay.plans.spend import _BUCKET, _CHECKED, _FIGURES, _KPI, _MONTH, _SUM, _TAIL, _TAIL_KPI, SPEND
+from outlay.sources.scratch import stored
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
 
 book = Book()
@@ -88,8 +89,8 @@ _RULES = {
     "term_extension": (("canonical_supplier_id", "canonical_supplier_name", "payment_terms_days", *SPEND), recommend.term_extension,
         "te AS (SELECT canonical_supplier_id AS s, sum(base_amount)::DOUBLE AS spend, avg(payment_terms_days) AS terms, min(canonical_supplier_name) AS name FROM a WHERE payment_terms_days IS NOT NULL AND canonical_supplier_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)",
         _found("PAYMENT_TERM_EXTENSION", _NAME, "(45 - terms) / 365.0::DOUBLE * (spend * 0.8::DOUBLE) * 0.08::DOUBLE", "spend", 0.8, "NULL", "spend * 0.8::DOUBLE", "te WHERE terms < 45 AND (45 - terms) / 365.0::DOUBLE * (spend * 0.8::DOUBLE) * 0.08::DOUBLE > 10000")),
-    "tail": ((*_KPI, *_CHECKED), lambda df: recommend.tail_rationalisation(kpis.kpis(df)), f"{_TAIL}, tk AS ({_TAIL_KPI}), fg AS ({_FIGURES}), tp AS (SELECT 'Portfolio' AS c, total_spend * tail_spend_pct AS spend FROM tk, fg WHERE tail_spend_pct > 0.05)", _saved("TAIL_SPEND_RATIONALISATION", 0.5, 0.1, "tp", "'MEDIUM'")),
-    "compliance": ((*_KPI, *_CHECKED), lambda df: recommend.contract_compliance(kpis.kpis(df)), "mp AS (SELECT 'Portfolio' AS c, total_spend * maverick_spend_pct AS spend FROM (" + _FIGURES + ") WHERE maverick_spend_pct > 0.15)", _saved("CONTRACT_COMPLIANCE", 0.75, 0.05, "mp", "'MEDIUM'")),
+    "tail": ((*_KPI, *_CHECKED), lambda df: recommend.tail_rationalisation(recommend.portfolio_figures(df)), f"{_TAIL}, tk AS ({_TAIL_KPI}), fg AS ({_FIGURES}), tp AS (SELECT 'Portfolio' AS c, total_spend * tail_spend_pct AS spend FROM tk, fg WHERE tail_spend_pct > 0.05)", _saved("TAIL_SPEND_RATIONALISATION", 0.5, 0.1, "tp", "'MEDIUM'")),
+    "compliance": ((*_KPI, *_CHECKED), lambda df: recommend.contract_compliance(recommend.portfolio_figures(df)), "mp AS (SELECT 'Portfolio' AS c, total_spend * maverick_spend_pct AS spend FROM (" + _FIGURES + ") WHERE maverick_spend_pct > 0.15)", _saved("CONTRACT_COMPLIANCE", 0.75, 0.05, "mp", "'MEDIUM'")),
     "tender": (_LEVEL2, recommend.competitive_tender, "", _saved("COMPETITIVE_TENDER", 0.65, 0.07, "g WHERE n = 1 AND spend > 50000")),
     "coverage_gap": (("category_l1", "is_on_contract", *SPEND), recommend.coverage_gap,
         "cg AS (SELECT *, covered / spend AS cover, spend * (1.0::DOUBLE - covered / spend) AS open FROM (SELECT category_l1 AS c, sum(base_amount)::DOUBLE AS spend, coalesce(sum(base_amount) FILTER (is_on_contract = 1), 0)::DOUBLE AS covered FROM a WHERE category_l1 IS NOT NULL GROUP BY 1))",
@@ -119,8 +120,13 @@ def _allocated(df):
     return recommend.allocate(recommend.generate(df))
 
 
+def _portfolio(df):
+    df = stored(recommend.cells(df), "cells")
+    return recommend.portfolio(_allocated(df), df)
+
+
 _add("allocate_recommendations", _EVERY, lambda df: _allocated(df).select(*_RULE), f", {_ALLOCATED} SELECT {', '.join(_RULE)} FROM z")
 _add("savings_figures", _EVERY, lambda df: recommend.figures(_allocated(df)), f", {_ALLOCATED} SELECT round(coalesce(sum(estimated_impact), 0), 2) AS impact, count(*) AS count, count(*) FILTER (confidence = 'HIGH') AS high, count(*) FILTER (confidence = 'MEDIUM') AS medium FROM z")
-_add("savings_portfolio", _EVERY, lambda df: recommend.portfolio(_allocated(df), df), f""", {_ALLOCATED}, y AS (SELECT {_SUM} AS total_spend, (SELECT round(coalesce(sum(estimated_impact), 0), 2) FROM z) AS total_savings, (SELECT count(*) FROM z) AS recommendations FROM a)
+_add("savings_portfolio", _EVERY, lambda df: _portfolio(df), f""", {_ALLOCATED}, y AS (SELECT {_SUM} AS total_spend, (SELECT round(coalesce(sum(estimated_impact), 0), 2) FROM z) AS total_savings, (SELECT count(*) FROM z) AS recommendations FROM a)
 SELECT *, round(total_savings / total_spend, 4) AS savings_pct, round(total_savings / total_spend, 4) <= {DEFAULT.savings_limit} AS plausible FROM y""")
 _add("priority_matrix", _EVERY, lambda df: recommend.priority_matrix(_allocated(df)), f", {_ALLOCATED} SELECT type, context, CASE confidence WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.6 ELSE 0.3 END::DOUBLE AS certainty, estimated_impact, greatest(baseline_spend / 1000, 100.0::DOUBLE) AS size FROM z")

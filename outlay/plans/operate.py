@@ -11,7 +11,7 @@ from outlay.plans import resolve
 from outlay.plans.book import Book
 from outlay.plans.insight import book as insight_book
 from outlay.sources import synthetic
-from outlay.sources.scratch import new_folder
+from outlay.sources.scratch import new_folder, stored
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
 from outlay.streaming import landing
 
@@ -90,8 +90,8 @@ SELECT engagement_id, category_method, count(*) AS facts, CASE WHEN category_met
 # evaluation
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = transactions(spark, sf_dir)
-    allocated = recommend.allocate(recommend.generate(df))
-    return runs.evaluate(df, recommend.portfolio(allocated, df))
+    cells = stored(recommend.cells(df), "cells")
+    return runs.evaluate(df, recommend.portfolio(recommend.allocate(recommend.generate(cells)), cells))
 
 
 _GATE = lambda c, gates: f"CASE WHEN {c} >= {gates[0]} THEN 'PASS' WHEN {c} >= {gates[1]} THEN 'WARN' ELSE 'FAIL' END"
