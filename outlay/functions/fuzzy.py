@@ -51,8 +51,14 @@ def partial_ratio(a: str, b: str) -> float:
     if not short:
         return 100.0 if not long else 0.0
     best, n = 0.0, len(short)
+    letters = set(short)
+    # a stretch of another length than the whole ends at an end of the longer text; one that begins or ends with a foreign letter is never the best
     for i in range(1 - n, len(long)):
         part = long[max(0, i) : i + n]
+        if len(part) == n and part[0] not in letters and i + n < len(long):
+            continue
+        if 200.0 * len(part) / (n + len(part)) <= best:
+            continue
         best = max(best, ratio(short, part))
         if best == 100.0:
             break
@@ -111,7 +117,7 @@ def bounds(one: Letters, i: int, many: Letters) -> tuple[np.ndarray, np.ndarray]
 
 
 def best_of(names: list[str], candidates: list[str]) -> list[tuple[float, int]]:
-    """For each name the largest composite with any candidate and the last candidate that has it; as if all were compared."""
+    """For each name the largest composite with any candidate and the first candidate that has it; as if all were compared."""
     own, many, out = Letters.of(names), Letters.of(candidates), []
     for i, name in enumerate(names):
         most, partial_most = bounds(own, i, many)
@@ -122,7 +128,9 @@ def best_of(names: list[str], candidates: list[str]) -> list[tuple[float, int]]:
             words = 0.4 * sorted_ratio(name, candidates[j]) + 0.4 * set_ratio(name, candidates[j])
             if (words + 0.2 * partial_most[j]) / 100 < best - 1e-9:
                 continue
-            best, at = max((best, at), ((words + 0.2 * partial_ratio(name, candidates[j])) / 100, j))
+            score = (words + 0.2 * partial_ratio(name, candidates[j])) / 100
+            if score > best or (score == best and j < at):
+                best, at = score, j
         out.append((best, at))
     return out
 

@@ -11,6 +11,7 @@ from outlay import reference
 from outlay.config import DEFAULT, Settings
 from outlay.functions import text
 from outlay.operators.suppliers import match_vectors
+from outlay.sources.scratch import look_up
 
 RESULT = "struct<l1:string,l2:string,l3:string,unspsc:string,confidence:double,method:string>"
 
@@ -20,10 +21,10 @@ def result(l1, l2, l3, unspsc, confidence, method: str) -> Column:
 
 
 def _seed(seeds: DataFrame, kind: str, key: Column, method: str, name: str) -> DataFrame:
-    """(key, result) of one kind of seed mapping; the last listed of equal keys counts."""
+    """(key, result) of one kind of seed mapping; of equal keys the one with the largest ``position`` counts."""
     c = F.col
-    rows = seeds.where(c("mapping_type") == kind).select(key.alias("_key"), result(c("internal_category_l1"), c("internal_category_l2"), c("internal_category_l3"), c("unspsc_segment_code"), F.coalesce(c("confidence"), F.lit(0.85)), method).alias("_r"), F.monotonically_increasing_id().alias("_n"))
-    return rows.groupBy("_key").agg(F.max_by("_r", "_n").alias(name))
+    rows = seeds.where(c("mapping_type") == kind).select(key.alias("_key"), result(c("internal_category_l1"), c("internal_category_l2"), c("internal_category_l3"), c("unspsc_segment_code"), F.coalesce(c("confidence"), F.lit(0.85)), method).alias("_r"), F.struct("position", "internal_category_l1", "internal_category_l2").alias("_n"))
+    return rows.where("_key is not null").groupBy("_key").agg(F.max_by("_r", "_n").alias(name))
 
 
 def by_override(df: DataFrame, overrides: DataFrame, name: str = "by_override") -> DataFrame:
@@ -35,7 +36,8 @@ def by_override(df: DataFrame, overrides: DataFrame, name: str = "by_override")
     r = F.struct(c("override_order").alias("n"), result(c("override_l1"), c("override_l2"), c("override_l3"), c("unspsc_code"), F.lit(1.0), "MANUAL").alias("r"))
     supplier = overrides.where(c("canonical_supplier_id").isNotNull()).groupBy("canonical_supplier_id").agg(F.max_by(r, "override_order").alias("_by_supplier"))
     gl = overrides.where(c("gl_account").isNotNull()).groupBy(text.gl_normalised(c("gl_account")).alias("_gl")).agg(F.max_by(r, "override_order").alias("_by_gl"))
-    rows = df.join(supplier, "canonical_supplier_id", "left").withColumn("_gl", text.gl_normalised(c("gl_account"))).join(gl, "_gl", "left")
+    rows = look_up(df, supplier, "canonical_supplier_id").withColumn("_gl", text.gl_normalised(c("gl_account")))
+    rows = look_up(rows, gl, "_gl")
     last = F.when(c("_by_gl").isNull() | (c("_by_supplier")["n"] > c("_by_gl")["n"]), c("_by_supplier")["r"]).otherwise(c("_by_gl")["r"])
     return rows.withColumn(name, last).drop("_gl", "_by_supplier", "_by_gl")
 
@@ -45,30 +47,35 @@ def by_gl(df: DataFrame, seeds: DataFrame, name: str = "by_gl") -> DataFrame:
     lookup = _seed(seeds, "GL", text.gl_normalised(F.col("source_value")), "GL_MAPPING", "_r")
     code = text.gl_normalised(F.col("gl_account"))
     rows = df.withColumns({"_gl": code, "_gl4": F.substring(code, 1, 4)})
-    rows = rows.join(lookup.toDF("_gl", "_exact"), "_gl", "left").join(lookup.toDF("_gl4", "_prefix"), "_gl4", "left")
+    rows = look_up(look_up(rows, lookup.toDF("_gl", "_exact"), "_gl"), lookup.toDF("_gl4", "_prefix"), "_gl4")
     return rows.withColumn(name, F.coalesce("_exact", "_prefix")).drop("_gl", "_gl4", "_exact", "_prefix")
 
 
 def by_supplier(df: DataFrame, seeds: DataFrame, name: str = "by_supplier") -> DataFrame:
     lookup = _seed(seeds, "SUPPLIER", F.lower(text.strip(F.col("source_value"))), "SUPPLIER_MAPPING", name)
     rows = df.withColumn("_supplier", F.lower(text.strip(F.col("canonical_supplier_name"))))
-    return rows.join(lookup.withColumnRenamed("_key", "_supplier"), "_supplier", "left").drop("_supplier")
+    return look_up(rows, lookup.withColumnRenamed("_key", "_supplier"), "_supplier").drop("_supplier")
 
 
 def keyword_result(description: Column, rules=reference.KEYWORD_RULES) -> Column:
-    """The surest rule whose pattern occurs, the first of equals: one chain of conditions, no join."""
+    """The surest rule whose pattern occurs, the first of equals: one chain of conditions, no join.
+
+    One look for any of the patterns spares the chain for the descriptions that have none.
+    """
     out = None
     for pattern, l1, l2, unspsc, confidence in sorted(rules, key=lambda r: -r[4]):
         r = result(F.lit(l1), F.lit(l2), F.lit(None).cast("string"), F.lit(unspsc), F.lit(confidence), "KEYWORD")
         found = description.rlike(f"(?i){pattern}")
         out = F.when(found, r) if out is None else out.when(found, r)
-    return out
+    return F.when(description.rlike("(?i)" + "|".join(f"(?:{r[0]})" for r in rules)), out)
 
 
-def by_keyword(df: DataFrame, name: str = "by_keyword", rules=reference.KEYWORD_RULES) -> DataFrame:
+def by_keyword(df: DataFrame, name: str = "by_keyword", rules=reference.KEYWORD_RULES, unless: tuple[str, ...] = ()) -> DataFrame:
+    """Where one of ``unless`` has an answer, the rules aren't tried."""
     cleaned = F.col("cleaned_description") if "cleaned_description" in df.columns else F.lit(None).cast("string")
     description = F.lower(F.concat(F.coalesce(cleaned, F.lit("")), F.lit(" "), F.coalesce(F.col("raw_line_description"), F.lit(""))))
-    return df.withColumn(name, keyword_result(description, rules))
+    found = keyword_result(description, rules)
+    return df.withColumn(name, F.when(F.coalesce(*unless).isNull(), found) if unless else found)
 
 
 def category_texts(hierarchy: DataFrame) -> DataFrame:
@@ -93,12 +100,6 @@ def by_vector(texts: DataFrame, categories: DataFrame, settings: Settings = DEFA
     return near.select(F.col("query_id").alias("id"), found.alias("by_vector"))
 
 
-def dry_run(df: DataFrame) -> DataFrame:
-    """What the model pass says when no model is plugged in: nothing, with confidence 0."""
-    null = F.lit(None).cast("string")
-    return df.withColumn("by_model", F.lit(None).cast(RESULT)).withColumn("model_note", F.when(F.lit(True), "DRY_RUN").otherwise(null))
-
-
 def capped(found: Column, most: float) -> Column:
     """A model's result with its confidence held down."""
     return F.when(found.isNotNull(), found.withField("confidence", F.least(found["confidence"], F.lit(most))))
@@ -118,7 +119,7 @@ def categorise(
     ``vectors``: ``transaction_id`` and ``by_vector``. ``model`` gets the rows that are still open and returns
     ``transaction_id`` and ``by_model``; its confidence is capped. Rows without an answer keep null.
     """
-    rows = by_keyword(by_supplier(by_gl(by_override(df, overrides), seeds), seeds))
+    rows = by_keyword(by_supplier(by_gl(by_override(df, overrides), seeds), seeds), unless=("by_override", "by_gl", "by_supplier"))
     passes = ["by_override", "by_gl", "by_supplier", "by_keyword"]
     if vectors is not None:
         rows, passes = rows.join(vectors, "transaction_id", "left"), [*passes, "by_vector"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers, text
 from outlay.functions.fuzzy import fuzzy_best
+from outlay.sources.scratch import is_small, stored
 
 
 def distinct_names(df: DataFrame, position: str | None = None) -> DataFrame:
@@ -65,31 +66,38 @@ def _dealt(df: DataFrame, size: int, into: str) -> DataFrame:
     return dealt.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(into)).select(into)
 
 
-def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAULT, boost: Column | None = None) -> DataFrame:
-    """The best supplier of each name by the composite score, of equals the last by name, then id: ``fuzzy_id``, ``fuzzy_score``, ``fuzzy`` (method, confidence).
+def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAULT, boosts: DataFrame | None = None) -> DataFrame:
+    """The best supplier of each name by the composite score, of equals the first by name, then id: ``fuzzy_id``, ``fuzzy_score``, ``fuzzy`` (method, confidence).
 
     Each name meets each supplier that has a name, in blocks; inside a block, pairs whose letter counts rule out
     the best score aren't compared further (see ``fuzzy.bounds``), which loses none. So each name has a row,
-    rejected or not, unless no supplier has a name. Null names have none.
+    rejected or not, unless no supplier has a name. Null names have none. ``boosts`` (``normalised_name``, ``canonical_supplier_id``,
+    ``boost``: points, see ``corroboration``) raise pairs over the thresholds; they don't choose the supplier.
     """
     left = _dealt(names.select("normalised_name").where(F.col("normalised_name").isNotNull()).distinct(), NAMES_AT_ONCE, "names")
     known = master.select(F.col("normalised_name").alias("candidate"), "canonical_supplier_id").where(F.col("candidate") != "").distinct()
     pairs = left.crossJoin(_dealt(known, SUPPLIERS_AT_ONCE, "block"))
     found = pairs.withColumn("found", F.explode(fuzzy_best(F.col("names.normalised_name"), F.col("block.candidate"))))
     found = found.select(F.col("found.name").alias("normalised_name"), F.col("found.score").alias("score"), F.element_at("block", F.col("found.at") + 1).alias("supplier"))
-    best = found.groupBy("normalised_name").agg(F.max(F.struct("score", F.col("supplier.candidate").alias("candidate"), F.col("supplier.canonical_supplier_id").alias("canonical_supplier_id"))).alias("best"))
-    score = F.col("best.score")
-    return best.select("normalised_name", F.col("best.canonical_supplier_id").alias("fuzzy_id"), score.alias("fuzzy_score"), decide_fuzzy(score, F.lit(0) if boost is None else boost, settings).alias("fuzzy"))
+    best = found.groupBy("normalised_name").agg(F.min(F.struct((-F.col("score")).alias("below"), F.col("supplier.candidate").alias("candidate"), F.col("supplier.canonical_supplier_id").alias("canonical_supplier_id"))).alias("best"))
+    best = best.select("normalised_name", F.col("best.canonical_supplier_id").alias("fuzzy_id"), (-F.col("best.below")).alias("fuzzy_score"))
+    boost = F.lit(0)
+    if boosts is not None:
+        one = boosts.groupBy("normalised_name", F.col("canonical_supplier_id").alias("fuzzy_id")).agg(F.max("boost").alias("boost"))
+        best, boost = best.join(one, ["normalised_name", "fuzzy_id"], "left"), F.coalesce("boost", F.lit(0))
+    return best.select("normalised_name", "fuzzy_id", "fuzzy_score", decide_fuzzy(F.col("fuzzy_score"), boost, settings).alias("fuzzy"))
 
 
 def match_vectors(queries: DataFrame, candidates: DataFrame, top: int = 1) -> DataFrame:
     """The ``top`` most similar candidates of each query by cosine: ``query_id``, ``rank``, ``candidate_id``, ``similarity``.
 
-    Both have ``id`` and ``vector``. Candidates are a dimension (suppliers or categories): each
-    partition of queries meets all of them, and the best are kept before anything is shuffled.
+    Both have ``id`` and ``vector``. Candidates are a dimension (suppliers or categories). Where they are small they are
+    broadcast: each partition of queries meets all of them, and the best are kept before anything is
+    shuffled. Else they go to the queries in blocks.
     """
-    c = candidates.select(F.col("id").alias("candidate_id"), F.col("vector").alias("_other"))
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_own")).join(c)
+    c = stored(candidates.select(F.col("id").alias("candidate_id"), F.col("vector").alias("_other")), "candidates")
+    own = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_own"))
+    pairs = own.join(F.broadcast(c)) if is_small(c) else own.crossJoin(_dealt(c, SUPPLIERS_AT_ONCE, "block")).select("query_id", "_own", F.inline("block"))
     pairs = pairs.withColumn("similarity", numbers.cosine(F.col("_own"), F.col("_other"))).drop("_own", "_other")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "candidate_id", "similarity")
@@ -168,8 +176,19 @@ def with_parents(master: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.withColumns(out).drop("_parent").select(*master.columns)
 
 
-def siblings(df: DataFrame) -> DataFrame:
-    """Pairs of suppliers with one parent and different names."""
+def related(df: DataFrame) -> DataFrame:
+    """Suppliers with a parent that has others too, a row each, with the number of the others: a group's members are those of one parent."""
     one = df.where("parent_company_name is not null and canonical_supplier_name is not null").select("parent_company_name", "canonical_supplier_name").distinct()
-    other = one.withColumnRenamed("canonical_supplier_name", "related_name")
-    return one.join(other, "parent_company_name").where("canonical_supplier_name <> related_name")
+    sizes = one.groupBy("parent_company_name").agg((F.count(F.lit(1)) - 1).alias("related"))
+    return one.join(sizes.where("related > 0"), "parent_company_name")
+
+
+def by_keys(store: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """Stored rows (vectors of names, for instance) for a list of keys, in the list once or several times; keys that aren't stored have no row."""
+    return store.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def with_normalised_name(master: DataFrame) -> DataFrame:
+    """A stored master with ``normalised_name`` derived from the canonical name where it has none."""
+    own = F.col("normalised_name") if "normalised_name" in master.columns else F.lit(None).cast("string")
+    return master.withColumn("normalised_name", F.coalesce(own, text.normalise_name(F.col("canonical_name"))))

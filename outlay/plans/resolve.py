@@ -12,6 +12,7 @@ from outlay.functions import dates, numbers
 from outlay.operators import categorise, ingest, suppliers
 from outlay.plans.book import Book
 from outlay.schema import OVERRIDE_SCHEMA
+from outlay.sources.scratch import new_folder
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
 
 book = Book()
@@ -123,8 +124,11 @@ SAID = {14: " toner cartridge", 30: " courier", 45: " legal fees", 60: " cloud h
 
 
 def _seeds(spark: SparkSession) -> DataFrame:
+    """Written as a file and read as one, as users have them."""
     rows = [(k, v, l1, l2, None, "10", 0.9) for k, listed in (("GL", GL), ("SUPPLIER", BY_SUPPLIER)) for v, l1, l2 in listed]
-    return spark.createDataFrame(rows, reference.SEED_SCHEMA)
+    path = new_folder(spark, "seeds")
+    spark.createDataFrame(rows, reference.SEED_SCHEMA.rpartition(",")[0]).coalesce(1).write.csv(path, header=True)
+    return reference.seed_mappings(spark, path)
 
 
 def _overrides(spark: SparkSession) -> DataFrame:

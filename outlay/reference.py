@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Texts that stand for nothing.
 NULL_TOKENS = ("", "N/A", "n/a", "NULL", "null", "None", "-", "#N/A", "nan")
@@ -131,7 +132,7 @@ COLUMN_MAPPINGS = {
 REQUIRED_FIELDS = ("invoice_number", "original_amount", "original_currency", "invoice_date", "raw_supplier_name")
 
 FX_SCHEMA = "year_month string, from_ccy string, to_ccy string, rate double"
-SEED_SCHEMA = "mapping_type string, source_value string, internal_category_l1 string, internal_category_l2 string, internal_category_l3 string, unspsc_segment_code string, confidence double"
+SEED_SCHEMA = "mapping_type string, source_value string, internal_category_l1 string, internal_category_l2 string, internal_category_l3 string, unspsc_segment_code string, confidence double, position long"
 HIERARCHY_SCHEMA = "l1_code string, l1_name string, l2_code string, l2_name string, l3_code string, l3_name string, unspsc_segment_code string, unspsc_segment_name string"
 
 
@@ -140,7 +141,9 @@ def fx_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seed_mappings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=SEED_SCHEMA, header=True)
+    """Seed mappings from one small file; ``position`` is their order in it."""
+    rows = spark.read.csv(path, schema=SEED_SCHEMA.rpartition(",")[0], header=True)
+    return rows.withColumn("position", F.monotonically_increasing_id())
 
 
 def category_hierarchy(spark: SparkSession, path: str) -> DataFrame:

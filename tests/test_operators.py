@@ -74,9 +74,9 @@ def test_fuzzy_match_is_that_of_all_pairs(spark, monkeypatch):
     known = ["bhp", "3m", "hp", "sodexo australia", "acme", "acme steel", "wales bank", "muller", "y x", "aa bb", "", None]
     left = spark.createDataFrame([(n,) for n in names + ["b h p"]], "normalised_name string")
     master = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(known + ["bhp"])], "normalised_name string, canonical_supplier_id string")
-    want = {n: max((fuzzy.composite(n, k), k, f"s{i}") for i, k in enumerate(known + ["bhp"]) if k) for n in names if n is not None}
+    want = {n: min((-fuzzy.composite(n, k), k, f"s{i}") for i, k in enumerate(known + ["bhp"]) if k) for n in names if n is not None}
     got = {r.normalised_name: r for r in suppliers.match_fuzzy(left, master).collect()}
-    assert {n: (r.fuzzy_score, r.fuzzy_id) for n, r in got.items()} == {n: (score, i) for n, (score, _, i) in want.items()}
+    assert {n: (r.fuzzy_score, r.fuzzy_id) for n, r in got.items()} == {n: (-score, i) for n, (score, _, i) in want.items()}
     assert [got[n].fuzzy.method for n in ("b h p", "3 m", "h p", "qq")] == ["FUZZY_REVIEW"] * 3 + ["FUZZY_REJECT"]
     assert suppliers.match_fuzzy(left, master.limit(0)).count() == suppliers.match_fuzzy(left.limit(0), master).count() == 0
 
@@ -90,7 +90,7 @@ def test_bounds_of_fuzzy_scores_hold():
         for j, b in enumerate(texts):
             assert fuzzy.composite(a, b) * 100 <= most[j] + 1e-9 and fuzzy.partial_ratio(a, b) <= partial_most[j] + 1e-9
         every = [fuzzy.composite(a, b) for b in texts]
-        assert fuzzy.best_of([a], texts) == [max((x, j) for j, x in enumerate(every))]
+        assert fuzzy.best_of([a], texts) == [(max(every), every.index(max(every)))]
 
 
 def test_harmonise_finds_initials(spark):
@@ -130,3 +130,22 @@ def test_views_round_trip(spark, tmp_path):
     files.write_views({"v": view}, str(tmp_path))
     assert files.read_views(spark, str(tmp_path), "v")["v"].first().asDict() == {"name": "a", "total": 1.5, "money": 2.5}
     assert files.config_from("[1]") == {} and files.config_from('{"wacc": 0.1}') == {"wacc": 0.1}
+
+
+def test_partial_ratio_is_that_of_all_stretches():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc xyz", k=rng.randrange(0, 12))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        every = [fuzzy.ratio(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))] if short else [0.0 if long else 100.0]
+        assert fuzzy.partial_ratio(a, b) == max(every)
+
+
+def test_boosts_lift_a_pair_over_a_threshold(spark):
+    names = spark.createDataFrame([("acmee steel",), ("other",)], "normalised_name string")
+    master = spark.createDataFrame([("acme works", "s1"), ("zzz", "s2")], "normalised_name string, canonical_supplier_id string")
+    plain = {r.normalised_name: r for r in suppliers.match_fuzzy(names, master).collect()}
+    points = spark.createDataFrame([("acmee steel", "s1", 40), ("other", "s9", 90)], "normalised_name string, canonical_supplier_id string, boost int")
+    lifted = {r.normalised_name: r for r in suppliers.match_fuzzy(names, master, boosts=points).collect()}
+    assert plain["acmee steel"].fuzzy.method == "FUZZY_REJECT" and lifted["acmee steel"].fuzzy.method != "FUZZY_REJECT"
+    assert lifted["acmee steel"].fuzzy_score == plain["acmee steel"].fuzzy_score and lifted["other"].fuzzy.method == "FUZZY_REJECT"
