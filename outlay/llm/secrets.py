@@ -9,10 +9,10 @@ repositories stands beside it in each span, for those who want to judge by it to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outlay.llm.common import stored
+from outlay.llm.common import spread_join, stored
 
 # Fixed values of the base scan, in the order in which kinds are listed: pattern, the group that counts, its fewest characters.
 BASE = {
@@ -25,29 +25,23 @@ BARE = {"bare": (r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20
 KINDS = [*BASE, *BARE]
 #: Values in which these stand are examples.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|123456|abcdef"
-_SPANS = "array<struct<start:int,rank:int,end:int,print:string,live:boolean>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches of one kind, in code points.
+def _steps(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches of one kind: the length of what stands before each and of the match itself.
 
-    The pieces between the matches and the matches themselves follow each other, so that the
-    places are running sums of their lengths.
+    The pieces between the matches and the matches follow each other, so that places are running sums of the lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     lengths = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
-    steps = F.zip_with(lengths, value, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), v.alias("value")))
-    none = F.expr(f"cast(array() as {_SPANS})")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + x["size"]).alias("end"), F.md5(x["value"].cast("binary")).alias("print"), _live(x["value"]).alias("live"))
-        return F.struct((start + x["size"]).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
+    def step(x: Column, v: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), x["gap"].alias("gap"), x["size"].alias("size"), F.md5(v.cast("binary")).alias("print"), _live(v).alias("live"), (F.length(v) >= least).alias("enough"))
 
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    none = F.expr("cast(array() as array<struct<rank:int,gap:int,size:int,print:string,live:boolean,enough:boolean>>)")
+    return F.when(text.rlike(pattern), F.zip_with(lengths, value, step)).otherwise(none)
 
 
 def _live(value: Column) -> Column:
@@ -80,22 +74,31 @@ def scan(
     owner or repository. Values never leave the tasks: hashes stand for them. Other columns play no part.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*[_spans(F.col("text"), k, *how) for k, how in (BASE | BARE).items()])
+    found = F.concat(*[_steps(F.col("text"), k, *how) for k, how in (BASE | BARE).items()])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).alias("repository"), F.col(owner_col).alias("owner"), text.alias("text"))
-    rows = rows.select("doc_id", "repository", "owner", F.monotonically_increasing_id().alias("row"), found.alias("spans"))
-    rows = stored(spark, rows, "spans")
+    rows = rows.select("doc_id", "repository", "owner", F.monotonically_increasing_id().alias("row"), found.alias("steps"))
+    rows = stored(spark, rows, "steps")
     bare = KINDS.index("bare")
-    places = rows.where(F.size("spans") > 0).select("row", "repository", "owner", F.explode("spans").alias("span")).where(f"span.rank < {bare} or span.live")
-    owned = places.select(F.col("span.print").alias("print"), "repository", "owner").distinct()
+    places = rows.where(F.size("steps") > 0).select("row", "repository", "owner", F.posexplode("steps").alias("i", "step")).select("row", "repository", "owner", "i", "step.*")
+    until = Window.partitionBy("row", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(until).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    places = places.where("enough").where(f"rank < {bare} or live")
+    # a bare span is apart from the base spans if none that starts by its start ends behind it, and none starts inside it
+    base_end, base_start = F.when(F.col("rank") < bare, F.col("end")), F.when(F.col("rank") < bare, F.col("start"))
+    forward = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    places = places.withColumns({"reached": F.max(base_end).over(forward), "next": F.min(base_start).over(backward)})
+    apart = (F.coalesce("reached", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    places = stored(spark, places.select("row", "repository", "owner", "start", "rank", "end", "print", "live", apart.alias("apart")), "places")
+    owned = places.select("print", "repository", "owner").distinct()
     owned = owned.groupBy("print").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
-    judged = places.select("row", "span", F.col("span.print").alias("print")).join(owned, "print")
-    judged = judged.groupBy("row").agg(F.collect_list(F.struct(F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.end").alias("end"), F.col("span.live").alias("live"), "owners", "repositories")).alias("judged"))
+    owned = stored(spark, owned.join(places.groupBy("print").agg(F.count(F.lit(1)).alias("uses")), "print"), "owned", narrow=True)
+    judged = spread_join(places.drop("repository", "owner"), owned, "print", "uses", ["row", "start"])
+    judged = judged.where(f"rank < {bare} or owners <= 1 and apart")
+    judged = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "live", "owners", "repositories"))).alias("spans"))
     out = rows.select("doc_id", "row").join(judged, "row", "left")
-    every = F.array_sort(F.coalesce("judged", F.expr("cast(array() as array<struct<start:int,rank:int,end:int,live:boolean,owners:bigint,repositories:bigint>>)")))
-    out = out.select("doc_id", every.alias("every"))
-    out = out.withColumn("base", F.filter("every", lambda s: s["rank"] < bare))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = out.withColumn("spans", F.filter("every", lambda s: (s["rank"] < bare) | ((s["owners"] <= 1) & apart(s))))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,live:boolean,owners:bigint,repositories:bigint>>)")
+    out = out.select("doc_id", F.coalesce("spans", none).alias("spans")).withColumn("base", F.filter("spans", lambda s: s["rank"] < bare))
     return out.select(
         "doc_id",
         "base",
