@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from outlay.llm.common import stored
 
 SHINGLE, WINDOW, STEP, BANDS = 5, 16, 8, 160
+#: Characters of all templates that may be broadcast: enough for the full texts of all known licenses.
+MOST_BYTES = 8 << 20
 
 # Notices of common licenses.
 TEMPLATES = {
@@ -144,11 +146,13 @@ def scan(
     place of a rival (see ``rivals``) has more shingles in common; of equals both count.
     Null texts and texts under five words have no license. Rows that repeat an id count as one
     document. Templates under five words are not allowed. Other columns play no part. The templates, and so
-    what is broadcast, are a list in the program.
+    what is broadcast, are a list in the program; more than ``MOST_BYTES`` of them are refused.
     """
     templates = TEMPLATES if templates is None else templates
     if any(len(_plain_words(t)) < SHINGLE for t in templates.values()):
         raise ValueError(f"a template has fewer than {SHINGLE} words")
+    if sum(map(len, templates.values())) > MOST_BYTES:
+        raise ValueError(f"templates of more than {MOST_BYTES} characters can't be broadcast")
     if not templates:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word")).limit(0)
     seek = anchors(templates)
@@ -167,7 +171,10 @@ def scan(
     near = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p / STEP) - 1, F.floor(p / STEP)))))
     near = F.filter(F.transform(near, lambda j: (j * STEP).cast("int")), lambda at: (at >= 0) & (at <= F.size("words") - SHINGLE))
     texts = stored(spark, texts.select("doc_id", "row", "words", near.alias("near")).where(F.size("near") > 0), "anchored")
-    candidates = texts.select("row", F.explode("near").alias("at"), "words").select("row", "at", F.explode(_bands(_shingles(cut(F.col("at"))))).alias("band"))
+    # a window's words are cut out before windows become rows; hashing them is the work, so they are dealt over all tasks
+    near_windows = F.transform("near", lambda at: F.struct(at.alias("at"), F.slice(words, at + 1, F.lit(WINDOW)).alias("window")))
+    candidates = texts.select("row", F.inline(near_windows)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "at")
+    candidates = candidates.select("row", "at", F.explode(_bands(_shingles(F.col("window")))).alias("band"))
     found = candidates.join(F.broadcast(index.select("band", "license")), "band").select("row", "at", "license").distinct()
     found = found.join(F.broadcast(listed.select("license", "m", "of_template")), "license")
     # exact containment in the part around each retrieved window
