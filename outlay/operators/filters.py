@@ -106,6 +106,21 @@ PROBLEMS = {
 }
 
 
+def latest(df: DataFrame, column: str, limit: int, *ties: str) -> DataFrame:
+    """The newest rows first, those without a time last."""
+    return df.orderBy(F.col(column).desc_nulls_last(), *ties).limit(limit)
+
+
+#: What a page shows of each row that a check complains about, besides what the check looks at.
+SHOWN = ("transaction_id", "invoice_number", "raw_supplier_name", "base_amount")
+
+
+def problem_page(df: DataFrame, check: str, limit: int = 200) -> DataFrame:
+    """The largest rows behind a check, with the columns that a page shows."""
+    rows = problem_rows(df, check).select(*[F.col(c).cast("double").alias(c) if c == "base_amount" else c for c in SHOWN])
+    return rows.orderBy(F.abs("base_amount").desc(), "transaction_id").limit(limit)
+
+
 def problem_rows(df: DataFrame, check: str) -> DataFrame:
     """Rows that ``check`` complains about; duplicates come with their number as ``occurrences``."""
     if check == "duplicate_invoice_risk":

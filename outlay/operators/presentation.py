@@ -159,6 +159,12 @@ def split_donut(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(has)).groupBy(label.alias("label")).agg(numbers.total(F.col("base_amount")).alias("total_spend"))
 
 
+def trends(df: DataFrame, key: str, chosen: tuple[str, ...]) -> DataFrame:
+    """Spend by month of each of several groups."""
+    rows = addressable(df).where(F.col(key).isin(*chosen) & F.col("invoice_date").isNotNull())
+    return rows.groupBy(key, F.date_format("invoice_date", "yyyy-MM").alias("invoice_month")).agg(numbers.total(F.col("base_amount")).alias("total_spend"))
+
+
 def trend(df: DataFrame, key: str, value: str) -> DataFrame:
     """Monthly spend of one supplier or category."""
     rows = addressable(df).where((F.col(key) == value) & F.col("invoice_date").isNotNull())

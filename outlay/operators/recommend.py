@@ -46,6 +46,18 @@ def _finish(rows: DataFrame, type_: str, confidence, lever: str, context: Column
     )
 
 
+#: What each rule pulls, by type.
+LEVERS = {
+    "SUPPLIER_CONSOLIDATION": "Supplier Consolidation",
+    "PAYMENT_TERM_EXTENSION": "Working Capital",
+    "COMPETITIVE_TENDER": "Competitive Sourcing",
+    "CONTRACT_COVERAGE_GAP": "Contract Coverage",
+    "SPEND_CONCENTRATION_RISK": "Supply Risk Management",
+    "EARLY_PAYMENT_DISCOUNT_CAPTURE": "Early Payment Discount",
+    "BEST_PRICE_EXTRAPOLATION": "Best Price Extrapolation",
+    "TAIL_SPEND_RATIONALISATION": "Tail Spend Rationalisation",
+    "CONTRACT_COMPLIANCE": "Contract Compliance",
+}
 _KEYS = ("canonical_supplier_id", "category_l1", "category_l2", "category_l3")
 
 

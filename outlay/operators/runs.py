@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,17 @@ def run(df: DataFrame, directory: str, settings: Settings = DEFAULT) -> None:
     files.write_json(tables["diagnostics"], f"{directory}/diagnostics_json")
 
 
+def whole(raw: DataFrame, rates: DataFrame, seeds: DataFrame, overrides: DataFrame, directory: str, engagement_id: str, settings: Settings = DEFAULT) -> tuple[Promotion, dict[str, DataFrame]]:
+    """From an export to savings in one run over new tables: lands, promotes, writes the cube below ``directory``; the promotion and ``savings`` of its facts."""
+    spark = raw.sparkSession
+    empty = lambda fields: spark.createDataFrame([], fields)
+    landed = stored(ingest.to_landing(ingest.ingest(raw, rates, engagement_id, settings=settings), "1"), "landed")
+    done = promote(landed, empty(schema.TRANSACTION_SCHEMA), empty(schema.MASTER_SCHEMA), empty(schema.MATCH_LOG_SCHEMA), seeds, overrides, engagement_id, "1", settings)
+    facts = stored(done.facts, "facts")
+    run(facts, directory, settings)
+    return replace(done, facts=facts), savings(facts, settings)
+
+
 def savings(df: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """The recommendations that stay after allocation, and the portfolio that they make."""
     df = stored(recommend.cells(df), "cells")
