@@ -38,6 +38,11 @@ def _pct(c: Column, digits: int = 0) -> Column:
     return F.concat(F.format_number(F.bround(c * 100, digits), digits), F.lit("%"))
 
 
+def _said(*parts: str | Column) -> Column:
+    """Words and values in turn, as one text."""
+    return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
 def _finish(rows: DataFrame, type_: str, confidence, lever: str, context: Column, evidence: Column, impact: Column, action: Column, baseline: Column, share: Column, saving: Column, addressable_: Column) -> DataFrame:
     return rows.select(
         F.lit(type_).alias("type"), context.cast("string").alias("context"), evidence.alias("evidence"), F.round(impact, 2).alias("estimated_impact"),
@@ -131,8 +136,8 @@ def consolidation(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     c, spend = F.col("category"), F.col("spend")
     saving, share = rates("SUPPLIER_CONSOLIDATION", c)
     n = F.col("suppliers").cast("string")
-    evidence = F.concat(n, F.lit(" suppliers in "), c, F.lit(", top supplier = "), F.format_string("%.1f", F.bround(F.col("top_spend") / spend * 100, 1)), F.lit("%; "), _pct(share), F.lit(" addressable"))
-    action = F.concat(F.lit("Consolidate "), n, F.lit(" suppliers in "), c, F.lit(" to 2-3 preferred vendors"))
+    evidence = _said("suppliers", n, "share of the largest", _pct(F.col("top_spend") / spend, 1), "addressable", _pct(share))
+    action = _said("Keep two or three of", n, "suppliers for", c)
     return _finish(rows, "SUPPLIER_CONSOLIDATION", "HIGH", "Supplier Consolidation", c, evidence, spend * share * saving, action, spend, share, saving, spend * share)
 
 
@@ -144,8 +149,8 @@ def term_extension(df: DataFrame, s: Settings = DEFAULT, top: int = 50) -> DataF
     base = F.col("spend") * share
     impact = (s.target_payment_days - F.col("terms")) / 365.0 * base * s.wacc
     name, days = F.coalesce("name", "canonical_supplier_id"), F.format_number(F.bround("terms", 0), 0)
-    evidence = F.concat(F.lit("Current: "), days, F.lit(f" days, Target: {s.target_payment_days} days"))
-    action = F.concat(F.lit("Negotiate payment terms extension from "), days, F.lit(f" to {s.target_payment_days} days with "), name)
+    evidence = _said("days now", days, "days wanted", F.lit(str(s.target_payment_days)))
+    action = _said("Ask", name, "to be paid after", F.lit(str(s.target_payment_days)), "days, not", days)
     return _finish(rows.where(impact > s.least_working_capital), "PAYMENT_TERM_EXTENSION", "HIGH", "Working Capital", name, evidence, impact, action, F.col("spend"), share, F.lit(None), base)
 
 
@@ -159,21 +164,21 @@ def _portfolio(figures: DataFrame, column: str, alert: float, type_: str, lever:
 def tail_rationalisation(figures: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """``figures`` is the row of key figures."""
     n = F.col("tail_supplier_count").cast("string")
-    evidence = F.concat(n, F.lit(" tail suppliers, "), _pct(F.col("tail_spend_pct"), 1), F.lit(" of spend"))
-    return _portfolio(figures, "tail_spend_pct", s.tail_alert, "TAIL_SPEND_RATIONALISATION", "Tail Spend Rationalisation", evidence, F.concat(F.lit("Rationalise "), n, F.lit(" tail suppliers: consolidate or drop vendors of low value")))
+    evidence = _said("suppliers in the tail", n, "their share of spend", _pct(F.col("tail_spend_pct"), 1))
+    return _portfolio(figures, "tail_spend_pct", s.tail_alert, "TAIL_SPEND_RATIONALISATION", "Tail Spend Rationalisation", evidence, _said("Move the orders of", n, "small suppliers to larger ones", F.lit("where there are any")))
 
 
 def contract_compliance(figures: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    evidence = F.concat(_pct(F.col("maverick_spend_pct"), 1), F.lit(" of spend is maverick (no PO and not on-contract)"))
-    return _portfolio(figures, "maverick_spend_pct", s.maverick_alert, "CONTRACT_COMPLIANCE", "Contract Compliance", evidence, F.lit("Enforce PO compliance and contract coverage for maverick spend categories"))
+    evidence = _said("share of spend with neither order nor contract", _pct(F.col("maverick_spend_pct"), 1))
+    return _portfolio(figures, "maverick_spend_pct", s.maverick_alert, "CONTRACT_COMPLIANCE", "Contract Compliance", evidence, F.lit("Pay only what has an order or a contract"))
 
 
 def competitive_tender(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = _by_category(df, "category_l2").where((F.col("suppliers") == 1) & (F.col("spend") > s.tender_spend))
     c, spend, name = F.col("category"), F.col("spend"), F.col("top_name")
     saving, share = rates("COMPETITIVE_TENDER", c)
-    evidence = F.concat(F.lit("Single source: all "), c, F.lit(" spend ($"), _whole(spend), F.lit(") with "), name, F.lit("; "), _pct(share), F.lit(" addressable"))
-    action = F.concat(F.lit("Run competitive tender for "), c, F.lit(", now single-sourced from "), name)
+    evidence = _said("only supplier", name, "spend", _whole(spend), "addressable", _pct(share))
+    action = _said("Ask others than", name, "for offers in", c)
     return _finish(rows, "COMPETITIVE_TENDER", "HIGH", "Competitive Sourcing", c, evidence, spend * share * saving, action, spend, share, saving, spend * share)
 
 
@@ -186,8 +191,8 @@ def coverage_gap(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = rows.where(F.col("spend") > s.coverage_spend).withColumn("cover", F.col("covered") / F.col("spend")).where(F.col("cover") < s.coverage_share)
     c, spend, open_ = F.col("category"), F.col("spend"), F.col("spend") * (1.0 - F.col("cover"))
     saving, share = rates("CONTRACT_COVERAGE_GAP", c)
-    evidence = F.concat(_pct(F.col("cover")), F.lit(" contract coverage in "), c, F.lit(" ($"), _whole(spend), F.lit(" total spend); "), _pct(share), F.lit(" of unmanaged addressable"))
-    action = F.concat(F.lit("Establish framework agreements for "), c, F.lit(", target 80% contract coverage"))
+    evidence = _said("under contract", _pct(F.col("cover")), "spend", _whole(spend), "addressable of the rest", _pct(share))
+    action = _said("Agree on contracts for most of", c)
     return _finish(rows, "CONTRACT_COVERAGE_GAP", "MEDIUM", "Contract Coverage", c, evidence, open_ * share * saving, action, spend, share, saving, open_ * share)
 
 
@@ -197,8 +202,8 @@ def concentration_risk(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = rows.where(part > s.concentration_share)
     c, spend, name = F.col("category"), F.col("spend"), F.col("top_name")
     saving, share = rates("SPEND_CONCENTRATION_RISK", c)
-    evidence = F.concat(_pct(part), F.lit(" of "), c, F.lit(" spend concentrated in "), name, F.lit("; "), F.col("suppliers").cast("string"), F.lit(" total suppliers; "), _pct(share), F.lit(" addressable"))
-    action = F.concat(F.lit("Introduce second-source competition in "), c, F.lit(": "), name, F.lit(" holds "), _pct(part), F.lit(" of spend"))
+    evidence = _said("share of", name, "is", _pct(part), "suppliers", F.col("suppliers").cast("string"), "addressable", _pct(share))
+    action = _said("Buy part of", c, "from others than", name)
     return _finish(rows, "SPEND_CONCENTRATION_RISK", "MEDIUM", "Supply Risk Management", c, evidence, spend * share * saving, action, spend, share, saving, spend * share)
 
 
@@ -207,8 +212,8 @@ def discount_capture(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     rows = rows.agg(_double("discount_spend").alias("spend"), (F.sum("discount_sum").cast("double") / F.sum("discount_rows")).alias("mean_pct"), _double("gain").alias("gain"), F.min("discount_name").alias("name"))
     _, share = rates("EARLY_PAYMENT_DISCOUNT_CAPTURE")
     impact, name = F.col("gain") * share, F.coalesce("name", "canonical_supplier_id")
-    evidence = F.concat(F.lit("Avg discount: "), F.format_number(F.bround("mean_pct", 1), 1), F.lit("%; annual spend with discount terms: $"), _whole(F.col("spend")), F.lit("; capturing discount saves $"), _whole(impact), F.lit("/yr"))
-    action = F.concat(F.lit("Capture early payment discount with "), name, F.lit(": pay within the discount window"))
+    evidence = _said("mean discount", F.concat(F.format_number(F.bround("mean_pct", 1), 1), F.lit("%")), "spend with a discount", _whole(F.col("spend")), "worth a year", _whole(impact))
+    action = _said("Pay", name, "early enough for", F.lit("the discount"))
     return _finish(rows.where(impact > s.least_discount), "EARLY_PAYMENT_DISCOUNT_CAPTURE", "HIGH", "Early Payment Discount", name, evidence, impact, action, F.col("spend"), share, F.lit(None), F.col("gain"))
 
 
@@ -226,8 +231,8 @@ def best_price(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     _, share = rates("BEST_PRICE_EXTRAPOLATION")
     gap, base, c = (F.col("mean") - F.col("best")) / F.col("mean"), F.col("spend") * share, F.col("category")
     money = lambda x: F.format_string("%.2f", F.bround(x, 2))
-    evidence = F.concat(F.lit("Best unit price: "), money(F.col("best")), F.lit("; avg unit price: "), money(F.col("mean")), F.lit("; gap: "), _pct(gap, 1), F.lit(" across "), F.col("suppliers").cast("string"), F.lit(" suppliers ("), F.col("n").cast("string"), F.lit(" transactions)"))
-    action = F.concat(F.lit("Standardise sourcing for "), c, F.lit(" to best-price supplier or negotiate to best observed rate"))
+    evidence = _said("best price", money(F.col("best")), "mean price", money(F.col("mean")), "gap", _pct(gap, 1), "suppliers", F.col("suppliers").cast("string"), "priced rows", F.col("n").cast("string"))
+    action = _said("Buy", c, "at the best price", F.lit("seen"))
     confidence = F.when(F.col("n") >= s.many_priced_rows, "HIGH").otherwise("MEDIUM")
     return _finish(rows, "BEST_PRICE_EXTRAPOLATION", confidence, "Best Price Extrapolation", c, evidence, gap * base, action, F.col("spend"), share, F.lit(None), base)
 

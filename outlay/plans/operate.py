@@ -35,7 +35,7 @@ def _currency_sql() -> str:
 book.add("synthetic_export", lambda spark, sf_dir: synthetic.export(spark, ROWS, SEED), f"""
 WITH r AS (SELECT i, {_U('credit')} < 0.05 AS credit, {_U('internal')} < 0.02 AS internal, {_U('messy')} AS form, {_U('amount')} AS amount, {_PICK(synthetic.LINES, _U('line'))} AS line, {_PICK(synthetic.TERMS, _U('terms'))} AS terms,
     DATE '{synthetic.FIRST_DAY}' + floor({_U('day')} * {synthetic.DAYS})::INT AS day, lpad(CASE WHEN {_U('anchor')} < 0.4 THEN floor({_U('supplier')} * 10) ELSE floor({_U('supplier')} * 500) END::BIGINT::VARCHAR, 6, '0') AS s FROM range({ROWS}) q(i))
-SELECT CASE WHEN internal THEN 'INTERCOMPANY - ' || {_PICK(synthetic.DEPARTMENTS, _U('department'))} WHEN {_U('variant')} < 0.15 THEN 'SUPPLIER ' || s || ' ' || {_PICK(synthetic.FORMS, _U('form'))} ELSE 'Supplier ' || s || ' Pty Ltd' END AS VENDOR_NAME,
+SELECT CASE WHEN internal THEN 'INTERCOMPANY - ' || {_PICK(synthetic.DEPARTMENTS, _U('department'))} WHEN {_U('variant')} < 0.15 THEN 'SUPPLIER ' || s || ' ' || {_PICK(synthetic.FORMS, _U('form'))} ELSE 'Supplier ' || s || ' {synthetic.FORMS[0]}' END AS VENDOR_NAME,
   CASE WHEN internal THEN 'V-INTCO' ELSE 'V-' || s END AS VENDOR_NUM, CASE WHEN credit THEN 'CN-' ELSE 'INV-' END || year(day) || '-' || lpad((i + 1)::VARCHAR, 9, '0') AS INV_NO,
   CASE WHEN form >= 0.3 THEN strftime(day, '%Y-%m-%d') WHEN form < 0.3 * 0.6 THEN strftime(day, '%d/%m/%Y') ELSE strftime(day, '%d-%b-%Y') END AS INV_DATE,
   CASE WHEN credit THEN 'Credit ' || lower(line) ELSE line END AS LINE_DESC, CASE WHEN credit THEN printf('-%.2f', (50 + floor(amount * 495000) / 100)::DOUBLE) ELSE printf('%.2f', (100 + floor(amount * 4990000) / 100)::DOUBLE) END AS AMT,

@@ -14,13 +14,6 @@ def read_export(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', **options)
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A sheet of a workbook, all texts. Spark has no reader for it: one file, bounded by the format's million rows, is read on the driver."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str).astype(object).where(lambda x: x.notna(), None))
-
-
 def peek(spark: SparkSession, path: str) -> tuple[list[str], int]:
     """Columns and number of rows of an export."""
     df = read_export(spark, path)

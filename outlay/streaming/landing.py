@@ -28,7 +28,9 @@ def read_table(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """A table that batches write, empty before the first one."""
     try:
         return spark.read.schema(fields).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], fields)
 
 
