@@ -106,7 +106,7 @@ def with_totals_before(spark: SparkSession, df: DataFrame, order: list[str], tot
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -42,7 +42,7 @@ KEYS = 8
 STRETCH = 1.7
 UNKNOWN, PAD = -1, -2
 #: Words of documents that are handled at once in a task.
-CHUNK = 1_000_000
+CHUNK = 150_000
 #: Places whose walks advance together: what they need stays in a core's cache.
 TOGETHER = 1 << 15
 #: Sizes in words at which classes of items start, and the most words of a window.
@@ -369,7 +369,7 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     high = np.minimum(starts[seeds[:, 0]] + lengths[seeds[:, 0]], seeds[:, 2] + m + 2 * k)
     # each edit takes one word of the item at most: so many of the window's words must be the item's
     enough = np.zeros(len(seeds), bool)
-    step = max(1, 2_000_000 // int((m + 3 * k).max(initial=1)))
+    step = max(1, 500_000 // int((m + 3 * k).max(initial=1)))
     for a in range(0, len(seeds), step):
         part = slice(a, a + step)
         at = low[part, None] + np.arange(int((high - low)[part].max(initial=0)))
@@ -499,20 +499,21 @@ def clean(
     return docs
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """The texts in parts of about ``CHUNK`` words, each with the number of its first text."""
-    first, held = 0, 0
-    for n, text in enumerate(texts):
-        held += len(text)
-        if held >= 6 * CHUNK or n + 1 == len(texts):
-            yield first, texts[first : n + 1]
-            first, held = n + 1, 0
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts in parts of about ``CHUNK`` words, each with the number of its first text; only one part's are Python objects at a time."""
+    until = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4))) if pa.types.is_string(texts.type) and len(texts) else np.cumsum([len(x.as_py() or "") for x in texts])
+    first = 0
+    while first < len(texts):
+        done = until[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(until, done + 6 * CHUNK, side="right")))
+        yield first, texts.slice(first, end - first).to_pylist()
+        first = end
 
 
 def _holds(shared):
     def run(texts: pa.Array) -> pa.Array:
         held = np.zeros(len(texts), bool)
-        for first, part in _parts(texts.to_pylist()):
+        for first, part in _parts(texts):
             held[[first + row[0] for row in search(shared.value, part)]] = True
         return pa.array(held)
 
@@ -523,7 +524,7 @@ def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            rows = [(first + t, *rest) for first, part in _parts(batch.column("text").to_pylist()) for t, *rest in search(index, part)]
+            rows = [(first + t, *rest) for first, part in _parts(batch.column("text")) for t, *rest in search(index, part)]
             columns = [batch.column("id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.item_ids[r[1]] for r in rows], pa.int64())]
             numbers = [[r[2] for r in rows], [len(index.items[r[1]]) for r in rows], *[[r[k] for r in rows] for k in (3, 4, 5, 6)]]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.int32()) for x in numbers], names=["doc_id", "item_id", "edits", "item_words", "first_word", "end_word", "first_char", "end_char"])

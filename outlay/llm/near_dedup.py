@@ -31,6 +31,8 @@ ROWS, BANDS, BATCH = 5, 24, 20
 SIZE = ROWS * BANDS
 #: Rows of a block, and rows that are compared with it in one unit of work.
 BLOCK, PROBES = 256, 1024
+#: Texts of a task that are Python objects at once.
+AT_ONCE = 500
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 2**31, SIZE, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, SIZE, dtype=np.uint64).astype(np.uint32)
@@ -82,7 +84,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             prints, counts, bands, signatures = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
@@ -125,7 +127,7 @@ def _verify(size: int, part: int, whole: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(), (None, None)
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             keep = []
             for ta, tb in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
                 if last[0] != tb:
