@@ -92,6 +92,7 @@ def kpis(df: DataFrame, settings: Settings = DEFAULT, top: int = 50) -> DataFram
     one = df.agg(*[v.alias(k) for k, v in (_sums() | quality.values()).items()])
     for part in (suppliers.agg(F.count(F.lit(1)).alias("total_suppliers")), counted, quality._names(names, False), quality._duplicates(invoices, False)):
         one = one.join(F.broadcast(part))
+    one = stored(one, "figures")  # one row, read by the figures and by the score
     figures = one.select(*_figures())
     for part in (tail, held, freed, quality.score_of(quality._banded(one))):
         figures = figures.join(F.broadcast(part))
