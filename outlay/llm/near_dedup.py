@@ -387,7 +387,10 @@ def near_duplicates(
     if more is not None and not more.isEmpty():
         label = joined(label, more)
 
-    root = members.join(label.toDF("class", "root"), "class", "full").select(F.coalesce("id", "class").alias("id"), F.coalesce("root", "class").alias("root"))
+    # a text's copies may be a third of all rows: their join with its component is split
+    of_copies = several.groupBy("class").agg(F.sum("copies").alias("uses")).join(label.toDF("class", "component"), "class", "left")
+    of_copies = stored(spark, of_copies.select("class", F.coalesce("component", "class").alias("root"), "uses"), "of-copies", narrow=True)
+    root = spread_join(members.select("id", "class"), of_copies, "class", "uses", ["id"]).select("id", "root").union(label.select("node", "component"))
     root = root.groupBy("id").agg(F.min("root").alias("root"))
     out = sketches.join(root, "id", "left").select(
         F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id")
