@@ -150,5 +150,40 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), each AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM split, (VALUES (1), (2), (3), (4)) s(k) WHERE len(words) >= k
+), grams AS (
+  SELECT lang, k, phrase, count(*) AS a FROM each GROUP BY ALL HAVING count(*) >= 30
+), phrases AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM grams WHERE k >= 2
+), cuts AS (
+  SELECT lang, phrase, k, a, words, unnest(range(1, k)) AS cut FROM phrases
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+    JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT p.lang, array_to_string(p.words[s:s + m - 1], ' ') AS phrase, max(p.a) AS longer
+  FROM phrases p, (VALUES (2), (3)) sizes(m), (VALUES (1), (2), (3)) starts(s) WHERE m < p.k AND s + m - 1 <= p.k GROUP BY ALL
+), ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * l.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": _op4(), "op5_secrets": OP5, "op6_topk": OP6, "op8_licenses": _op8(), "op9_mixing": OP9, "op10_warc": OP10}
+    return {"op4_chat": _op4(), "op5_secrets": OP5, "op6_topk": OP6, "op8_licenses": _op8(), "op9_mixing": OP9, "op10_warc": OP10, "op13_phrases": OP13}

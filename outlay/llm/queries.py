@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm import chat, decontaminate, licenses, mixing, near_dedup, secrets, sharding, topk, toxicity, warc
+from outlay.llm import align, chat, decontaminate, licenses, mixing, near_dedup, phrases, quality, secrets, sharding, topk, toxicity, warc
 from outlay.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(spark, docs, _table(spark, sf_dir, "labels"), ~_held_out(F.col("doc_id")))
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("quality").alias("score"), quality.kept().cast("int").alias("predicted"))
+
+
+def _hex(groups: str) -> str:
+    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align(spark, _table(spark, sf_dir, "documents"), finish=_hex).documents
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -88,4 +109,7 @@ def queries() -> dict[str, Query]:
         "op8_licenses_apart": op8_licenses_apart,
         "op9_mixing": op9_mixing,
         "op10_warc": op10_warc,
+        "op11_quality": op11_quality,
+        "op12_align": op12_align,
+        "op13_phrases": op13_phrases,
     }
