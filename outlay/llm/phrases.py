@@ -35,8 +35,10 @@ _TABLE = bytes(BREAK if b in ENDS else SPACE if b in GAPS else b + 32 if 65 <= b
 CHUNK, HASHED = 4 << 20, 1 << 20
 #: Rows of a sketch, cells of a block of it; bytes of text for a cell, and the fewest and the most cells of a row as powers of 2.
 ROWS, BLOCK, PER_CELL, FEWEST, MOST = 2, 1 << 16, 50, 16, 25
-#: Phrases that a task adds up before it sends them on.
-ADDED = 300_000
+#: Rows that a task adds up at a time, and the most sums it holds before it sends them on.
+ADDED, MOST_ADDED = 300_000, 1_500_000
+#: Shares of a language's phrases that are ranked apart before they are ranked together.
+SHARES = 16
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _ODD = [np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -256,19 +258,23 @@ def word_ids(words: Words, at: np.ndarray) -> np.ndarray:
     return np.array([known.setdefault((int(words.lang[i]), words.word(i)), len(known)) for i in at.tolist()], np.int64)
 
 
+def _added(parts: list[pa.Table]) -> pa.Table:
+    """Counts of equal n-grams added up."""
+    return pa.concat_tables(parts).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("a", "sum")]).rename_columns(["lang", "size", "phrase", "a"])
+
+
 def _counted(most: int, known: Broadcast):
     """A task's exact counts of the n-grams that pass, and of all words (size 0), by language."""
 
-    def out(sums: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
-        lang, size, phrase = zip(*sums, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(sums.values(), pa.int64())], ["lang", "size", "phrase", "a"])
+    def rows(lang: list[str], size: int, phrase: list[bytes], count: np.ndarray) -> pa.Table:
+        return pa.table({"lang": pa.array(lang, pa.string()), "size": pa.array([size] * len(lang), pa.int32()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "a": pa.array(count, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, bytes], int] = {}
+        parts: list[pa.Table] = []
+        waiting = held = 0
         for names, words in _chunks(batches):
             n = len(words.hash)
-            for lang, count in enumerate(np.bincount(words.lang, minlength=len(names)).tolist()):
-                sums[names[lang], 0, b""] = sums.get((names[lang], 0, b""), 0) + count
+            parts.append(rows(names, 0, [b""] * len(names), np.bincount(words.lang, minlength=len(names))))
             single, ids = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
             for size, at, _ in places(words, known.value, most):
                 if size == 1:
@@ -279,14 +285,17 @@ def _counted(most: int, known: Broadcast):
                 _, first, own, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
                 ids = np.full(n, -1, np.int64)
                 ids[at] = own
-                for i, c in zip(at[first].tolist(), count.tolist(), strict=True):
-                    key = (names[words.lang[i]], size, b" ".join([words.word(j) for j in range(i, i + size)]))
-                    sums[key] = sums.get(key, 0) + c
-            if len(sums) > ADDED:
-                yield out(sums)
-                sums.clear()
-        if sums:
-            yield out(sums)
+                here = at[first].tolist()
+                parts.append(rows([names[k] for k in words.lang[here].tolist()], size, [b" ".join([words.word(j) for j in range(i, i + size)]) for i in here], count))
+                waiting += len(here)
+            if waiting > max(ADDED, held):  # as many new rows as there are sums: each row is added up a few times at most
+                parts = [_added(parts)]
+                waiting, held = 0, parts[0].num_rows
+                if held > MOST_ADDED:
+                    yield from parts[0].to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from _added(parts).to_batches()
 
     return run
 
@@ -305,7 +314,7 @@ def frequent(spark: SparkSession, docs: DataFrame, least: int = 30, most: int =
     for level in (0, 1)[: 1 + (most > 2)]:
         known.append(sketch(spark, given.coalesce(tasks), level, most, least, max(FEWEST, log_width - 2 * level), spark.sparkContext.broadcast(list(known))))
     # two bit maps of ROWS * 2**MOST bits at most: 16 MB
-    found = given.mapInArrow(_counted(most, spark.sparkContext.broadcast(known)), "lang string, size int, phrase string, a long")
+    found = given.coalesce(tasks).mapInArrow(_counted(most, spark.sparkContext.broadcast(known)), "lang string, size int, phrase string, a long")
     return stored(spark, found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("size") == 0)), "grams")
 
 
@@ -334,7 +343,10 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 30, most: in
     within = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda s: F.array_join(F.slice("words", s, m), " "))))
     covers = phrases.where("size >= 3").select("lang", F.col("a").alias("longer"), F.explode(within).alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = lowest.join(covers, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * inside))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the first of each share, then of a language's shares: no task gets all phrases of a language
+    shared = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    first = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = grams.where("size = 0").select("lang", F.col("a").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
