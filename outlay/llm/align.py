@@ -50,13 +50,16 @@ FEW_PAIRS = 1 << 16
 #: Cells that a task merges before it sends them on; bytes of a stripe's packs in one task.
 MERGED, PACKED = 2 << 20, 32 << 20
 
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def words_of(text: str) -> list[str]:
     """``text`` cut at single spaces between characters that are no white space: joined by spaces they give the text again."""
-    return (_SAFE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")) if text else []
+    if not text:
+        return []
+    # as many parts as white space allows: it stands alone everywhere, and there is none but these kinds
+    plain = len(text.split()) == 1 + sum(map(text.count, " \n\t\r"))
+    return text.split(" ") if plain else _SAFE_CUT.split(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -85,7 +88,8 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         #: Words can be encoded apart if no piece goes on past the end of a word.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.names = [str(i) for i in range(max(self.n_a, self.n_b))]
+        #: Ids as text, with what stands behind one inside a side of a group, at the end of side A and at the end of the group.
+        self.inside, self.after_a, self.after_b = (np.array([f"{i}{c}" for i in range(max(self.n_a, self.n_b))], object) for c in ",|;")
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and ``text`` on both sides."""
@@ -144,7 +148,7 @@ def align_words(t: Tokenizers, words: list[str]) -> Aligned:
         half = len(words) // 2
         return _joined([align_words(t, words[:half]), align_words(t, words[half:])]) if half else _none(1)
     a_end, b_end = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
-    common = np.intersect1d(a_end, b_end)
+    common = np.intersect1d(a_end, b_end, assume_unique=True)
     n = len(common)
     a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
     n_a, n_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
@@ -166,11 +170,13 @@ def align_words(t: Tokenizers, words: list[str]) -> Aligned:
         order = np.argsort(owner, kind="stable")
         links, times, owner = links[order], times[order], owner[order]
     count = lambda sums: np.bincount(of_group, weights=sums, minlength=len(words)).astype(np.int64)
-    a_names, b_names = (list(map(t.names.__getitem__, x.tolist())) for x in (a, b))
-    af, bf = a_first.tolist(), b_first.tolist()
-    groups = [f"{','.join(a_names[af[g] : af[g + 1]])}|{','.join(b_names[bf[g] : bf[g + 1]])}" for g in range(n)]
-    cut = np.searchsorted(of_group, np.arange(len(words) + 1)).tolist()
-    texts = [";".join(groups[s:e]) for s, e in zip(cut, cut[1:], strict=False)]
+    last = lambda group: np.append(group[1:] != group[:-1], True)
+    flat = np.empty(len(a) + len(b), object)
+    flat[np.arange(len(a)) + b_first[a_group]] = np.where(last(a_group), t.after_a[a], t.inside[a])
+    flat[np.arange(len(b)) + a_first[b_group + 1]] = np.where(last(b_group), t.after_b[b], t.inside[b])
+    cut = np.searchsorted(of_group, np.arange(len(words) + 1))
+    cut, listed = (a_first[cut] + b_first[cut]).tolist(), flat.tolist()
+    texts = ["".join(listed[s:e])[:-1] for s, e in zip(cut, cut[1:], strict=False)]
     n_links = np.zeros(len(words), np.int64)
     np.add.at(n_links, of_group, pairs)
     return Aligned(np.ones(len(words), bool), count(n_a), count(n_b), count(np.ones(n)), n_links, texts, _starts(np.bincount(owner, minlength=len(words))), links, times)
@@ -192,7 +198,7 @@ class Memory:
         if len(self.place) > REMEMBERED or len(self.known.links) > LINKS_REMEMBERED:
             self.forget()
         place = self.place
-        new = list(dict.fromkeys(w for w in words if w not in place))
+        new = [w for w in dict.fromkeys(words) if w not in place]
         if new:
             # white space at the end of a text isn't followed by a word, so such words stand alone, and so do long ones
             alone = [w for w in new if len(w) > LONGEST or w[-1:].isspace() or not self.t.apart]
@@ -363,8 +369,8 @@ def _scored(rows_of_stripe: int, n_b: int, flush: int = 1 << 20):
 
         def out() -> pa.RecordBatch:
             found = [(number, np.flatnonzero(x.any(axis=0)), x) for number, x in sums.items()]
-            columns = [np.concatenate([np.full(len(d), number) for number, d, _ in found]), np.concatenate([d for _, d, _ in found]).astype(np.int32), *[np.concatenate([x[i][d] for _, d, x in found]) for i in (0, 1)]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["batch", "doc_no", "n_best", "count_sum"])
+            columns = [[d.astype(np.uint16).tobytes() for _, d, _ in found], *[[x[i][d].tobytes() for _, d, x in found] for i in (0, 1)]]
+            return pa.RecordBatch.from_arrays([pa.array([number for number, *_ in found], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["batch", "doc_nos", "n_best", "count_sum"])
 
         for batch in batches:
             for number, cells, counts, per_cell, doc_nos, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -399,6 +405,28 @@ def _scored(rows_of_stripe: int, n_b: int, flush: int = 1 << 20):
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a batch's documents from several tasks, which come one after the other, added up; a row a document."""
+
+    def out(number: int, total: np.ndarray) -> pa.RecordBatch:
+        doc = np.flatnonzero(total.any(axis=0))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), number)), pa.array(doc.astype(np.int32)), pa.array(total[0][doc]), pa.array(total[1][doc])], ["batch", "doc_no", "n_best", "count_sum"])
+
+    now, total = None, np.zeros((2, MOST_ROWS), np.int64)
+    for batch in batches:
+        for number, doc_nos, n_best, count_sum in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if number != now:
+                if now is not None:
+                    yield out(now, total)
+                now = number
+                total[:] = 0
+            doc = np.frombuffer(doc_nos, np.uint16)
+            total[0][doc] += np.frombuffer(n_best, np.int64)
+            total[1][doc] += np.frombuffer(count_sum, np.int64)
+    if now is not None:
+        yield out(now, total)
+
+
 @dataclass
 class Alignment:
     """``documents``: a row a document; ``counts``: each stripe's cells in use with their counts."""
@@ -447,8 +475,8 @@ def align(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     dealt = packs.join(F.broadcast(shares), "stripe").select("stripe", F.pmod(F.xxhash64("batch"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"), "batch", "cells", F.lit(None).cast("binary").alias("counts"), "per_cell", "doc_nos", "times")
     copies = counts.join(F.broadcast(shares), "stripe").select("stripe", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "cells", "counts")
     both = dealt.unionByName(copies, allowMissingColumns=True).repartition("stripe", "share").sortWithinPartitions("stripe", "share", "kind")
-    scored = both.select("batch", "cells", "counts", "per_cell", "doc_nos", "times").mapInArrow(_scored(rows_of_stripe, n_b), "batch long, doc_no int, n_best long, count_sum long")
-    sums = scored.groupBy("batch", "doc_no").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    scored = both.select("batch", "cells", "counts", "per_cell", "doc_nos", "times").mapInArrow(_scored(rows_of_stripe, n_b), "batch long, doc_nos binary, n_best binary, count_sum binary")
+    sums = scored.repartition("batch").sortWithinPartitions("batch").mapInArrow(_totals, "batch long, doc_no int, n_best long, count_sum long")
     out = rows.select("batch", "doc_no", "id", "n_a", "n_b", "n_groups", "n_links", "groups").join(sums, ["batch", "doc_no"], "left")
     none = F.lit(0).cast("long")
     out = out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups")
