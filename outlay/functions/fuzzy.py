@@ -1,8 +1,11 @@
-"""Fuzzy name similarity, in Arrow batches: no built-in expression counts insertions and deletions alone."""
+"""Fuzzy name similarity, in Arrow batches: no built-in expression counts insertions and deletions alone.
 
-from __future__ import annotations
+``composite`` is the definition, a pair at a time. ``best_of`` finds, for each of some names, the best of a block of
+candidates: common subsequences of one name with all candidates advance together, letter by letter, and
+what can't reach the best so far is left out. Both give the same numbers.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -70,78 +73,192 @@ def composite(a: str, b: str) -> float:
     return (0.4 * sorted_ratio(a, b) + 0.4 * set_ratio(a, b) + 0.2 * partial_ratio(a, b)) / 100
 
 
-def _composites(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else composite(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+#: Letters are counted in so many bins; letters that share one only make a bound looser.
+BINS = 64
+#: Letters of a name that fit the bits of a number.
+BITS = 64
 
 
-fuzzy_score = F.arrow_udf(_composites, T.DoubleType())
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has letters of each bin."""
+    out = np.zeros((len(texts), BINS), np.int32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % BINS
+    np.add.at(out, (np.repeat(np.arange(len(texts)), sizes), letters), 1)
+    return out
 
 
-#: Letters are counted in so many bins; letters that share one only make a bound looser.
-BINS = 64
+def forms_of(texts: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Texts as they are, their words sorted, their distinct words sorted."""
+    words = [t.split() for t in texts]
+    return texts, [" ".join(sorted(w)) for w in words], [" ".join(sorted(set(w))) for w in words]
+
+
+class Block:
+    """Candidates, ready to be compared with one name after the other."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, len(texts)
+        self.forms = forms_of(texts)
+        self.alphabet = {c: i + 1 for i, c in enumerate(sorted({c for t in texts for c in t} | {" "}))}
+        self.sizes = [np.fromiter(map(len, f), np.int64, self.n) for f in self.forms]
+        self.counts = [letter_counts(list(f)) for f in self.forms]
+        self.codes = [self._codes(f, s) for f, s in zip(self.forms, self.sizes, strict=True)]
+        self.having: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            for w in set(t.split()):
+                self.having.setdefault(w, []).append(i)
+
+    def _codes(self, form: list[str], sizes: np.ndarray) -> np.ndarray:
+        """A row of letter numbers for each text, 0 behind its end."""
+        out = np.zeros((self.n, int(sizes.max(initial=0))), np.int32)
+        for i, t in enumerate(form):
+            out[i, : len(t)] = [self.alphabet[c] for c in t]
+        return out
+
+    def masks(self, text: str) -> np.ndarray:
+        """For each letter of the alphabet the places where ``text`` has it; none for letters that no candidate has."""
+        out = np.zeros(len(self.alphabet) + 1, np.uint64)
+        for i, c in enumerate(text):
+            if c in self.alphabet:
+                out[self.alphabet[c]] |= np.uint64(1 << i)
+        return out
+
+    def common(self, masks: np.ndarray, size: int, form: int, at: np.ndarray) -> np.ndarray:
+        """Common subsequences' lengths of a text of ``size`` letters (``BITS`` at most) with some candidates."""
+        codes = self.codes[form][at, : int(self.sizes[form][at].max(initial=0))]
+        return _left(masks[codes], np.full(len(at), _full(size), np.uint64))
+
+
+def _full(size: int) -> np.uint64:
+    return np.uint64((1 << size) - 1)
+
+
+def _left(steps: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Lengths of common subsequences, a row a pair: ``steps`` has the places met by letter after letter, ``full`` all places of the text they are in."""
+    rest = full.copy()
+    for j in range(steps.shape[1]):
+        met = rest & steps[:, j]
+        rest = (rest + met) | (rest - met)
+    return (np.bitwise_count(full) - np.bitwise_count(rest & full)).astype(np.int64)
+
+
+def _stretches(block: Block, masks: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """``partial_ratio`` of a text of ``size`` letters, 1 to ``BITS``, with some candidates that have letters."""
+    best = np.zeros(len(at))
+    sizes = block.sizes[0][at]
+    for short_is_name in (True, False):
+        own = np.flatnonzero((sizes >= size) == short_is_name)
+        if not len(own):
+            continue
+        short = np.full(len(own), size) if short_is_name else sizes[own]
+        long = sizes[own] if short_is_name else np.full(len(own), size)
+        # stretches start from 1 - short to long - 1 and are cut at both ends of the longer text
+        times = short + long - 1
+        row = np.repeat(np.arange(len(own)), times)
+        start = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1 - short[row]
+        low, high = np.maximum(start, 0), np.minimum(start + short[row], long[row])
+        width = high - low
+        codes = block.codes[0][at[own]]
+        if short_is_name:
+            place = low[:, None] + np.arange(int(width.max()))
+            letters = codes[row[:, None], np.minimum(place, codes.shape[1] - 1)]
+            common = _left(np.where(place < high[:, None], masks[letters], np.uint64(0)), np.full(len(row), _full(size), np.uint64))
+        else:
+            full = (np.left_shift(np.uint64(1), np.minimum(width, 63).astype(np.uint64)) - np.uint64(1)) | np.where(width == 64, np.uint64(2**64 - 1), np.uint64(0))
+            common = _left((masks[codes[:, : int(short.max())]][row] >> low.astype(np.uint64)[:, None]) & full[:, None], full)
+        np.maximum.at(best, own[row], 200.0 * common / (short[row] + width))
+    return best
 
 
-@dataclass
-class Letters:
-    """Lengths and letter counts of texts as they are, of their words with single spaces, and of their distinct words."""
-
-    sizes: list[np.ndarray]
-    counts: list[np.ndarray]
-    words: list[set[str]]
-
-    @classmethod
-    def of(cls, texts: list[str]) -> Letters:
-        words = [t.split() for t in texts]
-        sizes, counts = [], []
-        for form in (texts, [" ".join(w) for w in words], [" ".join(set(w)) for w in words]):
-            sizes.append(np.array([len(t) for t in form], np.int64))
-            counts.append(np.zeros((len(form), BINS), np.int32))
-            for row, t in enumerate(form):
-                np.add.at(counts[-1][row], [ord(x) % BINS for x in t], 1)
-        return cls(sizes, counts, [set(w) for w in words])
-
-
-def bounds(one: Letters, i: int, many: Letters) -> tuple[np.ndarray, np.ndarray]:
-    """What composite and partial ratio (0 to 100) of text ``i`` and each of ``many`` can't exceed.
-
-    A common subsequence has no letter more often than both texts have it. The best stretch is
-    no shorter than what it has in common. Where a word is shared, the word sets may be at 100.
-    """
-    common = [np.minimum(one.counts[k][i], many.counts[k]).sum(axis=1) for k in range(3)]
-    most = [200.0 * c / np.maximum(one.sizes[k][i] + many.sizes[k], 1) for k, c in enumerate(common)]
-    sorted_most = np.where(one.sizes[1][i] + many.sizes[1] == 0, 100.0, most[1])
-    set_most = np.where([not one.words[i].isdisjoint(w) for w in many.words], 100.0, most[2])
-    partial_most = 200.0 * common[0] / np.maximum(np.minimum(one.sizes[0][i], many.sizes[0]) + common[0], 1)
-    partial_most = np.where(one.sizes[0][i] + many.sizes[0] == 0, 100.0, partial_most)
-    return 0.4 * sorted_most + 0.4 * set_most + 0.2 * partial_most, partial_most
-
-
-def best_of(names: list[str], candidates: list[str]) -> list[tuple[float, int]]:
-    """For each name the largest composite with any candidate and the first candidate that has it; as if all were compared."""
-    own, many, out = Letters.of(names), Letters.of(candidates), []
-    for i, name in enumerate(names):
-        most, partial_most = bounds(own, i, many)
-        best, at = -1.0, -1
-        for j in np.argsort(-most, kind="stable").tolist():
-            if most[j] / 100 < best - 1e-9:
-                break
-            words = 0.4 * sorted_ratio(name, candidates[j]) + 0.4 * set_ratio(name, candidates[j])
-            if (words + 0.2 * partial_most[j]) / 100 < best - 1e-9:
-                continue
-            score = (words + 0.2 * partial_ratio(name, candidates[j])) / 100
-            if score > best or (score == best and j < at):
-                best, at = score, j
-        out.append((best, at))
+#: Pairs whose stretches are tried at once: the best of them may settle the others.
+TRIED = 32
+
+
+def best_of(names: list[str], candidates: list[str], floor: float = 0.0) -> list[tuple[float, int]]:
+    """For each name the largest composite with any candidate and the first candidate that has it, as if all were compared; (-1, -1) if that is below ``floor``."""
+    block, out = Block(candidates), []
+    for name in names:
+        out.append(_best_long(name, candidates, floor) if len(name) > BITS or not name.split() else _best(name, block, floor))
     return out
 
 
-def _best(names: pa.Array, candidates: pa.Array) -> pa.Array:
+def _best_long(name: str, candidates: list[str], floor: float) -> tuple[float, int]:
+    """Names of many letters or no words: pair by pair."""
+    best, at = -1.0, -1
+    for j, c in enumerate(candidates):
+        score = composite(name, c)
+        if score > best and score >= floor:
+            best, at = score, j
+    return best, at
+
+
+def _best(name: str, block: Block, floor: float) -> tuple[float, int]:
+    own = [f[0] for f in forms_of([name])]
+    counts = [letter_counts([f])[0] for f in own]
+    shares = np.zeros(block.n, bool)
+    for w in set(name.split()):
+        shares[block.having.get(w, [])] = True
+    # no common subsequence has a letter more often than both texts; where words are shared, the word sets may be at 100
+    most = [200.0 * np.minimum(counts[k], block.counts[k]).sum(axis=1) / np.maximum(len(own[k]) + block.sizes[k], 1) for k in (1, 2)]
+    some = np.minimum(counts[0], block.counts[0]).sum(axis=1)
+    stretch = 200.0 * some / np.maximum(np.minimum(len(name), block.sizes[0]) + some, 1)
+    upper = (0.4 * most[0] + 0.4 * np.where(shares, 100.0, most[1]) + 0.2 * stretch) / 100
+    best, found, slack = -1.0, -1, 1e-9
+    least = floor
+    masks = [block.masks(f) for f in own]
+    order = np.argsort(-upper, kind="stable")
+    for i in range(0, block.n, 512):
+        at = order[i : i + 512]
+        at = at[upper[at] >= least - slack]
+        if not len(at):
+            break
+        words = 200.0 * block.common(masks[1], len(own[1]), 1, at) / (len(own[1]) + block.sizes[1][at])
+        sets = np.empty(len(at))
+        shared = shares[at]
+        apart = at[~shared]
+        sets[~shared] = np.where(block.sizes[2][apart] == 0, 0.0, 200.0 * block.common(masks[2], len(own[2]), 2, apart) / (len(own[2]) + block.sizes[2][apart]))
+        sets[shared] = [set_ratio(name, block.texts[j]) for j in at[shared].tolist()]
+        # the best stretch has no more in common than the whole
+        in_all = block.common(masks[0], len(name), 0, at)
+        bound = 0.4 * words + 0.4 * sets + 0.2 * (200.0 * in_all / np.maximum(np.minimum(len(name), block.sizes[0][at]) + in_all, 1))
+        inner = np.argsort(-bound, kind="stable")
+        for k in range(0, len(inner), TRIED):
+            now = inner[k : k + TRIED]
+            now = now[bound[now] / 100 >= least - slack]
+            if not len(now):
+                break
+            partial = np.where(block.sizes[0][at[now]] == 0, 0.0, _stretches(block, masks[0], len(name), at[now]))
+            scores = (0.4 * words[now] + 0.4 * sets[now] + 0.2 * partial) / 100
+            for score, j in zip(scores.tolist(), at[now].tolist(), strict=True):
+                if score >= floor and (score > best or (score == best and j < found)):
+                    best, found = score, j
+            least = max(least, best)
+    return best, found
+
+
+def _found(names: pa.Array, candidates: pa.Array, floor: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("name", pa.string()), ("score", pa.float64()), ("at", pa.int32())]))
     rows = []
-    for own, many in zip(names.to_pylist(), candidates.to_pylist(), strict=True):
-        rows.append([{"name": n, "score": score, "at": at} for n, (score, at) in zip(own, best_of(own, many), strict=True)])
+    for own, many, least in zip(names.to_pylist(), candidates.to_pylist(), floor.to_pylist(), strict=True):
+        rows.append([{"name": n, "score": score, "at": at} for n, (score, at) in zip(own, best_of(own, many, least), strict=True) if at >= 0])
     return pa.array(rows, kind)
 
 
-#: Two arrays of texts to an array of (name, score, place of the best candidate, from 0).
-fuzzy_best = F.arrow_udf(_best, T.ArrayType(T.StructType().add("name", T.StringType()).add("score", T.DoubleType()).add("at", T.IntegerType())))
+#: Two arrays of texts and a least score to an array of (name, score, place of the best candidate, from 0).
+fuzzy_best = F.arrow_udf(_found, T.ArrayType(T.StructType().add("name", T.StringType()).add("score", T.DoubleType()).add("at", T.IntegerType())))
+
+
+def _reaching(a: pa.Array, b: pa.Array, floor: pa.Array) -> pa.Array:
+    out = []
+    for x, y, least in zip(a.to_pylist(), b.to_pylist(), floor.to_pylist(), strict=True):
+        score = None
+        if x is not None and y is not None:
+            words = 0.4 * sorted_ratio(x, y) + 0.4 * set_ratio(x, y)
+            score = (words + 0.2 * partial_ratio(x, y)) / 100 if (words + 20.0) / 100 >= least - 1e-9 else None
+        out.append(score if score is not None and score >= least else None)
+    return pa.array(out, pa.float64())
+
+
+#: Composite of two texts; null where it is below a least score, or where a text is null.
+fuzzy_score = F.arrow_udf(_reaching, T.DoubleType())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from outlay import reference
 from outlay.config import DEFAULT, Settings
 from outlay.functions import text
-from outlay.operators.suppliers import match_vectors
+from outlay.operators.vectors import match_vectors
 from outlay.sources.scratch import look_up
 
 RESULT = "struct<l1:string,l2:string,l3:string,unspsc:string,confidence:double,method:string>"

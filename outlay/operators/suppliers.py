@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers, text
-from outlay.functions.fuzzy import fuzzy_best
-from outlay.sources.scratch import is_small, stored
+from outlay.operators import similar
+from outlay.sources.scratch import stored
 
 
 def distinct_names(df: DataFrame, position: str | None = None) -> DataFrame:
@@ -52,35 +52,22 @@ def corroboration(same_city: Column, same_postcode: Column, same_abn: Column, se
 
 
 
-#: Names and suppliers that are compared at once in a task.
-NAMES_AT_ONCE, SUPPLIERS_AT_ONCE = 64, 4096
-
-
-def _dealt(df: DataFrame, size: int, into: str) -> DataFrame:
-    """The rows in arrays of about ``size``, sorted."""
-    columns = df.columns
-    parts = df.agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
-    dealt = df.crossJoin(F.broadcast(parts)).withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
-    # a given number, so that few rows aren't put into one task again: each is much work
-    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part")
-    return dealt.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(into)).select(into)
-
-
-def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAULT, boosts: DataFrame | None = None) -> DataFrame:
+def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAULT, boosts: DataFrame | None = None, rejected: bool = True) -> DataFrame:
     """The best supplier of each name by the composite score, of equals the first by name, then id: ``fuzzy_id``, ``fuzzy_score``, ``fuzzy`` (method, confidence).
 
-    Each name meets each supplier that has a name, in blocks; inside a block, pairs whose letter counts rule out
-    the best score aren't compared further (see ``fuzzy.bounds``), which loses none. So each name has a row,
-    rejected or not, unless no supplier has a name. Null names have none. ``boosts`` (``normalised_name``, ``canonical_supplier_id``,
-    ``boost``: points, see ``corroboration``) raise pairs over the thresholds; they don't choose the supplier.
+    Names meet the suppliers that ``similar`` can't rule out at the review threshold. With ``rejected``, names that none reaches
+    are compared a second time, without a threshold, so that each name has a row unless no supplier has a name; without
+    it they have none. Null names have none. ``boosts`` (``normalised_name``, ``canonical_supplier_id``, ``boost``: points, see ``corroboration``) raise
+    pairs over the thresholds; they don't choose the supplier.
     """
-    left = _dealt(names.select("normalised_name").where(F.col("normalised_name").isNotNull()).distinct(), NAMES_AT_ONCE, "names")
-    known = master.select(F.col("normalised_name").alias("candidate"), "canonical_supplier_id").where(F.col("candidate") != "").distinct()
-    pairs = left.crossJoin(_dealt(known, SUPPLIERS_AT_ONCE, "block"))
-    found = pairs.withColumn("found", F.explode(fuzzy_best(F.col("names.normalised_name"), F.col("block.candidate"))))
-    found = found.select(F.col("found.name").alias("normalised_name"), F.col("found.score").alias("score"), F.element_at("block", F.col("found.at") + 1).alias("supplier"))
-    best = found.groupBy("normalised_name").agg(F.min(F.struct((-F.col("score")).alias("below"), F.col("supplier.candidate").alias("candidate"), F.col("supplier.canonical_supplier_id").alias("canonical_supplier_id"))).alias("best"))
-    best = best.select("normalised_name", F.col("best.canonical_supplier_id").alias("fuzzy_id"), (-F.col("best.below")).alias("fuzzy_score"))
+    own = stored(names.select(F.col("normalised_name").alias("name")).where(F.col("name").isNotNull()).distinct(), "names")
+    known = master.select(F.col("normalised_name").alias("candidate"), "canonical_supplier_id").where(F.col("candidate") != "")
+    known = stored(known.groupBy("candidate").agg(F.min("canonical_supplier_id").alias("canonical_supplier_id")), "suppliers")
+    cells, least = similar.cells_of(known), settings.fuzzy_review / 100
+    best = stored(similar.first_of(similar.by_letters(own, known, cells, least).unionByName(similar.by_words(own, known, least))), "best")
+    if rejected or boosts is not None:
+        best = best.unionByName(similar.first_of(similar.by_letters(stored(own.join(best, "name", "left_anti"), "rest"), known, cells, 0.0)))
+    best = best.select(F.col("name").alias("normalised_name"), F.col("supplier.canonical_supplier_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score"))
     boost = F.lit(0)
     if boosts is not None:
         one = boosts.groupBy("normalised_name", F.col("canonical_supplier_id").alias("fuzzy_id")).agg(F.max("boost").alias("boost"))
@@ -88,21 +75,6 @@ def match_fuzzy(names: DataFrame, master: DataFrame, settings: Settings = DEFAUL
     return best.select("normalised_name", "fuzzy_id", "fuzzy_score", decide_fuzzy(F.col("fuzzy_score"), boost, settings).alias("fuzzy"))
 
 
-def match_vectors(queries: DataFrame, candidates: DataFrame, top: int = 1) -> DataFrame:
-    """The ``top`` most similar candidates of each query by cosine: ``query_id``, ``rank``, ``candidate_id``, ``similarity``.
-
-    Both have ``id`` and ``vector``. Candidates are a dimension (suppliers or categories). Where they are small they are
-    broadcast: each partition of queries meets all of them, and the best are kept before anything is
-    shuffled. Else they go to the queries in blocks.
-    """
-    c = stored(candidates.select(F.col("id").alias("candidate_id"), F.col("vector").alias("_other")), "candidates")
-    own = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_own"))
-    pairs = own.join(F.broadcast(c)) if is_small(c) else own.crossJoin(_dealt(c, SUPPLIERS_AT_ONCE, "block")).select("query_id", "_own", F.inline("block"))
-    pairs = pairs.withColumn("similarity", numbers.cosine(F.col("_own"), F.col("_other"))).drop("_own", "_other")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "candidate_id", "similarity")
-
-
 def decide_vector(similarity: Column, settings: Settings = DEFAULT) -> Column:
     return F.struct(
         F.when(similarity >= settings.vector_auto, "EMBEDDING_AUTO").when(similarity >= settings.vector_review, "EMBEDDING_REVIEW").otherwise("EMBEDDING_REJECT").alias("method"),
@@ -115,13 +87,13 @@ def harmonise(df: DataFrame, master: DataFrame, settings: Settings = DEFAULT, ve
 
     In turn: several raw names with one normalised name 1.0; a name that the master has 0.95; a vendor id
     0.99; fuzzy; ``vectors`` (``normalised_name``, ``vector_id``, ``similarity``), if given; a new supplier 1.0. Under
-    the review threshold a match waits for review.
+    the review threshold a match waits for review. Names that no supplier reaches at the fuzzy review threshold have no fuzzy score.
     """
     names = distinct_names(df, position)
     known = master.select("normalised_name", F.lit(True).alias("_known")).distinct()
     rows = names.join(known, "normalised_name", "left").join(vendor_ids(master), "raw_supplier_id", "left")
     cheap = (F.col("group_size") > 1) | F.coalesce("_known", F.lit(False)) | F.col("vendor_match").isNotNull()
-    rows = rows.join(match_fuzzy(rows.where(~cheap), master, settings), "normalised_name", "left")
+    rows = rows.join(match_fuzzy(rows.where(~cheap), master, settings, rejected=False), "normalised_name", "left")
     if vectors is None:
         rows = rows.withColumns({"vector_id": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")})
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from outlay import reference
 from outlay.config import DEFAULT
 from outlay.functions import dates, numbers
-from outlay.operators import categorise, ingest, suppliers
+from outlay.operators import categorise, ingest, suppliers, vectors
 from outlay.plans.book import Book
 from outlay.schema import OVERRIDE_SCHEMA
 from outlay.sources.scratch import new_folder
@@ -101,9 +101,9 @@ book.add("fuzzy_match", fuzzy)
 
 def nearest(top: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
-        labels = vectors.groupBy(F.col("label").alias("id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-        found = suppliers.match_vectors(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), labels, top)
+        table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+        labels = table.groupBy(F.col("label").alias("id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+        found = vectors.match_vectors(table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), labels, top)
         return found.withColumn("similarity", F.round("similarity", 6))
 
     return run

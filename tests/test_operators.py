@@ -1,14 +1,17 @@
 """Hand-made cases of operators that the whole-table queries don't reach."""
 
 import datetime
+import functools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from outlay import schema
 from outlay.functions import dates, fuzzy, text
-from outlay.operators import categorise, changes, ingest, segments, suppliers
+from outlay.operators import categorise, changes, ingest, segments, similar, suppliers, vectors
 from outlay.sources import files
 
 
@@ -67,30 +70,126 @@ def test_harmonise(spark):
     assert attached.count() == 6 and attached.where("canonical_supplier_id is null").count() == 1
 
 
-def test_fuzzy_match_is_that_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(suppliers, "NAMES_AT_ONCE", 3)
-    monkeypatch.setattr(suppliers, "SUPPLIERS_AT_ONCE", 4)
-    names = ["b h p", "3 m", "h p", "qq", "", "sodexo austrlia", "acme acme", "a", "bank of new south wales", "müller", "x  y", None]
-    known = ["bhp", "3m", "hp", "sodexo australia", "acme", "acme steel", "wales bank", "muller", "y x", "aa bb", "", None]
+def all_pairs(names, known):
+    return {n: min((-fuzzy.composite(n, k), k, i) for k, i in known if k) for n in names if n is not None}
+
+
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_fuzzy_match_is_that_of_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    monkeypatch.setattr(similar, "POSTINGS", 2)
+    names = ["b h p", "3 m", "h p", "qq", "", "sodexo austrlia", "acme acme", "a", "bank of new south wales", "müller", "x  y", "w" * 70, "acme steel works of the north and of the south and of all the rest of it", None]
+    known = ["bhp", "3m", "hp", "sodexo australia", "acme", "acme steel", "acme steel works", "wales bank", "muller", "y x", "aa bb", "", "w" * 66, "north north", None]
+    known = [(k, f"s{i}") for i, k in enumerate(known + ["bhp"])]
     left = spark.createDataFrame([(n,) for n in names + ["b h p"]], "normalised_name string")
-    master = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(known + ["bhp"])], "normalised_name string, canonical_supplier_id string")
-    want = {n: min((-fuzzy.composite(n, k), k, f"s{i}") for i, k in enumerate(known + ["bhp"]) if k) for n in names if n is not None}
+    master = spark.createDataFrame(known, "normalised_name string, canonical_supplier_id string")
+    want = all_pairs(names, known)
     got = {r.normalised_name: r for r in suppliers.match_fuzzy(left, master).collect()}
     assert {n: (r.fuzzy_score, r.fuzzy_id) for n, r in got.items()} == {n: (-score, i) for n, (score, _, i) in want.items()}
     assert [got[n].fuzzy.method for n in ("b h p", "3 m", "h p", "qq")] == ["FUZZY_REVIEW"] * 3 + ["FUZZY_REJECT"]
+    sure = suppliers.match_fuzzy(left, master, rejected=False)
+    assert {r.normalised_name: r.fuzzy_score for r in sure.collect()} == {n: -s for n, (s, *_) in want.items() if -s >= 0.7}
     assert suppliers.match_fuzzy(left, master.limit(0)).count() == suppliers.match_fuzzy(left.limit(0), master).count() == 0
 
 
-def test_bounds_of_fuzzy_scores_hold():
+def invented_names(rng, n):
+    words = "australia services group steel water power bank north south trading supply tech medical clean office paper fuel auto".split()
+    return [" ".join(rng.sample(words, rng.randrange(1, 3)) + ["".join(rng.choices("bcdfghjklmnprstvaeiou", k=rng.randrange(3, 10)))]) for _ in range(n)]
+
+
+def test_fuzzy_join_compares_few_pairs(spark, monkeypatch):
+    """Equal to all pairs, though few of them reach the exact comparison; no plan pairs every name with every supplier."""
+    monkeypatch.setattr(similar, "CELL", 50)
+    rng = random.Random(9)
+    known = invented_names(rng, 700)
+    names = invented_names(rng, 150) + [k[:-1] + "x" for k in known[:100]] + ["".join(k.split()) for k in known[100:150]]
+    left = spark.createDataFrame([(n,) for n in names], "name string")
+    table = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(known)], "candidate string, canonical_supplier_id string")
+    cells = similar.cells_of(table)
+    assert len(cells.sizes) > 8 and cells.sizes.sum() == len(known)
+    found = similar.by_letters(left, table, cells, 0.7).unionByName(similar.by_words(left, table, 0.7))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    want = {n: s for n in names for s in [max(fuzzy.composite(n, k) for k in known)] if s >= 0.7}
+    got = {}
+    for r in found.collect():
+        got[r.name] = max(got.get(r.name, 0), r.score)
+    assert got == want
+    compared, stretches = [0], fuzzy._stretches
+    monkeypatch.setattr(fuzzy, "_stretches", lambda block, masks, size, at: compared.__setitem__(0, compared[0] + len(at)) or stretches(block, masks, size, at))
+    fuzzy.best_of(names, known, 0.7)
+    assert compared[0] < 0.05 * len(names) * len(known)
+
+
+def test_best_of_a_block_is_that_of_all():
     rng = random.Random(5)
-    texts = [" ".join("".join(rng.choices("abcü", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 5))) for _ in range(60)] + ["", " ", "ab ab  ab"]
-    letters = fuzzy.Letters.of(texts)
-    for i, a in enumerate(texts):
-        most, partial_most = fuzzy.bounds(letters, i, letters)
-        for j, b in enumerate(texts):
-            assert fuzzy.composite(a, b) * 100 <= most[j] + 1e-9 and fuzzy.partial_ratio(a, b) <= partial_most[j] + 1e-9
-        every = [fuzzy.composite(a, b) for b in texts]
-        assert fuzzy.best_of([a], texts) == [(max(every), every.index(max(every)))]
+    texts = [" ".join("".join(rng.choices("abcü", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 5))) for _ in range(60)] + ["", " ", "ab ab  ab", "ab " * 30, "a" * 64, "ü" * 65]
+    for floor in (0.0, 0.7):
+        for a, got in zip(texts, fuzzy.best_of(texts, texts, floor), strict=True):
+            every = [fuzzy.composite(a, b) for b in texts]
+            assert got == ((max(every), every.index(max(every))) if max(every) >= floor else (-1.0, -1))
+
+
+def test_cells_lose_nothing():
+    rng = random.Random(6)
+    known = invented_names(rng, 400)
+    measures, repeats = similar._measures(known)
+    tree = similar._borders(measures, 16)
+    cells = similar.Cells(tree, np.zeros((16, 65), np.int64), np.zeros((16, 65), np.int64), np.zeros(16, bool), np.zeros(16, np.int64))
+    place = cells.place(measures)
+    for c in range(16):
+        own = np.flatnonzero(place == c)
+        cells.low[c], cells.high[c], cells.sizes[c] = measures[own].min(axis=0), measures[own].max(axis=0), len(own)
+    for name in invented_names(rng, 60):
+        for ratio in (0.4, 0.625, 0.8):
+            near = {int(place[j]) for j, k in enumerate(known) if fuzzy.sorted_ratio(name, k) >= 100 * ratio}
+            assert near <= set(cells.within_reach(name, ratio))
+
+
+def brute_cosine(queries, candidates, top):
+    def dot(a, b):  # from the first on, unlike sum(), which makes up for rounding
+        return functools.reduce(lambda s, xy: s + xy[0] * xy[1], zip(a, b, strict=True), 0.0)
+
+    def cosine(a, b):
+        return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)) + 1e-10)
+
+    return {(q, i + 1, c, s) for q, v in queries for i, (s, c) in enumerate([(-s, c) for s, c in sorted((-cosine(v, w), c) for c, w in candidates)][:top])}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_vectors_match_as_all_pairs_do(spark, monkeypatch, small):
+    monkeypatch.setattr(vectors, "is_small", lambda df: small)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERIES", 5)
+    rng = random.Random(8)
+    centre = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    some = lambda n: [[x + rng.gauss(0, 0.2) for x in centre[i % 5]] for i in range(n)]
+    candidates = list(enumerate(some(80)))
+    candidates += [(100 + i, v) for i, v in candidates[:20]] + [(200, [0.0] * 6)]  # ties, and one without a direction
+    queries = list(enumerate(some(40))) + [(90, [0.0] * 6), (91, candidates[3][1])]
+    odd = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [1.0])]
+    a = spark.createDataFrame(queries + odd, "id long, vector array<double>").repartition(4)
+    b = spark.createDataFrame(candidates + odd, "id long, vector array<double>").repartition(3)
+    for top in (1, 2, 30, 500):
+        out = vectors.match_vectors(a, b, top)
+        assert {(r.query_id, r["rank"], r.candidate_id, r.similarity) for r in out.collect()} == brute_cosine(queries, candidates, top)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and (top > 100 or "WindowGroupLimit" in plan)
+    assert vectors.match_vectors(a, b.limit(0)).count() == vectors.match_vectors(a.limit(0), b).count() == 0
+
+
+def test_cells_of_vectors_spare_comparisons():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    known = np.concatenate([c + rng.normal(scale=0.05, size=(50, 16)) for c in centres])
+    cells = vectors.Cells(known[::50])
+    place, angle = cells.place(known)
+    for c in range(20):
+        cells.radius[c], cells.sizes[c] = angle[place == c].max(initial=0), (place == c).sum()
+    asked = known[::7] + rng.normal(scale=0.01, size=(143, 16))
+    best = vectors.nearest(asked, known, 1)[2]
+    assert sum(map(len, cells.within_reach(asked, best))) < 0.2 * len(asked) * 20
 
 
 def test_harmonise_finds_initials(spark):
