@@ -12,6 +12,7 @@ from outlay.config import DEFAULT
 from outlay.functions import dates, numbers
 from outlay.operators import categorise, ingest, suppliers, vectors
 from outlay.plans.book import Book
+from outlay.plans.fuzzy_sql import scored
 from outlay.schema import OVERRIDE_SCHEMA
 from outlay.sources.scratch import new_folder
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
@@ -85,7 +86,13 @@ def harmonised(df: DataFrame) -> DataFrame:
     return log.select("raw_supplier_name", "match_method", "confidence", "review_status")
 
 
-book.add("harmonise_suppliers", lambda spark, sf_dir: harmonised(transactions(spark, sf_dir, *_NAMES)))
+_AUTO, _REVIEW = DEFAULT.fuzzy_auto, DEFAULT.fuzzy_review
+book.add("harmonise_suppliers", lambda spark, sf_dir: harmonised(transactions(spark, sf_dir, *_NAMES)), f"""
+WITH {TRANSACTIONS_SQL}, n AS (SELECT DISTINCT raw_supplier_name, {_NORMALISED} AS name FROM t WHERE raw_supplier_name IS NOT NULL), k AS (SELECT *, ('0x' || substr(sha256(name), 1, 1))::INT % 2 = 0 AS known FROM n),
+pairs AS (SELECT a.name, b.name AS candidate FROM k a, k b WHERE NOT a.known AND b.known), {scored('pairs')}, best AS (SELECT name, max(score) AS score FROM scored GROUP BY 1), m AS (
+  SELECT raw_supplier_name, known, score, CASE WHEN known THEN 'EXACT_NORMALISED_NAME' WHEN score * 100 >= {_AUTO} THEN 'FUZZY_AUTO' WHEN score * 100 >= {_REVIEW} THEN 'FUZZY_REVIEW' ELSE 'NEW_CANONICAL' END AS match_method FROM k LEFT JOIN best USING (name)),
+c AS (SELECT raw_supplier_name, match_method, CASE match_method WHEN 'EXACT_NORMALISED_NAME' THEN 0.95::DOUBLE WHEN 'FUZZY_AUTO' THEN score * 0.95::DOUBLE WHEN 'FUZZY_REVIEW' THEN score * 0.85::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM m)
+SELECT raw_supplier_name, match_method, round(confidence, 6) AS confidence, CASE WHEN confidence < {DEFAULT.supplier_review_below} THEN 'PENDING' ELSE 'APPROVED' END AS review_status FROM c""")
 
 
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +103,10 @@ def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.match_fuzzy(names, master).select("normalised_name", "fuzzy_id", F.round("fuzzy_score", 6).alias("score"), F.col("fuzzy.method").alias("method"))
 
 
-book.add("fuzzy_match", fuzzy)
+book.add("fuzzy_match", fuzzy, f"""
+WITH n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part), k AS (SELECT DISTINCT lower(p_type) AS candidate FROM part), pairs AS (SELECT name, candidate FROM n, k), {scored('pairs')},
+best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS i FROM scored)
+SELECT name AS normalised_name, candidate AS fuzzy_id, round(score, 6) AS score, CASE WHEN score * 100 >= {_AUTO} THEN 'FUZZY_AUTO' WHEN score * 100 >= {_REVIEW} THEN 'FUZZY_REVIEW' ELSE 'FUZZY_REJECT' END AS method FROM best WHERE i = 1""")
 
 
 def nearest(top: int):
