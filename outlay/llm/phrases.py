@@ -32,11 +32,13 @@ ENDS, GAPS, NO_LANG = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09", "und"
 SPACE, BREAK = 0x20, 0xFF  # a byte that UTF-8 never has
 _TABLE = bytes(BREAK if b in ENDS else SPACE if b in GAPS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text that are handled at once, and of those whose words are hashed at once.
-CHUNK, HASHED = 4 << 20, 1 << 20
+CHUNK, HASHED = 2 << 20, 1 << 19
 #: Rows of a sketch, cells of a block of it; bytes of text for a cell, and the fewest and the most cells of a row as powers of 2.
 ROWS, BLOCK, PER_CELL, FEWEST, MOST = 2, 1 << 16, 50, 16, 25
 #: Rows that a task adds up at a time, and the most sums it holds before it sends them on.
-ADDED, MOST_ADDED = 300_000, 1_500_000
+ADDED, MOST_ADDED = 200_000, 1_000_000
+#: Blocks of a sketch, and sums, that are sent at once.
+SENT, ROWS_SENT = 32, 20_000
 #: Shares of a language's phrases that are ranked apart before they are ranked together.
 SHARES = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -196,12 +198,10 @@ def _sketched(level: int, most: int, least: int, log_width: int, known: Broadcas
                         some = place[i : i + (1 << 15)]
                         np.add.at(cells[row], some, np.uint16(1))
                         cells[row][some] = np.minimum(cells[row][some], least)
-        numbers, found = [], []
-        for n, block in enumerate(cells.reshape(-1, min(BLOCK, 1 << log_width))):
-            if block.any():
-                numbers.append(n)
-                found.append(block.astype(kind).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], ["block", "cells"])
+        blocks = cells.reshape(-1, min(BLOCK, 1 << log_width))
+        for first in range(0, len(blocks), SENT):  # a few at a time, so that no second sketch is held
+            own = [n for n in range(first, min(first + SENT, len(blocks))) if blocks[n].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([blocks[n].astype(kind).tobytes() for n in own], pa.binary())], ["block", "cells"])
 
     return run
 
@@ -291,11 +291,15 @@ def _counted(most: int, known: Broadcast):
             if waiting > max(ADDED, held):  # as many new rows as there are sums: each row is added up a few times at most
                 parts = [_added(parts)]
                 waiting, held = 0, parts[0].num_rows
+                pa.default_memory_pool().release_unused()
                 if held > MOST_ADDED:
-                    yield from parts[0].to_batches()
+                    yield from parts[0].to_batches(ROWS_SENT)
                     parts, held = [], 0
         if parts:
-            yield from _added(parts).to_batches()
+            parts = [_added(parts)]
+            yield from parts[0].to_batches(ROWS_SENT)
+        parts.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
