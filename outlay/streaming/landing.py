@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -13,6 +12,8 @@ from pyspark.sql.types import StructType
 from outlay import reference, schema
 from outlay.config import DEFAULT, Settings
 from outlay.operators import ingest
+from outlay.sources import parted
+from outlay.sources.scratch import stored
 
 KEY = ["engagement_id", "source_row_hash"]
 
@@ -24,39 +25,40 @@ def watch_exports(spark: SparkSession, directory: str, columns: list[str] | None
     return spark.readStream.schema(fields).option("header", True).option("multiLine", True).option("escape", '"').option("maxFilesPerTrigger", files_per_batch).csv(directory)
 
 
-def read_table(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """A table that batches write, empty before the first one."""
-    try:
-        return spark.read.schema(fields).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], fields)
+LANDED = f"{schema.LANDING_SCHEMA}, {parted.PREFIX} string"
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schema.LANDING_SCHEMA)
+def landed(spark: SparkSession, path: str, parts: list[Row] | None = None) -> DataFrame:
+    """All landed rows, or those of some folders (tenant, prefix). Tenant and batch are folders: conditions on them spare the others."""
+    return parted.read_folders(spark, path, LANDED, parts).select(*StructType.fromDDL(schema.LANDING_SCHEMA).fieldNames())
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schema.BATCH_SCHEMA)
+    return parted.read_table(spark, path, schema.BATCH_SCHEMA)
 
 
 def land_batch(rows: DataFrame, number: int, landing: str, ledger_path: str, engagement_id: str, source: str = "") -> None:
     """Adds rows that aren't landed yet, and the batch's line in the ledger.
 
-    A batch owns one folder of each table and overwrites it: repeated after a failure, it gives the same
-    tables. ``rows`` have the columns of ``ingest.to_landing``.
+    The landing table is laid out by tenant and by the first digits of a hash of the row's key, so that a batch meets the keys of its own folders
+    only. The batch is read once: equal rows are joined where it is read, both numbers are counted by the tasks that write. A batch owns one
+    folder below each of those and one of the ledger, and overwrites them: repeated after a failure, it gives the same tables.
+    ``rows`` have the columns of ``ingest.to_landing``.
     """
     spark, batch = rows.sparkSession, f"{number:012d}"
-    before = landed(spark, landing).where(F.col("batch_id") != batch)
-    new = ingest.insert_absent(rows, before.select(*KEY))
     fields = StructType.fromDDL(schema.LANDING_SCHEMA).fields
-    new.select(*[F.col(f.name).cast(f.dataType) for f in fields if f.name != "batch_id"]).write.mode("overwrite").parquet(f"{landing}/batch_id={batch}")
-    seen = rows.agg(F.count(F.lit(1)).alias("rows"))
-    kept = landed(spark, landing).where(F.col("batch_id") == batch).agg(F.count(F.lit(1)).alias("new_rows"))
-    line = seen.join(F.broadcast(kept)).select(F.lit(engagement_id).alias("engagement_id"), F.lit(source).alias("source_file"), "rows", "new_rows", (F.col("rows") - F.col("new_rows")).alias("duplicate_rows"), F.lit("done").alias("status"))
-    line.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch}")
+    seen, kept = Observation(), Observation()
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields if f.name != "batch_id"]).withColumn(parted.PREFIX, parted.prefix(F.col("source_row_hash")))
+    keys = [*KEY, parted.PREFIX]
+    values = [f.name for f in fields if f.name not in (*KEY, "batch_id")]
+    once = typed.groupBy(*keys).agg(F.first(F.struct(*values)).alias("row"), F.count(F.lit(1)).alias("times"))
+    upload = stored(once.observe(seen, F.sum("times").alias("rows")).select(*keys, "row.*"), "upload")
+    before = parted.read_folders(spark, landing, LANDED, parted.touched(upload)).where(F.col("batch_id") != batch)
+    new = upload.join(before.select(*KEY), KEY, "left_anti").observe(kept, F.count(F.lit(1)).alias("rows"))
+    new.withColumn("batch_id", F.lit(batch)).write.partitionBy(parted.TENANT, parted.PREFIX, "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(landing)
+    total, added = (o.get["rows"] or 0 for o in (seen, kept))
+    line = {"engagement_id": engagement_id, "source_file": source, "rows": total, "new_rows": added, "duplicate_rows": total - added, "status": "done"}
+    spark.range(1).select(*[F.lit(v).alias(k) if isinstance(v, str) else F.lit(v).cast("long").alias(k) for k, v in line.items()]).write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch}")
 
 
 def land(
@@ -82,11 +84,6 @@ def exports_to_landing(rates: DataFrame, engagement_id: str, settings: Settings
     return lambda batch: ingest.to_landing(ingest.ingest(batch, rates, engagement_id, settings=settings), "")
 
 
-def first_rows(stream: DataFrame, arrived: str, within: str = "1 day", keys: tuple[str, ...] = tuple(KEY)) -> DataFrame:
-    """The stream without rows whose key came before within the watermark; the state is bounded by it."""
-    return stream.withWatermark(arrived, within).dropDuplicatesWithinWatermark(list(keys))
-
-
 class Progress(StreamingQueryListener):
     """The newest state of each query, for a page that asks now and then."""
 
@@ -108,4 +105,4 @@ class Progress(StreamingQueryListener):
         self._put(event.id, status="failed" if event.exception else "done", error=event.exception)
 
 
-__all__ = ["Progress", "exports_to_landing", "first_rows", "land", "land_batch", "landed", "ledger", "read_table", "watch_exports"]
+__all__ = ["Progress", "exports_to_landing", "land", "land_batch", "landed", "ledger", "watch_exports"]
