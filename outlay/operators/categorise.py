@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from outlay import reference
 from outlay.config import DEFAULT, Settings
 from outlay.functions import text
+from outlay.operators.joins import look_up, stored_kinds
 from outlay.operators.vectors import match_vectors
-from outlay.sources.scratch import look_up
 
 RESULT = "struct<l1:string,l2:string,l3:string,unspsc:string,confidence:double,method:string>"
 
@@ -20,54 +20,87 @@ def result(l1, l2, l3, unspsc, confidence, method: str) -> Column:
     return F.struct(l1.alias("l1"), l2.alias("l2"), l3.alias("l3"), unspsc.cast("string").alias("unspsc"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"))
 
 
-def _seed(seeds: DataFrame, kind: str, key: Column, method: str, name: str) -> DataFrame:
-    """(key, result) of one kind of seed mapping; of equal keys the one with the largest ``position`` counts."""
+def seed_rules(seeds: DataFrame, kind: str) -> DataFrame:
+    """``key``, ``n``, ``r`` of one kind of seed mapping (``GL`` or ``SUPPLIER``); of equal keys the one with the largest ``position`` counts."""
     c = F.col
-    rows = seeds.where(c("mapping_type") == kind).select(key.alias("_key"), result(c("internal_category_l1"), c("internal_category_l2"), c("internal_category_l3"), c("unspsc_segment_code"), F.coalesce(c("confidence"), F.lit(0.85)), method).alias("_r"), F.struct("position", "internal_category_l1", "internal_category_l2").alias("_n"))
-    return rows.where("_key is not null").groupBy("_key").agg(F.max_by("_r", "_n").alias(name))
+    key, method = {"GL": (text.gl_normalised(c("source_value")), "GL_MAPPING"), "SUPPLIER": (F.lower(text.strip(c("source_value"))), "SUPPLIER_MAPPING")}[kind]
+    r = result(c("internal_category_l1"), c("internal_category_l2"), c("internal_category_l3"), c("unspsc_segment_code"), F.coalesce(c("confidence"), F.lit(0.85)), method)
+    rows = seeds.where(c("mapping_type") == kind).select(key.alias("key"), r.alias("r"), F.struct("position", "internal_category_l1", "internal_category_l2").alias("n")).where("key is not null")
+    return rows.groupBy("key").agg(F.lit(None).cast("long").alias("n"), F.max_by("r", "n").alias("r"))
 
 
-def by_override(df: DataFrame, overrides: DataFrame, name: str = "by_override") -> DataFrame:
+def override_rules(overrides: DataFrame, column: str) -> DataFrame:
+    """``key``, ``n``, ``r`` of manual decisions by supplier or by ledger code; of several the last made counts."""
+    c = F.col
+    key = text.gl_normalised(c(column)) if column == "gl_account" else c(column)
+    rows = overrides.where(c(column).isNotNull()).select(key.alias("key"), c("override_order").cast("long").alias("n"), result(c("override_l1"), c("override_l2"), c("override_l3"), c("unspsc_code"), F.lit(1.0), "MANUAL").alias("r"))
+    return rows.groupBy("key").agg(F.max("n").alias("n"), F.max_by("r", "n").alias("r"))
+
+
+def rules_of(seeds: DataFrame | None = None, overrides: DataFrame | None = None) -> dict[str, tuple[DataFrame, bool]]:
+    """All look-up tables of the passes, written as one, with whether each is small."""
+    tables = {} if seeds is None else {kind: seed_rules(seeds, kind) for kind in ("GL", "SUPPLIER")}
+    if overrides is not None:
+        tables |= {column: override_rules(overrides, column) for column in ("canonical_supplier_id", "gl_account")}
+    return stored_kinds(tables)
+
+
+def _joined(df: DataFrame, rules: tuple[DataFrame, bool], key: str, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` for the rule's result and, if named, its number."""
+    table, small = rules
+    named = table.select(F.col("key").alias(key), *[F.col(x).alias(c) for x, c in zip("rn", columns, strict=False)])
+    return look_up(df, named, key, small=small)
+
+
+def by_override(df: DataFrame, overrides: DataFrame | None, name: str = "by_override", rules: dict | None = None) -> DataFrame:
     """Manual decisions by supplier or by ledger code; of several the last made counts.
 
     Two equi-joins instead of one on either condition.
     """
-    c = F.col
-    r = F.struct(c("override_order").alias("n"), result(c("override_l1"), c("override_l2"), c("override_l3"), c("unspsc_code"), F.lit(1.0), "MANUAL").alias("r"))
-    supplier = overrides.where(c("canonical_supplier_id").isNotNull()).groupBy("canonical_supplier_id").agg(F.max_by(r, "override_order").alias("_by_supplier"))
-    gl = overrides.where(c("gl_account").isNotNull()).groupBy(text.gl_normalised(c("gl_account")).alias("_gl")).agg(F.max_by(r, "override_order").alias("_by_gl"))
-    rows = look_up(df, supplier, "canonical_supplier_id").withColumn("_gl", text.gl_normalised(c("gl_account")))
-    rows = look_up(rows, gl, "_gl")
-    last = F.when(c("_by_gl").isNull() | (c("_by_supplier")["n"] > c("_by_gl")["n"]), c("_by_supplier")["r"]).otherwise(c("_by_gl")["r"])
-    return rows.withColumn(name, last).drop("_gl", "_by_supplier", "_by_gl")
+    c, rules = F.col, rules or rules_of(overrides=overrides)
+    rows = _joined(df, rules["canonical_supplier_id"], "canonical_supplier_id", "_r1", "_n1").withColumn("_gl", text.gl_normalised(c("gl_account")))
+    rows = _joined(rows, rules["gl_account"], "_gl", "_r2", "_n2")
+    last = F.when(c("_n2").isNull() | (c("_n1") > c("_n2")), c("_r1")).otherwise(c("_r2"))
+    return rows.withColumn(name, last).drop("_gl", "_r1", "_n1", "_r2", "_n2")
 
 
-def by_gl(df: DataFrame, seeds: DataFrame, name: str = "by_gl") -> DataFrame:
+def by_gl(df: DataFrame, seeds: DataFrame | None, name: str = "by_gl", rules: dict | None = None) -> DataFrame:
     """Ledger code, else its first four characters."""
-    lookup = _seed(seeds, "GL", text.gl_normalised(F.col("source_value")), "GL_MAPPING", "_r")
+    found = (rules or rules_of(seeds))["GL"]
     code = text.gl_normalised(F.col("gl_account"))
     rows = df.withColumns({"_gl": code, "_gl4": F.substring(code, 1, 4)})
-    rows = look_up(look_up(rows, lookup.toDF("_gl", "_exact"), "_gl"), lookup.toDF("_gl4", "_prefix"), "_gl4")
+    rows = _joined(_joined(rows, found, "_gl", "_exact"), found, "_gl4", "_prefix")
     return rows.withColumn(name, F.coalesce("_exact", "_prefix")).drop("_gl", "_gl4", "_exact", "_prefix")
 
 
-def by_supplier(df: DataFrame, seeds: DataFrame, name: str = "by_supplier") -> DataFrame:
-    lookup = _seed(seeds, "SUPPLIER", F.lower(text.strip(F.col("source_value"))), "SUPPLIER_MAPPING", name)
+def by_supplier(df: DataFrame, seeds: DataFrame | None, name: str = "by_supplier", rules: dict | None = None) -> DataFrame:
     rows = df.withColumn("_supplier", F.lower(text.strip(F.col("canonical_supplier_name"))))
-    return look_up(rows, lookup.withColumnRenamed("_key", "_supplier"), "_supplier").drop("_supplier")
+    return _joined(rows, (rules or rules_of(seeds))["SUPPLIER"], "_supplier", name).drop("_supplier")
 
 
-def keyword_result(description: Column, rules=reference.KEYWORD_RULES) -> Column:
-    """The surest rule whose pattern occurs, the first of equals: one chain of conditions, no join.
+def occurs(description: Column, pattern: str) -> Column:
+    """Whether one of a pattern's alternatives occurs in a lower-case text. Alternatives are plain texts but for a dot, which stands for any character."""
+    words = [w for w in pattern.split("|") if w]
+    # an alternative that has another one inside occurs only where that one does
+    needed = [w for w in words if not any(o != w and "." not in o and o in w for o in words)]
+    found = None
+    for w in dict.fromkeys(needed):
+        # a search for a plain text is far cheaper than one for a pattern; a pattern is tried where its longest plain part stands
+        one = F.contains(description, F.lit(max(w.split("."), key=len)))
+        one = one & description.rlike(w) if "." in w else one
+        found = one if found is None else found | one
+    return found
 
-    One look for any of the patterns spares the chain for the descriptions that have none.
-    """
-    out = None
-    for pattern, l1, l2, unspsc, confidence in sorted(rules, key=lambda r: -r[4]):
-        r = result(F.lit(l1), F.lit(l2), F.lit(None).cast("string"), F.lit(unspsc), F.lit(confidence), "KEYWORD")
-        found = description.rlike(f"(?i){pattern}")
-        out = F.when(found, r) if out is None else out.when(found, r)
-    return F.when(description.rlike("(?i)" + "|".join(f"(?:{r[0]})" for r in rules)), out)
+
+def keyword_result(description: Column, rules=reference.KEYWORD_RULES) -> Column:
+    """The surest rule of which an alternative occurs in a lower-case text, the first of equals: a chain that gives the rule's place in a list, no join."""
+    ordered = sorted(rules, key=lambda r: -r[4])
+    place = None
+    for i, (pattern, *_) in enumerate(ordered):
+        found = occurs(description, pattern)
+        place = F.when(found, i) if place is None else place.when(found, i)
+    listed = [result(F.lit(l1), F.lit(l2), F.lit(None).cast("string"), F.lit(unspsc), F.lit(confidence), "KEYWORD") for _, l1, l2, unspsc, confidence in ordered]
+    return F.get(F.array(*listed), place)
 
 
 def by_keyword(df: DataFrame, name: str = "by_keyword", rules=reference.KEYWORD_RULES, unless: tuple[str, ...] = ()) -> DataFrame:
@@ -119,7 +152,10 @@ def categorise(
     ``vectors``: ``transaction_id`` and ``by_vector``. ``model`` gets the rows that are still open and returns
     ``transaction_id`` and ``by_model``; its confidence is capped. Rows without an answer keep null.
     """
-    rows = by_keyword(by_supplier(by_gl(by_override(df, overrides), seeds), seeds), unless=("by_override", "by_gl", "by_supplier"))
+    rules = rules_of(seeds, overrides)
+    rows = by_override(df, None, rules=rules)
+    rows = by_supplier(by_gl(rows, None, rules=rules), None, rules=rules)
+    rows = by_keyword(rows, unless=("by_override", "by_gl", "by_supplier"))
     passes = ["by_override", "by_gl", "by_supplier", "by_keyword"]
     if vectors is not None:
         rows, passes = rows.join(vectors, "transaction_id", "left"), [*passes, "by_vector"]

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT, Settings
 from outlay.operators.categorise import with_status
+from outlay.operators.joins import look_up
 
 
 def _replace(df: DataFrame, news: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """``columns`` from ``news`` (one row per key) where it has the key; the rest stays."""
     marked = news.select(*key, F.struct(*columns).alias("_new"))
-    rows = df.join(marked, key, "left")
+    rows = look_up(df, marked, key, common=False)
     new = {c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)) for c in columns}
     return rows.withColumns(new).select(*df.columns)
 
@@ -33,7 +34,7 @@ def set_categories(df: DataFrame, found: DataFrame, settings: Settings = DEFAULT
 def set_segments(df: DataFrame, segments: DataFrame) -> DataFrame:
     """ABC segments by tenant and supplier; suppliers without one lose theirs."""
     key = ["engagement_id", "canonical_supplier_id"]
-    return df.drop("abc_segment").join(segments.select(*key, "abc_segment"), key, "left")
+    return look_up(df.drop("abc_segment"), segments.select(*key, "abc_segment"), key)
 
 
 def decide(log: DataFrame, raw_supplier_name: str, status: str) -> DataFrame:

@@ -11,6 +11,7 @@ from outlay import reference, schema
 from outlay.config import DEFAULT, Settings
 from outlay.functions import dates, numbers, text
 from outlay.operators import categorise, changes, cube, ingest, kpis, quality, recommend, segments, suppliers
+from outlay.operators.joins import look_up
 from outlay.sources import files
 from outlay.sources.scratch import stored
 
@@ -64,7 +65,7 @@ def promote(
     columns = [f.name for f in fields]
     states = rows.select("engagement_id", "source_row_hash", F.when(F.col("categorisation_status") == "categorised", "processed").otherwise("review_required").alias("_state")).dropDuplicates(["engagement_id", "source_row_hash"])
     queued = F.col("status") == "queued"
-    marked = landing.join(states, ["engagement_id", "source_row_hash"], "left").withColumn("status", F.when(queued, F.coalesce("_state", "status")).otherwise(F.col("status")))
+    marked = look_up(landing, states, ["engagement_id", "source_row_hash"], common=False).withColumn("status", F.when(queued, F.coalesce("_state", "status")).otherwise(F.col("status")))
     counts = rows.agg(F.count_if(F.col("categorisation_status") == "categorised").alias("promoted"), F.count_if(F.col("categorisation_status") == "review_required").alias("review_required"))
     return Promotion(facts.select(*columns).unionByName(new), marked.select(*landing.columns), grown, log.unionByName(suppliers.new_log_rows(found, log).select(*log.columns)), counts)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.functions import numbers
 from outlay.operators.filters import addressable
+from outlay.operators.joins import look_up
 from outlay.operators.prefix import with_running
 
 
@@ -49,7 +50,7 @@ def flag_tail(rows: DataFrame, head: float = 0.80, few: int = 10) -> DataFrame:
 def with_tail_flag(df: DataFrame) -> DataFrame:
     """``df`` with ``is_tail_spend``; false where the supplier isn't known."""
     flags = tail(df).select("canonical_supplier_id", "is_tail_spend")
-    return df.join(flags, "canonical_supplier_id", "left").withColumn("is_tail_spend", F.coalesce("is_tail_spend", F.lit(False)))
+    return look_up(df, flags, "canonical_supplier_id").withColumn("is_tail_spend", F.coalesce("is_tail_spend", F.lit(False)))
 
 
 def tail_share(df: DataFrame, head: float = 0.80) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers, text
 from outlay.operators import similar
+from outlay.operators.joins import look_up
 from outlay.sources.scratch import stored
 
 
@@ -124,7 +125,7 @@ def attach_suppliers(df: DataFrame, log: DataFrame, master: DataFrame) -> DataFr
 
     lookup = first_by_confidence(log).join(master.select("canonical_supplier_id", "canonical_name", "parent_company_id", "parent_name"), "canonical_supplier_id", "left")
     lookup = lookup.select("raw_supplier_name", "canonical_supplier_id", F.col("canonical_name").alias("canonical_supplier_name"), F.col("confidence").alias("canonical_supplier_confidence"), "parent_company_id", F.col("parent_name").alias("parent_company_name"))
-    return df.drop(*[c for c in lookup.columns if c != "raw_supplier_name"]).join(lookup, "raw_supplier_name", "left")
+    return look_up(df.drop(*[c for c in lookup.columns if c != "raw_supplier_name"]), lookup, "raw_supplier_name")
 
 
 def review_queue(log: DataFrame, master: DataFrame, df: DataFrame) -> DataFrame:

@@ -55,16 +55,3 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 def is_small(df: DataFrame, most_bytes: int = 32 << 20) -> bool:
     """Whether the rows of a stored table, as text, have at most ``most_bytes``: then it may be broadcast."""
     return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) <= most_bytes
-
-
-def look_up(df: DataFrame, table: DataFrame, key: str, most_bytes: int = 32 << 20) -> DataFrame:
-    """``df`` with the row of ``table`` (a row a key) that has its ``key``, if any.
-
-    A table of a checked size is broadcast, so that ``df`` stays where it is. With a larger one both are shuffled,
-    but for the rows without a key.
-    """
-    table = stored(table, "look-up")
-    if is_small(table, most_bytes):
-        return df.join(F.broadcast(table), key, "left")
-    found = df.where(F.col(key).isNotNull()).join(table, key, "left")
-    return found.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)

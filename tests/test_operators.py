@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outlay import schema
+from outlay import reference, schema
 from outlay.functions import dates, fuzzy, text
 from outlay.operators import categorise, changes, ingest, segments, similar, suppliers, vectors
 from outlay.sources import files
@@ -224,6 +224,23 @@ def test_keyword_ties_and_nothing(spark):
     assert got == ["Print Consumables", None, None]
 
 
+def test_keywords_are_those_of_the_patterns(spark):
+    """Each rule's result is that of a search for its pattern, letter for letter."""
+    import re
+
+    rng = random.Random(4)
+    words = sorted({w for pattern, *_ in reference.KEYWORD_RULES for w in pattern.split("|")}) + ["third-party logistics", "third party", "pickxandxpack", "fit out", "san", "fuels", "L&D"]
+    texts = words + [" ".join(rng.choices(words, k=3)) for _ in range(300)] + [w[:-1] for w in words] + ["", " "]
+    df = spark.createDataFrame([(t.upper() if i % 3 else t,) for i, t in enumerate(texts)], "raw_line_description string")
+    ordered = sorted(reference.KEYWORD_RULES, key=lambda r: -r[4])
+    want = lambda t: next(((l1, l2, unspsc, c) for pattern, l1, l2, unspsc, c in ordered if re.search(pattern, t.lower())), None)
+    for r in categorise.by_keyword(df).collect():
+        k = r.by_keyword
+        assert (k and (k.l1, k.l2, k.unspsc, k.confidence)) == want(r.raw_line_description)
+    plan = categorise.by_keyword(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 6
+
+
 def test_views_round_trip(spark, tmp_path):
     view = spark.createDataFrame([("a", 1.5)], "name string, total double").withColumn("money", F.lit("2.50").cast("decimal(18,2)"))
     files.write_views({"v": view}, str(tmp_path))

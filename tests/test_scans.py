@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
-from outlay.operators import categorise, kpis, recommend, runs
+from outlay.operators import categorise, changes, joins, kpis, recommend, runs
 from outlay.plans import resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
@@ -61,10 +61,44 @@ def test_look_ups_leave_the_transactions_where_they_are(spark):
 def test_a_large_look_up_table_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("z", 4)], "k string, v int")
     table = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "q")], "k string, r string")
-    small, large = ({(r.v, r.r) for r in scratch.look_up(df, table, "k", most).collect()} for most in (1 << 20, 0))
+    small, large = ({(r.v, r.r) for r in joins.look_up(df, table, "k", most).collect()} for most in (1 << 20, 0))
     assert small == large == {(1, "x"), (2, "y"), (3, None), (4, None)}
 
 
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """No table is small, and tasks stay as they were planned."""
+    monkeypatch.setattr(joins, "is_small", lambda table, most_bytes: False)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_common_supplier_is_dealt_over_all_tasks(spark, shuffled):
+    """Nine of ten rows are one supplier's, and some have none: no task gets more than twice what the middle one does."""
+    i = F.col("id")
+    supplier = F.when(i % 10 > 0, F.lit("one")).when(i % 100 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), (i % 500).cast("string")))
+    df = spark.range(20_000).select(supplier.alias("canonical_supplier_id"), F.lit("E1").alias("engagement_id"), i.alias("n"))
+    segments = df.where("canonical_supplier_id is not null").select("engagement_id", "canonical_supplier_id").distinct().withColumn("abc_segment", F.substring("canonical_supplier_id", 1, 2))
+    out = changes.set_segments(df, segments)
+    tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
+    assert out.count() == 20_000 and out.where("abc_segment = 'on'").count() == 18_000 and out.where("abc_segment is null").count() == 200
+    assert out.where("abc_segment <> substring(canonical_supplier_id, 1, 2)").count() == 0
+
+
+def test_dealing_out_keeps_every_row_of_several_keys(spark, shuffled):
+    rows = [("E1", "a")] * 30 + [("E1", None)] * 5 + [(None, "a")] * 5 + [("E2", "a")] * 3 + [("E2", "z")]
+    df = spark.createDataFrame([(*r, n, {"k": n}) for n, r in enumerate(rows)], "t string, s string, _salt int, m map<string,int>")
+    table = spark.createDataFrame([("E1", "a", 1), ("E2", "a", 2)], "t string, s string, v int")
+    got = sorted((r["_salt"], r.v or 0) for r in joins.look_up(df, table, ["t", "s"]).collect())
+    assert got == [(n, {("E1", "a"): 1, ("E2", "a"): 2}.get(r, 0)) for n, r in enumerate(rows)]
+
+
 def test_no_rows_and_no_seeds(spark):
     df = transactions(spark, SF_DIR, "transaction_id", "canonical_supplier_id", "canonical_supplier_name", "gl_account", "raw_line_description").where(F.lit(False))
     none = categorise.categorise(df, spark.createDataFrame([], reference.SEED_SCHEMA), spark.createDataFrame([], schema.OVERRIDE_SCHEMA))
