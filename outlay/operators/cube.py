@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from outlay.config import DEFAULT, Settings
 from outlay.functions import dates, numbers
 from outlay.operators.filters import addressable
+from outlay.sources.scratch import stored
 
 
 def with_time(df: DataFrame) -> DataFrame:
@@ -30,17 +31,50 @@ def view(df: DataFrame, *keys: str) -> DataFrame:
     return addressable(df).groupBy(*keys).agg(*_measures())
 
 
-def cube(df: DataFrame) -> dict[str, DataFrame]:
-    """All views by name, lazily."""
-    timed = with_time(df).withColumn("payment_terms_bucket", numbers.terms_bucket(F.col("payment_terms_days")))
-    return {
-        "by_supplier": view(timed, "canonical_supplier_name", "parent_company_name"),
-        "by_category": view(timed, "category_l1", "category_l2", "category_l3"),
-        "by_bu": view(timed, "business_unit", "cost_centre"),
-        "by_month": view(timed, "invoice_month"),
-        "by_payment_terms": view(timed, "payment_terms_bucket"),
-        "transactions": timed,
-    }
+#: The cube's views by name, with their keys.
+VIEWS = {
+    "by_supplier": ("canonical_supplier_name", "parent_company_name"),
+    "by_category": ("category_l1", "category_l2", "category_l3"),
+    "by_bu": ("business_unit", "cost_centre"),
+    "by_month": ("invoice_month",),
+    "by_payment_terms": ("payment_terms_bucket",),
+}
+#: Spend of each supplier of each tenant, which segments, tail and concentration begin with.
+SUPPLIERS = ("engagement_id", "canonical_supplier_id")
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    timed = with_time(df) if "invoice_date" in df.columns else df
+    return timed.withColumn("payment_terms_bucket", numbers.terms_bucket(F.col("payment_terms_days")))
+
+
+def sums(df: DataFrame, sets: dict[str, tuple[str, ...]]) -> dict[str, DataFrame]:
+    """Measures of addressable rows by each of several sets of keys, in one pass: a stored table of sums and counts, split by the set. Null keys are a group."""
+    columns = list(dict.fromkeys(k for keys in sets.values() for k in keys))
+    terms = F.col("payment_terms_days")
+    parts = [F.sum(F.col("base_amount").cast("decimal(18,2)")).alias("spend"), F.count("invoice_number").alias("invoice_count"), F.count("po_number").alias("po_count"), F.sum(terms.cast("double")).alias("terms"), F.count(terms).alias("with_terms")]
+    grouped = addressable(df).groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(c) for c in columns])
+    every = stored(grouped.agg(F.grouping_id(*columns).alias("set_id"), *parts), "cube", narrow=True)
+    # a bit for each column that a set doesn't have, the first column's the highest
+    number = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for name, keys in sets.items()}
+    return {name: every.where(F.col("set_id") == number[name]).select(*keys, "spend", "invoice_count", "po_count", "terms", "with_terms") for name, keys in sets.items()}
+
+
+def measures_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """A view from its sums."""
+    average = F.round(F.try_divide(F.col("terms"), F.col("with_terms")), 4)
+    return rows.select(*keys, numbers.money(F.col("spend")).alias("total_spend"), "invoice_count", "po_count", average.alias("avg_payment_terms"))
+
+
+def cube(df: DataFrame, *more: str) -> dict[str, DataFrame]:
+    """All views by name whose keys ``df`` has, from one pass over it, and ``transactions``. ``more``: ``supplier_spend`` too, by tenant and supplier."""
+    timed = _timed(df)
+    sets = {name: keys for name, keys in VIEWS.items() if set(keys) <= set(timed.columns)} | ({"supplier_spend": SUPPLIERS} if "supplier_spend" in more else {})
+    found = sums(timed, sets)
+    views = {name: measures_of(found[name], *keys) for name, keys in sets.items() if name in VIEWS} | {"transactions": timed}
+    if "supplier_spend" in found:
+        views["supplier_spend"] = found["supplier_spend"].where("canonical_supplier_id is not null").select(*SUPPLIERS, "spend")
+    return views
 
 
 def overview(df: DataFrame) -> DataFrame:

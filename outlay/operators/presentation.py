@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT, Settings
 from outlay.functions import numbers
+from outlay.operators import quantiles
 from outlay.operators.filters import addressable
 
 STANDARD_TERMS = (14, 30, 45, 60, 90)
@@ -55,11 +56,8 @@ def bins(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 def box_plot(df: DataFrame, key: str = "category_l1") -> DataFrame:
     """Quartiles of positive amounts by ``key``."""
-    amount = F.col("base_amount").cast("double")
-    rows = addressable(df).where((F.col("base_amount") > 0) & F.col(key).isNotNull())
-    q = F.percentile(amount, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = rows.groupBy(key).agg(F.min(amount).alias("least"), q.alias("q"), F.max(amount).alias("most"), F.count(F.lit(1)).alias("rows"))
-    return rows.select(key, "least", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "most", "rows")
+    rows = quantiles.exact(addressable(df).where(F.col("base_amount") > 0), key, F.col("base_amount"), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return rows.withColumns({n: F.round(n, 4) for n in ("q1", "median", "q3")})
 
 
 def terms_against_median(df: DataFrame) -> DataFrame:

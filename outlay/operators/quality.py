@@ -85,11 +85,15 @@ def _banded(one: DataFrame) -> DataFrame:
 
 
 def scorecard(df: DataFrame, by_words: bool = True) -> DataFrame:
+    return scorecard_of(diagnose(df, by_words))
+
+
+def scorecard_of(checks: DataFrame) -> DataFrame:
     """One row: the mean of 100 for green and information, 50 for amber and warnings, 0 for red and alerts; and the checks as text."""
     state = F.col("status")
     points = F.when(state.isin("GREEN", "INFO"), 100.0).when(state.isin("AMBER", "WARN"), 50.0).otherwise(0.0)
     lines = F.array_sort(F.collect_list(F.format_string("%s: %.2f%% %s", "check", "pct", "status")))
-    return diagnose(df, by_words).agg(F.round(F.avg(points), 1).alias("overall_score"), F.array_join(lines, "\n").alias("scorecard"))
+    return checks.agg(F.round(F.avg(points), 1).alias("overall_score"), F.array_join(lines, "\n").alias("scorecard"))
 
 
 def score_for_kpis(df: DataFrame) -> DataFrame:

@@ -71,10 +71,15 @@ def promote(
 
 
 def build(df: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """All tables of a cube run by name: its views, segments, key figures, checks and score."""
-    segmented = changes.set_segments(df, segments.abc(df))
-    flagged = segments.with_tail_flag(segmented)
-    return cube.cube(flagged) | {"abc": segments.abc(df), "concentration": segments.concentration(df), "kpis": kpis.kpis(df, settings), "diagnostics": quality.diagnose(df), "scorecard": quality.scorecard(df)}
+    """All tables of a cube run by name: its views, segments, key figures, checks and score.
+
+    The views and what segments, tail and concentration begin with come from one pass over the transactions, checks and score from one table of checks.
+    """
+    views = cube.cube(df, "supplier_spend")
+    spend = views.pop("supplier_spend")
+    abc, checks = stored(segments.abc(df, spend=spend), "abc"), stored(quality.diagnose(df), "checks")
+    flagged = segments.with_tail_flag(changes.set_segments(views["transactions"], abc), spend)
+    return views | {"transactions": flagged, "abc": abc, "concentration": segments.concentration(df, spend), "kpis": kpis.kpis(df, settings), "diagnostics": checks, "scorecard": quality.scorecard_of(checks)}
 
 
 def run(df: DataFrame, directory: str, settings: Settings = DEFAULT) -> None:

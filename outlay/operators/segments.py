@@ -21,21 +21,28 @@ def _exact(c: Column) -> Column:
     return c.cast("double")
 
 
-def abc(df: DataFrame, ties_share: bool = False, a: float = 0.80, b: float = 0.95) -> DataFrame:
+def _spend(df: DataFrame, spend: DataFrame | None, *tenant: str) -> DataFrame:
+    """Spend of each supplier, from ``spend`` (by tenant and supplier) if it is given."""
+    if spend is None:
+        return supplier_spend(df, *tenant)
+    return spend if tenant else spend.groupBy("canonical_supplier_id").agg(F.sum("spend").cast("decimal(28,2)").alias("spend"))
+
+
+def abc(df: DataFrame, ties_share: bool = False, a: float = 0.80, b: float = 0.95, spend: DataFrame | None = None) -> DataFrame:
     """Segment of each supplier within its tenant by the share that it and all larger ones have.
 
     Row by row in falling order, ties by id; with ``ties_share`` equal suppliers share the sum, as
     a default window frame has it. Tenants whose sum is 0 are left out.
     """
-    rows = with_running(supplier_spend(df, "engagement_id"), "spend", "canonical_supplier_id", ("engagement_id",), ties_share).where("all_value <> 0")
+    rows = with_running(_spend(df, spend, "engagement_id"), "spend", "canonical_supplier_id", ("engagement_id",), ties_share).where("all_value <> 0")
     rows = rows.withColumn("share", _exact(F.col("until")) / _exact(F.col("all_value")))
     segment = F.when(F.col("share") <= a, "A").when(F.col("share") <= b, "B").otherwise("C")
     return rows.select("engagement_id", "canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), F.round("share", 6).alias("cumulative_pct"), segment.alias("abc_segment"))
 
 
-def tail(df: DataFrame, head: float = 0.80, few: int = 10) -> DataFrame:
+def tail(df: DataFrame, head: float = 0.80, few: int = 10, spend: DataFrame | None = None) -> DataFrame:
     """``is_tail_spend`` of each supplier: what stands before it is ``head`` of the spend or more; with fewer than ``few`` suppliers, its spend is under the median."""
-    rows = flag_tail(with_running(supplier_spend(df), "spend", "canonical_supplier_id"), head, few)
+    rows = flag_tail(with_running(_spend(df, spend), "spend", "canonical_supplier_id"), head, few)
     return rows.select("canonical_supplier_id", _exact(F.col("spend")).alias("total_spend"), "is_tail_spend")
 
 
@@ -47,9 +54,9 @@ def flag_tail(rows: DataFrame, head: float = 0.80, few: int = 10) -> DataFrame:
     return rows.join(F.broadcast(middle)).withColumn("is_tail_spend", flag)
 
 
-def with_tail_flag(df: DataFrame) -> DataFrame:
+def with_tail_flag(df: DataFrame, spend: DataFrame | None = None) -> DataFrame:
     """``df`` with ``is_tail_spend``; false where the supplier isn't known."""
-    flags = tail(df).select("canonical_supplier_id", "is_tail_spend")
+    flags = tail(df, spend=spend).select("canonical_supplier_id", "is_tail_spend")
     return look_up(df, flags, "canonical_supplier_id").withColumn("is_tail_spend", F.coalesce("is_tail_spend", F.lit(False)))
 
 
@@ -61,9 +68,9 @@ def tail_share(df: DataFrame, head: float = 0.80) -> DataFrame:
     return rows.agg(F.round(numbers.ratio(behind, F.max("all_value")), 4).alias("tail_spend_pct"))
 
 
-def concentration(df: DataFrame) -> DataFrame:
+def concentration(df: DataFrame, spend: DataFrame | None = None) -> DataFrame:
     """One row: HHI in points, shares of the 10, 20 and 50 largest, how many suppliers make 80 %."""
-    return concentration_of(with_running(supplier_spend(df), "spend", "canonical_supplier_id"))
+    return concentration_of(with_running(_spend(df, spend), "spend", "canonical_supplier_id"))
 
 
 def concentration_of(rows: DataFrame) -> DataFrame:

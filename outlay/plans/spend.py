@@ -26,9 +26,9 @@ _MONTH = "strftime(invoice_date, '%Y-%m')"
 
 # views of the cube
 for _name, _keys in {"supplier": ("canonical_supplier_name", "parent_company_name"), "category": ("category_l1", "category_l2", "category_l3"), "bu": ("business_unit", "cost_centre")}.items():
-    _add(f"cube_by_{_name}", (*_keys, *LINES), lambda df, keys=_keys: cube.view(df, *keys), f" SELECT {', '.join(_keys)}, {_MEASURES} FROM a GROUP BY {', '.join(_keys)}")
-_add("cube_by_month", ("invoice_date", *LINES), lambda df: cube.view(cube.with_time(df), "invoice_month"), f" SELECT {_MONTH} AS invoice_month, {_MEASURES} FROM a GROUP BY 1")
-_add("by_payment_terms_a", LINES, lambda df: cube.cube(df.withColumn("invoice_date", F.lit(None).cast("date")).withColumns({c: F.lit(None).cast("string") for c in ("canonical_supplier_name", "parent_company_name", "category_l1", "category_l2", "category_l3", "business_unit", "cost_centre")}))["by_payment_terms"], f" SELECT {_BUCKET} AS payment_terms_bucket, {_MEASURES} FROM a GROUP BY 1")
+    _add(f"cube_by_{_name}", (*_keys, *LINES), lambda df, name=f"by_{_name}": cube.cube(df)[name], f" SELECT {', '.join(_keys)}, {_MEASURES} FROM a GROUP BY {', '.join(_keys)}")
+_add("cube_by_month", ("invoice_date", *LINES), lambda df: cube.cube(df)["by_month"], f" SELECT {_MONTH} AS invoice_month, {_MEASURES} FROM a GROUP BY 1")
+_add("by_payment_terms_a", LINES, lambda df: cube.cube(df)["by_payment_terms"], f" SELECT {_BUCKET} AS payment_terms_bucket, {_MEASURES} FROM a GROUP BY 1")
 _add("time_dimensions", ("invoice_date", *SPEND), lambda df: cube.with_time(df).groupBy("invoice_year", "invoice_quarter", "invoice_month").agg(F.count(F.lit(1)).alias("rows")), f" SELECT year(invoice_date)::INT AS invoice_year, year(invoice_date) || '-Q' || quarter(invoice_date) AS invoice_quarter, {_MONTH} AS invoice_month, count(*) AS rows FROM t GROUP BY ALL")
 
 # pages

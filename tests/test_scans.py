@@ -1,10 +1,13 @@
 """How often plans read the transactions, and that look-ups don't move them."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
-from outlay.operators import categorise, changes, joins, kpis, recommend, runs
+from outlay.operators import categorise, changes, cube, joins, kpis, quality, quantiles, recommend, runs, segments
 from outlay.plans import resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
@@ -65,6 +68,39 @@ def test_a_large_look_up_table_gives_the_same(spark, monkeypatch):
     assert small == large == {(1, "x"), (2, "y"), (3, None), (4, None)}
 
 
+def test_the_cube_is_one_pass(spark, plans, monkeypatch):
+    """All views and the suppliers' sums come from one pass; a whole run, with key figures, checks and the rows themselves, takes eight."""
+    noted = runs.stored
+    for module in (cube, quality, segments, quantiles):
+        monkeypatch.setattr(module, "stored", noted, raising=False)
+    df = transactions(spark, SF_DIR)
+    views = cube.cube(df, "supplier_spend")
+    assert set(views) == {*cube.VIEWS, "supplier_spend", "transactions"}
+    assert scans([*plans, *[plan_of(v) for k, v in views.items() if k != "transactions"]]) == 1
+    for name, keys in cube.VIEWS.items():
+        want = cube.view(cube._timed(df), *keys)
+        assert sorted(map(repr, views[name].collect())) == sorted(map(repr, want.select(*views[name].columns).collect()))
+    plans.clear()
+    tables = runs.build(df)
+    assert scans([*plans, *map(plan_of, tables.values())]) <= 8
+
+
+def test_quantiles_are_those_of_all_values(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 5.0, -2.5, round(rng.uniform(-1e6, 1e6), 2), rng.random()])) for k in "abc" for _ in range(rng.randrange(1, 300))]
+    rows += [("one", 7.0), ("two", 1.0), ("two", 2.0), ("same", 3.3), ("same", 3.3), ("same", 3.3), (None, 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(5)
+    at = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9, "q10": 1.0}
+    got = {r.key: (r.least, r.most, r.rows, *[getattr(r, q) for q in at]) for r in quantiles.exact(df, "key", F.col("value"), at).collect()}
+    assert set(got) == {k for k, v in rows if k and v is not None}
+    for k, found in got.items():
+        own = [v for key, v in rows if key == k and v is not None]
+        want = [min(own), max(own), len(own), *np.quantile(own, list(at.values()))]
+        assert np.allclose(found, want, rtol=1e-12, atol=1e-9)
+    # the second pass keeps few rows
+    assert quantiles.exact(df.limit(0), "key", F.col("value"), at).count() == 0
+
+
 @pytest.fixture
 def shuffled(spark, monkeypatch):
     """No table is small, and tasks stay as they were planned."""
