@@ -55,6 +55,14 @@ def add_overrides(overrides: DataFrame, more: DataFrame) -> DataFrame:
     return overrides.unionByName(more.where("canonical_supplier_id is not null or gl_account is not null"))
 
 
+def apply_feedback(overrides: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Reviewers' corrections in bulk (``canonical_supplier_id`` or ``gl_account``, ``l1``, and as far as there are ``l2``, ``l3``, ``unspsc_code``,
+    ``reviewer``, ``reason``, ``override_order``) as decisions. Those that name neither supplier nor code are left out."""
+    named = {"override_l1": "l1", "override_l2": "l2", "override_l3": "l3"}
+    given = {f.name: F.col(n if (n := named.get(f.name, f.name)) in feedback.columns else "none").cast(f.dataType) for f in overrides.schema.fields}
+    return add_overrides(overrides, feedback.withColumn("none", F.lit(None)).select(*[v.alias(k) for k, v in given.items()]))
+
+
 def remove_rows(df: DataFrame, where: Column) -> DataFrame:
     """All rows but those for which the condition holds; where it is null, rows stay."""
     return df.where(~F.coalesce(where, F.lit(False)))
@@ -65,6 +73,12 @@ def insert_vectors(store: DataFrame, more: DataFrame, key: str = "id") -> DataFr
     return store.unionByName(more.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns))
 
 
+def audit_all(log: DataFrame, entity: str, rows: DataFrame, actor: str) -> DataFrame:
+    """Appends a line for each of ``rows`` (``entity_id``, ``action``, ``before``, ``after``) to an audit log."""
+    lines = rows.select(F.lit(entity).alias("entity"), *[F.col(c).cast("string").alias(c) for c in ("entity_id", "action", "before", "after")], F.lit(actor).alias("actor"), F.current_timestamp().alias("at"))
+    return log.unionByName(lines)
+
+
 def audit(log: DataFrame, entity: str, entity_id: str, action: str, before: str | None, after: str | None, actor: str) -> DataFrame:
     """Appends one line to an audit log."""
     values = {"entity": entity, "entity_id": entity_id, "action": action, "before": before, "after": after, "actor": actor}

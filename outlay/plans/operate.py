@@ -18,7 +18,18 @@ from outlay.streaming import landing
 book = Book()
 
 # made-up sources
-ROWS, SEED = 10_000, 42
+SEED = 42
+
+
+def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up rows are numbered by the orders."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("year_month"))
+
+
 FX_RANGES = {"USD": (0.62, 0.69), "EUR": (0.57, 0.64), "GBP": (0.50, 0.54)}
 _U = lambda name, row="i": f"(('0x' || substr(md5('{SEED}|{name}|' || {row}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _PICK = lambda values, u: f"{list(values)!r}[floor({u} * {len(values)})::INT + 1]"
@@ -32,9 +43,9 @@ def _currency_sql() -> str:
     return out + " ELSE 'AUD' END"
 
 
-book.add("synthetic_export", lambda spark, sf_dir: synthetic.export(spark, ROWS, SEED), f"""
+book.add("synthetic_export", lambda spark, sf_dir: synthetic.export(spark, order_numbers(spark, sf_dir), SEED), f"""
 WITH r AS (SELECT i, {_U('credit')} < 0.05 AS credit, {_U('internal')} < 0.02 AS internal, {_U('messy')} AS form, {_U('amount')} AS amount, {_PICK(synthetic.LINES, _U('line'))} AS line, {_PICK(synthetic.TERMS, _U('terms'))} AS terms,
-    DATE '{synthetic.FIRST_DAY}' + floor({_U('day')} * {synthetic.DAYS})::INT AS day, lpad(CASE WHEN {_U('anchor')} < 0.4 THEN floor({_U('supplier')} * 10) ELSE floor({_U('supplier')} * 500) END::BIGINT::VARCHAR, 6, '0') AS s FROM range({ROWS}) q(i))
+    DATE '{synthetic.FIRST_DAY}' + floor({_U('day')} * {synthetic.DAYS})::INT AS day, lpad(CASE WHEN {_U('anchor')} < 0.4 THEN floor({_U('supplier')} * 10) ELSE floor({_U('supplier')} * 500) END::BIGINT::VARCHAR, 6, '0') AS s FROM (SELECT o_orderkey AS i FROM orders) q)
 SELECT CASE WHEN internal THEN 'INTERCOMPANY - ' || {_PICK(synthetic.DEPARTMENTS, _U('department'))} WHEN {_U('variant')} < 0.15 THEN 'SUPPLIER ' || s || ' ' || {_PICK(synthetic.FORMS, _U('form'))} ELSE 'Supplier ' || s || ' {synthetic.FORMS[0]}' END AS VENDOR_NAME,
   CASE WHEN internal THEN 'V-INTCO' ELSE 'V-' || s END AS VENDOR_NUM, CASE WHEN credit THEN 'CN-' ELSE 'INV-' END || year(day) || '-' || lpad((i + 1)::VARCHAR, 9, '0') AS INV_NO,
   CASE WHEN form >= 0.3 THEN strftime(day, '%Y-%m-%d') WHEN form < 0.3 * 0.6 THEN strftime(day, '%d/%m/%Y') ELSE strftime(day, '%d-%b-%Y') END AS INV_DATE,
@@ -44,8 +55,8 @@ SELECT CASE WHEN internal THEN 'INTERCOMPANY - ' || {_PICK(synthetic.DEPARTMENTS
   CASE WHEN {_U('no terms')} < 0.05 THEN '' WHEN {_U('terms form')} < 0.3 THEN upper(replace(terms, ' ', '')) ELSE terms END AS PAY_TERMS,
   CASE WHEN credit OR {_U('no order')} < 0.2 THEN '' ELSE 'PO-' || lpad(floor({_U('order')} * 1000000)::BIGINT::VARCHAR, 6, '0') END AS PO_NUM, {_PICK(synthetic.UNITS, _U('unit'))} AS BUS_UNIT, {_PICK(synthetic.SITES, _U('site'))} AS SITE FROM r""")
 
-book.add("synthetic_fx", lambda spark, sf_dir: synthetic.fx_series(spark, FX_RANGES, seed=SEED), f"""
-WITH c(ccy, low, high) AS (VALUES {', '.join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE)" for c, (a, b) in FX_RANGES.items())}), m AS (SELECT (2023 + i // 12) || '-' || lpad((i % 12 + 1)::VARCHAR, 2, '0') AS year_month FROM range(36) q(i)),
+book.add("synthetic_fx", lambda spark, sf_dir: synthetic.fx_series(spark, FX_RANGES, seed=SEED, listed_months=order_months(spark, sf_dir)), f"""
+WITH c(ccy, low, high) AS (VALUES {', '.join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE)" for c, (a, b) in FX_RANGES.items())}), m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS year_month FROM orders),
 r AS (SELECT year_month, ccy, round(low + {_U('rate', "ccy || year_month")} * (high - low), 4) AS rate FROM m, c)
 SELECT year_month, 'AUD' AS from_ccy, ccy AS to_ccy, rate FROM r UNION ALL SELECT year_month, ccy, 'AUD', round(1 / rate, 6) FROM r""")
 

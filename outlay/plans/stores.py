@@ -12,7 +12,7 @@ from outlay.plans import insight, operate, resolve, spend
 from outlay.plans.book import Book
 from outlay.sources import files, synthetic
 from outlay.sources.scratch import new_folder, stored
-from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
+from outlay.sources.warehouse import EXPORT_SQL, TRANSACTIONS_SQL, export, transactions
 
 book = Book()
 SPEND = spend.SPEND
@@ -85,18 +85,37 @@ book.add("with_parents", lambda spark, sf_dir: suppliers.with_parents(_master(sp
 WITH {_MASTER_SQL}, p AS (SELECT *, CASE WHEN right(canonical_name, 1) IN ('3', '6') THEN 'Parent A' END AS parent_name FROM m) SELECT canonical_supplier_id, substr(sha256(lower(parent_name)), 1, 12) AS parent_company_id, parent_name FROM p""")
 book.add("stored_names", lambda spark, sf_dir: suppliers.with_normalised_name(_master(spark, sf_dir)).select("canonical_supplier_id", "normalised_name"), f"WITH {_MASTER_SQL} SELECT canonical_supplier_id, trim(regexp_replace(lower(canonical_name), '[^a-z0-9_]+', ' ', 'g')) AS normalised_name FROM m")
 _add("related_suppliers", ("parent_company_name", "canonical_supplier_name"), suppliers.related, ", o AS (SELECT DISTINCT parent_company_name, canonical_supplier_name FROM t WHERE parent_company_name IS NOT NULL AND canonical_supplier_name IS NOT NULL), n AS (SELECT parent_company_name, count(*) - 1 AS related FROM o GROUP BY 1) SELECT * FROM o JOIN n USING (parent_company_name) WHERE related > 0")
-book.add("audit_log", lambda spark, sf_dir: changes.audit(changes.audit(spark.createDataFrame([], schema.AUDIT_SCHEMA), "match", "a", "approve", None, "APPROVED", "me"), "match", "b", "reject", "PENDING", "REJECTED", "me").select("entity", "entity_id", "action", "before", "after", "actor"), "SELECT * FROM (VALUES ('match', 'a', 'approve', NULL, 'APPROVED', 'me'), ('match', 'b', 'reject', 'PENDING', 'REJECTED', 'me')) v(entity, entity_id, action, before, after, actor)")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on all matches that wait, and one more."""
+    waiting = _log(spark, sf_dir).where("review_status = 'PENDING'")
+    sure = F.col("confidence") >= 0.4
+    rows = waiting.select(F.col("raw_supplier_name").alias("entity_id"), F.when(sure, "approve").otherwise("reject").alias("action"), F.col("review_status").alias("before"), F.when(sure, "APPROVED").otherwise("REJECTED").alias("after"))
+    log = changes.audit_all(spark.createDataFrame([], schema.AUDIT_SCHEMA), "match", rows, "me")
+    return changes.audit(log, "match", "b", "reject", None, "REJECTED", "you").select("entity", "entity_id", "action", "before", "after", "actor")
+
+
+book.add("audit_log", _audited, f"""
+WITH {_LOG_SQL} SELECT 'match' AS entity, raw_supplier_name AS entity_id, CASE WHEN confidence >= 0.4 THEN 'approve' ELSE 'reject' END AS action, 'PENDING' AS before, CASE WHEN confidence >= 0.4 THEN 'APPROVED' ELSE 'REJECTED' END AS after, 'me' AS actor FROM l WHERE review_status = 'PENDING'
+UNION ALL SELECT 'match', 'b', 'reject', NULL, 'REJECTED', 'you'""")
 
 
 # decisions and vectors
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = spark.createDataFrame([("s9", None, "New", 9), (None, "7000", "Newer", 10), (None, None, "Lost", 11)], "canonical_supplier_id string, gl_account string, override_l1 string, override_order long")
-    null = {c: F.lit(None).cast("string") for c in ("override_l2", "override_l3", "unspsc_code", "reviewer", "reason")}
-    out = changes.add_overrides(resolve._overrides(spark), more.withColumns(null))
-    return changes.remove_rows(out, F.col("gl_account") == "6400").select("canonical_supplier_id", "gl_account", "override_l1", "override_order")
+    """Feedback on each supplier, on ledger codes and on nothing, behind the decisions made before; one code's are taken back."""
+    k = F.col("s_suppkey")
+    feedback = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.when(k % 3 == 0, F.concat(F.lit("s"), k.cast("string"))).alias("canonical_supplier_id"), F.when(k % 3 == 1, (6400 + k % 7).cast("string")).alias("gl_account"),
+        F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("l1"), F.col("s_name").alias("reviewer"), (k + 100).alias("override_order"),
+    )
+    out = changes.apply_feedback(resolve._overrides(spark), feedback)
+    return changes.remove_rows(out, F.col("gl_account") == "6400").select("canonical_supplier_id", "gl_account", "override_l1", "reviewer", "override_order")
 
 
-book.add("override_decisions", _decisions, f"SELECT sid AS canonical_supplier_id, gl AS gl_account, l1 AS override_l1, n::BIGINT AS override_order FROM (VALUES {resolve._values([*resolve.OVERRIDES, ('s9', None, 'New', 9), (None, '7000', 'Newer', 10)])}) v(sid, gl, l1, n) WHERE gl IS DISTINCT FROM '6400'")
+book.add("override_decisions", _decisions, f"""
+SELECT * FROM (SELECT sid AS canonical_supplier_id, gl AS gl_account, l1 AS override_l1, 'reviewer' AS reviewer, n::BIGINT AS override_order FROM (VALUES {resolve._values(resolve.OVERRIDES)}) v(sid, gl, l1, n)
+UNION ALL SELECT CASE WHEN s_suppkey % 3 = 0 THEN 's' || s_suppkey END, CASE WHEN s_suppkey % 3 = 1 THEN (6400 + s_suppkey % 7)::VARCHAR END, 'Nation ' || s_nationkey, s_name, s_suppkey + 100 FROM supplier WHERE s_suppkey % 3 < 2) WHERE gl_account IS DISTINCT FROM '6400'""")
 _vectors = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 book.add("insert_vectors", lambda spark, sf_dir: changes.insert_vectors(_vectors(spark, sf_dir).where("id % 2 = 0"), _vectors(spark, sf_dir)).groupBy((F.col("id") % 2).alias("odd")).agg(F.count(F.lit(1)).alias("rows")), "SELECT vec_id % 2 AS odd, count(*) AS rows FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1")
 book.add("vectors_by_keys", lambda spark, sf_dir: suppliers.by_keys(_vectors(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"))).select("id", F.size(numbers.vector_from_text(numbers.vector_to_text(F.col("vector")))).alias("width")), "SELECT DISTINCT vec_id AS id, len(embedding)::INT AS width FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT o_custkey FROM orders)")
@@ -116,36 +135,38 @@ WITH k AS ({resolve.book.sql['cosine_top2']}), p AS (SELECT query_id AS id, max(
   SELECT id, l2, CASE WHEN a >= {_S.category_similarity} THEN CASE WHEN coalesce(abs(a - b) <= {_S.category_ambiguous} AND a > {_S.category_ambiguous_above} AND b > {_S.category_ambiguous_above}, false) THEN a * 0.75::DOUBLE ELSE a * 0.9::DOUBLE END END AS c FROM p)
 SELECT id, CASE WHEN c IS NOT NULL THEN l2::VARCHAR END AS l2, round(c, 6) AS confidence FROM d""")
 
-_HIERARCHY = [("1", "IT", "11", "Software", l3, name, "43", "x") for l3, name in (("111", "Licences"), ("112", "Cloud"), ("113", "Cloud"))] + [("2", "HR", "21", "Training", "211", "Courses", "86", "y")]
-
-
 # files: written and read back
 def _texts_of_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' types, brands and names as a hierarchy."""
     path = new_folder(spark, "hierarchy")
-    spark.createDataFrame(_HIERARCHY, reference.HIERARCHY_SCHEMA).write.csv(path, header=True)
-    return categorise.category_texts(reference.category_hierarchy(spark, path)).select("l2_name", "text")
+    c = F.col
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(c("p_type").alias("l1_code"), c("p_type").alias("l1_name"), c("p_brand").alias("l2_code"), c("p_brand").alias("l2_name"), c("p_name").alias("l3_code"), c("p_name").alias("l3_name"), F.lit("43").alias("unspsc_segment_code"), F.lit("x").alias("unspsc_segment_name"))
+    rows.write.csv(path, header=True)
+    return categorise.category_texts(reference.category_hierarchy(spark, path)).select("l1_name", "l2_name", "text")
 
 
-book.add("category_texts", _texts_of_categories, "SELECT 'Software' AS l2_name, 'IT Software Cloud Licences' AS text UNION ALL SELECT 'Training', 'HR Training Courses'")
+book.add("category_texts", _texts_of_categories, "SELECT p_type AS l1_name, p_brand AS l2_name, p_type || ' ' || p_brand || ' ' || string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM part GROUP BY 1, 2")
 
 
 def _rates_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for each month of orders."""
     path = new_folder(spark, "rates")
-    spark.createDataFrame(resolve.RATES, reference.FX_SCHEMA).write.csv(path, header=True)
+    rows = operate.order_months(spark, sf_dir).groupBy("year_month").agg(F.count(F.lit(1)).alias("n"))
+    rows.select("year_month", F.lit("USD").alias("from_ccy"), F.lit("AUD").alias("to_ccy"), F.round(1 + F.col("n") / 4096, 4).alias("rate")).write.csv(path, header=True)
     return reference.fx_rates(spark, path)
 
 
-book.add("rates_file", _rates_file, f"SELECT ym AS year_month, c AS from_ccy, i AS to_ccy, r::DOUBLE AS rate FROM (VALUES {resolve._values(resolve.RATES)}) v(ym, c, i, r)")
+book.add("rates_file", _rates_file, "SELECT strftime(o_orderdate, '%Y-%m') AS year_month, 'USD' AS from_ccy, 'AUD' AS to_ccy, round(1 + count(*)::DOUBLE / 4096, 4) AS rate FROM orders GROUP BY 1")
 
 
 def _export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "export")
-    synthetic.export(spark, operate.ROWS, operate.SEED).write.csv(path, header=True)
+    export(spark, sf_dir).write.csv(path, header=True)
     back = files.read_export(spark, path)
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
 
 
-book.add("export_file", _export_file, operate.book.sql["synthetic_export"])
+book.add("export_file", _export_file, f"WITH {TRANSACTIONS_SQL}, {EXPORT_SQL} SELECT * FROM x")
 
 
 def _views(spark: SparkSession, sf_dir: str, format_: str) -> DataFrame:
@@ -175,7 +196,7 @@ _SHORT = "CASE i WHEN 'HR' THEN 'human resources' WHEN 'IT' THEN 'information te
 
 
 def _made_up_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = synthetic.export(spark, operate.ROWS, operate.SEED).select(F.col("VENDOR_NAME").alias("raw_supplier_name"), F.col("VENDOR_NUM").alias("raw_supplier_id"))
+    rows = synthetic.export(spark, operate.order_numbers(spark, sf_dir), operate.SEED).select(F.col("VENDOR_NAME").alias("raw_supplier_name"), F.col("VENDOR_NUM").alias("raw_supplier_id"))
     return suppliers.distinct_names(rows).select("raw_supplier_name", "normalised_name", "group_size")
 
 
@@ -187,15 +208,17 @@ SELECT *, count(*) OVER (PARTITION BY normalised_name) AS group_size FROM d""")
 
 # one run from an export to savings
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = synthetic.export(spark, operate.ROWS, operate.SEED)
+    raw = export(spark, sf_dir)
     empty = lambda fields: spark.createDataFrame([], fields)
     directory = new_folder(spark, "run")
-    done, _ = runs.whole(raw, synthetic.fx_series(spark, operate.FX_RANGES, seed=operate.SEED), empty(reference.SEED_SCHEMA), empty(schema.OVERRIDE_SCHEMA), directory, "E1")
+    rates = synthetic.fx_series(spark, operate.FX_RANGES, seed=operate.SEED, listed_months=operate.order_months(spark, sf_dir))
+    done, _ = runs.whole(raw, rates, empty(reference.SEED_SCHEMA), empty(schema.OVERRIDE_SCHEMA), directory, "E1")
     facts = stored(done.facts, "end")
     views = files.read_views(spark, directory, "transactions")["transactions"]
-    return facts.groupBy("category_l1", "category_l2").agg(F.count(F.lit(1)).alias("facts")).join(views.groupBy("category_l1", "category_l2").agg(F.count(F.lit(1)).alias("in_cube")), ["category_l1", "category_l2"])
+    keys = ["category_l1", "category_l2"]
+    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("canonical_supplier_id").alias("suppliers")).join(views.groupBy(*keys).agg(F.count(F.lit(1)).alias("in_cube")), keys)
 
 
 book.add("end_to_end", end_to_end, f"""
-WITH e AS ({operate.book.sql['synthetic_export']}), w(i, l1, l2, c) AS (VALUES {resolve._RULES}), r AS (SELECT {resolve._WORDS} AS i FROM (SELECT lower(LINE_DESC || ' ' || LINE_DESC) AS d FROM e))
-SELECT l1 AS category_l1, l2 AS category_l2, count(*) AS facts, count(*) AS in_cube FROM r JOIN w USING (i) GROUP BY 1, 2""")
+WITH {TRANSACTIONS_SQL}, {EXPORT_SQL}, w(i, l1, l2, c) AS (VALUES {resolve._RULES}), e AS (SELECT DISTINCT * FROM x), r AS (SELECT VENDOR_NAME, {resolve._WORDS} AS i FROM (SELECT VENDOR_NAME, lower(LINE_DESC || ' ' || LINE_DESC) AS d FROM e))
+SELECT l1 AS category_l1, l2 AS category_l2, count(*) AS facts, count(DISTINCT nullif(VENDOR_NAME, '')) AS suppliers, count(*) AS in_cube FROM r JOIN w USING (i) GROUP BY 1, 2""")

@@ -125,3 +125,33 @@ TRANSACTIONS_SQL = f"""t AS (
 ), a AS (
   SELECT * FROM t WHERE coalesce(is_intercompany, 0) = 0 AND coalesce(is_tax_line, 0) = 0
 )"""
+
+
+#: Words that payment terms put behind a line's description, so that keyword rules find something.
+SAID = {14: " toner cartridge", 30: " courier", 45: " legal fees", 60: " cloud hosting"}
+FORMS = ("Pty Ltd", "P/L", "Inc.", "")
+
+
+def export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as an export of texts in the default layout: names with legal forms, dates in three ways, empty texts for missing values."""
+    c = F.col
+    number = F.regexp_extract("raw_supplier_id", r"(\d+)", 1).cast("int")
+    form = F.element_at(F.array(*[F.lit(x) for x in FORMS]), number % len(FORMS) + 1)
+    day, way = c("invoice_date"), F.regexp_extract("invoice_number", r"(\d+)", 1).cast("long") % 3
+    texts = {
+        "VENDOR_NAME": F.trim(F.concat("raw_supplier_name", F.lit(" "), form)), "VENDOR_NUM": c("raw_supplier_id"), "INV_NO": c("invoice_number"),
+        "INV_DATE": F.when(way == 0, F.date_format(day, "yyyy-MM-dd")).when(way == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd-MMM-yyyy")),
+        "LINE_DESC": F.concat("raw_line_description", _by_remainder(c("payment_terms_days"), SAID)), "AMT": c("base_amount").cast("string"), "CCY": c("original_currency"),
+        "GL_CODE": c("gl_account"), "COST_CTR": c("cost_centre"), "PAY_TERMS": c("raw_payment_terms"), "PO_NUM": c("po_number"), "BUS_UNIT": c("business_unit"), "SITE": c("plant_site"),
+    }
+    names = ("raw_supplier_id", "raw_supplier_name", "invoice_number", "invoice_date", "raw_line_description", "payment_terms_days", "base_amount", "original_currency", "gl_account", "cost_centre", "raw_payment_terms", "po_number", "business_unit", "plant_site")
+    return transactions(spark, sf_dir, *names).select(*[F.coalesce(v, F.lit("")).alias(k) for k, v in texts.items()])
+
+
+#: The same export for DuckDB, as the common table expression ``x`` behind ``t``.
+EXPORT_SQL = f"""x AS (
+  SELECT coalesce(trim(raw_supplier_name || ' ' || {list(FORMS)!r}[regexp_extract(raw_supplier_id, '[0-9]+')::INT % {len(FORMS)} + 1]), '') AS VENDOR_NAME, raw_supplier_id AS VENDOR_NUM, invoice_number AS INV_NO,
+    CASE regexp_extract(invoice_number, '[0-9]+')::BIGINT % 3 WHEN 0 THEN strftime(invoice_date, '%Y-%m-%d') WHEN 1 THEN strftime(invoice_date, '%d/%m/%Y') ELSE strftime(invoice_date, '%d-%b-%Y') END AS INV_DATE,
+    coalesce(raw_line_description || {_CASE("payment_terms_days", SAID)}, '') AS LINE_DESC, base_amount::VARCHAR AS AMT, original_currency AS CCY, gl_account AS GL_CODE, coalesce(cost_centre, '') AS COST_CTR,
+    coalesce(raw_payment_terms, '') AS PAY_TERMS, coalesce(po_number, '') AS PO_NUM, coalesce(business_unit, '') AS BUS_UNIT, plant_site AS SITE FROM t
+)"""
