@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from outlay.plans import insight, operate, resolve, spend, stores
+from outlay.plans import hooks, insight, operate, resolve, spend, stores
 from outlay.plans.book import Query
 
-BOOKS = (spend.book, insight.book, resolve.book, operate.book, stores.book)
+BOOKS = (spend.book, insight.book, resolve.book, operate.book, stores.book, hooks.book)
 
 
 def queries() -> dict[str, Query]:
