@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from outlay.llm.common import stored
 
 SHINGLE, WINDOW, STEP, BANDS = 5, 16, 8, 160
-#: Characters of all templates that may be broadcast: enough for the full texts of all known licenses.
-MOST_BYTES = 8 << 20
+#: Bands of all templates' windows that may be broadcast, about 40 bytes each; beyond, windows meet them by a shuffle.
+MOST_BANDS = 1 << 20
 
 # Notices of common licenses.
 TEMPLATES = {
@@ -63,6 +63,8 @@ NEEDS = {
     "LGPL-3.0 header": ("gnu lesser general public license", "version 3 of the license"),
     "MPL-2.0": ("mozilla public license v 2 0",),
 }
+#: All templates that a scan looks for unless it is given others.
+ALL = TEMPLATES | SIBLINGS
 #: Words of a text that places are dealt by, to be compared with others near them.
 NEAR = 64
 #: Words too common to look for, where a shingle has another.
@@ -143,19 +145,21 @@ def scan(
     By containment alone a text also matches the siblings of its license: "version 3" shares 7 of 8
     shingles with "version 2". With ``needs`` (runs of words by template, see ``NEEDS``) they are told apart: a place
     counts only if all runs of its template are between its first and last common shingle, and if no overlapping
-    place of a rival (see ``rivals``) has more shingles in common; of equals both count.
+    place of a rival (see ``rivals``) has more shingles in common; of equals both count. Without ``templates`` all known ones
+    are sought and told apart; with templates of one's own and no ``needs`` containment alone decides.
     Null texts and texts under five words have no license. Rows that repeat an id count as one
-    document. Templates under five words are not allowed. Other columns play no part. The templates, and so
-    what is broadcast, are a list in the program; more than ``MOST_BYTES`` of them are refused.
+    document. Templates under five words are not allowed. Other columns play no part. The templates are a
+    list in the program; their index is broadcast while it has ``MOST_BANDS`` rows at most, and joined by shuffle otherwise.
     """
-    templates = TEMPLATES if templates is None else templates
+    if templates is None:
+        templates, needs = ALL, NEEDS if needs is None else needs
     if any(len(_plain_words(t)) < SHINGLE for t in templates.values()):
         raise ValueError(f"a template has fewer than {SHINGLE} words")
-    if sum(map(len, templates.values())) > MOST_BYTES:
-        raise ValueError(f"templates of more than {MOST_BYTES} characters can't be broadcast")
     if not templates:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word")).limit(0)
     seek = anchors(templates)
+    bands = BANDS * sum(max(0, len(_plain_words(t)) - SHINGLE) // STEP + 1 for t in templates.values())
+    beside = F.broadcast if bands <= MOST_BANDS else lambda table: table
     listed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in templates.items()])).alias("t")).select("t.*")
     words = F.col("words")
     listed = listed.select("license", _words(F.col("text")).alias("words")).select("license", "words", F.size("words").alias("m"), _shingles(words).alias("of_template"))
@@ -175,8 +179,8 @@ def scan(
     near_windows = F.transform("near", lambda at: F.struct(at.alias("at"), F.slice(words, at + 1, F.lit(WINDOW)).alias("window")))
     candidates = texts.select("row", F.inline(near_windows)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "at")
     candidates = candidates.select("row", "at", F.explode(_bands(_shingles(F.col("window")))).alias("band"))
-    found = candidates.join(F.broadcast(index.select("band", "license")), "band").select("row", "at", "license").distinct()
-    found = found.join(F.broadcast(listed.select("license", "m", "of_template")), "license")
+    found = candidates.join(beside(index.select("band", "license")), "band").select("row", "at", "license").distinct()
+    found = found.join(beside(listed.select("license", "m", "of_template")), "license")
     # exact containment in the part around each retrieved window
     part = found.join(texts.select("doc_id", "row", "words"), "row").withColumn("from", F.greatest(F.col("at") - F.col("m"), F.lit(0)))
     length = F.col("at") + WINDOW + F.col("m") - F.col("from")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from outlay.llm.chat import CONTROL, END, START
-from outlay.llm.licenses import TEMPLATES
+from outlay.llm.licenses import ALL, NEEDS, rivals
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,7 +78,9 @@ FROM docs LEFT JOIN listed USING (row)
 
 def _op8() -> str:
     quoted = lambda t: t.replace("'", "''")
-    values = ", ".join(f"('{quoted(k)}', '{quoted(t)}')" for k, t in TEMPLATES.items())
+    values = ", ".join(f"('{quoted(k)}', '{quoted(t)}')" for k, t in ALL.items())
+    pairs = ", ".join(f"('{a}', '{b}')" for a, b in rivals(ALL))
+    needed = " AND ".join(f"(license <> '{k}' OR contains(place, ' {run} '))" for k, runs in NEEDS.items() for run in runs)
     shingles = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))"
     return rf"""
 WITH templates AS (
@@ -100,10 +102,21 @@ WITH templates AS (
   SELECT h.doc_id, h.row, w.license, w.m, w.w_at, count(DISTINCT h.s) AS common, min(h.p) AS first_word, max(h.p) + 5 AS end_word
   FROM windows w JOIN hits h ON h.row = w.row AND h.license = w.license AND h.p BETWEEN w.w_at - w.m AND w.w_at + 16 + w.m - 5
   GROUP BY ALL
+), placed AS (
+  SELECT p.*, common / n AS containment, ' ' || array_to_string(d.words[first_word + 1:end_word], ' ') || ' ' AS place
+  FROM parts p JOIN sized USING (license, m) JOIN docs d ON d.row = p.row WHERE common / n >= 0.8
+), needed AS (
+  SELECT * FROM placed WHERE {needed}
+), rivals(license, rival) AS (
+  VALUES {pairs}
+), kept AS (
+  SELECT * FROM needed h WHERE NOT EXISTS (
+    SELECT 1 FROM needed o JOIN rivals v ON v.rival = o.license
+    WHERE v.license = h.license AND o.row = h.row AND o.first_word < h.end_word AND h.first_word < o.end_word AND o.common > h.common)
 ), ranked AS (
-  SELECT doc_id, license, common / n AS containment, first_word, end_word,
+  SELECT doc_id, license, containment, first_word, end_word,
     row_number() OVER (PARTITION BY doc_id, license ORDER BY common DESC, w_at, first_word DESC, end_word DESC) AS k
-  FROM parts JOIN sized USING (license, m) WHERE common / n >= 0.8
+  FROM kept
 )
 SELECT doc_id, license, containment::DOUBLE AS containment, first_word::INT AS first_word, end_word::INT AS end_word FROM ranked WHERE k = 1
 """

@@ -61,10 +61,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents"))
 
 
-def op8_licenses_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(spark, _table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.SIBLINGS, needs=licenses.NEEDS)
-
-
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(spark, docs)
@@ -106,7 +102,6 @@ def queries() -> dict[str, Query]:
         "op6_topk": op6_topk,
         "op7_sharding": op7_sharding,
         "op8_licenses": op8_licenses,
-        "op8_licenses_apart": op8_licenses_apart,
         "op9_mixing": op9_mixing,
         "op10_warc": op10_warc,
         "op11_quality": op11_quality,
