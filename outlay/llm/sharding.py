@@ -7,7 +7,7 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlay.llm.common import stored, with_totals_before
+from outlay.llm.common import spread_join, stored, with_totals_before
 
 #: Cells that one look at the prefix sums may bring to the driver, and by how much each further look is finer.
 CELLS = 1 << 14
@@ -96,13 +96,12 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str =
     number = sum((F.when(F.col("start") >= c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
     placed = placed.withColumn("shard", number.cast("int"))
     heads = placed.groupBy("shard").agg(F.min("rows_before").alias("shard_before"))  # one row a shard
-    # single texts need no join: most rows meet only their own group
-    alone = placed.where("group_rows = 1").join(F.broadcast(heads), "shard")
-    many = placed.where("group_rows > 1").join(F.broadcast(heads), "shard")
-    single = rows.join(alone.select("group_key", "shard", (F.col("rows_before") - F.col("shard_before")).alias("slot")), "group_key")
-    copies = rows.join(many.select("group_key", "first_id", "shard", "rows_before", "shard_before"), "group_key")
-    copies = with_totals_before(spark, copies, ["first_id", "group_key", "doc_id"], {"at": F.lit(1)})
-    first = copies.groupBy("group_key").agg(F.min("at").alias("group_at"))
-    copies = copies.join(first, "group_key").withColumn("slot", F.col("at") - F.col("group_at") + F.col("rows_before") - F.col("shard_before"))
+    # all copies of one text, or all null texts, are one key
+    known = placed.join(F.broadcast(heads), "shard").select("group_key", "first_id", "shard", "rows_before", "shard_before", "group_rows", F.col("group_rows").alias("uses"))
+    met = stored(spark, spread_join(rows, stored(spark, known, "groups"), "group_key", "uses", ["doc_id", "size"]), "grouped")
+    single = met.where("group_rows = 1").withColumn("slot", F.col("rows_before") - F.col("shard_before"))
+    copies = with_totals_before(spark, met.where("group_rows > 1"), ["first_id", "group_key", "doc_id"], {"at": F.lit(1)})
+    first = stored(spark, copies.groupBy("group_key").agg(F.min("at").alias("group_at"), F.count(F.lit(1)).alias("uses")), "firsts")
+    copies = spread_join(copies, first, "group_key", "uses", ["doc_id", "at"]).withColumn("slot", F.col("at") - F.col("group_at") + F.col("rows_before") - F.col("shard_before"))
     names = ["doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")]
     return single.select(*names).unionByName(copies.select(*names))
