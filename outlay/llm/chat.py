@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outlay.llm.common import stored
+from outlay.llm.common import spread_join, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 # Strings that mark structure in this or other common templates; inside texts they are escaped.
@@ -66,6 +66,12 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(apart > 0, apart - 1).otherwise(n).cast("int")
 
 
+def _counted(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``one`` (a row a key), stored, with ``uses``: how many rows of ``many`` have its key."""
+    uses = many.groupBy(key).agg(F.count(F.lit(1)).alias("uses"))
+    return stored(one.sparkSession, one.join(uses, key), "counted")
+
+
 def pack(
     spark: SparkSession,
     rows: DataFrame,
@@ -132,7 +138,9 @@ def pack(
     formatted = F.concat(head(F.col("role")), escape(F.col("text")), F.lit(END))
     nodes = stored(spark, nodes.select("node", "tree", "parent", "depth", "first", "end", "position", formatted.alias("formatted"), opened.alias("loss_first"), closed.alias("loss_end")), "nodes")
 
-    seen = distinct.select("leaf", F.explode("ids").alias("node")).join(nodes.select("node", "first", "end"), "node")
+    # a first turn that all conversations share is one node of all of them
+    seen = distinct.select("leaf", F.explode("ids").alias("node"))
+    seen = spread_join(seen, _counted(seen, nodes.select("node", "first", "end"), "node"), "node", "uses", ["leaf"])
     seen = seen.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("seen"))
     none = F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)")
 
@@ -142,14 +150,15 @@ def pack(
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == x["first"]), longer).otherwise(F.concat(acc, F.array(x)))
 
     seen = seen.select("leaf", F.aggregate("seen", none, join).alias("attends"))
-    paths = turns.select("conv_id", F.col("ids").alias("nodes"), F.element_at("ids", -1).alias("leaf")).join(seen, "leaf")
+    paths = turns.select("conv_id", F.col("ids").alias("nodes"), F.element_at("ids", -1).alias("leaf"))
+    paths = spread_join(paths, _counted(paths, seen, "leaf"), "leaf", "uses", ["conv_id"])
     return nodes, paths.select("conv_id", F.get("nodes", F.lit(0)).alias("tree"), "nodes", "attends")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """From the packed form: ``conv_id``, ``turns`` (role and text of each), ``formatted`` and ``loss`` (all text under the mask, unescaped)."""
     steps = paths.select("conv_id", F.posexplode("nodes").alias("i", "node"))
-    steps = steps.join(nodes.select("node", "formatted", "loss_first", "loss_end"), "node")
+    steps = spread_join(steps, _counted(steps, nodes.select("node", "formatted", "loss_first", "loss_end"), "node"), "node", "uses", ["conv_id", "i"])
     loss = unescape(F.substring(F.col("formatted"), F.col("loss_first") + 1, F.col("loss_end") - F.col("loss_first")))
     steps = steps.select("conv_id", F.struct("i", "formatted", loss.alias("loss")).alias("step"))
     out = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list("step")).alias("steps"))
