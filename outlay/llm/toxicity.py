@@ -99,15 +99,15 @@ def _dense(weights: dict[str, float]):
     return F.arrow_udf(run, "array<double>")
 
 
-def _lexicon(labelled: DataFrame, positives: int, negatives: int, most: int) -> dict[str, float]:
-    """Words whose share of toxic texts is surely higher: log odds by documents, less four standard errors, above log 2."""
+def _lexicon(labelled: DataFrame, positives: int, negatives: int) -> dict[str, float]:
+    """Words whose share of toxic texts is surely higher: log odds by documents, less four standard errors, above log 2. The sample bounds how many there are."""
     words = labelled.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all")).where("bad >= 3")
     b, g = F.col("bad") + 0.5, F.col("all") - F.col("bad") + 0.5
     odds = F.log(b / (positives + 1)) - F.log(g / (negatives + 1))
     sure = odds - 4 * F.sqrt(1 / b + 1 / g)
     found = counts.withColumn("odds", odds).withColumn("sure", sure).where(f"sure > {np.log(2)} or (bad >= 5 and all = bad)")
-    return {r.word: float(r.odds) for r in found.orderBy(F.desc("odds"), "word").limit(most).collect()}
+    return {r.word: float(r.odds) for r in found.collect()}
 
 
 def fit(
@@ -119,7 +119,6 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     most_rows: int = 20_000,
-    most_words: int = 500,
     trees: int = 20,
     depth: int = 3,
     seed: int = 7,
@@ -144,7 +143,7 @@ def fit(
     fits, total = [count.get((False, k), 0) for k in (0, 1)], sum(count.values())
     if not min(fits):
         return Model({}, None, None, sum(v for (_, k), v in count.items() if k) / total if total else 0.0)
-    weights = _lexicon(sample.where("not calibrates"), fits[1], fits[0], most_words)
+    weights = _lexicon(sample.where("not calibrates"), fits[1], fits[0])
     dense = stored(spark, sample.select("label", "calibrates", _dense(weights)("text").alias("dense")), "dense").withColumn("features", array_to_vector("dense"))
     learner = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=seed, maxBins=32)
     model = learner.fit(dense.where("not calibrates").select("features", "label").coalesce(4))

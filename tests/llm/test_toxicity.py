@@ -65,3 +65,17 @@ def test_features():
     assert f["best_weight"] == 3.0 and f["second_person_density"] == 2 / 5 and f["nearness"] == 0.5
     assert f["shouted_words"] == 1 / 5 and f["obfuscated"] == 1 / 5 and f["obfuscated_hits"] > 0 and f["exclamations"] == 3 / 5
     assert X.features(None, {}) == X.features("", {}) == [0.0] * len(X.FEATURES)
+
+
+def test_query_on_held_out_labels(spark):
+    from outlay.llm import queries as Q
+
+    at = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    held = [(truth[r.doc_id], r.score, r.predicted) for r in Q.queries()["op2_toxicity"](spark, at).collect() if r.held_out and r.doc_id in truth]
+    bad, good = ([s for y, s, _ in held if y == k] for k in (1, 0))
+    auc = sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+    hits = sum(p for y, _, p in held if y)
+    f1 = 2 * hits / (sum(p for *_, p in held) + len(bad))
+    print(f"op2_toxicity held out: {len(held)} rows, {len(bad)} toxic, AUC {auc:.4f}, F1 {f1:.4f}")
+    assert auc >= 0.9 and f1 >= 0.8
