@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from outlay.llm.common import stored
 
@@ -49,6 +50,8 @@ TOGETHER = 1 << 15
 CLASSES, WINDOW = (1, 2, 3, 4, 5, 7, 10, 14), 24
 #: Words are dealt into so many bins, to tell at a glance which places can't be in a bucket.
 BINS = 4096
+#: Bytes of an index for each window of an item: a key and its owner, for each of a repetition's keys, with more repetitions than a class has been seen to need.
+WINDOW_BYTES = 16 * KEYS * 16
 #: Changed items of a class on which repetitions are tried.
 TRIED = 640
 
@@ -415,6 +418,18 @@ class _Shared:
         return _opened(self.broadcast)
 
 
+def _counted(texts: pa.Array) -> pa.Array:
+    """Windows of each item in its class."""
+    out = []
+    for text in texts.to_pylist():
+        words = len(_WORD.findall(text.lower()))
+        out.append(len(_offsets(words, min(WINDOW, max(c for c in CLASSES if c <= words)))) if words else 0)
+    return pa.array(out, pa.int64())
+
+
+_windows = F.arrow_udf(_counted, LongType())
+
+
 def _built(rate: float, recall: float, seed: int):
     def run(rows: pa.Table) -> pa.Table:
         items = sorted(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
@@ -423,14 +438,19 @@ def _built(rate: float, recall: float, seed: int):
     return run
 
 
-def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, block_bytes: int, seed: int) -> Iterator[tuple[_Shared, bool]]:
-    """Broadcast indexes of the items, each of at most ``block_bytes`` of text or so, and whether it is the last. One is alive at a time.
+def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, index_bytes: int, seed: int) -> Iterator[tuple[_Shared, bool]]:
+    """Broadcast indexes of the items, each of at most ``index_bytes`` or so, and whether it is the last. One is alive at a time.
 
-    They are built in tasks; the driver reads one block at a time and hands it on.
+    Items are dealt into blocks by what their windows need in an index, known before it is built; besides, each class of sizes has
+    its bins once, about 160 kB a repetition. Blocks are built in tasks; the
+    driver reads one at a time and hands it on.
     """
     clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) * 2 // block_bytes))
+    clean = stored(spark, clean.withColumn("windows", _windows("text")), "items")
+    needed = (clean.agg(F.sum("windows")).first()[0] or 0) * WINDOW_BYTES
+    # a fourth less than there is room for, as blocks aren't quite equal
+    blocks = 1 if needed <= index_bytes else -(-int(needed) * 4 // (3 * index_bytes))
+    clean = clean.drop("windows")
     clean = clean.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
     built = stored(spark, clean.groupBy("block").applyInArrow(_built(rate, recall, seed), "block int, packed binary"), "index")
     numbers = sorted(r.block for r in built.select("block").collect())
@@ -451,7 +471,7 @@ def matches(
     item_text_col: str = "text",
     rate: float = 0.2,
     recall: float = 0.99,
-    block_bytes: int = 16 << 20,
+    index_bytes: int = 128 << 20,
     seed: int = 11,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: ``doc_id``, ``item_id``, ``edits``, ``item_words``, the place in words and in characters.
@@ -461,8 +481,8 @@ def matches(
     document if some part of it is within int(``rate`` * words) word edits of the item;
     of several places the one with the fewest edits, then the first, is returned. A place is found
     with a probability of ``recall`` at the most edits, higher with fewer, always with none.
-    Items go to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents
-    for each block, so that what is broadcast is bounded however large the benchmark is. Null or
+    Items go to the tasks in blocks whose index has at most ``index_bytes`` or so (about 60,000 windows of items), one pass over the documents
+    for each block, so that what is broadcast, and opened in each worker, is bounded however large the benchmark is. Null or
     empty texts and items match nothing; items without an id are looked for like others, with a null ``item_id``. Repeated rows: documents with the same id give one row per
     place; repeated items count once. Character places refer to the lower-cased text. Other columns play no part.
     """
@@ -470,7 +490,7 @@ def matches(
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, edits int, item_words int, first_word int, end_word int, first_char int, end_char int"
     out = None
-    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
+    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, index_bytes, seed):
         found = texts.mapInArrow(_scan(shared), schema)
         found = found if last else stored(spark, found, "found")
         out = found if out is None else out.unionByName(found)
@@ -486,14 +506,14 @@ def clean(
     item_text_col: str = "text",
     rate: float = 0.2,
     recall: float = 0.99,
-    block_bytes: int = 16 << 20,
+    index_bytes: int = 128 << 20,
     seed: int = 11,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item (see ``matches``), all columns as they are; no row is moved. Null texts stay.
 
     Between blocks of a large benchmark the rows that are left are written down.
     """
-    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, block_bytes, seed):
+    for shared, last in _blocks(spark, items, item_id_col, item_text_col, rate, recall, index_bytes, seed):
         docs = docs.where(~_holds(shared)(F.coalesce(docs[text_col], F.lit(""))))
         docs = docs if last else stored(spark, docs, "left")
     return docs

@@ -62,9 +62,9 @@ def test_blocks_of_items_give_the_same(spark):
     docs = spark.createDataFrame(documents(random.Random(4), 60), "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     one = {tuple(r) for r in D.matches(spark, docs, items).collect()}
-    many = {tuple(r) for r in D.matches(spark, docs, items, block_bytes=64).collect()}
+    many = {tuple(r) for r in D.matches(spark, docs, items, index_bytes=3 * D.WINDOW_BYTES).collect()}
     assert {r[:3] for r in one if r[2] == 0} == {r[:3] for r in many if r[2] == 0}
-    assert D.clean(spark, docs, items, block_bytes=64).count() == 60 - len({r[0] for r in many})
+    assert D.clean(spark, docs, items, index_bytes=3 * D.WINDOW_BYTES).count() == 60 - len({r[0] for r in many})
 
 
 def test_clean_keeps_all_columns_and_clean_rows(spark):
@@ -163,3 +163,23 @@ def test_edit_span():
     assert D.edit_span(np.array([1, 2, 3]), np.array([9, 1, 2, 3, 9])) == (0, 1, 4)
     assert D.edit_span(np.array([1, 2, 3]), np.array([9, 1, 3, 9]))[0] == 1
     assert D.edit_span(np.array([1]), np.array([], dtype=np.int64))[0] == 1
+
+
+def test_blocks_are_bounded_by_the_bytes_of_their_index(spark):
+    """What is broadcast of each of several real blocks is no larger than asked for, though the text is far smaller."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([5, 5, 12, 30, 90])))) for i in range(1500)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    most = 2 << 20
+    sizes, seen = [], []
+    for shared, _ in D._blocks(spark, items, "item_id", "text", 0.2, 0.99, most, 11):
+        index = D.pickle.loads(shared.broadcast.value)
+        keys = sum(x.nbytes for p in index.parts for per in (p.keys, p.owners) for each in per for x in each)
+        once = sum(x.nbytes for p in index.parts for r in p.may for k in r for x in k)
+        assert len(shared.broadcast.value) <= 1.2 * (keys + once) + (1 << 20)
+        sizes.append(keys)
+        seen += index.item_ids
+    text = sum(len(t) for _, t in rows)
+    assert len(sizes) > 1 and max(sizes) <= 1.2 * most and sum(sizes) > 5 * text
+    assert sorted(seen) == list(range(1500))
