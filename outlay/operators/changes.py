@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlay.config import DEFAULT, Settings
+from outlay.functions import text
 from outlay.operators.categorise import with_status
 from outlay.operators.joins import look_up
 
@@ -50,6 +51,13 @@ def override_match(log: DataFrame, df: DataFrame, raw_supplier_name: str, suppli
     return log, df.withColumns({"canonical_supplier_id": put("canonical_supplier_id", supplier_id), "canonical_supplier_name": put("canonical_supplier_name", supplier_name), "canonical_supplier_confidence": put("canonical_supplier_confidence", 1.0)})
 
 
+def with_supplier(master: DataFrame, supplier_id: str, supplier_name: str) -> DataFrame:
+    """The master with a supplier that a reviewer named, unless its id is there."""
+    row = {"canonical_supplier_id": F.lit(supplier_id), "canonical_name": F.lit(supplier_name), "normalised_name": text.normalise_name(F.lit(supplier_name))}
+    new = master.sparkSession.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in master.schema.fields])
+    return master.unionByName(new.join(master.select("canonical_supplier_id"), "canonical_supplier_id", "left_anti").select(*master.columns))
+
+
 def add_overrides(overrides: DataFrame, more: DataFrame) -> DataFrame:
     """Appends decisions that name a supplier or a ledger code; others are left out."""
     return overrides.unionByName(more.where("canonical_supplier_id is not null or gl_account is not null"))

@@ -111,6 +111,11 @@ def latest(df: DataFrame, column: str, limit: int, *ties: str) -> DataFrame:
     return df.orderBy(F.col(column).desc_nulls_last(), *ties).limit(limit)
 
 
+def oldest(df: DataFrame, column: str, limit: int, *ties: str) -> DataFrame:
+    """The oldest rows first, those without a time last."""
+    return df.orderBy(F.col(column).asc_nulls_last(), *ties).limit(limit)
+
+
 #: What a page shows of each row that a check complains about, besides what the check looks at.
 SHOWN = ("transaction_id", "invoice_number", "raw_supplier_name", "base_amount")
 

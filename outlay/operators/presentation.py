@@ -169,6 +169,13 @@ def trend(df: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(F.date_format("invoice_date", "yyyy-MM").alias("invoice_month")).agg(numbers.total(F.col("base_amount")).alias("total_spend"))
 
 
+def breakdown(df: DataFrame, key: str, chosen: tuple[str, ...], by: str, limit: int | None = None) -> DataFrame:
+    """Spend of the chosen groups by another column, the largest first, with its ``rank``; nulls are left out after grouping. ``limit`` keeps the first."""
+    rows = addressable(df).where(F.col(key).isin(*chosen)).groupBy(by).agg(numbers.total(F.col("base_amount")).alias("total_spend")).where(F.col(by).isNotNull())
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_spend"), by)))
+    return ranked.where(F.col("rank") <= limit) if limit else ranked
+
+
 def supplier_options(df: DataFrame) -> DataFrame:
     """Labels of suppliers with their spend, the largest first."""
     rows = addressable(df).where("canonical_supplier_name is not null").groupBy("canonical_supplier_name").agg(numbers.total(F.col("base_amount")).alias("total_spend"))
@@ -178,8 +185,3 @@ def supplier_options(df: DataFrame) -> DataFrame:
 def freshness(df: DataFrame) -> DataFrame:
     """The latest arrival, as a date in words."""
     return df.agg(F.date_format(F.max("ingested_at"), "d MMMM yyyy").alias("data_freshness"))
-
-
-def shares(rows: DataFrame, value: str) -> DataFrame:
-    """Adds each row's share of the sum of a small table."""
-    return rows.withColumn("share", F.round(numbers.ratio(F.col(value), F.sum(value).over(Window.partitionBy())), 4))

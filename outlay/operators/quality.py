@@ -107,6 +107,13 @@ def score_of(checks: DataFrame) -> DataFrame:
     return checks.agg(F.round(F.avg(points), 1).alias("data_quality_score"))
 
 
+def stored_score(checks: DataFrame) -> DataFrame:
+    """One row: the score of checks as they were stored, a whole number, ties to the even one; 0 without checks, other states count 0."""
+    state = F.col("status")
+    points = F.when(state.isin("GREEN", "INFO"), 100).when(state.isin("AMBER", "WARN"), 50).otherwise(0)
+    return checks.agg(F.coalesce(numbers.half_even(F.avg(points), 0), F.lit(0.0)).cast("int").alias("score"))
+
+
 def by_severity(checks: DataFrame) -> DataFrame:
     rank = F.when(F.col("status").isin("RED", "ALERT"), 0).when(F.col("status").isin("AMBER", "WARN"), 1).otherwise(2)
     return checks.orderBy(rank, "check")

@@ -109,6 +109,28 @@ best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, can
 SELECT name AS normalised_name, candidate AS fuzzy_id, round(score, 6) AS score, CASE WHEN score * 100 >= {_AUTO} THEN 'FUZZY_AUTO' WHEN score * 100 >= {_REVIEW} THEN 'FUZZY_REVIEW' ELSE 'FUZZY_REJECT' END AS method FROM best WHERE i = 1""")
 
 
+def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; a word and a type that a part has both are corroborated by its size."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("normalised_name")).distinct()
+    master = part.select(F.lower("p_type").alias("normalised_name")).distinct().withColumn("canonical_supplier_id", F.col("normalised_name"))
+    size = F.col("p_size")
+    points = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("normalised_name"), F.lower("p_type").alias("canonical_supplier_id"), suppliers.corroboration(size % 2 == 0, size % 3 == 0, size % 5 == 0).alias("boost"))
+    found = suppliers.match_fuzzy(names, master, boosts=points, settings=_EASY)
+    return found.select("normalised_name", "fuzzy_id", F.round("fuzzy_score", 6).alias("score"), F.col("fuzzy.method").alias("method"), F.round("fuzzy.confidence", 6).alias("confidence"))
+
+
+#: Thresholds that these short words come near.
+_EASY = DEFAULT.overlaid({"fuzzy_auto": 75.0, "fuzzy_review": 60.0})
+_POINTS = f"CASE WHEN p_size % 2 = 0 THEN {DEFAULT.same_city} ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN {DEFAULT.same_postcode} ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN {DEFAULT.same_abn} ELSE 0 END"
+book.add("fuzzy_boosted", boosted, f"""
+WITH w AS (SELECT unnest(string_split(lower(p_name), ' ')) AS name, lower(p_type) AS candidate, {_POINTS} AS boost FROM part), n AS (SELECT DISTINCT name FROM w), k AS (SELECT DISTINCT candidate FROM w), pairs AS (SELECT name, candidate FROM n, k), {scored('pairs')},
+best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS i FROM scored), b AS (SELECT name, candidate, max(boost) AS boost FROM w GROUP BY 1, 2),
+p AS (SELECT best.name, best.candidate, score, score * 100 + coalesce(boost, 0) AS points FROM best LEFT JOIN b ON b.name = best.name AND b.candidate = best.candidate WHERE i = 1)
+SELECT name AS normalised_name, candidate AS fuzzy_id, round(score, 6) AS score, CASE WHEN points >= {_EASY.fuzzy_auto} THEN 'FUZZY_AUTO' WHEN points >= {_EASY.fuzzy_review} THEN 'FUZZY_REVIEW' ELSE 'FUZZY_REJECT' END AS method,
+  round(CASE WHEN points >= {_EASY.fuzzy_auto} THEN score * 0.95::DOUBLE WHEN points >= {_EASY.fuzzy_review} THEN score * 0.85::DOUBLE ELSE score END, 6) AS confidence FROM p""")
+
+
 def nearest(top: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
@@ -10,7 +10,7 @@ from outlay.functions import numbers, text
 from outlay.operators import categorise, changes, cube, filters, presentation, quality, recommend, runs, segments, suppliers
 from outlay.plans import insight, operate, resolve, spend
 from outlay.plans.book import Book
-from outlay.sources import files, synthetic
+from outlay.sources import files, parted, synthetic
 from outlay.sources.scratch import new_folder, stored
 from outlay.sources.warehouse import EXPORT_SQL, TRANSACTIONS_SQL, export, transactions
 
@@ -222,3 +222,40 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 book.add("end_to_end", end_to_end, f"""
 WITH {TRANSACTIONS_SQL}, {EXPORT_SQL}, w(i, l1, l2, c) AS (VALUES {resolve._RULES}), e AS (SELECT DISTINCT * FROM x), r AS (SELECT VENDOR_NAME, {resolve._WORDS} AS i FROM (SELECT VENDOR_NAME, lower(LINE_DESC || ' ' || LINE_DESC) AS d FROM e))
 SELECT l1 AS category_l1, l2 AS category_l2, count(*) AS facts, count(DISTINCT nullif(VENDOR_NAME, '')) AS suppliers, count(*) AS in_cube FROM r JOIN w USING (i) GROUP BY 1, 2""")
+
+
+# what pages show of a selection, in order
+_PROMO = "category_l1 = 'PROMO'"
+_NUMBER = "row_number() OVER (ORDER BY total_spend DESC, {by})::INT AS rank"
+_add("category_suppliers", ("category_l1", "canonical_supplier_name", *SPEND), lambda df: presentation.breakdown(df, "category_l1", ("PROMO",), "canonical_supplier_name", 10), f"""
+, g AS (SELECT canonical_supplier_name, {spend._SUM} AS total_spend FROM a WHERE {_PROMO} GROUP BY 1), r AS (SELECT *, {_NUMBER.format(by="canonical_supplier_name")} FROM g WHERE canonical_supplier_name IS NOT NULL) SELECT * FROM r WHERE rank <= 10""")
+_add("supplier_units", ("canonical_supplier_name", "business_unit", *SPEND), lambda df: presentation.breakdown(df, "canonical_supplier_name", ("Supplier#000000001", "Supplier#000000002"), "business_unit"), f"""
+, g AS (SELECT business_unit, {spend._SUM} AS total_spend FROM a WHERE canonical_supplier_name IN ('Supplier#000000001', 'Supplier#000000002') GROUP BY 1) SELECT *, {_NUMBER.format(by="business_unit")} FROM g WHERE business_unit IS NOT NULL""")
+
+
+def _ordered(df: DataFrame, *order) -> DataFrame:
+    """A short result with its place in the order it should have."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+_add("oldest_rows", ("transaction_id", "ingested_at", "payment_terms_days"), lambda df: _ordered(filters.oldest(df.select("transaction_id", F.when(F.col("payment_terms_days") != 30, F.col("ingested_at")).alias("ingested_at")), "ingested_at", 25, "transaction_id"), F.monotonically_increasing_id()), """
+, o AS (SELECT transaction_id, CASE WHEN payment_terms_days <> 30 THEN ingested_at END AS ingested_at FROM t), r AS (SELECT *, row_number() OVER (ORDER BY ingested_at NULLS LAST, transaction_id)::INT AS place FROM o) SELECT * FROM r WHERE place <= 25""")
+book.add("review_queue_page", lambda spark, sf_dir: _ordered(suppliers.review_queue(_log(spark, sf_dir), _master(spark, sf_dir), transactions(spark, sf_dir, "raw_supplier_name", "base_amount")).select("raw_supplier_name", "confidence", "spend").limit(20), F.monotonically_increasing_id()), f"""
+WITH {TRANSACTIONS_SQL}, {_LOG_SQL}, v AS (SELECT raw_supplier_name, sum(base_amount)::DOUBLE AS spend FROM t GROUP BY 1), q AS (SELECT l.raw_supplier_name, confidence, coalesce(spend, 0.0) AS spend FROM l LEFT JOIN v ON v.raw_supplier_name = l.raw_supplier_name WHERE review_status = 'PENDING'),
+r AS (SELECT *, row_number() OVER (ORDER BY confidence, spend DESC, raw_supplier_name)::INT AS place FROM q) SELECT * FROM r WHERE place <= 20""")
+_add("stored_score", spend._CHECKED, lambda df: quality.stored_score(quality.diagnose(df)), f"{spend._BY_WORDS} SELECT round_even(avg(CASE WHEN status IN ('GREEN', 'INFO') THEN 100 WHEN status IN ('AMBER', 'WARN') THEN 50 ELSE 0 END), 0)::INT AS score FROM d")
+_add("first_names", ("transaction_id", "raw_supplier_name", "raw_supplier_id"), lambda df: suppliers.distinct_names(df.withColumn("raw_supplier_id", F.concat("raw_supplier_id", F.lit("/"), "transaction_id")), "transaction_id").select("raw_supplier_name", "raw_supplier_id", "seen", "group_size"), " SELECT raw_supplier_name, arg_min(raw_supplier_id || '/' || transaction_id, transaction_id) AS raw_supplier_id, min(transaction_id) AS seen, 1::BIGINT AS group_size FROM t WHERE raw_supplier_name IS NOT NULL GROUP BY 1")
+book.add("override_match_master", lambda spark, sf_dir: changes.with_supplier(changes.with_supplier(_master(spark, sf_dir), "c99x", "Other Pty Ltd"), "c1", "Not new").select("canonical_supplier_id", "canonical_name", "normalised_name"), f"WITH {_MASTER_SQL} SELECT canonical_supplier_id, canonical_name, NULL::VARCHAR AS normalised_name FROM m UNION ALL SELECT 'c99x', 'Other Pty Ltd', 'other'")
+
+
+def _stored_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in folders: rows of one tenant with terms of 30 days are processed, then read back."""
+    path, fields = new_folder(spark, "facts"), "transaction_id string, engagement_id string, payment_terms_days int, status string"
+    df = transactions(spark, sf_dir, "transaction_id", "engagement_id", "payment_terms_days").withColumns({"payment_terms_days": F.col("payment_terms_days").cast("int"), "status": F.lit("queued")})
+    parted.create(df, path, fields, "transaction_id")
+    news = parted.read(spark, path, fields, tenants=["E0"]).where("payment_terms_days = 30").select("transaction_id", "engagement_id")
+    parted.change(spark, path, fields, "transaction_id", news, lambda rows, ids: changes.set_status(rows, ids, "transaction_id", "processed"))
+    return _count(parted.read(spark, path, fields), "engagement_id", "status")
+
+
+book.add("stored_change", _stored_change, f"WITH {TRANSACTIONS_SQL} SELECT engagement_id, CASE WHEN engagement_id = 'E0' AND payment_terms_days = 30 THEN 'processed' ELSE 'queued' END AS status, count(*) AS rows FROM t GROUP BY 1, 2")
