@@ -184,9 +184,36 @@ def largest(df: DataFrame, key: str, limit: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("total_spend"), key).limit(limit)
 
 
-def summary(df: DataFrame) -> dict[str, DataFrame]:
-    """All that the summary page shows, over one table."""
-    return {"kpis": overview(df), "by_month": by_month(df), "top_suppliers": largest(df, "canonical_supplier_name"), "by_category": by(df, ["category_l1"]), "by_payment_terms": by_payment_terms(df)}
+def summary(df: DataFrame, settings: Settings = DEFAULT, limit: int = 10) -> dict[str, DataFrame]:
+    """All that the summary page shows, from one pass over addressable rows: ``kpis``, ``by_month``, ``top_suppliers``, ``by_category``, ``by_payment_terms``.
+
+    Rows are added up by five sets of keys; distinct counts are taken from groups that have the counted column among their keys.
+    """
+    rows = with_time(addressable(df)).withColumn("bucket", numbers.terms_bucket_wide(F.col("payment_terms_days")))
+    supplier, category = ("canonical_supplier_id", "canonical_supplier_name"), ("category_l1", "category_l2", "canonical_supplier_id")
+    sets = {"all": (), "month": ("invoice_month",), "supplier": supplier, "category": category, "terms": ("bucket",)}
+    columns = list(dict.fromkeys(k for keys in sets.values() for k in keys))
+    amount = F.col("base_amount").cast("decimal(18,2)")
+    values = {"spend": F.sum(amount), "n": F.count(F.lit(1)), "terms": F.sum(F.col("payment_terms_days").cast("double")), "with_terms": F.count("payment_terms_days"), "latest": F.max("invoice_date"), "maverick": F.sum(F.when(F.col("po_number").isNull(), amount))}
+    grouped = rows.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(c) for c in columns])
+    every = stored(grouped.agg(F.grouping_id(*columns).alias("set_id"), *[v.alias(k) for k, v in values.items()]), "summary", narrow=True)
+    number = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys) for name, keys in sets.items()}
+    of = {name: every.where(F.col("set_id") == k) for name, k in number.items()}
+    line = [numbers.money(F.col("spend")).alias("total_spend"), F.col("n").alias("transaction_count")]
+
+    counts = of["supplier"].agg(F.count_distinct("canonical_supplier_id").alias("supplier_count")).join(F.broadcast(of["category"].agg(F.count_distinct("category_l1").alias("category_count"))))
+    kpis = of["all"].agg(numbers.money(F.sum("spend")).alias("total_spend"), F.coalesce(F.sum("n"), F.lit(0)).alias("invoice_count"), F.max("latest").alias("data_freshness"), F.sum("maverick").alias("maverick"))
+    kpis = kpis.join(F.broadcast(counts)).withColumn("maverick_spend_pct", numbers.half_even(numbers.ratio(F.col("maverick"), F.col("total_spend")), 4)).drop("maverick")
+    months = of["month"].where("invoice_month is not null").select("invoice_month", *line)
+    last = Window.orderBy("invoice_month").rowsBetween(-2, 0)  # one row a month
+    months = months.withColumn("rolling_3m", F.when(F.count(F.lit(1)).over(last) == 3, numbers.half_even(F.avg("total_spend").over(last), 2)))
+    top = of["supplier"].select(*supplier, *line, F.try_divide("terms", "with_terms").alias("avg_payment_days")).orderBy(F.desc("total_spend"), *[F.col(k).asc_nulls_first() for k in supplier]).limit(limit)
+    categories = of["category"].where("category_l1 is not null").groupBy("category_l1", "category_l2").agg(numbers.money(F.sum("spend")).alias("total_spend"), F.sum("n").alias("transaction_count"), F.count_distinct("canonical_supplier_id").alias("supplier_count"))
+    terms = of["terms"].where("bucket is not null").select("bucket", *line)
+    gap = (settings.target_payment_days - numbers.bucket_midpoint(F.col("bucket"))) / 365.0
+    share = numbers.ratio(F.col("total_spend"), F.sum("total_spend").over(Window.partitionBy()))  # four rows
+    terms = terms.withColumns({"spend_pct": numbers.half_even(share, 4), "wc_opportunity": numbers.half_even(F.greatest(F.lit(0.0), gap * F.col("total_spend") * settings.wacc), 2)})
+    return {"kpis": kpis, "by_month": months, "top_suppliers": top, "by_category": categories, "by_payment_terms": terms}
 
 
 def batch_status(landing: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from outlay.config import DEFAULT
 from outlay.operators import cube, filters, kpis, quality, segments
 from outlay.plans.book import Book
 from outlay.sources.warehouse import TRANSACTIONS_SQL, transactions
@@ -152,3 +153,17 @@ _add("kpi_row", tuple(dict.fromkeys((*_KPI, *_CHECKED))), kpis.kpis, f"""{_BY_WO
 SELECT * FROM ({_FIGURES}), ({_TAIL_KPI}), (SELECT round(sum((total_spend / everything) * (total_spend / everything)) * 10000, 2) AS hhi, round((sum(total_spend::DECIMAL(18,2)) FILTER (rank <= 10))::DOUBLE / max(everything), 4) AS top_10_supplier_pct, least(count(*) FILTER (until / everything < 0.8) + 1, count(*)) AS pareto_80_supplier_count FROM r), ({_WC}), ({_KPI_SCORE})""")
 _add("duplicate_rows", ("transaction_id", "invoice_number", "base_amount"), lambda df: quality.occurrences(df).where("occurrences > 1").select("transaction_id", "occurrences"), " SELECT transaction_id, n AS occurrences FROM (SELECT transaction_id, count(*) OVER (PARTITION BY invoice_number, base_amount) AS n FROM t WHERE invoice_number IS NOT NULL AND base_amount IS NOT NULL) WHERE n > 1")
 _add("problem_rows_duplicates", ("transaction_id", "invoice_number", "base_amount"), lambda df: filters.problem_rows(df, "duplicate_invoice_risk").select("transaction_id", "occurrences"), " SELECT transaction_id, n AS occurrences FROM (SELECT transaction_id, count(*) OVER (PARTITION BY invoice_number, base_amount) AS n FROM t WHERE invoice_number IS NOT NULL AND base_amount IS NOT NULL) WHERE n > 1")
+
+
+# the summary page, all from one pass
+_SUMMED = ("canonical_supplier_id", "canonical_supplier_name", "category_l1", "category_l2", "invoice_date", "po_number", "payment_terms_days", *SPEND)
+_WIDE = "CASE WHEN payment_terms_days <= 30 THEN '0-30' WHEN payment_terms_days <= 60 THEN '31-60' WHEN payment_terms_days <= 90 THEN '61-90' ELSE '90+' END"
+for _frame, _sql in {
+    "kpis": f" SELECT {_SUM} AS total_spend, count(*) AS invoice_count, max(invoice_date) AS data_freshness, count(DISTINCT canonical_supplier_id) AS supplier_count, count(DISTINCT category_l1) AS category_count, round_even(sum(CASE WHEN po_number IS NULL THEN base_amount ELSE 0 END)::DOUBLE / sum(base_amount)::DOUBLE, 4) AS maverick_spend_pct FROM a",
+    "by_month": f", m AS ({_MONTHS}) SELECT *, CASE WHEN count(*) OVER w = 3 THEN round_even(avg(total_spend) OVER w, 2) END AS rolling_3m FROM m WINDOW w AS (ORDER BY invoice_month ROWS 2 PRECEDING)",
+    "top_suppliers": f" SELECT canonical_supplier_id, canonical_supplier_name, {_LINE}, avg(payment_terms_days) AS avg_payment_days FROM a GROUP BY 1, 2 ORDER BY total_spend DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 10",
+    "by_category": f" SELECT category_l1, category_l2, {_LINE}, count(DISTINCT canonical_supplier_id) AS supplier_count FROM a WHERE category_l1 IS NOT NULL GROUP BY 1, 2",
+    "by_payment_terms": f""", b AS (SELECT {_WIDE} AS bucket, {_LINE} FROM a WHERE payment_terms_days IS NOT NULL GROUP BY 1)
+SELECT *, round_even(total_spend / sum(total_spend) OVER (), 4) AS spend_pct, round_even(greatest(0, ({DEFAULT.target_payment_days} - CASE bucket WHEN '0-30' THEN 15 WHEN '31-60' THEN 46 WHEN '61-90' THEN 76 ELSE 120 END) / 365.0::DOUBLE * total_spend * {DEFAULT.wacc}::DOUBLE), 2) AS wc_opportunity FROM b""",
+}.items():
+    _add(f"summary_{_frame}", _SUMMED, lambda df, frame=_frame: cube.summary(df)[frame], _sql)

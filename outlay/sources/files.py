@@ -46,11 +46,6 @@ def write_json(df: DataFrame, path: str) -> None:
     for_output(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def sheet_names(names: list[str]) -> dict[str, str]:
-    """Names of sheets, of at most 31 characters."""
-    return {n: n[:31] for n in names}
-
-
 def table_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
     out = None

@@ -81,6 +81,9 @@ def test_the_cube_is_one_pass(spark, plans, monkeypatch):
         want = cube.view(cube._timed(df), *keys)
         assert sorted(map(repr, views[name].collect())) == sorted(map(repr, want.select(*views[name].columns).collect()))
     plans.clear()
+    frames = cube.summary(df)
+    assert scans([*plans, *map(plan_of, frames.values())]) == 1
+    plans.clear()
     tables = runs.build(df)
     assert scans([*plans, *map(plan_of, tables.values())]) <= 8
 
