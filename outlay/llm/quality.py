@@ -3,7 +3,7 @@
 One dictionary is trained on pieces of texts labelled good, one on pieces of texts labelled bad. A whole text is cut
 into pieces, each piece is compressed with either dictionary, and the two sizes, summed over all pieces, give one number:
 ``(bad - good) / (bad + good)``. It is above zero where the good dictionary explains the text better. Isotonic
-regression on labelled rows that trained no dictionary makes it a probability.
+regression on labelled rows that trained no dictionary, as a line through the middle of its steps, makes it a probability.
 
 Pieces are short, so that what a piece saves comes from the dictionary and not from its own repetitions.
 """
@@ -24,6 +24,8 @@ from outlay.llm.common import fresh, stored
 
 #: Bytes of a piece, and the level of compression.
 PIECE, LEVEL = 256, 3
+#: How far the calibration's lowest and highest steps stay from 0 and 1.
+ENDS = 0.005
 
 
 @dataclass(frozen=True)
@@ -44,11 +46,10 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 class Sizes:
-    """Compressed sizes under the two dictionaries, without what a frame takes for itself."""
+    """Compressed sizes under the two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.each = [self._compressor(d) for d in (good, bad)]
-        self.frame = [len(c.compress(b"")) for c in self.each]
 
     @staticmethod
     def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -59,7 +60,7 @@ class Sizes:
     def difference(self, text: str | None) -> float:
         """From -1 (bad) to 1 (good); 0 for a text without bytes."""
         parts = pieces(text)
-        good, bad = (sum(len(c.compress(p)) for p in parts) - f * len(parts) for c, f in zip(self.each, self.frame, strict=True))
+        good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.each)
         return (bad - good) / (bad + good) if bad + good > 0 else 0.0
 
 
@@ -140,7 +141,17 @@ def fit(
     if not count.get((True, 0.0)) or not count.get((True, 1.0)):  # nothing to calibrate with: a straight line
         return Model(good, bad, [-1.0, 1.0], [0.0, 1.0])
     line = IsotonicRegression(labelCol="label", featuresCol="raw").fit(stored(spark, held, "held"))
-    return Model(good, bad, [float(x) for x in line.boundaries], [float(x) for x in line.predictions])
+    return Model(good, bad, *_rising([float(x) for x in line.boundaries], [float(x) for x in line.predictions]))
+
+
+def _rising(boundaries: list[float], predictions: list[float]) -> tuple[list[float], list[float]]:
+    """The calibration as a line that rises everywhere: through the middle of each step, from 0 at -1 to 1 at 1, so that different differences have different scores."""
+    steps: dict[float, list[float]] = {}
+    for x, y in zip(boundaries, predictions, strict=True):
+        steps.setdefault(ENDS + (1 - 2 * ENDS) * y, []).append(x)
+    middles = [((xs[0] + xs[-1]) / 2, y) for y, xs in steps.items()]
+    points = [(-1.0, 0.0), *[(x, y) for x, y in middles if -1 < x < 1], (1.0, 1.0)]
+    return [x for x, _ in points], [y for _, y in points]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "quality") -> DataFrame:

@@ -54,6 +54,12 @@ def test_pieces_cover_the_whole_text():
     assert sizes.difference("zq" * 2000 + "12345678" * 300) < sizes.difference("zq" * 2000)
 
 
+def test_calibration_rises_everywhere():
+    x, y = X._rising([-0.5, -0.25, 0.0, 0.25, 0.5], [0.0, 0.0, 0.5, 1.0, 1.0])
+    assert (x, y) == ([-1.0, -0.375, 0.0, 0.375, 1.0], [0.0, X.ENDS, 0.5, 1 - X.ENDS, 1.0])
+    assert X._rising([], []) == ([-1.0, 1.0], [0.0, 1.0])
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     none = X.fit(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -77,4 +83,4 @@ def test_query_on_held_out_labels(spark):
     held = [(truth[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in truth]
     a, right, kept = auc([(y, s) for y, s, _ in held]), sum(y == p for y, _, p in held) / len(held), sum(p for y, _, p in held if y) / sum(y for y, *_ in held)
     print(f"op11_quality held out: {len(held)} rows, AUC {a:.4f}, accuracy {right:.4f}, good kept {kept:.4f}")
-    assert len(rows) == spark.read.parquet(f"{at}/documents.parquet").count() and a >= 0.95 and right >= 0.93 and kept >= 0.97
+    assert len(rows) == spark.read.parquet(f"{at}/documents.parquet").count() and a >= 0.97 and right >= 0.95 and kept >= 0.97
