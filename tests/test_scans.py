@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
-from outlay.operators import categorise, changes, cube, joins, kpis, quality, quantiles, recommend, runs, segments
+from outlay.operators import categorise, changes, cube, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
 from outlay.plans import resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
@@ -142,3 +142,12 @@ def test_no_rows_and_no_seeds(spark):
     df = transactions(spark, SF_DIR, "transaction_id", "canonical_supplier_id", "canonical_supplier_name", "gl_account", "raw_line_description").where(F.lit(False))
     none = categorise.categorise(df, spark.createDataFrame([], reference.SEED_SCHEMA), spark.createDataFrame([], schema.OVERRIDE_SCHEMA))
     assert none.count() == 0
+
+
+def test_names_are_normalised_once_a_name(spark):
+    rows = spark.range(200).selectExpr("concat('Acme ', id % 3, case when id % 2 = 0 then ' Pty Ltd' else '' end) AS raw_supplier_name", "concat('V', id % 7) AS raw_supplier_id")
+    master = suppliers.build_master(suppliers.distinct_names(rows))
+    # a condition on the normalised name doesn't come down to the rows
+    assert "Range (" not in master._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.normalised_name for r in master.collect()) == ["acme 0", "acme 1", "acme 2"]
+    assert suppliers.vendor_ids(master).count() == 1
