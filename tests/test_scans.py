@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
-from outlay.operators import categorise, changes, cube, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
+from outlay.operators import categorise, changes, cube, ingest, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
 from outlay.plans import resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
@@ -151,3 +151,17 @@ def test_names_are_normalised_once_a_name(spark):
     assert "Range (" not in master._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.normalised_name for r in master.collect()) == ["acme 0", "acme 1", "acme 2"]
     assert suppliers.vendor_ids(master).count() == 1
+
+
+def test_no_pass_over_the_rows_sorts_texts(spark, plans):
+    df = transactions(spark, SF_DIR)
+    for out in (recommend.cells(df), quality._names(df, False), quality._names(df, True)):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_is_worked_out_by_short_programs(spark):
+    df = transactions(spark, SF_DIR, "transaction_id", "canonical_supplier_id", "canonical_supplier_name", "gl_account", "raw_line_description", "raw_supplier_name", "invoice_number")
+    # a loop over the words and one over the columns, not a step for each of them
+    assert plan_of(categorise.by_keyword(df)).lower().count("contains(") <= 2
+    cleaned = plan_of(ingest.clean(df)).lower()
+    assert cleaned.count("contains(") <= 3 and cleaned.count("regexp_replace(") <= 3
