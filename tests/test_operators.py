@@ -265,3 +265,20 @@ def test_boosts_lift_a_pair_over_a_threshold(spark):
     lifted = {r.normalised_name: r for r in suppliers.match_fuzzy(names, master, boosts=points).collect()}
     assert plain["acmee steel"].fuzzy.method == "FUZZY_REJECT" and lifted["acmee steel"].fuzzy.method != "FUZZY_REJECT"
     assert lifted["acmee steel"].fuzzy_score == plain["acmee steel"].fuzzy_score and lifted["other"].fuzzy.method == "FUZZY_REJECT"
+
+
+def test_names_that_are_all_alike_meet_few_suppliers(spark, monkeypatch):
+    """Numbered names share a word and nearly all letters; few pairs have their words compared, and the best are those of all pairs."""
+    rng = random.Random(12)
+    numbers = rng.sample(range(3000), 500)
+    names, known = [[f"supplier {n:09d}" for n in part] for part in (numbers[:100], numbers[100:])]
+    calls, whole = [0], fuzzy.set_ratio
+    monkeypatch.setattr(fuzzy, "set_ratio", lambda a, b: calls.__setitem__(0, calls[0] + 1) or whole(a, b))
+    fuzzy.best_of(names, known, 0.7)
+    assert calls[0] < 0.1 * len(names) * len(known)
+    monkeypatch.undo()
+    left = spark.createDataFrame([(n,) for n in names[:40]], "normalised_name string")
+    master = spark.createDataFrame([(f"s{i}", k) for i, k in enumerate(known)], "canonical_supplier_id string, normalised_name string")
+    got = {r.normalised_name: (r.fuzzy_score, r.fuzzy_id) for r in suppliers.match_fuzzy(left, master, rejected=False).collect()}
+    want = {n: min((-fuzzy.composite(n, k), k, f"s{i}") for i, k in enumerate(known)) for n in names[:40]}
+    assert got == {n: (-score, i) for n, (score, _, i) in want.items()}
