@@ -165,3 +165,15 @@ def test_a_row_is_worked_out_by_short_programs(spark):
     assert plan_of(categorise.by_keyword(df)).lower().count("contains(") <= 2
     cleaned = plan_of(ingest.clean(df)).lower()
     assert cleaned.count("contains(") <= 3 and cleaned.count("regexp_replace(") <= 3
+
+
+def test_checks_read_the_transactions_twice(spark):
+    df = transactions(spark, SF_DIR)
+    assert all(scans([plan_of(quality.diagnose(df, by_words))]) == 2 for by_words in (True, False))
+
+
+def test_orders_come_before_the_texts_of_suppliers_and_parts(spark):
+    """So that a shuffle by order, where there is one, is without those texts."""
+    plan = plan_of(transactions(spark, SF_DIR, "canonical_supplier_name", "category_l1", "business_unit")).splitlines()
+    depth = {c: next(len(line) - len(line.lstrip(" :+-")) for line in plan if "Relation" in line and f"{c}#" in line) for c in ("o_orderkey", "s_suppkey", "p_partkey")}
+    assert depth["o_orderkey"] > max(depth["s_suppkey"], depth["p_partkey"])
