@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from outlay import reference, schema
 from outlay.operators import categorise, changes, cube, ingest, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
-from outlay.plans import resolve
+from outlay.plans import insight, resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
 
@@ -177,3 +177,9 @@ def test_orders_come_before_the_texts_of_suppliers_and_parts(spark):
     plan = plan_of(transactions(spark, SF_DIR, "canonical_supplier_name", "category_l1", "business_unit")).splitlines()
     depth = {c: next(len(line) - len(line.lstrip(" :+-")) for line in plan if "Relation" in line and f"{c}#" in line) for c in ("o_orderkey", "s_suppkey", "p_partkey")}
     assert depth["o_orderkey"] > max(depth["s_suppkey"], depth["p_partkey"])
+
+
+def test_savings_read_no_orders(spark, plans):
+    df = transactions(spark, SF_DIR, *insight._EVERY)
+    assert sorted(recommend.cells(df).columns) == sorted(recommend.cells(transactions(spark, SF_DIR)).columns)
+    assert "o_orderkey" not in plan_of(recommend.cells(df))
