@@ -12,8 +12,8 @@ words at most), so that one walk serves all its items, and each class has as man
 asked for. Longer items of a class are covered by several such windows, side by side and the last at the
 item's end: of an item's edits some window has no more than its share, wherever they are.
 
-The walks from all places advance together: what n steps move each place on is composed of what
-the first and the last half of them do, without a loop over places.
+The walks from all places of a text advance together, step by step, and add up a short signature of the words that each key
+samples. A bit map of the items' signatures tells at a glance which places may be in a bucket; only their keys are worked out.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from outlay.llm.common import stored
 #: Letters of scripts without spaces between words are words of their own: Thai to Burmese, kana, Han.
 _LETTERS = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_LETTERS}]|[^\W{_LETTERS}]+")
+#: The first 256 characters, none of which is one of those letters, lower-cased, and a space for each that no word has.
+_LATIN = "".join(c.lower() if _WORD.match(c) else " " for c in map(chr, range(256))).encode("latin-1")
 #: Words of a bucket's key, for up to ``FEW`` windows of items in a class and for more: the more there are, the more a key has to tell apart.
 SAMPLED, FEW = (5, 6), 50_000
 #: Keys that are sampled from one walk.
@@ -44,12 +47,14 @@ STRETCH = 1.7
 UNKNOWN, PAD = -1, -2
 #: Words of documents that are handled at once in a task.
 CHUNK = 150_000
-#: Places whose walks advance together: what they need stays in a core's cache.
-TOGETHER = 1 << 15
+#: Places whose walks advance together: fewer cost more calls, more no longer save any.
+TOGETHER = 1 << 16
 #: Sizes in words at which classes of items start, and the most words of a window.
 CLASSES, WINDOW = (1, 2, 3, 4, 5, 7, 10, 14), 24
-#: Words are dealt into so many bins, to tell at a glance which places can't be in a bucket.
-BINS = 4096
+#: A word as a walk meets it: a bit for each step in the lower ``STEPS`` bits (``STRETCH * WINDOW`` are needed), above them its share of a signature.
+STEPS = 40
+#: Bits of a signature, at least and at most, and places of a bit map for each window.
+LEAST, MOST, SPREAD = 16, 22, 16
 #: Bytes of an index for each window of an item: a key and its owner, for each of a repetition's keys, with more repetitions than a class has been seen to need.
 WINDOW_BYTES = 16 * KEYS * 16
 #: Changed items of a class on which repetitions are tried.
@@ -71,7 +76,8 @@ class Part:
     steps: list[list[list[int]]]  # sampled steps of each repetition's keys
     keys: list[list[np.ndarray]]  # sorted keys
     owners: list[list[np.ndarray]]  # the window behind each key
-    may: list[list[list[np.ndarray]]]  # the bins of words that stand at each sampled step of some window
+    bits: int  # of a signature
+    may: list[list[list[np.ndarray]]]  # the bit map of the signatures behind each key
     known: int  # fewest words of the vocabulary around a place that can match
     reach: int  # words from a place on in which they are looked for
 
@@ -84,6 +90,7 @@ class Index:
     items: list[np.ndarray]
     allowed: list[int]
     vocabulary: dict[str, int]
+    latin: dict[bytes, int]  # those of its words that have a byte for each character
     pairs: np.ndarray  # sorted item * words + word, for all words of each item
     parts: list[Part]
     seed: int
@@ -138,26 +145,41 @@ class Walks:
             out[step] = moved
         return out
 
-    def keys(self, steps: list[int], moves: dict[int, np.ndarray], at: np.ndarray, may: list[np.ndarray] | None = None, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The buckets of the places ``at``, and those of them whose words are all known.
-
-        ``may``: for each sampled word the bins that some window has there; a place with another is dropped at once.
-        """
-        for n, step in enumerate(steps if may else []):
-            at = at[may[n][bins[at + moves[step][at]]]]
-        key, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
-        for n, step in enumerate(steps):
-            word = self.stream[np.minimum(at + moves[step][at], len(self.stream) - 1)]
-            known &= word >= 0
-            key = key * np.uint64(0xD6E8FEB86659FD93) + word.astype(np.uint64) + np.uint64(n + 1)
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
+    def sampled(self, steps: list[int], moves: dict[int, np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+        """The words that a key of the places ``at`` is made of."""
+        return [self.stream[np.minimum(at + moves[step][at], len(self.stream) - 1)] for step in steps]
+
+    def keys(self, steps: list[int], moves: dict[int, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the places ``at``, and those of them whose words are all known."""
+        key, known = _key(self.sampled(steps, moves, at))
         return key[known], at[known]
 
 
-def _bins(words: np.ndarray) -> np.ndarray:
-    """The bin of each word; those that no item has are apart."""
-    return np.where(words >= 0, (_mix(words, 5) & np.uint64(BINS - 1)).astype(np.int64), BINS)
+def _key(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sampled words, and where all of them are known."""
+    key, known = np.zeros(len(words[0]), np.uint64), np.ones(len(words[0]), bool)
+    for n, word in enumerate(words):
+        known &= word >= 0
+        key = key * np.uint64(0xD6E8FEB86659FD93) + word.astype(np.uint64) + np.uint64(n + 1)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(31)), known
+
+
+def _met(words: int, seed: int, repetition: int) -> np.ndarray:
+    """Each word as the walks of a repetition meet it (see ``STEPS``), with the random bits of ``Walks``; unknown words and padding at the end."""
+    every = np.arange(words + 2)
+    out = _mix(every, 5) >> np.uint64(STEPS) << np.uint64(STEPS)
+    for n in range(STEPS // 8):
+        bits = _mix(every, seed * 1_000_003 + repetition * 8191 + n) & np.uint64(255)
+        bits[words] = 0  # padding stays where it is
+        out |= bits << np.uint64(8 * n)
+    return out.view(np.int64)
+
+
+def _bit_map(signatures: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(1 << bits, bool)
+    out[signatures & ((1 << bits) - 1)] = True
+    return np.packbits(out, bitorder="little")
 
 
 def _steps(size: int, sampled: int, repetition: int, seed: int) -> list[list[int]]:
@@ -252,6 +274,8 @@ def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed:
         begin = dict(zip(members, starts.tolist(), strict=True))
         starts = np.array([begin[i] + o for i, o in windows])
         walks, steps, keys, owners, may = Walks(stream, n_words, seed), [], [], [], []
+        bits = min(MOST, max(LEAST, int(SPREAD * len(windows) - 1).bit_length()))
+        shares = (_mix(np.arange(n_words + 2), 5) >> np.uint64(STEPS)).astype(np.int64)
         for r in range(repetitions):
             walks.start(r)
             steps.append(_steps(size, sampled, r, seed))
@@ -260,21 +284,18 @@ def build(items: list[tuple[int | None, str]], rate: float, recall: float, seed:
             may.append([])
             moves = walks.moves(steps[-1])
             for sample in steps[-1]:
-                may[-1].append([])
-                for step in sample:
-                    may[-1][-1].append(np.zeros(BINS + 1, bool))
-                    may[-1][-1][-1][_bins(stream[np.minimum(starts + moves[step][starts], len(stream) - 1)])] = True
-                    may[-1][-1][-1][BINS] = False
                 number = np.argsort(starts, kind="stable")
                 key, at = walks.keys(sample, moves, starts)
+                may[-1].append([_bit_map(sum(shares[w] for w in walks.sampled(sample, moves, at)), bits)])
                 # a place may start windows of one item only, so that it tells the window
                 order = np.argsort(key, kind="stable")
                 keys[-1].append(key[order])
                 owners[-1].append(number[np.searchsorted(starts[number], at[order])])
         edits = edits_allowed(size, rate) + 1  # a window's share, and one for windows that overlap
-        parts.append(Part(size, np.array([i for i, _ in windows]), np.array([o for _, o in windows]), repetitions, steps, keys, owners, may, size - edits, size + edits))
+        parts.append(Part(size, np.array([i for i, _ in windows]), np.array([o for _, o in windows]), repetitions, steps, keys, owners, bits, may, size - edits, size + edits))
     pairs = np.unique(np.concatenate([i * n_words + s for i, s in enumerate(sequences)])) if sequences else np.empty(0, np.int64)
-    return Index(ids, sequences, [edits_allowed(len(s), rate) for s in sequences], vocabulary, pairs, parts, seed)
+    latin = {w.encode("latin-1"): n for w, n in vocabulary.items() if max(w) < "\u0100"}
+    return Index(ids, sequences, [edits_allowed(len(s), rate) for s in sequences], vocabulary, latin, pairs, parts, seed)
 
 
 def edit_span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -318,23 +339,49 @@ def _retrieved(index: Index, part: Part, stream: np.ndarray, known: np.ndarray)
     where = np.flatnonzero(np.cumsum(edge[:n]) > 0)
     shorter, own = stream[where], possible[where]
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    kind = np.uint16 if part.bits <= 16 else np.uint32
+    met = [_met(max(1, len(index.vocabulary)), index.seed, r) for r in range(part.repetitions)]
     for first in range(0, len(where), TOGETHER):
         piece = shorter[first : first + TOGETHER + reads]
-        walks, bins = Walks(piece, max(1, len(index.vocabulary)), index.seed), np.append(_bins(piece), np.full(reads, BINS))
         counted = np.flatnonzero(own[first : first + TOGETHER])
         for r in range(part.repetitions):
-            walks.start(r)
-            moves = walks.moves(part.steps[r])
-            for n, sample in enumerate(part.steps[r]):
-                key, at = walks.keys(sample, moves, counted, part.may[r][n], bins)
-                if len(at):
-                    found.append(_in_buckets(part, r, n, key, where[first + at]))
+            places, signatures = _walked(met[r][piece], counted, part.steps[r], kind)
+            for n, (sample, signature) in enumerate(zip(part.steps[r], signatures, strict=True)):
+                at = _possible(signature, part.may[r][n][0], part.bits)
+                key, known = _key([piece.take(places[step][at], mode="clip") for step in sample])
+                if known.any():
+                    found.append(_in_buckets(part, r, n, key[known], where[first + counted[at[known]]]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     items, places = zip(*found, strict=True)
     return np.concatenate(items), np.concatenate(places)
 
 
+def _walked(met: np.ndarray, at: np.ndarray, samples: list[list[int]], kind: type) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
+    """The places that the walks from ``at`` have come to at each sampled step, and the signature of each key."""
+    places, signatures = {}, [np.zeros(len(at), kind) for _ in samples]
+    for step in range(max(x for s in samples for x in s) + 1):
+        word = met.take(at, mode="clip")
+        times = [s.count(step) for s in samples]
+        if any(times):
+            places[step], share = at, (word >> STEPS).astype(kind)
+            for signature, n in zip(signatures, times, strict=True):
+                for _ in range(n):
+                    signature += share
+        word >>= step
+        word &= 1
+        at = at + word
+    return places, signatures
+
+
+def _possible(signatures: np.ndarray, may: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the signatures are in the bit map."""
+    if bits < 8 * signatures.itemsize:
+        signatures = signatures & signatures.dtype.type((1 << bits) - 1)
+    bit = may.take(signatures >> 3, mode="clip") >> (signatures & 7).astype(np.uint8)
+    return np.flatnonzero((bit & 1).view(bool))
+
+
 def _in_buckets(part: Part, repetition: int, n: int, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(item, place where it would start) for the places ``at`` with these keys."""
     keys = part.keys[repetition][n]
@@ -345,18 +392,25 @@ def _in_buckets(part: Part, repetition: int, n: int, key: np.ndarray, at: np.nda
     return part.item[owner], np.repeat(at, many) - part.offset[owner]
 
 
+def _numbered(index: Index, text: str) -> list[int]:
+    """The words of a text as numbers. Texts with a byte for each character are cut by a table, which is several times as fast."""
+    try:
+        return list(map(index.latin.get, text.encode("latin-1").translate(_LATIN).split(), repeat(UNKNOWN)))
+    except UnicodeEncodeError:
+        return list(map(index.vocabulary.get, _WORD.findall(text.lower()), repeat(UNKNOWN)))
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
     """(text number, item number, edits, first word, end word, first character, end character): the best place of each item in each text."""
     if not index.items:
         return []
-    find = index.vocabulary.get
-    words = [_WORD.findall(t.lower()) for t in texts]
+    words = [_numbered(index, t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     # texts stand one behind the other, with padding between
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     stream = np.full(int(starts[-1]) + 1, PAD, np.int64)
     for s, w in zip(starts.tolist(), words, strict=False):
-        stream[s : s + len(w)] = [find(x, UNKNOWN) for x in w]
+        stream[s : s + len(w)] = w
     known = np.concatenate([[0], np.cumsum(stream >= 0)])
     found = [_retrieved(index, part, stream, known) for part in index.parts]
     item, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -441,8 +495,8 @@ def _built(rate: float, recall: float, seed: int):
 def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, rate: float, recall: float, index_bytes: int, seed: int) -> Iterator[tuple[_Shared, bool]]:
     """Broadcast indexes of the items, each of at most ``index_bytes`` or so, and whether it is the last. One is alive at a time.
 
-    Items are dealt into blocks by what their windows need in an index, known before it is built; besides, each class of sizes has
-    its bins once, about 160 kB a repetition. Blocks are built in tasks; the
+    Items are dealt into blocks by what their windows need in an index, known before it is built; besides, each key of a class of
+    sizes has its bit map, 8 kB at least and 4 bytes a window at most. Blocks are built in tasks; the
     driver reads one at a time and hands it on.
     """
     clean = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()

@@ -183,3 +183,45 @@ def test_blocks_are_bounded_by_the_bytes_of_their_index(spark):
     text = sum(len(t) for _, t in rows)
     assert len(sizes) > 1 and max(sizes) <= 1.2 * most and sum(sizes) > 5 * text
     assert sorted(seen) == list(range(1500))
+
+
+def test_few_places_have_their_keys_worked_out(monkeypatch):
+    """Of places whose words are all the items', one in twenty of a key's at most is more than a signature."""
+    rng, seen, key = random.Random(13), [], D._key
+    index = D.build([(i, text_of(rng, 20)) for i in range(100)], 0.2, 0.99, 11)
+    monkeypatch.setattr(D, "_key", lambda words: seen.append(len(words[0])) or key(words))
+    text = " ".join(rng.choices(list(index.vocabulary), k=20_000))
+    assert D.search(index, [text]) == []
+    part = index.parts[0]
+    assert sum(seen) <= 20_000 * part.repetitions * D.KEYS / 20
+
+
+def test_walks_of_words_as_they_are_met():
+    rng = np.random.default_rng(2)
+    stream = np.append(rng.integers(-1, 20, 300), D.PAD)
+    walks = D.Walks(stream, 20, 3)
+    walks.start(2)
+    samples = [[0, 3, 3], [7, 39]]
+    moves = walks.moves(samples)
+    at = np.arange(0, 290, 3)
+    places, signatures = D._walked(D._met(20, 3, 2)[stream], at, samples, np.uint32)
+    share = (D._mix(np.arange(22), 5) >> np.uint64(D.STEPS)).astype(np.uint32)
+    for steps, signature in zip(samples, signatures, strict=True):
+        words = walks.sampled(steps, moves, at)
+        assert all((stream[np.minimum(places[s], 300)] == w).all() for s, w in zip(steps, words, strict=True))
+        assert ((sum(share[w] for w in words) ^ signature) & ((1 << D.MOST) - 1) == 0).all()
+
+
+def test_many_windows_have_a_wider_bit_map():
+    rng = random.Random(14)
+    items = [(i, text_of(rng, 400)) for i in range(300)]
+    index = D.build(items, 0.2, 0.99, 11)
+    assert [p.bits for p in index.parts] == [17]
+    assert {r[:3] for r in D.search(index, [f"x {t} y" for _, t in items])} == {(i, i, 0) for i in range(300)}
+
+
+def test_words_cut_by_a_table_are_those_of_the_pattern():
+    texts = [f"a{chr(i)}B {chr(i)}{chr(i)} {chr(i)}9_" for i in range(256)] + ["", "Ça été ÀÉß µm² x", "naïve 是 ÉTÉ", "\x1c\x85\xa0a"]
+    index = D.build([(n, t) for n, t in enumerate(texts)], 0.2, 0.99, 11)
+    for t in [*texts, "unknown words"]:
+        assert D._numbered(index, t) == [index.vocabulary.get(w, D.UNKNOWN) for w in words(t)]
