@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
+from outlay.functions import dates, text
 from outlay.operators import categorise, changes, cube, ingest, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
 from outlay.plans import insight, resolve
 from outlay.sources import scratch
@@ -183,3 +184,67 @@ def test_savings_read_no_orders(spark, plans):
     df = transactions(spark, SF_DIR, *insight._EVERY)
     assert sorted(recommend.cells(df).columns) == sorted(recommend.cells(transactions(spark, SF_DIR)).columns)
     assert "o_orderkey" not in plan_of(recommend.cells(df))
+
+
+def test_rates_are_joined_where_the_rows_are(spark):
+    """The rows are read once and not shuffled; rates are the nearest known ones, whatever the month."""
+    rates = [("1995-01", "USD", "AUD", 1.5), ("1995-07", "USD", "AUD", 1.7), ("1995-08", "USD", "AUD", None), ("1996-01", "USD", "AUD", 2.0), ("1996-01", "GBP", "AUD", 3.0), ("bad", "USD", "AUD", 9.0)]
+    n = F.col("id")
+    month = F.make_date((1994 + F.floor(n / 36)).cast("int"), (n % 12 + 1).cast("int"), F.lit(5))
+    currency = F.element_at(F.array(*[F.lit(c) for c in ("USD", "GBP", "AUD", "XXX")]), (n % 4 + 1).cast("int"))
+    df = spark.range(144).select(n, F.when(n % 17 > 0, month).alias("invoice_date"), currency.alias("original_currency"), F.lit(10.0).alias("original_amount"))
+    out = ingest.convert(df, spark.createDataFrame(rates, reference.FX_SCHEMA))
+    assert plan_of(out).count("Range (") == 1
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    known = {"USD": {1995 * 12 + 1: 1.5, 1995 * 12 + 7: 1.7, 1996 * 12 + 1: 2.0}, "GBP": {1996 * 12 + 1: 3.0}}
+    for r in out.collect():
+        have, at = known.get(r.original_currency), r.invoice_date and r.invoice_date.year * 12 + r.invoice_date.month
+        if r.original_currency == "AUD":
+            want = 1.0, None
+        elif at is None:
+            want = None, "MISSING_DATE"
+        elif have is None:
+            want = None, "UNKNOWN_CURRENCY_PAIR"
+        else:
+            near = min(have, key=lambda m: (abs(m - at), m))
+            want = have[near], None if near == at else "RATE_ESTIMATE"
+        assert (r.fx_rate, r.fx_warning) == want and r.base_amount == round(10 * (want[0] or 1), 2)
+
+
+def test_a_date_is_looked_at_once(spark):
+    plan = plan_of(spark.range(3).select(dates.parse_date(F.col("id").cast("string")).alias("d"))).lower()
+    assert plan.count("trim(") <= 2
+
+
+def test_white_space_is_what_a_pattern_says(spark):
+    letters = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(x + "a" + x + "b" + x,) for x in letters] + [(x,) for x in letters], "c string").repartition(4)
+    assert df.where(~text.strip(F.col("c")).eqNullSafe(F.regexp_replace("c", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_only_rows_whose_key_occurs_twice_are_moved(spark, monkeypatch):
+    moved = []
+    plain = ingest.insert_absent
+    monkeypatch.setattr(ingest, "insert_absent", lambda rows, *more: moved.append(rows.count()) or plain(rows, *more))
+    rows = [("E1", f"h{n}", n) for n in range(50)] + [("E1", "h3", 3), (None, "h3", 0), (None, "h3", 0), ("E1", None, 1)]
+    df = spark.createDataFrame(rows, "engagement_id string, source_row_hash string, v long")
+    landed = spark.createDataFrame([("E1", "h7"), ("E1", "h99"), (None, "h50")], "engagement_id string, source_row_hash string")
+    got, want = (sorted(map(repr, f(df, landed).collect())) for f in (ingest.absent_rows, plain))
+    assert got == want and len(got) == 51
+    assert moved == [5]
+    assert ingest.absent_rows(df.limit(0), landed).count() == 0
+
+
+def test_promotion_looks_at_names_and_descriptions_once(spark, plans, monkeypatch):
+    """No pass but the one that writes the rows reads what the rows were made from as a whole."""
+    noted = runs.stored
+    for module in (suppliers, categorise, ingest):
+        monkeypatch.setattr(module, "stored", noted)
+    queue = spark.createDataFrame([(f"h{n}", "E1", "1", " Acme " if n % 2 else "Bolt Ltd", f"V{n % 2}", "toner" if n % 3 else "x y", "6400", 1.0, '{"INV_NO": "INV-1"}', "queued") for n in range(12)], schema.LANDING_SCHEMA.rpartition(",")[0]).withColumn("ingested_at", F.current_timestamp())
+    none = [spark.createDataFrame([], s) for s in (schema.TRANSACTION_SCHEMA, schema.MASTER_SCHEMA, schema.MATCH_LOG_SCHEMA, reference.SEED_SCHEMA, schema.OVERRIDE_SCHEMA)]
+    done = runs.promote(queue, *none)
+    assert sum("VENDOR_NAME" in p for p in plans) == 1  # the columns that are read from the JSON
+    assert sum("toner" in p.lower() for p in plans) <= 1
+    assert done.counts.first().asDict() == {"promoted": 8, "review_required": 4}
+    assert {(f.canonical_supplier_name, f.category_l2, f.invoice_number) for f in done.facts.collect()} == {("Acme", "Print Consumables", "INV-1"), ("Bolt Ltd", "Print Consumables", "INV-1")}
+    assert sorted(r.status for r in done.landing.collect()) == ["processed"] * 8 + ["review_required"] * 4
