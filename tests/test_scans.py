@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlay import reference, schema
-from outlay.functions import dates, text
-from outlay.operators import categorise, changes, cube, ingest, joins, kpis, quality, quantiles, recommend, runs, segments, suppliers
+from outlay.functions import dates, fuzzy, text
+from outlay.operators import categorise, changes, cube, ingest, joins, kpis, quality, quantiles, recommend, runs, segments, similar, suppliers
 from outlay.plans import insight, resolve
 from outlay.sources import scratch
 from outlay.sources.warehouse import transactions
@@ -248,3 +248,31 @@ def test_promotion_looks_at_names_and_descriptions_once(spark, plans, monkeypatc
     assert done.counts.first().asDict() == {"promoted": 8, "review_required": 4}
     assert {(f.canonical_supplier_name, f.category_l2, f.invoice_number) for f in done.facts.collect()} == {("Acme", "Print Consumables", "INV-1"), ("Bolt Ltd", "Print Consumables", "INV-1")}
     assert sorted(r.status for r in done.landing.collect()) == ["processed"] * 8 + ["review_required"] * 4
+
+
+def test_no_table_that_grows_with_the_names_is_broadcast(spark, monkeypatch):
+    seen = []
+    write = scratch.stored
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(suppliers, "stored", lambda df, *more, **also: seen.append(physical(df)) or write(df, *more, **also))
+    rows = spark.range(60).selectExpr("concat('Supplier#', lpad(id, 6, '0')) AS raw_supplier_name", "concat('V', id) AS raw_supplier_id")
+    master = suppliers.build_master(suppliers.distinct_names(rows.where("raw_supplier_id not like '%7'")))
+    grown, log = suppliers.harmonise(rows, master)
+    seen += [physical(grown), physical(log)]
+    assert sum("SortMergeJoin" in p for p in seen) >= 4 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in seen)
+    assert log.where("match_method like 'FUZZY%'").count() == 6 and grown.count() == 60
+
+
+@pytest.mark.parametrize("postings", [1, 1000])
+def test_a_word_that_is_rare_on_neither_side_is_not_multiplied(spark, monkeypatch, postings):
+    monkeypatch.setattr(similar, "POSTINGS", postings)
+    names = spark.createDataFrame([(f"supplier {n:09d}",) for n in range(20)] + [("gamma works holding",), ("delta",)], "name string")
+    known = spark.createDataFrame([(f"supplier {n:09d}", f"c{n}") for n in range(100, 140)] + [("gamma", "g"), ("delta metal works of the north", "d")], "candidate string, canonical_supplier_id string")
+    rows = []
+    monkeypatch.setattr(F, "sequence", lambda a, b, sequence=F.sequence: rows.append(b) or sequence(a, b))
+    out = similar.by_words(names, known, 0.5)
+    least = {(n.name, k.candidate): fuzzy.composite(n.name, k.candidate) for n in names.collect() for k in known.collect()}
+    for r in out.collect():
+        assert abs(least[r.name, r.supplier.candidate] - r.score) < 1e-9
+    assert {(r.name, r.supplier.candidate) for r in out.collect()} >= {("gamma works holding", "gamma"), ("delta", "delta metal works of the north")}
+    assert "left_semi" in plan_of(out).lower().replace("leftsemi", "left_semi") and len(rows) == 2
