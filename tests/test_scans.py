@@ -276,3 +276,13 @@ def test_a_word_that_is_rare_on_neither_side_is_not_multiplied(spark, monkeypatc
         assert abs(least[r.name, r.supplier.candidate] - r.score) < 1e-9
     assert {(r.name, r.supplier.candidate) for r in out.collect()} >= {("gamma works holding", "gamma"), ("delta", "delta metal works of the north")}
     assert "left_semi" in plan_of(out).lower().replace("leftsemi", "left_semi") and len(rows) == 2
+
+
+def test_distinct_names_sort_no_rows(spark, monkeypatch):
+    seen = []
+    write = scratch.stored
+    monkeypatch.setattr(suppliers, "stored", lambda df, *more, **also: seen.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *more, **also))
+    rows = spark.range(200).selectExpr("concat('Acme ', id % 3) AS raw_supplier_name", "concat('V', id % 7) AS raw_supplier_id")
+    assert {r.raw_supplier_id for r in suppliers.distinct_names(rows).collect()} == {"V0"}
+    over_rows = [p for p in seen if "Range (" in p]
+    assert over_rows and not any("SortAggregate" in p for p in over_rows)
